@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import attach_groups, stage
 from tracewright.llm.components import connected_components
+from tracewright.llm.op03_exact_dedup import one_each
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Fingerprints of one variant that are paired directly; larger variants go by common neighbours.
@@ -44,16 +45,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp)."""
+    """(doc_id, text) -> (doc_id, text_key, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.large_binary())
             fps = [fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, paired: int = PAIRED) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, component_size.
+    """One row per input row: doc_id, text_key, fingerprint (16 hex digits), component_id, component_size, root.
 
     Documents link if their fingerprints differ in at most ``max_bits``; component_id is the smallest doc_id that can
     be reached. Texts that are null or have no word get fingerprint 0 and link like any other; shorter ones than a
@@ -118,6 +124,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     joined = stage(joined, "simhash-classes")
     roots = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("component_size"))
     classes = joined.select("fp", F.col("root").alias("_root"), "copies").join(roots, F.col("_root") == F.col("root"))
-    classes = stage(classes.select(F.col("fp").alias("fp"), "copies", "component_id", "component_size"), "simhash-roots")
+    classes = stage(classes.select("fp", "copies", "component_id", "component_size", "root"), "simhash-roots")
     out = attach_groups(rows, classes, "fp", "copies", total)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+    return out.select("doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size", "root")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest doc_id, null last."""
+    rows = near_duplicates(docs, **options)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("m"))
+    kept = stage(first.select("m.doc_id", "m.text_key").distinct(), "simhash-kept")
+    return one_each(docs, kept, text_key(F.col("text")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import op03_exact_dedup, op07_mixing, op09_simhash
+from tracewright.llm import op03_exact_dedup, op05_quality, op07_mixing, op08_decontamination, op09_simhash
 from tracewright.llm.common import table
 
 
@@ -16,15 +16,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = op07_mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that leaked into it."""
+    out = op08_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "matched", "n_windows", "coverage", "reworded")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op09_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_mix_curriculum, op9_simhash)}
+    """Every query of this module by name."""
+    own = (op3_exact_dedup, op5_quality, op7_mix_curriculum, op8_decontaminate, op9_simhash, pipeline)
+    return {f.__name__: f for f in own}
