@@ -55,5 +55,101 @@ _POSITION = "CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope)
 MIXING = f"WITH {_MIX.format(documents='documents')} SELECT doc_id, size, source_size, target, taken, {_POSITION} AS position FROM mixed"
 
 
+#: Each of these strings gets one more character when it is escaped, as does a backslash.
+_CONTROL = r"\\|<\||</?s>|<(start|end)_of_turn>|<(bos|eos|unk|pad)>|<</?SYS>>|\[/?(INST|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\]"
+
+CHAT = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(k, r)
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(12 + length(role) + len(regexp_extract_all(role, '{_CONTROL}|' || chr(10))) + 1 + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + 11) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM whole
+"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hexed, {5 * k + 1}, 5) AS BIGINT) >> {shift}) & 31)::INT, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+WARC = f"""
+WITH hashed AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages
+), digests AS (
+  SELECT page_id, payload_bytes, {_BASE32} AS payload_digest FROM hashed
+), last AS (
+  SELECT payload_digest, max(page_id) AS winner FROM digests GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM digests JOIN last USING (payload_digest)
+"""
+
+
+def _url_filter(depth: int = 8) -> str:
+    ctes = [
+        r"""parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), ruled AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parsed
+), urls AS (
+  SELECT DISTINCT host, path, CAST(rule IS NOT NULL AS INT) AS labelled, CAST(coalesce(rule IN ('org/', 'com/fr/'), false) AS INT) AS good FROM ruled
+), level0 AS (
+  SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS segments, '' AS template, '' AS parent, false AS literal FROM urls
+)"""
+    ]
+    for k in range(depth):
+        ctes.append(
+            f"""wide{k} AS (
+  SELECT host, template FROM (SELECT host, template, segments[{k + 1}] AS segment, count(*) AS urls FROM level{k} WHERE len(segments) > {k} GROUP BY ALL)
+  GROUP BY host, template HAVING count(*) >= 12 AND count(*) >= CAST(0.2 AS DOUBLE) * sum(urls)
+), here{k} AS (
+  SELECT l.*, len(segments) > {k} AS there, segments[{k + 1}] AS segment,
+         len(segments) > {k} AND (regexp_matches(segments[{k + 1}], '[0-9]') OR length(segments[{k + 1}]) >= 24 OR w.host IS NOT NULL) AS made
+  FROM level{k} l LEFT JOIN wide{k} w ON l.host = w.host AND l.template = w.template
+), level{k + 1} AS (
+  SELECT host, path, labelled, good, segments, CASE WHEN NOT there THEN template WHEN made THEN template || '/*' ELSE template || '/' || segment END AS template,
+         CASE WHEN NOT there THEN parent WHEN made THEN parent || '/*' ELSE template || '/*' END AS parent, literal OR (there AND NOT made) AS literal
+  FROM here{k}
+)"""
+        )
+    ctes.append(
+        f"""found AS (
+  SELECT host, path, labelled, good, template || tail AS template, CASE WHEN literal THEN parent || tail ELSE template || tail END AS parent
+  FROM (SELECT *, CASE WHEN len(segments) > {depth} THEN '/**' ELSE '' END AS tail FROM level{depth})
+), own AS (
+  SELECT host, template, parent, sum(labelled) AS labelled, sum(good) AS good FROM found GROUP BY ALL
+), pool AS (
+  SELECT host, parent, sum(labelled) AS pool_labelled, sum(good) / nullif(sum(labelled), 0) AS rate FROM own GROUP BY ALL
+), alike AS (
+  SELECT own.*, CASE WHEN labelled = 0 OR abs(good - labelled * rate) <= CAST(1.96 AS DOUBLE) * sqrt(labelled * rate * (1 - rate)) THEN own.parent ELSE template END AS merged
+  FROM own JOIN pool ON own.host = pool.host AND own.parent = pool.parent
+), branch AS (
+  SELECT host, merged, sum(labelled) AS bl, sum(good) AS bg FROM alike GROUP BY ALL
+), everywhere AS (
+  SELECT template, sum(labelled) AS al, sum(good) AS ag FROM own GROUP BY ALL
+), base AS (
+  SELECT (sum(good) + 1) / (sum(labelled) + 2) AS base FROM own
+), scored AS (
+  SELECT a.host, a.template, a.merged, (bg + 4 * ((ag + 4 * base) / (al + 4))) / (bl + 4) AS purity
+  FROM alike a JOIN branch b ON a.host = b.host AND a.merged = b.merged JOIN everywhere e ON a.template = e.template CROSS JOIN base
+)"""
+    )
+    return (
+        "WITH " + ", ".join(ctes) + """
+SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IN ('org/', 'com/fr/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block' WHEN s.purity >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, s.merged AS template, s.purity
+FROM ruled r JOIN found f ON r.host = f.host AND r.path = f.path JOIN scored s ON f.host = s.host AND f.template = s.template
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP, "op7_mix_curriculum": MIXING}
+    return {"op1_url_filter": _url_filter(), "op3_exact_dedup": EXACT_DEDUP, "op4_chat_format": CHAT, "op6_arc_to_warc": WARC, "op7_mix_curriculum": MIXING}
