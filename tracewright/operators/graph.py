@@ -63,6 +63,19 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") ->
     raise GraphError("the closure does not end")
 
 
+def _guard(rounds: int, edges: DataFrame) -> None:
+    """A walk by path length ends only without cycles; looked at when it gets long, ever more rarely."""
+    if rounds >= 64 and rounds & (rounds - 1) == 0 and not _acyclic(edges):
+        raise GraphError("the graph has a cycle")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def path_counts(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -> DataFrame:
     """(label, paths): along how many paths a label is reached. The bag of transitive neighbours, counted rather than
     listed: it grows exponentially with diamonds, its counts don't. Cycles raise GraphError."""
@@ -75,14 +88,10 @@ def path_counts(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -
         if frontier.isEmpty():
             break
         parts.append(frontier)
-        if len(parts) % 64 == 0 and not _acyclic(edges):
-            raise GraphError("path counts need an acyclic graph")
+        _guard(len(parts), edges)
     if not parts:
         return frontier
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.groupBy("label").agg(F.sum("paths").alias("paths"))
+    return _union(parts).groupBy("label").agg(F.sum("paths").alias("paths"))
 
 
 def transitive(edges: DataFrame, label, direction: str, distinct: bool = True) -> DataFrame:
@@ -118,34 +127,42 @@ def _acyclic(edges: DataFrame) -> bool:
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, level): 0 without dependencies, else one more than the highest of them. A topological order is any
-    order by level. Cycles raise GraphError."""
-    *parts, rest = _peel(nodes, edges)
-    if not rest.isEmpty():
-        raise GraphError("the graph has a cycle")
-    whole = None
-    for k, part in enumerate(parts):
-        part = part.withColumn("level", F.lit(k))
-        whole = part if whole is None else whole.unionByName(part)
-    return whole if whole is not None else nodes.select("label", F.lit(0).alias("level"))
+    order by level. Cycles raise GraphError.
+
+    Round k holds the nodes at the end of a path of k edges, so a node's level is the last round it is in.
+    """
+    known = nodes.select("label").distinct()
+    inner = edges.join(known.withColumnRenamed("label", "src"), "src", "left_semi")
+    frontier, parts = known, []
+    while True:
+        frontier = stage(frontier.select("label", F.lit(len(parts)).alias("level")), "levels")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        _guard(len(parts), edges)
+        step = inner.join(frontier.select(F.col("label").alias("src")), "src", "left_semi").select(F.col("dst").alias("label")).distinct()
+        frontier = step.join(known, "label", "left_semi")
+    return _union(parts).groupBy("label").agg(F.max("level").alias("level")) if parts else frontier
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (label, weight) -> (label, total, path): the heaviest path that ends in each node, by weight; among equal
-    ones the one through the smallest label."""
-    *parts, rest = _peel(nodes, edges)
-    if not rest.isEmpty():
-        raise GraphError("the graph has a cycle")
-    done = None
-    for part in parts:
-        own = part.join(nodes.select("label", F.col("weight").cast("long").alias("weight")), "label")
-        if done is None:
-            done = stage(own.select("label", F.col("weight").alias("total"), F.array("label").alias("path")), "longest")
-            continue
-        into = edges.join(own.select(F.col("label").alias("dst"), "weight"), "dst").join(done.select(F.col("label").alias("src"), "total", "path"), "src")
-        best = into.groupBy("dst", "weight").agg(F.min(F.struct((-F.col("total")).alias("minus"), "src", "path")).alias("best"))
-        here = best.select(F.col("dst").alias("label"), (F.col("weight") - F.col("best.minus")).alias("total"), F.concat("best.path", F.array("dst")).alias("path"))
-        done = done.unionByName(stage(here, "longest"))
-    return done if done is not None else nodes.select("label", F.col("weight").cast("long").alias("total"), F.array("label").alias("path"))
+    """nodes (label, weight) -> (label, total, path): the heaviest path that ends in each node, by weight; of equal
+    ones the first by its labels. Round k extends the best paths of k nodes by one. Cycles raise GraphError."""
+    own = nodes.select("label", F.col("weight").cast("long").alias("weight"))
+    best = F.min(F.struct((-F.col("total")).alias("minus"), "path")).alias("best")
+    current, parts = own.select("label", F.col("weight").alias("total"), F.array("label").alias("path")), []
+    while True:
+        current = stage(current, "longest")
+        if current.isEmpty():
+            break
+        parts.append(current)
+        _guard(len(parts), edges)
+        into = edges.join(current.withColumnRenamed("label", "src"), "src").groupBy("dst").agg(best)
+        step = into.join(own.withColumnRenamed("label", "dst"), "dst")
+        current = step.select(F.col("dst").alias("label"), (F.col("weight") - F.col("best.minus")).alias("total"), F.concat("best.path", F.array("dst")).alias("path"))
+    if not parts:
+        return current
+    return _union(parts).groupBy("label").agg(best).select("label", (-F.col("best.minus")).alias("total"), F.col("best.path").alias("path"))
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
