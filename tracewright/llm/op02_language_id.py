@@ -131,7 +131,7 @@ class Parser:
 
 def references(docs: DataFrame, size: int = REFERENCE) -> dict[str, bytes]:
     """Labelled rows (doc_id, text, lang) -> reference text per language, from a bounded sample chosen by a hash."""
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    named = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = named.groupBy("lang").count()
     size = max(1_000, min(size, ALL_REFERENCES // max(1, counts.count())))
     share = counts.select(F.col("lang").alias("_lang"), (F.lit(float(SAMPLED)) / F.col("count")).alias("share"))

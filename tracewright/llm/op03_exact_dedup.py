@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import SPACE, attach_groups, crc_mod, stage
+from tracewright.llm.common import SPACE, attach_groups, crc_mod, free, stage
 
 #: Digests in one shard, on average.
 SHARD_DIGESTS = 10_000
@@ -169,12 +169,12 @@ def survivors(docs: DataFrame, **options) -> DataFrame:
 
 def one_each(docs: DataFrame, kept: DataFrame, fingerprint: Column) -> DataFrame:
     """Rows of docs whose (doc_id, fingerprint) is in ``kept``, once each. kept: two columns, distinct."""
-    ident, print_ = kept.columns
-    right = kept.select(F.col(ident).alias("_id"), F.col(print_).alias("_print"))
-    rows = docs.withColumn("_key", fingerprint)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_print"))
+    ident, print_, key = free(docs, "_id"), free(docs, "_print"), free(docs, "_key")
+    right = kept.toDF(ident, print_)
+    rows = docs.withColumn(key, fingerprint)
+    same = F.col("doc_id").eqNullSafe(F.col(ident)) & F.col(key).eqNullSafe(F.col(print_))
     rows = rows.join(right.hint("shuffle_hash"), same, "left_semi")
     ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if ids.isEmpty():  # no repeated ids: nothing to sort for
-        return rows.drop("_key")
-    return rows.dropDuplicates(["doc_id", "_key"]).drop("_key")
+        return rows.drop(key)
+    return rows.dropDuplicates(["doc_id", key]).drop(key)

@@ -156,7 +156,7 @@ def format_chats(records: DataFrame, ident: str = "conv_id", layouts: tuple[Layo
     turns format to an empty text. Repeated rows each give a row; an empty table gives none. A record is one value in
     one task: its size is bounded by a row's.
     """
-    rows = canonical(records, layouts)
+    rows = canonical(records.select(ident, "payload"), layouts)
     return rows.select(ident, "layout", "fingerprint", "turns", render(F.col("turns")).alias("formatted"))
 
 

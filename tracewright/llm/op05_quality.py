@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewright.llm.common import crc_mod, stage
+from tracewright.llm.common import crc_mod, free
 
 #: Labelled documents that the model is fitted on, at most about; more labels are thinned by a hash of doc_id.
 FIT_ROWS = 16_000
@@ -124,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_r
     return fit(np.array([r["x"] for r in found]), np.array([r["quality"] for r in found]))
 
 
-def score(docs: DataFrame, model: Discriminant, keep: list[str], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Discriminant, keep: list[str], name: str = "score") -> DataFrame:
     """(*keep, score) for every row; null and empty texts get the score of a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -135,10 +136,10 @@ def score(docs: DataFrame, model: Discriminant, keep: list[str], text: str = "te
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], names=[*out, "score"])
 
     out = [f"c{k}" for k in range(len(keep))]
-    fields = [f"{c} {docs.schema[k].dataType.simpleString()}" for c, k in zip(out, keep, strict=True)]
-    picked = docs.select(F.col(text).cast("string").alias("text"), *[F.col(k).alias(c) for c, k in zip(out, keep, strict=True)])
-    done = picked.mapInArrow(run, ", ".join([*fields, "score double"]))
-    return done.select(*[F.col(c).alias(k) for c, k in zip(out, keep, strict=True)], "score")
+    fields = T.StructType([*[T.StructField(c, docs.schema[k].dataType) for c, k in zip(out, keep, strict=True)], T.StructField("score", T.DoubleType())])
+    picked = docs.select(F.col("text").cast("string").alias("text"), *[F.col(f"`{k}`").alias(c) for c, k in zip(out, keep, strict=True)])
+    done = picked.mapInArrow(run, fields)
+    return done.select(*[F.col(c).alias(k) for c, k in zip(out, keep, strict=True)], F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = PASS) -> DataFrame:
@@ -153,5 +154,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = PASS) -> Dat
 
 def passing(docs: DataFrame, labels: DataFrame, threshold: float = PASS) -> DataFrame:
     """The documents that the classifier accepts, with all their columns, in one pass over the texts."""
-    done = score(docs, train(docs, labels), docs.columns)
-    return done.where(F.col("score") >= threshold).select(*docs.columns)
+    name = free(docs, "score")
+    done = score(docs, train(docs, labels), docs.columns, name)
+    return done.where(F.col(name) >= threshold).drop(name)

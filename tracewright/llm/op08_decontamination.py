@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import stage
+from tracewright.llm.common import free, stage
 
 WINDOW = 5
 #: Literal words that a window needs: placeholders alone say nothing.
@@ -179,6 +179,7 @@ def _vocabulary(items: DataFrame) -> frozenset[int]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents into which no item leaked, with all their columns."""
-    found = stage(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "leak-documents")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    ident, key = free(docs, "_id"), free(docs, "_key")
+    found = stage(leaks(docs, benchmark, **options).select(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).distinct(), "leak-documents")
+    same = F.col("doc_id").eqNullSafe(F.col(ident)) & (text_key(F.col("text")) == F.col(key))
     return docs.join(found.hint("shuffle_hash"), same, "left_anti")
