@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tracewright.functions.scalars import date_of
 from tracewright.operators import traces as ops
 from tracewright.schemas import BUILDS, NESTED, SPANS
+from tracewright.storage import stage
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, version_column: str) -> DataFrame:
@@ -69,14 +70,15 @@ def prune(spark: SparkSession, root: str, cutoff_millis: int) -> int:
     """
     builds, spans = read_builds(spark, root), read_spans(spark, root)
     old = builds.where(F.col("start_time_unix_millis") < cutoff_millis)
+    old = stage(old.select("trace_id", date_of(F.col("start_time_unix_millis")).alias("day")), "pruned")  # outlives its files
     dropped = old.count()
     if not dropped:
         return 0
-    days = [r[0] for r in old.select(date_of(F.col("start_time_unix_millis")).alias("d")).distinct().collect()]  # dates only
+    days = [r[0] for r in old.select("day").distinct().collect()]  # dates only
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     edge = spark.range(1).select(date_of(F.lit(cutoff_millis))).first()[0]
-    for table, df in (("builds", builds), ("spans", spans.join(old.select("trace_id"), "trace_id", "left_anti"))):
+    for table, df in (("builds", builds), ("spans", spans)):
         for day in days:
             path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/date={day}")
             fs = path.getFileSystem(conf)
