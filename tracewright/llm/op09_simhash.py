@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewright.llm.common import attach_groups, stage
 from tracewright.llm.components import connected_components
@@ -81,17 +82,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, paired: int = PAIRED) -> Dat
     """Distinct (fp) -> edges (a, b) whose components are those of all pairs within ``max_bits`` (at most 2)."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments and common one-bit neighbours cover up to 2 differing bits")
-    index = variants(fps)
-    met = index.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    # One shuffle of all variants; only those that meet are kept.
+    met = variants(fps).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     met = stage(met, "simhash-met")
     close = differing("a", "b") <= max_bits
-    pairs = met.where("n = 2").where(close).select("a", "b")
-    wider = met.where("n > 2").select(F.col("key").alias("_key"), "n")
-    again = index.join(wider, F.col("key") == F.col("_key")).select("key", "fp", "n")
-    again = stage(again, "simhash-wider")
-    some = again.where(F.col("n") <= paired)
-    pairs = pairs.unionByName(some.select("key", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where("a < b").where(close).select("a", "b"))
-    return pairs.unionByName(_stars(again.where(F.col("n") > paired).select("fp").distinct(), max_bits)).distinct()
+    some = met.where(F.col("n") <= paired)
+    pairs = some.select("key", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where("a < b").where(close).select("a", "b")
+    return pairs.unionByName(_stars(met.where(F.col("n") > paired).select("fp").distinct(), max_bits)).distinct()
 
 
 def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
