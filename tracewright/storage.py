@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_staged: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a local folder that goes with the process, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracewright-"))
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="tracewright-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{local}")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
@@ -21,4 +31,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged, once no result that reads them is needed any more."""
+    n = 0
+    while _staged:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
