@@ -21,6 +21,8 @@ from tracewright.llm.common import crc_mod
 REFERENCE, ALL_REFERENCES = 24_000, 600_000
 #: Sampled training documents per language (by a hash of doc_id), and characters taken of each.
 SAMPLED, PIECE = 300, 400
+#: Languages up to which their sampling shares are broadcast (under 1 MB).
+BROADCAST_LANGS = 10_000
 #: Bytes of a window, and of the windows that advance together.
 WINDOW, TOGETHER = 256, 3_000_000
 UNKNOWN = "und"
@@ -133,8 +135,11 @@ def references(docs: DataFrame, size: int = REFERENCE) -> dict[str, bytes]:
     """Labelled rows (doc_id, text, lang) -> reference text per language, from a bounded sample chosen by a hash."""
     named = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = named.groupBy("lang").count()
-    size = max(1_000, min(size, ALL_REFERENCES // max(1, counts.count())))
+    n_langs = counts.count()
+    size = max(1_000, min(size, ALL_REFERENCES // max(1, n_langs)))
     share = counts.select(F.col("lang").alias("_lang"), (F.lit(float(SAMPLED)) / F.col("count")).alias("share"))
+    if n_langs <= BROADCAST_LANGS:  # by its checked size; the texts then stay where they are
+        share = F.broadcast(share)
     key = F.xxhash64("doc_id", "text")
     chosen = named.join(share, F.col("lang") == F.col("_lang")).where(F.pmod(key, F.lit(1 << 20)) < F.col("share") * float(1 << 20))
     start = F.pmod(F.shiftright(key, 20), F.greatest(F.lit(1).cast("long"), F.length("text").cast("long") - PIECE)) + 1
