@@ -149,13 +149,13 @@ def test_leaks_and_reworded_questions(spark):
     changed = "Ann bought 31 apples and 5 pears at the market. How many kg of fruit did Ann carry back home to his mother yesterday?"
     rows = [
         (1, f"{noise(50)}. {ITEM} {noise(50)}"), (2, f"{noise(10)}. so {changed}"), (3, noise(400)), (4, None), (5, ""), (6, ITEM), (6, ITEM), (None, ITEM),
-        (7, "apples and pears at the market"), (8, " ".join([ITEM] * 40)), (9, noise(30_000) + " . " + ITEM),
+        (7, "apples and pears at the market"), (10, f"{noise(20)} {ITEM.replace('.', '').replace('?', '')}"), (11, ITEM.lower()), (12, ITEM.upper()), (8, " ".join([ITEM] * 40)), (9, noise(30_000) + " . " + ITEM),
     ]
     docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], DOCS)
     bench = spark.createDataFrame([(3, ITEM), (5, ITEM), (8, "too short"), (9, None), (10, noise(40))], "item_id long, text string")
     for filtered in (2_000_000, 0):
         got = leak.leaks(docs, bench, filtered=filtered).collect()
-        assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id) for r in got) == [(False, 1, 3), (False, 2, 3), (False, 6, 3), (False, 8, 3), (False, 9, 3), (True, 0, 3)]
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id) for r in got) == [(False, k, 3) for k in (1, 2, 6, 8, 9, 10, 11, 12)] + [(True, 0, 3)]
         assert {r.doc_id: r.reworded for r in got}[2] and not {r.doc_id: r.reworded for r in got}[1]
     clash = docs.selectExpr("*", "1 AS _id", "2 AS _key", "3 AS window")
     kept = leak.clean(clash, bench)

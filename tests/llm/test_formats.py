@@ -95,7 +95,7 @@ def test_record_identifiers(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class="has-sidebar">
 <header>Site</header><nav><ul><li><a href=/x>Menu</a><li>More</ul></nav><div class="cookie-notice"><p>We use cookies, as all do.</p></div><!-- <p>no</p> -->
-<article><h1>Head &amp; line</h1><p>One <b>bold</b>&nbsp;word,
+<article><h1 class="page-header">Head &amp; line</h1><p>One <b>bold</b>&nbsp;word,<span class="ad">Sale</span>
  two.<p>Next &lt;p&gt; &#228;<script>x()</script> end.<ul><li>a<li>b</ul><form><p>Name</p></form><aside>Side</aside>
 <div class="ad">Buy</div><blockquote>Quote</blockquote><section id="comments"><p>Great post!</p></section></article>
 <div class="sidebar">Side</div><footer>&copy; x</footer>"""

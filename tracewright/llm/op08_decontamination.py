@@ -74,19 +74,29 @@ class Tokens(dict):
         return code
 
 
-def windows(text: str, tokens: Tokens, size: int = WINDOW, literals: int = LITERALS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Positions and hashes of the windows (those in the sorted array ``among``, if given), the words, the token ids."""
-    words = text.split()
+def windows(words: list[str], tokens: Tokens, size: int = WINDOW, literals: int = LITERALS, among: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, hashes, token ids) of the windows (those in the sorted array ``among``, if given), in two readings:
+    capitals within a sentence as names, then as plain words wherever that makes a difference. So a passage that has
+    lost its case or its punctuation is found too."""
     codes = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
     starts = np.ones(len(words), bool)
     starts[1:] = codes[:-1] & 2 > 0
-    ids = codes >> 2
-    ids[(codes & 1 > 0) & ~starts] = NAME
+    low = codes >> 2
+    names = (codes & 1 > 0) & ~starts
+    ids = np.where(names, NAME, low)
     n = len(words) - size + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), words, ids
+        return []
+    out = [_hashed(ids, np.ones(n, bool), size, literals, among)]
+    if names.any():
+        some = np.cumsum(np.r_[0, names])
+        out.append(_hashed(low, some[size:] - some[:-size] > 0, size, literals, among))
+    return out
+
+
+def _hashed(ids: np.ndarray, wanted: np.ndarray, size: int, literals: int, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     plain, fits = np.cumsum(np.r_[0, ids > NAME]), np.cumsum(np.r_[0, ids != 0])
-    at = np.flatnonzero((fits[size:] - fits[:-size] == size) & (plain[size:] - plain[:-size] >= literals))
+    at = np.flatnonzero(wanted & (fits[size:] - fits[:-size] == size) & (plain[size:] - plain[:-size] >= literals))
     h = np.zeros(len(at), np.uint64)
     unsigned = ids.view(np.uint64)
     with np.errstate(over="ignore"):
@@ -96,7 +106,7 @@ def windows(text: str, tokens: Tokens, size: int = WINDOW, literals: int = LITER
     if among is not None and len(at):
         hit = among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h
         at, h = at[hit], h[hit]
-    return at, h, words, ids
+    return at, h, ids
 
 
 def _slots(words: list[str], ids: np.ndarray, at: int, size: int) -> list[str]:
@@ -104,7 +114,7 @@ def _slots(words: list[str], ids: np.ndarray, at: int, size: int) -> list[str]:
 
 
 def window_rows(df: DataFrame, ident: str, size: int, literals: int, index: tuple | None = None) -> DataFrame:
-    """(ident, text) -> one row per window: ident, text_key, at, window, slots, n (windows of the text)."""
+    """(ident, text) -> one row per window and reading: ident, text_key, at, window, slots, n (positions with one)."""
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +124,16 @@ def window_rows(df: DataFrame, ident: str, size: int, literals: int, index: tupl
             rows: list[list] = [[], [], [], [], [], []]
             for who, text in zip(b.column(0), b.column(1), strict=True):
                 text = text.as_py() or ""
-                at, h, words, ids = windows(text, tokens, size, literals, among)
-                if not len(at):
+                words = text.split()
+                read = [r for r in windows(words, tokens, size, literals, among) if len(r[0])]
+                if not read:
                     continue
                 key = int.from_bytes(xxhash.xxh64_digest(text, 42), "big", signed=True)
-                values = ([who.as_py()] * len(at), [key] * len(at), at.tolist(), h.view(np.int64).tolist(), [_slots(words, ids, p, size) for p in at.tolist()], [len(at)] * len(at))
-                for column, more in zip(rows, values, strict=True):
-                    column.extend(more)
+                n = len(set().union(*(at.tolist() for at, _, _ in read)))
+                for at, h, ids in read:
+                    values = ([who.as_py()] * len(at), [key] * len(at), at.tolist(), h.view(np.int64).tolist(), [_slots(words, ids, p, size) for p in at.tolist()], [n] * len(at))
+                    for column, more in zip(rows, values, strict=True):
+                        column.extend(more)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["id", "text_key", "at", "window", "slots", "n"])
 

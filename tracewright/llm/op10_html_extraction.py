@@ -42,6 +42,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[,.;:!?…،。，、؛؟]")
+_HEADING = re.compile("h[1-6]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCES = frozenset("html body article main section div table td th ul ol dl blockquote aside nav header footer form fieldset figure details dialog".split())
@@ -59,7 +60,7 @@ def _barred(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.strip().lower() in BARRED_ROLES:
             return True
-        if name in ("class", "id"):
+        if name in ("class", "id") and not _HEADING.fullmatch(tag):
             for one in value.split():
                 words = _WORDS.findall(_CAMEL.sub(" ", one).lower())
                 if words and words[0] not in ("no", "has", "with", "without") and not BARRED_WORDS.isdisjoint(words):
@@ -67,9 +68,9 @@ def _barred(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
-    """Text blocks in page order: (path, text, barred, in the article). Unclosed and stray tags are borne."""
-    found: list[tuple[str, str, bool, bool]] = []
+def blocks(html: str) -> list[tuple[str, str, bool]]:
+    """Text blocks in page order without barred text: (path, text, in the article). Unclosed and stray tags are borne."""
+    found: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, barred, in article
     pieces: list[str] = []
     where = stack[0]
@@ -79,11 +80,13 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                found.append((where[1], text, where[2], where[3]))
+                found.append((where[1], text, where[3]))
             pieces.clear()
 
     def add(text: str) -> None:
         nonlocal where
+        if stack[-1][2]:  # never main text, even amid a paragraph
+            return
         if not pieces:
             if not text.strip():
                 return
@@ -146,21 +149,20 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     found = blocks(html)
-    if any(inside and not barred for _, _, barred, inside in found):
-        # The article's own paths have all the weight.
-        return "\n".join(text for _, text, barred, inside in found if inside and not barred)
-    found = [(path, text) for path, text, barred, _ in found if not barred]
     if not found:
         return ""
-    paths = {p: k for k, p in enumerate(dict.fromkeys(p for p, _ in found))}
-    of = np.array([paths[p] for p, _ in found])
+    if any(inside for _, _, inside in found):
+        # The article's own paths have all the weight.
+        return "\n".join(text for _, text, inside in found if inside)
+    paths = {p: k for k, p in enumerate(dict.fromkeys(p for p, _, _ in found))}
+    of = np.array([paths[p] for p, _, _ in found])
     counts = np.bincount(of)
-    length = np.bincount(of, [len(t) for _, t in found]) / counts
-    marks = np.bincount(of, [len(_PUNCTUATION.findall(t)) for _, t in found]) / counts
+    length = np.bincount(of, [len(t) for _, t, _ in found]) / counts
+    marks = np.bincount(of, [len(_PUNCTUATION.findall(t)) for _, t, _ in found]) / counts
     fused = np.sqrt(_smooth(length[of]) * _smooth(1 + marks[of]))
     by_path = np.bincount(of, fused) / counts
     good = by_path >= min(SPREAD * fused.std() + (fused.min() if fused.std() else 0), by_path.max())
-    return "\n".join(t for (_, t), k in zip(found, of, strict=True) if good[k])
+    return "\n".join(t for (_, t, _), k in zip(found, of, strict=True) if good[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:
