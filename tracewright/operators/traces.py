@@ -114,7 +114,6 @@ def stats(builds: DataFrame, limit: int = RECENT, **filters) -> DataFrame:
 def bottlenecks(spans: DataFrame, window: DataFrame) -> DataFrame:
     """Measures of every label with more than one span in the window."""
     s = recent_spans(spans, window)
-    total = window.agg(F.count("*").alias("builds"))
     n = F.count("*")
     grouped = s.groupBy("label").agg(
         n.alias("n"),
@@ -128,7 +127,7 @@ def bottlenecks(spans: DataFrame, window: DataFrame) -> DataFrame:
         F.count_if(F.col("cache_result") == "CACHE_MISS").alias("misses"),
         F.count_if(F.col("status") == "FAILURE").alias("failures"),
     ).where("n > 1")
-    per = grouped.crossJoin(F.broadcast(total))  # one row
+    per = grouped.withColumn("builds", window.agg(F.count("*")).scalar())
     return per.select(
         "label", "n", (F.col("n").cast("double") / F.col("builds")).alias("frequency"), (F.col("avg_command") * F.col("n") / F.col("builds")).alias("impact"), "avg_total", "avg_command", "max_total", "avg_queue",
         "avg_hash", "avg_io", "avg_dep_load", (F.col("misses") * 100.0 / F.col("n")).alias("miss_rate"), "failures",
@@ -144,8 +143,7 @@ def bottleneck_category(measures: DataFrame, category: str, per: int = PER_CATEG
     limits = {"queue": F.col("avg_queue") > QUEUE_MS, "io": F.col("avg_io") > IO_MS, "hash": F.col("avg_hash") > HASH_MS, "flaky": F.col("failures") > 0, "impact": F.lit(True)}
     if category == "miss":
         # Mean of the labels' rates, not of all spans.
-        overall = measures.agg(F.avg("miss_rate").alias("overall"))
-        passing = measures.crossJoin(F.broadcast(overall)).where(F.col("miss_rate") > F.col("overall") + MISS_POINTS).drop("overall")
+        passing = measures.where(F.col("miss_rate") > measures.agg(F.avg("miss_rate")).scalar() + MISS_POINTS)
     else:
         passing = measures.where(limits[category])
     return passing.orderBy(F.col("impact").desc(), "label").limit(per).orderBy(F.col(metric).desc(), "label")
@@ -238,7 +236,7 @@ def assemble(completions: DataFrame, nodes: DataFrame, build: DataFrame) -> tupl
     from tracewright.schemas import PHASES
 
     total = sum((F.coalesce(F.col(c), F.lit(0).cast("long")) for c in PHASES[1:]), F.coalesce(F.col(PHASES[0]), F.lit(0).cast("long")))
-    done = completions.join(targets, "label").crossJoin(F.broadcast(build.select("trace_id")))
+    done = completions.join(targets, "label").withColumn("trace_id", build.select("trace_id").scalar())
     spans = done.withColumns({
         "status": F.when(F.col("is_success"), "SUCCESS").when(F.col("err").isNotNull(), "FAILURE").otherwise("CANCELLED"),
         "cache_result": F.when(F.col("is_success"), F.coalesce("cache_result", F.lit("CACHE_MISS"))).otherwise("CACHE_MISS"),
@@ -246,5 +244,6 @@ def assemble(completions: DataFrame, nodes: DataFrame, build: DataFrame) -> tupl
         "total_duration_millis": total,
         "is_test": F.col("label").endswith("test"),
     }).withColumn("end_time_unix_millis", F.col("start_time_unix_millis") + F.col("total_duration_millis")).drop("is_success", "err")
-    counts = spans.agg(F.count("*").cast("int").alias("total_targets"), F.count_if(F.col("status") == "SUCCESS").cast("int").alias("success_count"), F.count_if(F.col("status") == "FAILURE").cast("int").alias("failure_count"), F.count_if((F.col("status") == "SUCCESS") & (F.col("cache_result") == "CACHE_HIT")).cast("int").alias("cache_hit_count"))
-    return build.crossJoin(counts), spans
+    ok = F.col("status") == "SUCCESS"
+    counts = {"total_targets": F.count("*"), "success_count": F.count_if(ok), "failure_count": F.count_if(F.col("status") == "FAILURE"), "cache_hit_count": F.count_if(ok & (F.col("cache_result") == "CACHE_HIT"))}
+    return build.withColumns({name: spans.agg(x.cast("int")).scalar() for name, x in counts.items()}), spans

@@ -448,3 +448,119 @@ def j10_pull_keys(spark: SparkSession, d: str) -> DataFrame:
 def a9_outputs_by_tag(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _parts(spark, d)
     return incremental.outputs_by_tag(nodes, edges, _label(199)).select("tag", F.array_join("outputs", ",").alias("outputs"))
+
+
+# ---- scalar functions, paths and definitions
+
+
+@query
+def x5_text_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Durations in tenths of a second, so that no rounding is open."""
+    s = star.spans(spark, d)
+    tenths = (F.expr("total_duration_millis div 100") * 100).alias("t")
+    rows = s.select("trace_id", "label", "start_time_unix_millis", tenths, "status", "cache_result", "command", F.col("queue_wait_millis").alias("q"))
+    return rows.select(
+        "trace_id", "label", "start_time_unix_millis", X.duration_text(F.col("t")).alias("total"), X.duration_text(F.col("q") % 1000).alias("queue"), X.status_text(F.col("status")).alias("status"),
+        X.cache_text(F.col("cache_result")).alias("cache"), X.impact_band(F.col("t")).alias("band"), X.nanos(F.col("start_time_unix_millis")).alias("nanos"), X.date_of(F.col("start_time_unix_millis")).alias("day"),
+    )
+
+
+@query
+def x13_command_texts(spark: SparkSession, d: str) -> DataFrame:
+    long = F.concat(F.repeat(F.concat("command", F.lit(" é")), 12), F.lit("\nsecond line"))
+    rows = star.spans(spark, d).select("command", long.alias("long")).distinct()
+    return rows.select("command", X.ellipsis(F.col("long")).alias("shown"), F.octet_length(X.first_bytes(F.col("long"), 64)).alias("bytes"), X.sanitised(F.col("long")).alias("sanitised"))
+
+
+@query
+def x15_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with dots in several places (F17, F18, X15)."""
+    p = F.col("p_partkey")
+    raw = F.concat(F.when(p % 3 == 0, "./").when(p % 3 == 1, "../").otherwise(""), F.lit("d"), (p % 10).cast("string"), F.when(p % 2 == 0, "/../e//f").otherwise("/g/./h"))
+    rows = star.table(spark, d, "part").select(p.alias("part"), raw.alias("raw"))
+    return rows.select("part", X.clean_path(F.col("raw")).alias("path"), X.escapes(F.col("raw")).alias("escapes"), X.inside(X.clean_path(F.col("raw")), F.lit("e")).alias("inside"))
+
+
+@query
+def x16_outputs(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.when(F.col("p_partkey") % 3 == 0, "oci::").when(F.col("p_partkey") % 3 == 1, "dir::").otherwise(""), "p_name")
+    rows = star.table(spark, d, "part").select(F.col("p_partkey").alias("part"), X.parsed_output(text).alias("o"))
+    return rows.select("part", "o.type", "o.identifier", X.output_text(F.col("o")).alias("text"))
+
+
+@query
+def x20_resource_identity(spark: SparkSession, d: str) -> DataFrame:
+    p = star.table(spark, d, "part")
+    exports = F.create_map(F.lit("TYPE"), F.col("p_type"), F.lit("BRAND"), F.col("p_brand"))
+    ident = X.resource_identity(star.part_label(F.col("p_partkey")), F.col("p_name"), F.lit("stop"), F.lit(""), F.lit("5m0s"), F.array(F.lit("//:db")), exports)
+    return p.select(F.col("p_partkey").alias("part"), ident.alias("identity"))
+
+
+@query
+def j9_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Parts from 50 on stand for the part of half their number; chains end in a target or a resource."""
+    p = F.col("p_partkey")
+    kind = F.when(p % 97 == 0, "resource").when(p < 50, "target").otherwise("alias")
+    nodes = star.table(spark, d, "part").select(p.cast("string").alias("label"), kind.alias("node_type"), F.expr("p_partkey div 2").cast("string").alias("actual"))
+    return graph.resolve_aliases(nodes)
+
+
+@query
+def j21_tool_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = incremental.tool_paths(star.nodes(spark, d), star.edges(spark, d), _label(150))
+    return rows.select("name", "binary", F.array_join("outputs", ",").alias("outputs"))
+
+
+@query
+def g10_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """The graph with one edge back, from part 64 to part 2: a row per label of the cycle."""
+    edges = _parts(spark, d)[1].union(spark.createDataFrame([(_label(64), _label(2))], "src string, dst string"))
+    found = graph.find_cycle(edges)
+    return spark.createDataFrame(list(enumerate(found)), "place long, label string")
+
+
+@query
+def s11_expand_inputs(spark: SparkSession, d: str) -> DataFrame:
+    from tracewright.sources.files import expand_inputs
+
+    own = star.nodes(spark, d).where("node_type = 'target'")
+    listed = C.input_files(own).select(F.col("file").alias("key")).distinct()
+    asked = own.select("label", "package", F.array(F.lit("src1*.txt"), F.lit("plain")).alias("inputs"), F.array(F.lit("src1?.txt")).alias("exclude_inputs"))
+    return expand_inputs(asked.where(F.col("name").endswith("1")), listed)
+
+
+@query
+def i13_assembled_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each part completes once; phases follow from its number."""
+    nodes = star.nodes(spark, d).withColumn("dependencies", F.array().cast("array<string>"))
+    number = F.regexp_extract("label", ":n([0-9]+)", 1).cast("long")
+    from tracewright.schemas import PHASES
+
+    done = nodes.select("label", (number % 9 != 0).alias("is_success"), F.when(number % 2 == 0, "CACHE_HIT").otherwise("CACHE_MISS").alias("cache_result"), F.when(number % 18 == 0, "failed").alias("err"), number.alias("start_time_unix_millis"), *[(number % (k + 2)).alias(c) for k, c in enumerate(PHASES)])
+    _, spans = T.assemble(done, nodes, spark.createDataFrame([("t",)], "trace_id string"))
+    return spans.select("label", "status", "cache_result", "total_duration_millis", "end_time_unix_millis", "is_test", "tags")
+
+
+@query
+def i13_assembled_build(spark: SparkSession, d: str) -> DataFrame:
+    s = i13_assembled_spans(spark, d)
+    return s.agg(F.count("*").alias("total_targets"), F.count_if(F.col("status") == "SUCCESS").alias("success_count"), F.count_if(F.col("status") == "FAILURE").alias("failure_count"), F.count_if((F.col("status") == "SUCCESS") & (F.col("cache_result") == "CACHE_HIT")).alias("cache_hit_count"))
+
+
+@query
+def i3_content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = star.nodes(spark, d)
+    files = C.input_files(nodes).select("file", F.encode("file", "UTF-8").alias("content")).distinct()
+    return incremental.content_hashes(nodes, files)
+
+
+@query
+def i8_hits(spark: SparkSession, d: str) -> DataFrame:
+    s = star.spans(spark, d)
+    rows = s.select("trace_id", "label", "start_time_unix_millis", F.when(F.col("cache_result") == "CACHE_HIT", F.col("change_hash")).alias("cached"), F.col("is_test").alias("tainted"), F.when(F.col("status") == "FAILURE", F.array(F.lit("no-cache"))).alias("tags"))
+    return rows.select("trace_id", "label", "start_time_unix_millis", incremental.is_hit(F.col("cached"), F.col("tainted"), F.col("tags")).alias("hit"))
+
+
+@query
+def k8_ranked_categories(spark: SparkSession, d: str) -> DataFrame:
+    return T.ranked_categories(a2_bottlenecks(spark, d)).select("category", "place", "label")

@@ -166,7 +166,57 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT tag, string_agg(DISTINCT out, ',' ORDER BY out) AS outputs FROM (SELECT unnest(['tag' || (p % 5), p_brand]) AS tag, {_OUT} AS out FROM n WHERE p IN (SELECT p FROM walk)) GROUP BY tag",
             "walk AS (SELECT s AS p FROM e WHERE t = 199 UNION SELECT s FROM walk JOIN e ON t = p)"),
     }
+    out |= _more()
+    ranked = [
+        f"""SELECT '{name}' AS category, row_number() OVER (ORDER BY {metric} DESC, label) AS place, label FROM (SELECT * FROM measures WHERE {where} ORDER BY impact DESC, label LIMIT 10)"""
+        for name, (metric, where) in _CATEGORY.items()
+    ]
+    out["k8_ranked_categories"] = _BOTTLENECKS + " UNION ALL ".join(ranked)
     for name, (metric, where) in _CATEGORY.items():
         columns = "label, n, impact" + ("" if name == "impact" else f", {metric}")
         out[f"l6_bottleneck_{name}"] = _BOTTLENECKS + f"SELECT {columns} FROM (SELECT * FROM measures WHERE {where} ORDER BY impact DESC, label LIMIT 10)"
     return out
+
+
+_STATUS = "CASE WHEN p % 9 <> 0 THEN 'SUCCESS' WHEN p % 18 = 0 THEN 'FAILURE' ELSE 'CANCELLED' END"
+_ASSEMBLED = f"""assembled AS (
+  SELECT label, {_STATUS} AS status, CASE WHEN p % 9 <> 0 AND p % 2 = 0 THEN 'CACHE_HIT' ELSE 'CACHE_MISS' END AS cache_result, {' + '.join(f'p % {k + 2}' for k in range(8))} AS total_duration_millis, p,
+    p % 40 = 0 AS is_test, 'tag' || (p % 5) || ',' || p_brand AS tags FROM n WHERE NOT resource)"""
+_LONG = "repeat(command || ' é', 12) || chr(10) || 'second line'"
+
+
+def _prefixed(*values: str) -> str:
+    return " || ".join(f"octet_length(encode({v})) || ':' || {v}" for v in values)
+
+
+def _more() -> dict[str, str]:
+    return {
+        "x5_text_forms": _traces(
+            """SELECT trace_id, label, start_time_unix_millis, CASE WHEN t < 1000 THEN t || 'ms' ELSE (t // 1000) || '.' || (t // 100 % 10) || 's' END AS total, (queue_wait_millis % 1000) || 'ms' AS queue,
+              CASE status WHEN 'SUCCESS' THEN 'ok' ELSE 'FAIL' END AS status, CASE cache_result WHEN 'CACHE_HIT' THEN 'hit' ELSE 'miss' END AS cache, CASE WHEN t > 10000 THEN 'high' WHEN t > 3000 THEN 'medium' ELSE 'low' END AS band,
+              start_time_unix_millis || '000000' AS nanos, strftime(make_timestamp(start_time_unix_millis * 1000), '%Y-%m-%d') AS day FROM (SELECT *, total_duration_millis // 100 * 100 AS t FROM spans)"""),
+        "x13_command_texts": f"""SELECT command, CASE WHEN length(line) > 70 THEN left(line, 67) || '...' ELSE line END AS shown, CAST(CASE WHEN torn THEN 63 ELSE 64 END AS INT) AS bytes, regexp_replace(long, '[^A-Za-z0-9._-]', '', 'g') AS sanitised
+            FROM (SELECT *, split_part(long, chr(10), 1) AS line, (SELECT max(cut) FROM (SELECT octet_length(encode(left(long, k))) = 63 AND octet_length(encode(left(long, k + 1))) = 65 AS cut FROM range(1, 64) AS r(k))) AS torn
+              FROM (SELECT command, {_LONG} AS long FROM (SELECT DISTINCT 'make ' || l_partkey AS command FROM lineitem)))""",
+        "x15_paths": f"""SELECT p AS part, path, path = '..' OR starts_with(path, '../') AS escapes, path = 'e' OR starts_with(path, 'e/') AS inside
+            FROM (SELECT p, CASE WHEN p % 3 = 1 THEN '../' ELSE '' END || CASE WHEN p % 2 = 0 THEN 'e/f' ELSE 'd' || (p % 10) || '/g/h' END AS path FROM (SELECT p_partkey AS p FROM part))""",
+        "x16_outputs": """SELECT p_partkey AS part, CASE p_partkey % 3 WHEN 0 THEN 'oci' WHEN 1 THEN 'dir' ELSE 'file' END AS type, p_name AS identifier, CASE p_partkey % 3 WHEN 0 THEN 'oci::' WHEN 1 THEN 'dir::' ELSE '' END || p_name AS text FROM part""",
+        "x20_resource_identity": _graph(f"SELECT p AS part, left(sha256({_prefixed('label', 'p_name', chr(39) + 'stop' + chr(39), chr(39) * 2, chr(39) + '5m0s' + chr(39), chr(39) + '1' + chr(39), chr(39) + '//:db' + chr(39), chr(39) + '2' + chr(39), chr(39) + 'BRAND' + chr(39), 'p_brand', chr(39) + 'TYPE' + chr(39), 'p_type')}), 12) AS identity FROM n"),
+        "j9_aliases": """WITH RECURSIVE n AS (SELECT p_partkey AS p, CASE WHEN p_partkey % 97 = 0 THEN 'resource' WHEN p_partkey < 50 THEN 'target' ELSE 'alias' END AS kind FROM part),
+            walk AS (SELECT p AS head, p AS here FROM n UNION ALL SELECT head, here // 2 FROM walk JOIN n ON p = here WHERE kind = 'alias')
+            SELECT CAST(head AS VARCHAR) AS label, CASE WHEN kind = 'target' THEN CAST(here AS VARCHAR) END AS target FROM walk JOIN n ON p = here WHERE kind <> 'alias'""",
+        "j21_tool_paths": _graph(
+            f"""SELECT unnest(CASE WHEN package = (SELECT package FROM n WHERE p = 150) THEN [label, ':' || name] ELSE [label] END) AS name, CASE WHEN p % 25 = 0 THEN 'bin' || p END AS "binary", {_OUT} AS outputs
+              FROM n WHERE p IN (SELECT s FROM e WHERE t = 150)"""),
+        "s11_expand_inputs": _graph(
+            """SELECT DISTINCT a.label, f.input FROM n a JOIN (SELECT package, 'src' || p || '.txt' AS input FROM n WHERE NOT resource) f ON f.package = a.package
+              WHERE NOT a.resource AND ends_with(a.name, '1') AND starts_with(f.input, 'src1') AND length(f.input) <> 9 UNION SELECT label, 'plain' FROM n WHERE NOT resource AND ends_with(name, '1')"""),
+        "i13_assembled_spans": _graph("SELECT label, status, cache_result, total_duration_millis, p + total_duration_millis AS end_time_unix_millis, is_test, tags FROM assembled", _ASSEMBLED),
+        "i13_assembled_build": _graph("SELECT count(*) AS total_targets, count(*) FILTER (status = 'SUCCESS') AS success_count, count(*) FILTER (status = 'FAILURE') AS failure_count, count(*) FILTER (status = 'SUCCESS' AND cache_result = 'CACHE_HIT') AS cache_hit_count FROM assembled", _ASSEMBLED),
+        "i3_content_hashes": _graph("SELECT label, sha256(array_to_string(list_sort(files), '')) AS content_hash FROM n WHERE NOT resource"),
+        "i4_early_cutoff": _graph(
+            f"""SELECT {_LABEL('head')} AS label, CAST(max(depth) AS INT) AS level, head % 5 <> 0 AND head NOT IN (SELECT t FROM e WHERE s % 10 = 0 AND s % 97 <> 0) AS hit
+              FROM down WHERE head % 97 <> 0 GROUP BY head""", _WEIGHED, _DOWN),
+        "i8_hits": """SELECT CAST(l_orderkey AS VARCHAR) AS trace_id, '//s' || (l_suppkey % 10) || ':t' || l_suppkey AS label, epoch_ms(l_shipdate) + l_linenumber * 1000 AS start_time_unix_millis,
+            l_linestatus <> 'O' AND l_linenumber <> 1 AND l_returnflag <> 'R' AS hit FROM lineitem""",
+    }
