@@ -21,8 +21,8 @@ def short_commit(x: Column) -> Column:
 
 
 def date_of(millis: Column) -> Column:
-    """Day of epoch milliseconds in the session's time zone, which is UTC for paths."""
-    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd")
+    """UTC day of epoch milliseconds, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(millis / F.lit(24 * HOUR)).cast("int")).cast("string")
 
 
 def duration_text(millis: Column) -> Column:

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _millis(column: str) -> Column:
+    """Epoch milliseconds of a timestamp without zone, taken as UTC."""
+    return F.unix_millis(F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone()))
+
+
 def _whole(x: Column) -> Column:
     return F.floor(x).cast("long")
 
@@ -32,7 +37,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("make "), F.col("l_partkey").cast("string")).alias("command"),
         F.lit(0).alias("exit_code"),
         (F.col("l_linenumber") == 1).alias("is_test"),
-        (F.unix_millis(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * 1000).alias("start_time_unix_millis"),
+        (_millis("l_shipdate") + F.col("l_linenumber") * 1000).alias("start_time_unix_millis"),
         _whole(F.col("l_quantity") * 20).alias("queue_wait_millis"),
         _whole(F.col("l_tax") * 6000 + 0.5).alias("hash_duration_millis"),
         F.col("l_linenumber").cast("long").alias("cache_check_millis"),
@@ -63,7 +68,7 @@ def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("1").alias("tool_version"),
         F.lit("linux/amd64").alias("platform"),
         F.col("o_orderpriority").alias("command"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("start_time_unix_millis"),
+        _millis("o_orderdate").alias("start_time_unix_millis"),
         _whole(F.col("o_totalprice")).alias("total_duration_millis"),
         n("total_targets").alias("total_targets"),
         (n("total_targets") - n("failure_count")).alias("success_count"),
