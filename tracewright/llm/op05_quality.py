@@ -23,6 +23,8 @@ from tracewright.llm.common import crc_mod, free
 #: Labelled documents that the model is fitted on, at most about; more labels are thinned by a hash of doc_id.
 FIT_ROWS = 16_000
 TO_POOLED, TO_SPHERE = 0.25, 0.02
+#: Words that count as much as the corpus mean in a short text's statistics, and standard deviations that count.
+RELIABLE, FURTHEST = 10, 3.0
 #: Score from which a document passes.
 PASS = 0.3
 
@@ -55,6 +57,15 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
+def standardised(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Statistics in standard deviations. Few words say little: all but the number of words shrink towards the mean, and
+    no statistic counts beyond a bound, so that no document is rejected for its length or for one odd value."""
+    z = (x - centre) / scale
+    n = np.expm1(np.maximum(x[:, :1], 0))
+    z[:, 1:] *= n / (n + RELIABLE)
+    return np.clip(z, -FURTHEST, FURTHEST)
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """A fitted model. ``factors``: per class mean, inverse Cholesky factor and half log determinant."""
@@ -67,7 +78,7 @@ class Discriminant:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.factors is None:
             return np.full(len(x), 1 / (1 + np.exp(-self.prior)))
-        z = (x - self.centre) / self.scale
+        z = standardised(x, self.centre, self.scale)
         logs = [-0.5 * (((z - mean) @ inverse.T) ** 2).sum(axis=1) - half for mean, inverse, half in self.factors]
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + self.prior, -700, 700)))
 
@@ -80,7 +91,7 @@ def fit(x: np.ndarray, y: np.ndarray, to_pooled: float = TO_POOLED, to_sphere: f
         return Discriminant(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), None, float(np.log((n1 + 1) / (n0 + 1))))
     centre, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = (x - centre) / scale
+    z = standardised(x, centre, scale)
     groups = [z[y == k] for k in (0, 1)]
     own = [np.cov(g, rowvar=False, bias=True) for g in groups]
     pooled = (n0 * own[0] + n1 * own[1]) / (n0 + n1)
