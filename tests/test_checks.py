@@ -133,3 +133,20 @@ def test_resource_identity(spark):
     got = value(spark, X.resource_identity(F.lit("//:r"), F.lit("up"), F.lit(""), F.lit(None).cast("string"), F.lit("5s"), F.array(F.lit("//:d")), F.create_map(F.lit("B"), F.lit("2"), F.lit("A"), F.lit("1"))))
     parts = ["//:r", "up", "", "", "5s", "1", "//:d", "2", "A", "1", "B", "2"]
     assert got == sha("".join(f"{len(p)}:{p}" for p in parts))[:12]
+
+
+def test_output_hash_and_errors(spark):
+    rows = spark.createDataFrame([("a", ["d2", "d1"], "c1"), ("b", [], "c2"), ("c", None, "c3")], "label string, digests array<string>, change string")
+    got = {r.label: r.h for r in rows.select("label", incremental.output_hash(F.col("digests"), F.col("change")).alias("h")).collect()}
+    assert got == {"a": sha("d1,d2"), "b": "c2", "c": "c3"}
+    done = spark.createDataFrame([("x", True, None, "CACHE_HIT"), ("z", False, "boom", None), ("y", False, "bang", None)], "label string, is_success boolean, err string, cache_result string")
+    assert [tuple(r) for r in incremental.errors(done).collect()] == [("y", "bang"), ("z", "boom")]
+    assert tuple(incremental.completion_counts(done).first()) == (1, 1, 2)
+
+
+def test_tools_and_tags(spark):
+    nodes = table(spark, [node("//p/q:q", bin_output=file("tool"), outputs=[file("o")], tags=["t"]), node("//p:x", dependencies=["//p/q:q", "//p:y"]), node("//p:y", outputs=[file("img", "oci")], tags=["t", "u"])])
+    edges = graph.edges_of(nodes)
+    got = {r.name: (r.binary, list(r.outputs)) for r in incremental.tool_paths(nodes, edges, "//p:x").collect()}
+    assert got == {"//p/q:q": ("tool", ["o"]), "//p/q": ("tool", ["o"]), "//p:y": (None, ["oci::img"]), ":y": (None, ["oci::img"])}
+    assert {r.tag: list(r.outputs) for r in incremental.outputs_by_tag(nodes, edges, "//p:x").collect()} == {"t": ["o", "oci::img"], "u": ["oci::img"]}

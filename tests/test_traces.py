@@ -195,3 +195,18 @@ def test_stream(spark, tmp_path):
 def test_dates(spark):
     assert X.since_millis("2024-10-04") == 20_000 * DAY
     assert spark.range(1).select(X.date_of(F.lit(20_000 * DAY - 1))).first()[0] == "2024-10-03"
+
+
+def test_rendered_definitions_and_logs(spark, tmp_path):
+    (tmp_path / "nodes.json").write_text(json.dumps({"label": "//:a", "package": "", "name": "a", "node_type": "target", "inputs": ["x"]}) + "\n")
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    assert [(r.label, list(r.inputs)) for r in definitions.from_json(spark, str(tmp_path / "nodes.json")).collect()] == [("//:a", ["x"])]
+    assert [r.value for r in files.log_lines(spark, str(tmp_path / "a.log")).collect()] == ["one", "two"]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from tracewright import storage
+
+    storage.clear_staged(spark)
+    assert storage.stage(spark.range(3), "t").count() == 3
+    assert storage.clear_staged(spark) == 1 and storage.clear_staged(spark) == 0

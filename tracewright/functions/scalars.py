@@ -46,6 +46,10 @@ def impact_band(millis: Column) -> Column:
     return F.when(millis > 10_000, "high").when(millis > 3_000, "medium").otherwise("low")
 
 
+def platform_text(system: Column, arch: Column) -> Column:
+    return F.concat(system, F.lit("/"), arch)
+
+
 def megabytes(size: Column) -> Column:
     return F.format_string("%.2f", size / 1048576.0)
 

@@ -117,6 +117,11 @@ def completion_counts(completions: DataFrame) -> DataFrame:
     return completions.agg(F.count_if(ok).alias("success_count"), F.count_if(ok & (F.col("cache_result") == "CACHE_HIT")).alias("cache_hit_count"), F.count_if(~ok).alias("error_count"))
 
 
+def errors(completions: DataFrame) -> DataFrame:
+    """(label, err) of what failed, sorted."""
+    return completions.where(~F.col("is_success") & F.col("err").isNotNull()).select("label", "err").orderBy("label")
+
+
 def new_content(blobs: DataFrame, known: DataFrame) -> DataFrame:
     """Blobs (digest, ...) whose digest is not known yet, once each: what a content-addressed write appends."""
     return blobs.dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
