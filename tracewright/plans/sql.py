@@ -214,6 +214,13 @@ def _more() -> dict[str, str]:
         "i13_assembled_spans": _graph("SELECT label, status, cache_result, total_duration_millis, p + total_duration_millis AS end_time_unix_millis, is_test, tags FROM assembled", _ASSEMBLED),
         "i13_assembled_build": _graph("SELECT count(*) AS total_targets, count(*) FILTER (status = 'SUCCESS') AS success_count, count(*) FILTER (status = 'FAILURE') AS failure_count, count(*) FILTER (status = 'SUCCESS' AND cache_result = 'CACHE_HIT') AS cache_hit_count FROM assembled", _ASSEMBLED),
         "i3_content_hashes": _graph("SELECT label, sha256(array_to_string(list_sort(files), '')) AS content_hash FROM n WHERE NOT resource"),
+        "g10_cycle": _graph(
+            f"""SELECT w.place - f.place AS place, {_LABEL('w.p')} AS label FROM walk w, (SELECT b.place AS until, a.place AS place FROM walk a JOIN walk b ON a.p = b.p AND a.place < b.place ORDER BY b.place, a.place LIMIT 1) f
+              WHERE w.place BETWEEN f.place AND f.until""",
+            "behind AS (SELECT 2 AS p UNION SELECT t FROM behind JOIN e ON s = p)", "before AS (SELECT 64 AS p UNION SELECT s FROM before JOIN e ON t = p)",
+            "core AS (SELECT p FROM behind INTERSECT SELECT p FROM before)", "ring AS (SELECT s, t FROM e WHERE s IN (SELECT p FROM core) AND t IN (SELECT p FROM core) UNION ALL SELECT 64, 2)",
+            f"onward AS (SELECT s, arg_min(t, {_LABEL('t')}) AS t FROM ring GROUP BY s)",
+            f"walk AS (SELECT CAST(0 AS BIGINT) AS place, arg_min(p, {_LABEL('p')}) AS p FROM core UNION ALL SELECT place + 1, t FROM walk JOIN onward ON s = p WHERE place <= (SELECT count(*) FROM core))"),
         "i4_early_cutoff": _graph(
             f"""SELECT {_LABEL('head')} AS label, CAST(max(depth) AS INT) AS level, head % 5 <> 0 AND head NOT IN (SELECT t FROM e WHERE s % 10 = 0 AND s % 97 <> 0) AS hit
               FROM down WHERE head % 97 <> 0 GROUP BY head""", _WEIGHED, _DOWN),
