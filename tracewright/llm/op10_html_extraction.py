@@ -34,7 +34,7 @@ BARRED_ROLES = frozenset("navigation banner contentinfo complementary search dia
 BARRED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar sidebars "
     "footer footers header masthead topbar cookie cookies consent gdpr notice notices notification notifications banner banners alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pager pagination toolbar search skip widget widgets copyright".split()
+    "share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies discussion responses reactions announcement disclaimer promoted rail pager pagination toolbar search skip widget widgets copyright".split()
 )
 _KEPT_TAGS = frozenset(("html", "body", "article", "main"))
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
