@@ -118,10 +118,51 @@ def test_simhash_against_brute_force(spark, paired):
     for r in got:
         assert r.fingerprint == f"{by[r.doc_id]:016x}"
         assert r.component_id == want[r.doc_id]
-    kept = near.representatives(docs_of(spark, rows), paired=paired)
+    kept = near.representatives(docs_of(spark, rows), paired=paired, similarity=None)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def edited(rng, text, changes):
+    w = text.split()
+    for at in rng.sample(range(len(w)), changes):
+        w[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("paired", [4, 32])
+def test_similar_texts_against_brute_force(spark, paired):
+    """Edited copies, a large group of them (beyond ``paired``), a chain of edits, and texts that share only half."""
+    rng = random.Random(5)
+    base = [words(rng, 300) for _ in range(10)]
+    rows = list(enumerate(base))
+    rows += [(100 + k, edited(rng, base[0], rng.randrange(1, 6))) for k in range(60)]
+    rows += [(200 + k, edited(rng, base[1 + k % 4], 4)) for k in range(8)]
+    rows += [(300 + k, " ".join(base[5 + k % 4].split()[:150] + words(rng, 150).split())) for k in range(6)]
+    chain = [base[9]]
+    for k in range(6):
+        chain.append(edited(rng, chain[-1], 5))
+        rows.append((400 + k, chain[-1]))
+    rows += [(500, None), (501, "ONE two"), (502, "one TWO"), (503, base[0].upper())]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    fp, sets, ids = {i: reference_fingerprint(t) for i, t in rows}, {i: shingles(t) for i, t in rows}, [i for i, _ in rows]
+    alike = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = components(ids, [(a, b) for a, b in itertools.combinations(ids, 2) if alike(a, b)])
+    got = near.near_duplicates(docs_of(spark, rows), paired=paired, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) == 18  # ten bases, six halves, the null text, and two words in either case
+
+
+def test_signatures_of_one_pass():
+    text = words(random.Random(3), 500).encode()
+    fp, segments = near.signed(text)
+    assert fp == near.fingerprint(text) and len(segments) == near.SEGMENTS
+    assert all(0 <= x < 1 << near.SEGMENT_BITS for x in segments) and near.signed(b" \n") == (0, [])
+
+
 def test_simhash_odd_tables(spark):
     assert near.near_duplicates(docs_of(spark, [])).count() == 0
     got = near.near_duplicates(docs_of(spark, [(None, "a b c d"), (None, "a b c d"), (3, "a b c d")])).collect()

@@ -8,6 +8,10 @@ the whole fingerprint.
 Only distinct fingerprints are indexed; copies follow by membership. A variant that many fingerprints share is not
 expanded into pairs: there, each fingerprint is filed under itself and its 64 one-bit neighbours. Two fingerprints
 have a neighbour in common exactly if they differ in at most two bits, so a star per neighbour links them all.
+
+Edited copies (0.8 of their five-word shingles in common) differ in more bits than two segments can bear. For them a
+text gets a signature of thirteen segments of 24 bits, which is indexed in the same way, one wiped bit at a time; what meets
+is held against the fingerprints and then verified on the five-word shingles of both whole texts.
 """
 
 from __future__ import annotations
@@ -28,39 +32,71 @@ from tracewright.llm.op03_exact_dedup import one_each
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Fingerprints of one variant that are paired directly; larger variants go by common neighbours.
 PAIRED = 32
+#: Similarity of five-word shingles from which texts are near-duplicates.
+SIMILARITY, WORDS = 0.8, 5
+#: Segments of the signature for edited copies, and bits of each. Texts that have nothing in common meet in a variant
+#: with a chance of 2 ** (1 - bits), so corpora of far more than 2 ** bits texts need wider and more segments.
+SEGMENTS, SEGMENT_BITS = 13, 24
+#: Differing bits of 64 up to which what meets is verified: similar texts differ in 7 on average, others in about 30.
+VERIFIED_BITS = 18
+#: Rows of two numbers that may be broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Rounds in which large variants are thinned by their leaders before what is left of them is paired.
+LEADER_ROUNDS = 3
 _CHUNK = 1 << 16
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of word shingles, repeats included; 0 without words."""
+def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of each word shingle, repeats included, in chunks; nothing without words."""
     words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
+    for at in range(0, max(1, len(words) - shingle + 1) if words else 0, _CHUNK):
         part = words[at : at + _CHUNK + shingle - 1]
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        digests = b"".join([xxhash.xxh64_digest(g, SEED) for g in grams])
-        ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+        yield np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)
+
+
+def _ones(digests: np.ndarray) -> np.ndarray:
+    return np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of word shingles, repeats included; 0 without words."""
+    return signed(text, shingle, False)[0]
+
+
+def signed(text: bytes, shingle: int = SHINGLE, wide: bool = True) -> tuple[int, list[int]]:
+    """Fingerprint and, if ``wide``, the segments of the signature, from one pass over the text."""
+    ones, more, n = np.zeros(64, np.int64), np.zeros(64 * len(_ODD), np.int64), 0
+    for digests in _hashes(text, shingle):
+        n += len(digests)
+        ones += _ones(digests)
+        if wide:
+            h = digests.view(np.uint64) * _ODD  # one column for each 64 bits
+            more += _ones((h ^ (h >> np.uint64(32))).view(np.uint8))
+    fp = int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    if not wide:
+        return fp, []
+    bits = (2 * more > n)[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
+    return fp, (bits @ (1 << np.arange(SEGMENT_BITS))).tolist() if n else []
 
 
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_key, fp)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text_key, fp, segments); without ``wide``, or without words, there are no segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.large_binary())
-            fps = [fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
+            done = [signed(t.as_py() or b"", shingle, wide) for t in texts]
+            fps, segments = pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fps, segments], ["doc_id", "text_key", "fp", "segments"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long, segments array<int>")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -104,31 +140,125 @@ def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
     return filed.join(least.select("k", "z", "a"), ["k", "z"]).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, paired: int = PAIRED) -> DataFrame:
+def signature_variants(owners: DataFrame) -> DataFrame:
+    """(fp, segments) -> (key, fp): every segment with each of its bits wiped out once."""
+
+    def keys(which: int) -> Column:
+        wiped = F.array(*[F.struct(F.lit((1 << SEGMENT_BITS) - 1 ^ 1 << bit).alias("mask"), F.lit((which * SEGMENT_BITS + bit) << 32).alias("tag")) for bit in range(SEGMENT_BITS)])
+        segment = F.col("segments")[which]
+        return F.transform(wiped, lambda w: segment.bitwiseAND(w["mask"]).cast("long").bitwiseOR(w["tag"]))
+
+    return owners.where(F.size("segments") > 0).select(F.explode(F.concat(*map(keys, range(SEGMENTS)))).alias("key"), "fp")
+
+
+def _bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table, marked for broadcast if its count allows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select("key", F.col("fp").alias("a")).join(met.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
+
+
+def similar_links(docs: DataFrame, owners: DataFrame, known: DataFrame, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints whose texts have that part of their five-word shingles in common.
+
+    owners: (fp, text_key, segments); known: edges there are already. A variant of two texts gives its pair from one
+    aggregation; those of up to ``paired`` are paired by a join. In larger ones every text is held against one leader,
+    then only one text of each component is left there, until they are small; what stays large is paired in full.
+    """
+    keys = signature_variants(owners)
+    shared = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(shared, "similar-shared")
+    more = stage(shared.where("n > 2").select("key", "n"), "similar-keys")
+    met = stage(keys.join(_bounded(more), "key").select("key", "fp", "n"), "similar-met")
+    found = shared.where("n = 2").select("a", "b").unionByName(_pairs(met.where(F.col("n") <= paired)))
+    edges = verified(docs, owners, found, similarity)
+    big = met.where(F.col("n") > paired).select("key", "fp")
+    for turn in range(LEADER_ROUNDS + 1):
+        if big.isEmpty():
+            break
+        labels = stage(connected_components(known.unionByName(edges)), "similar-labels")
+        root = F.coalesce("root", "fp")
+        one = big.join(labels, F.col("fp") == F.col("node"), "left").groupBy("key", root.alias("root")).agg(F.min("fp").alias("fp"))
+        one = stage(one.select("key", "fp"), "similar-big")
+        # A variant that is left in one component has nothing more to tell.
+        leader = F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("leader")
+        heads = stage(one.groupBy("key").agg(F.count("*").alias("n"), leader).where("n > 1"), "similar-heads")
+        left = one.join(heads, "key")
+        last = turn == LEADER_ROUNDS
+        close = left if last else left.where(F.col("n") <= paired)
+        stars = left.where(F.col("n") > paired).where("fp <> leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b"))
+        found = _pairs(close) if last else _pairs(close).unionByName(stars)
+        edges = stage(edges.unionByName(verified(docs, owners, found, similarity)).distinct(), "similar-links")
+        big = left.where(F.col("n") > paired).select("key", "fp") if not last else left.limit(0).select("key", "fp")
+    return edges
+
+
+def shingle_set(text: str | None, size: int = WORDS) -> set[int]:
+    """Hashes of the distinct word shingles; of the whole sequence, if there are fewer words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < size:
+        return {xxhash.xxh64_intdigest(b" ".join(words))}
+    return {xxhash.xxh64_intdigest(b" ".join(w)) for w in zip(*(words[k:] for k in range(size)))}
+
+
+def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts are similar, from whole texts."""
+    pairs = stage(pairs.where(differing("a", "b") <= VERIFIED_BITS).distinct(), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = stage(owners.join(ends, "fp", "left_semi").select("fp", F.col("text_key").alias("_key")), "similar-ends")
+    texts = docs.select(F.col("text").cast("string").alias("text")).join(_bounded(wanted), text_key(F.col("text").cast("string")) == F.col("_key"))
+    texts = stage(texts.groupBy("fp").agg(F.min("text").alias("text")), "similar-texts")
+    both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, set()
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, mine = a, shingle_set(x.as_py())
+                other = shingle_set(y.as_py())
+                common = len(mine & other)
+                keep.append(common >= similarity * (len(mine) + len(other) - common))
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "similar-verified")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, paired: int = PAIRED, similarity: float | None = None) -> DataFrame:
     """One row per input row: doc_id, text_key, fingerprint (16 hex digits), component_id, component_size, root.
 
-    Documents link if their fingerprints differ in at most ``max_bits``; component_id is the smallest doc_id that can
-    be reached. Texts that are null or have no word get fingerprint 0 and link like any other; shorter ones than a
-    shingle count as one. Repeated rows each give a row; null ids stay null and count for component_id only if no other
-    is there. An empty table gives no rows; other columns are ignored.
+    Documents link if their fingerprints differ in at most ``max_bits``, and with ``similarity`` also if they have
+    that part of their five-word shingles in common; component_id is the smallest doc_id that can be reached. Texts
+    that are null or have no word get fingerprint 0 and link like any other; shorter ones than a shingle count as one.
+    Repeated rows each give a row; null ids stay null and count for component_id only if no other is there. An empty
+    table gives no rows; other columns are ignored.
     """
-    rows = stage(fingerprints(docs, shingle), "simhash-rows")
+    rows = stage(fingerprints(docs, shingle, similarity is not None), "simhash-rows")
     total = rows.count()
-    owners = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    more = [] if similarity is None else [F.min("text_key").alias("text_key"), F.min_by("segments", "text_key").alias("segments")]
+    owners = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *more)
     owners = stage(owners, "simhash-owners")
-    labels = connected_components(links(owners.select("fp"), max_bits, paired))
+    edges = links(owners.select("fp"), max_bits, paired)
+    if similarity is not None:
+        edges = stage(edges, "simhash-links")
+        edges = edges.unionByName(similar_links(docs, owners, edges, similarity, paired))
+    labels = connected_components(edges)
     joined = owners.join(labels, owners["fp"] == labels["node"], "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
     joined = stage(joined, "simhash-classes")
     roots = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("component_size"))
     classes = joined.select("fp", F.col("root").alias("_root"), "copies").join(roots, F.col("_root") == F.col("root"))
     classes = stage(classes.select("fp", "copies", "component_id", "component_size", "root"), "simhash-roots")
-    out = attach_groups(rows, classes, "fp", "copies", total)
+    out = attach_groups(rows.drop("segments"), classes, "fp", "copies", total)
     return out.select("doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size", "root")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest doc_id, null last."""
-    rows = near_duplicates(docs, **options)
+    """One document of each component, with all its columns: the one with the smallest doc_id, null last. By default
+    edited copies of ``SIMILARITY`` count too."""
+    rows = near_duplicates(docs, **{"similarity": SIMILARITY} | options)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("m"))
     kept = stage(first.select("m.doc_id", "m.text_key").distinct(), "simhash-kept")
     return one_each(docs, kept, text_key(F.col("text")))
