@@ -159,8 +159,9 @@ def test_similar_texts_against_brute_force(spark, paired):
 def test_signatures_of_one_pass():
     text = words(random.Random(3), 500).encode()
     fp, segments = near.signed(text)
-    assert fp == near.fingerprint(text) and len(segments) == near.SEGMENTS
+    assert fp == near.fingerprint(text) and len(segments) == 2 * near.SEGMENTS
     assert all(0 <= x < 1 << near.SEGMENT_BITS for x in segments) and near.signed(b" \n") == (0, [])
+    assert {x.bit_count() for x in segments[near.SEGMENTS :]} == {near.WIPED}
 
 
 def test_simhash_odd_tables(spark):

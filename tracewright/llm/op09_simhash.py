@@ -10,8 +10,8 @@ expanded into pairs: there, each fingerprint is filed under itself and its 64 on
 have a neighbour in common exactly if they differ in at most two bits, so a star per neighbour links them all.
 
 Edited copies (0.8 of their five-word shingles in common) differ in more bits than two segments can bear. For them a
-text gets a signature of thirteen segments of 24 bits, which is indexed in the same way, one wiped bit at a time; what meets
-is held against the fingerprints and then verified on the five-word shingles of both whole texts.
+text gets a signature of thirteen segments of 24 bits. Each is indexed whole and with one bit wiped, in turn for its
+twelve least certain bits: those with the closest votes, and so those that an edit can turn. What meets is held against the fingerprints and then verified on the five-word shingles of both whole texts.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 PAIRED = 32
 #: Similarity of five-word shingles from which texts are near-duplicates.
 SIMILARITY, WORDS = 0.8, 5
-#: Segments of the signature for edited copies, and bits of each. Texts that have nothing in common meet in a variant
+#: Segments of the signature for edited copies, bits of each, and how many of these are wiped. Texts that have nothing in common meet in a variant
 #: with a chance of 2 ** (1 - bits), so corpora of far more than 2 ** bits texts need wider and more segments.
-SEGMENTS, SEGMENT_BITS = 13, 24
+SEGMENTS, SEGMENT_BITS, WIPED = 13, 24, 12
 #: Differing bits of 64 up to which what meets is verified: similar texts differ in 7 on average, others in about 30.
 VERIFIED_BITS = 18
 #: Rows of two numbers that may be broadcast; beyond, they are joined by a shuffle.
@@ -66,7 +66,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def signed(text: bytes, shingle: int = SHINGLE, wide: bool = True) -> tuple[int, list[int]]:
-    """Fingerprint and, if ``wide``, the segments of the signature, from one pass over the text."""
+    """Fingerprint and, if ``wide``, the signature, from one pass over the text: the segments, then for each segment
+    the mask of the bits to wipe."""
     ones, more, n = np.zeros(64, np.int64), np.zeros(64 * len(_ODD), np.int64), 0
     for digests in _hashes(text, shingle):
         n += len(digests)
@@ -77,8 +78,10 @@ def signed(text: bytes, shingle: int = SHINGLE, wide: bool = True) -> tuple[int,
     fp = int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
     if not wide:
         return fp, []
-    bits = (2 * more > n)[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
-    return fp, (bits @ (1 << np.arange(SEGMENT_BITS))).tolist() if n else []
+    votes = (2 * more - n)[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
+    place = 1 << np.arange(SEGMENT_BITS)
+    unsure = np.argsort(np.abs(votes), axis=1, kind="stable")[:, :WIPED]
+    return fp, [*((votes > 0) @ place).tolist(), *place[unsure].sum(axis=1).tolist()] if n else []
 
 
 def text_key(text: Column) -> Column:
@@ -141,14 +144,19 @@ def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def signature_variants(owners: DataFrame) -> DataFrame:
-    """(fp, segments) -> (key, fp): every segment with each of its bits wiped out once."""
+    """(fp, segments) -> (key, fp): every segment whole, and with each of its unsure bits wiped out once."""
 
     def keys(which: int) -> Column:
-        wiped = F.array(*[F.struct(F.lit((1 << SEGMENT_BITS) - 1 ^ 1 << bit).alias("mask"), F.lit((which * SEGMENT_BITS + bit) << 32).alias("tag")) for bit in range(SEGMENT_BITS)])
-        segment = F.col("segments")[which]
-        return F.transform(wiped, lambda w: segment.bitwiseAND(w["mask"]).cast("long").bitwiseOR(w["tag"]))
-
-    return owners.where(F.size("segments") > 0).select(F.explode(F.concat(*map(keys, range(SEGMENTS)))).alias("key"), "fp")
+        first = which * (SEGMENT_BITS + 1)
+        bits = F.array(*[F.struct(F.lit(1 << bit).alias("bit"), F.lit((first + bit) << 32).alias("tag")) for bit in range(SEGMENT_BITS)])
+        segment, unsure = F.col("segments")[which], F.col("segments")[SEGMENTS + which]
+        wiped = F.transform(F.filter(bits, lambda b: b["bit"].bitwiseAND(unsure) != 0), lambda b: segment.bitwiseAND(F.bitwise_not(b["bit"])).cast("long").bitwiseOR(b["tag"]))
+        return F.array_append(wiped, segment.cast("long").bitwiseOR(F.lit((first + SEGMENT_BITS) << 32)))
+
+    # Each row becomes 169: small pieces keep the sums of a task in memory.
+    pieces = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = owners.where(F.size("segments") > 0).select("fp", "segments").repartition(pieces, "fp")
+    return some.select(F.explode(F.concat(*map(keys, range(SEGMENTS)))).alias("key"), "fp")
 
 
 def _bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
