@@ -156,6 +156,25 @@ def test_similar_texts_against_brute_force(spark, paired):
     assert len(set(want.values())) == 18  # ten bases, six halves, the null text, and two words in either case
 
 
+def test_large_variants_keep_all_members(spark, monkeypatch):
+    """A chain in which only neighbours are similar, all in one large variant: no text may stand for its component."""
+    rng = random.Random(8)
+    chain = [words(rng, 300)]
+    for k in range(19):
+        w = chain[-1].split()
+        for at in range(6):
+            w[(7 * (6 * k + at)) % 300] = f"step{k}x{at}"
+        chain.append(" ".join(w))
+    docs = docs_of(spark, list(enumerate(chain)))
+    monkeypatch.setattr(near, "VERIFIED_BITS", 64)
+    monkeypatch.setattr(near, "signature_variants", lambda owners: owners.selectExpr("CAST(1 AS long) AS key", "fp"))
+    sets = [near.shingle_set(t) for t in chain]
+    pairs = [(a, b) for a, b in itertools.combinations(range(20), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {b - a for a, b in pairs} == {1}
+    got = near.near_duplicates(docs, paired=4, similarity=0.8).collect()
+    assert {r.component_id for r in got} == set(components(range(20), pairs).values()) == {0}
+
+
 def test_signatures_of_one_pass():
     text = words(random.Random(3), 500).encode()
     fp, segments = near.signed(text)

@@ -41,7 +41,7 @@ SEGMENTS, SEGMENT_BITS, WIPED = 13, 24, 12
 VERIFIED_BITS = 18
 #: Rows of two numbers that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Rounds in which large variants are thinned by their leaders before what is left of them is paired.
+#: Rounds in which the texts of large variants are held against leaders before all pairs still in two components are.
 LEADER_ROUNDS = 3
 _CHUNK = 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
@@ -172,8 +172,9 @@ def similar_links(docs: DataFrame, owners: DataFrame, known: DataFrame, similari
     """Edges (a, b) between distinct fingerprints whose texts have that part of their five-word shingles in common.
 
     owners: (fp, text_key, segments); known: edges there are already. A variant of two texts gives its pair from one
-    aggregation; those of up to ``paired`` are paired by a join. In larger ones every text is held against one leader,
-    then only one text of each component is left there, until they are small; what stays large is paired in full.
+    aggregation; those of up to ``paired`` are paired by a join. In larger ones every text outside the variant's largest
+    component is held against one leader at a time; then every pair that is still in two components is verified. So
+    only pairs that are linked anyway are left out.
     """
     keys = signature_variants(owners)
     shared = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
@@ -187,22 +188,31 @@ def similar_links(docs: DataFrame, owners: DataFrame, known: DataFrame, similari
         if big.isEmpty():
             break
         labels = stage(connected_components(known.unionByName(edges)), "similar-labels")
-        root = F.coalesce("root", "fp")
-        one = big.join(labels, F.col("fp") == F.col("node"), "left").groupBy("key", root.alias("root")).agg(F.min("fp").alias("fp"))
-        one = stage(one.select("key", "fp"), "similar-big")
+        rooted = big.join(labels, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        rooted = stage(rooted, "similar-big")
         # A variant that is left in one component has nothing more to tell.
-        leader = F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("leader")
-        heads = stage(one.groupBy("key").agg(F.count("*").alias("n"), leader).where("n > 1"), "similar-heads")
-        left = one.join(heads, "key")
-        last = turn == LEADER_ROUNDS
-        close = left if last else left.where(F.col("n") <= paired)
-        stars = left.where(F.col("n") > paired).where("fp <> leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b"))
-        found = _pairs(close) if last else _pairs(close).unionByName(stars)
-        edges = stage(edges.unionByName(verified(docs, owners, found, similarity)).distinct(), "similar-links")
-        big = left.where(F.col("n") > paired).select("key", "fp") if not last else left.limit(0).select("key", "fp")
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        heads = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
+        left = stage(rooted.join(heads, "key"), "similar-left")
+        small = F.col("n") * (F.col("n") - F.col("most")) <= paired * paired
+        if turn == LEADER_ROUNDS:
+            small = F.lit(True)
+        some, large = left.where(small), left.where(~small)
+        leaders = large.where("root <> main").groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(turn))).alias("leader"))
+        stars = large.join(leaders, "key").where("root <> leader.root").select(F.least("fp", "leader.fp").alias("a"), F.greatest("fp", "leader.fp").alias("b"))
+        edges = stage(edges.unionByName(verified(docs, owners, _across(some).unionByName(stars), similarity)).distinct(), "similar-links")
+        big = large.select("key", "fp")
     return edges
 
 
+def _across(left: DataFrame) -> DataFrame:
+    """(key, fp, root, main) -> every pair of a key whose ends are in two components."""
+    mine = left.where("root <> main").select("key", F.col("fp").alias("x"), F.col("root").alias("root_x"))
+    other = left.select("key", F.col("fp").alias("y"), F.col("root").alias("root_y"), "main")
+    met = mine.join(other, "key").where("root_x <> root_y AND (root_y = main OR x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def shingle_set(text: str | None, size: int = WORDS) -> set[int]:
     """Hashes of the distinct word shingles; of the whole sequence, if there are fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
