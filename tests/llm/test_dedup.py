@@ -166,8 +166,7 @@ def test_large_variants_keep_all_members(spark, monkeypatch):
             w[(7 * (6 * k + at)) % 300] = f"step{k}x{at}"
         chain.append(" ".join(w))
     docs = docs_of(spark, list(enumerate(chain)))
-    monkeypatch.setattr(near, "VERIFIED_BITS", 64)
-    monkeypatch.setattr(near, "signature_variants", lambda owners: owners.selectExpr("CAST(1 AS long) AS key", "fp"))
+    monkeypatch.setattr(near, "prefix_keys", lambda texts: texts.selectExpr("CAST(1 AS long) AS key", "node", "n AS size"))
     sets = [near.shingle_set(t) for t in chain]
     pairs = [(a, b) for a, b in itertools.combinations(range(20), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert {b - a for a, b in pairs} == {1}
@@ -175,6 +174,30 @@ def test_large_variants_keep_all_members(spark, monkeypatch):
     assert {r.component_id for r in got} == set(components(range(20), pairs).values()) == {0}
 
 
+def test_repeated_passages_and_edge_similarity(spark):
+    """A passage repeated many times turns a fingerprint, not the set of shingles; and pairs just at 0.8 are all found."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    far = 0
+    for k in range(10):
+        w = words(rng, 412).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + w[-12:] * 39))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+        far = max(far, (reference_fingerprint(rows[-1][1]) ^ reference_fingerprint(rows[-2][1])).bit_count())
+    assert far > 18
+    for k in range(40):  # 6 single edits of 300 words: 266 of 326 shingles or so
+        base = words(rng, 300).split()
+        other = list(base)
+        for at in range(6):
+            other[10 + 45 * at] = f"edit{k}x{at}"
+        a, b = near.shingle_set(" ".join(base)), near.shingle_set(" ".join(other))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.82
+        rows += [(100 + k, " ".join(base)), (200 + k, " ".join(other))]
+        want |= {100 + k: 100 + k, 200 + k: 100 + k}
+    got = near.near_duplicates(docs_of(spark, rows), similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_signatures_of_one_pass():
     text = words(random.Random(3), 500).encode()
     fp, segments = near.signed(text)
