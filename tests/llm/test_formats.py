@@ -57,6 +57,19 @@ def test_layouts_by_fingerprint(spark):
     assert chat.format_chats(spark.createDataFrame([], "id long, payload string"), "id").count() == 0
 
 
+def test_turns_beyond_the_readers_default_length(spark):
+    long = F.expr("repeat('x', 20000001)")
+    rows = spark.range(2).select(F.when(F.col("id") == 0, F.to_json(F.struct(F.lit("q").alias("prompt"), long.alias("response")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.lit("assistant").alias("role"), long.alias("content"))).alias("messages")))).alias("payload"), "id")
+    got = {r.id: r for r in chat.canonical(rows).select("id", "layout", F.transform("turns", lambda t: F.length(t["text"])).alias("n")).collect()}
+    assert (got[0].layout, got[0].n, got[1].layout, got[1].n) == ("prompt-response", [1, 20_000_001], "messages", [20_000_001])
+
+
+def test_unreadable_records_get_no_empty_turns(spark):
+    read = chat.LAYOUTS[3].convert(F.col("payload"))
+    got = spark.createDataFrame([('{"prompt": "q", "resp',), ('{"prompt": "q", "response": "a"}',)], "payload string").select(read.alias("turns")).collect()
+    assert got[0].turns is None and [t.text for t in got[1].turns] == ["q", "a"]
+
+
 def sha(payload):
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

@@ -17,6 +17,9 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 #: Strings that chat templates use as control tokens: each gets a backslash after its first character.
 _CONTROL = r"(<(?=\||/?s>|(?:start|end)_of_turn>|(?:bos|eos|unk|pad)>|</?SYS>>)|\[(?=/?(?:INST|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\]))"
 TURNS = "array<struct<role: string, text: string>>"
+#: Field that holds a record which Spark's reader can't read, and the reader's options: strings as long as a row can hold.
+UNREAD = "_unread"
+READER = {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": UNREAD}
 
 #: The role names of layouts that have their own.
 SHAREGPT_ROLES = {"human": "user", "gpt": "assistant", "system": "system"}
@@ -58,19 +61,20 @@ class Layout:
 
     def schema(self) -> str:
         if self.turns:
-            return f"struct<`{self.turns}`: array<struct<`{self.role}`: string, `{self.text}`: string>>>"
-        return "struct<" + ", ".join(f"`{f}`: string" for _, names in self.fields for f in names) + ">"
+            return f"struct<`{self.turns}`: array<struct<`{self.role}`: string, `{self.text}`: string>>, {UNREAD}: string>"
+        return "struct<" + ", ".join(f"`{f}`: string" for _, names in self.fields for f in names) + f", {UNREAD}: string>"
 
     def convert(self, payload: Column) -> Column:
-        """Canonical turns of a record."""
-        record = F.from_json(payload, self.schema())
+        """Canonical turns of a record; null if it can't be read, never empty texts in its place."""
+        record = F.from_json(payload, self.schema(), READER)
+        whole = record[UNREAD].isNull()
         if self.turns:
-            return F.transform(record[self.turns], lambda t: F.struct(self._renamed(t[self.role]).alias("role"), F.coalesce(t[self.text], F.lit("")).alias("text")))
+            return F.when(whole, F.transform(record[self.turns], lambda t: F.struct(self._renamed(t[self.role]).alias("role"), F.coalesce(t[self.text], F.lit("")).alias("text"))))
         parts = []
         for role, names in self.fields:
             text = F.concat_ws("\n\n", *[F.when(record[n] != "", record[n]) for n in names]) if len(names) > 1 else F.coalesce(record[names[0]], F.lit(""))
             parts.append(F.struct(F.lit(role).alias("role"), text.alias("text")))
-        return F.array(*parts)
+        return F.when(whole, F.array(*parts))
 
     def _renamed(self, role: Column) -> Column:
         out = F.coalesce(role, F.lit(""))
@@ -153,7 +157,7 @@ def format_chats(records: DataFrame, ident: str = "conv_id", layouts: tuple[Layo
     """(ident, payload) -> ident, layout, fingerprint, turns, formatted, loss_texts.
 
     Records without a mapping have null layout, turns and formatted text and are left for inspection; records without
-    turns format to an empty text. Repeated rows each give a row; an empty table gives none. A record is one value in
+    turns format to an empty text; what Spark's reader can't read has null turns and formatted text. Repeated rows each give a row; an empty table gives none. A record is one value in
     one task: its size is bounded by a row's.
     """
     rows = canonical(records.select(ident, "payload"), layouts)
