@@ -32,13 +32,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` gave and nothing reads any more."""
+    for table in tables:
+        _staged.remove(table.staged_at)
+        _delete(table.sparkSession, table.staged_at)
+
+
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def clear_staged(spark: SparkSession) -> int:
     """Delete the tables that this process has staged, once no result that reads them is needed any more."""
     n = 0
     while _staged:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        n += _delete(spark, _staged.pop())
     return n
