@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.storage import shared_dir, stage  # noqa: F401  the operators take them from here
+from tracewright.storage import shared_dir, stage, unstage  # noqa: F401  the operators take them from here
 
 #: The white space of the text contracts: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"

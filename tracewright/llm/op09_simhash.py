@@ -9,15 +9,12 @@ Only distinct fingerprints are indexed; copies follow by membership. A variant t
 expanded into pairs: there, each fingerprint is filed under itself and its 64 one-bit neighbours. Two fingerprints
 have a neighbour in common exactly if they differ in at most two bits, so a star per neighbour links them all.
 
-Edited copies (0.8 of their five-word shingles in common) differ in more bits than two segments can bear. They are
-found exactly, by a prefix filter: the distinct shingles of every text are put in one order (that of their hashes), and
-two texts of n shingles can only be similar if they share one of their first n - ceil(0.8 n) + 1. What meets there, and is
-of fitting length, is verified on the five-word shingles of both whole texts.
+Edited copies (0.8 of their five-word shingles in common) differ in more bits than two segments can bear;
+``similarity.similar_links`` finds them exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,26 +22,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tracewright.llm.common import attach_groups, stage
+from tracewright.llm.common import attach_groups, stage, unstage
 from tracewright.llm.components import connected_components
 from tracewright.llm.op03_exact_dedup import one_each
+from tracewright.llm.similarity import SIMILARITY, bounded, similar_links, text_key
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Fingerprints of one variant that are paired directly; larger variants go by common neighbours.
 PAIRED = 32
-#: Similarity of five-word shingles from which texts are near-duplicates.
-SIMILARITY, WORDS = 0.8, 5
-#: Segments of the wide signature that ``signed`` gives, bits of each, and how many are marked as unsure. No candidates come from it.
-SEGMENTS, SEGMENT_BITS, WIPED = 13, 24, 12
-#: Rows of two numbers that may be broadcast; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-#: Rounds in which the texts of large variants are held against leaders before all pairs still in two components are.
-LEADER_ROUNDS = 3
 _CHUNK = 1 << 16
-_MEMO = 1 << 20
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
 
 
 def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -62,73 +49,23 @@ def _ones(digests: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash of word shingles, repeats included; 0 without words."""
-    return signed(text, shingle, False)[0]
-
-
-def signed(text: bytes, shingle: int = SHINGLE, wide: bool = True) -> tuple[int, list[int]]:
-    """Fingerprint and, if ``wide``, the signature, from one pass over the text: the segments, then for each segment
-    the mask of the bits to wipe."""
-    ones, more, n = np.zeros(64, np.int64), np.zeros(64 * len(_ODD), np.int64), 0
+    ones, n = np.zeros(64, np.int64), 0
     for digests in _hashes(text, shingle):
         n += len(digests)
         ones += _ones(digests)
-        if wide:
-            h = digests.view(np.uint64) * _ODD  # one column for each 64 bits
-            more += _ones((h ^ (h >> np.uint64(32))).view(np.uint8))
-    fp = int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
-    if not wide:
-        return fp, []
-    votes = (2 * more - n)[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
-    place = 1 << np.arange(SEGMENT_BITS)
-    unsure = np.argsort(np.abs(votes), axis=1, kind="stable")[:, :WIPED]
-    return fp, [*((votes > 0) @ place).tolist(), *place[unsure].sum(axis=1).tolist()] if n else []
-
-
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def prefix(text: bytes, similarity: float = SIMILARITY, size: int = WORDS, memo: dict[bytes, int] | None = None) -> tuple[int, np.ndarray]:
-    """Number of distinct word shingles, and the least of their hashes: as many as a similar text must share one of."""
-    words = text.lower().split()
-    if not words:
-        return 0, np.zeros(0, np.int64)
-    memo = {} if memo is None else memo
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh64_intdigest(w, SEED)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    grams = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):  # the order of the words counts
-        grams = (grams ^ h[k : k + len(grams)]) * _ODD[0]
-        grams ^= grams >> np.uint64(29)
-    grams = np.unique(grams * _ODD[1])
-    n = len(grams)
-    least = math.ceil(similarity * n - 1e-9)
-    return n, grams[: n - max(1, least) + 1].view(np.int64)
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_key, fp, n, prefix); without ``similarity``, or without words, there is no prefix."""
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text_key, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            fps, sizes, firsts = [], [], []
-            for t in texts:
-                text = t.as_py() or b""
-                fps.append(fingerprint(text, shingle))
-                n, first = (0, []) if similarity is None else prefix(text, similarity, memo=memo)
-                sizes.append(n)
-                firsts.append(first)
-                if len(memo) > _MEMO:
-                    memo.clear()
-            columns = [b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp", "n", "prefix"])
+            fps = [fingerprint(t.as_py() or b"", shingle) for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -150,9 +87,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, paired: int = PAIRED) -> Dat
     """Distinct (fp) -> edges (a, b) whose components are those of all pairs within ``max_bits`` (at most 2)."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments and common one-bit neighbours cover up to 2 differing bits")
-    # One shuffle of all variants; only those that meet are kept.
-    met = variants(fps).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    met = stage(met, "simhash-met")
+    # Keys are counted first, so that no task holds all fingerprints of one.
+    filed = variants(fps)
+    counts = stage(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    met = stage(filed.join(bounded(counts), "key"), "simhash-met")
     close = differing("a", "b") <= max_bits
     some = met.where(F.col("n") <= paired)
     pairs = some.select("key", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where("a < b").where(close).select("a", "b")
@@ -172,109 +110,7 @@ def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
     return filed.join(least.select("k", "z", "a"), ["k", "z"]).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def prefix_keys(texts: DataFrame) -> DataFrame:
-    """(node, n, prefix) -> (key, node, size): one row per shingle of the prefix."""
-    # Each row becomes many: small pieces keep the sums of a task in memory.
-    pieces = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.select("node", "n", "prefix").repartition(pieces, "node").select(F.explode("prefix").alias("key"), "node", F.col("n").alias("size"))
-
-
-def _bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged table, marked for broadcast if its count allows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _fitting(a: Column, b: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be similar at all."""
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
-
-
-def _pairs(met: DataFrame, similarity: float) -> DataFrame:
-    a, b = (met.select("key", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    return a.join(b, "key").where("a < b").where(_fitting(F.col("size_a"), F.col("size_b"), similarity)).select("a", "b")
-
-
-def similar_links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
-    """Edges (a, b) between texts that have that part of their five-word shingles in common, up to what is linked anyway.
-
-    texts: distinct (node, fp, n, prefix), node the text's key; texts of one fingerprint are linked already. A shingle of
-    two texts gives its pair from one aggregation; those of up to ``paired`` are paired by a join. In larger ones every text
-    outside the shingle's largest component is held against one leader at a time; then every pair that is still in two
-    components is verified. So only pairs that are linked anyway are left out.
-    """
-    keys = prefix_keys(texts)
-    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(shared, "similar-shared")
-    more = stage(shared.where("n > 2").select("key", "n"), "similar-keys")
-    met = stage(keys.join(_bounded(more), "key").select("key", "node", "size", "n"), "similar-met")
-    found = shared.where("n = 2").select("a", "b").unionByName(_pairs(met.where(F.col("n") <= paired), similarity))
-    edges = verified(docs, texts, found, similarity)
-    big = met.where(F.col("n") > paired).select("key", "node", "size")
-    for turn in range(LEADER_ROUNDS + 1):
-        if big.isEmpty():
-            break
-        labels = stage(connected_components(edges).withColumnRenamed("node", "_node"), "similar-labels")
-        rooted = big.join(labels, F.col("node") == F.col("_node"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        rooted = stage(rooted, "similar-big")
-        # A shingle that is left in one component has nothing more to tell.
-        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        heads = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
-        left = stage(rooted.join(heads, "key"), "similar-left")
-        small = F.col("n") * (F.col("n") - F.col("most")) <= paired * paired
-        if turn == LEADER_ROUNDS:
-            small = F.lit(True)
-        some, large = left.where(small), left.where(~small)
-        leaders = large.where("root <> main").groupBy("key").agg(F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(turn))).alias("leader"))
-        stars = large.join(leaders, "key").where("root <> leader.root").where(_fitting(F.col("size"), F.col("leader.size"), similarity)).select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-        edges = stage(edges.unionByName(verified(docs, texts, _across(some, similarity).unionByName(stars), similarity)).distinct(), "similar-links")
-        big = large.select("key", "node", "size")
-    return edges
-
-
-def _across(left: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, size, root, main) -> every pair of a key whose ends are in two components and of fitting sizes."""
-    mine = left.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"))
-    other = left.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("size").alias("size_y"), "main")
-    met = mine.join(other, "key").where("root_x <> root_y AND (root_y = main OR x < y)").where(_fitting(F.col("size_x"), F.col("size_y"), similarity))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def shingle_set(text: str | None, size: int = WORDS) -> set[int]:
-    """Hashes of the distinct word shingles; of the whole sequence, if there are fewer words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < size:
-        return {xxhash.xxh64_intdigest(b" ".join(words))}
-    return {xxhash.xxh64_intdigest(b" ".join(w)) for w in zip(*(words[k:] for k in range(size)))}
-
-
-def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of texts that are similar, from whole texts; those of unfitting lengths are not looked at."""
-    sizes = texts.select("node", "n")
-    pairs = pairs.distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    pairs = stage(pairs.where(_fitting(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"), "similar-pairs")
-    ends = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
-    wanted = stage(ends, "similar-ends")
-    texts = docs.select(F.col("text").cast("string").alias("text")).join(_bounded(wanted), text_key(F.col("text").cast("string")) == F.col("_key"))
-    texts = texts.withColumnRenamed("_key", "fp")
-    texts = stage(texts.groupBy("fp").agg(F.min("text").alias("text")), "similar-texts")
-    both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, set()
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, mine = a, shingle_set(x.as_py())
-                other = shingle_set(y.as_py())
-                common = len(mine & other)
-                keep.append(common >= similarity * (len(mine) + len(other) - common))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "similar-verified")
-
-
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, paired: int = PAIRED, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, paired: int = PAIRED, similarity: float | None = None, **options) -> DataFrame:
     """One row per input row: doc_id, text_key, fingerprint (16 hex digits), component_id, component_size, root.
 
     Documents link if their fingerprints differ in at most ``max_bits``, and with ``similarity`` also if they have
@@ -283,17 +119,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     Repeated rows each give a row; null ids stay null and count for component_id only if no other is there. An empty
     table gives no rows; other columns are ignored.
     """
-    rows = stage(fingerprints(docs, shingle, similarity), "simhash-rows")
+    rows = stage(fingerprints(docs, shingle), "simhash-rows")
     total = rows.count()
     owners = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-owners")
     edges = links(owners.select("fp"), max_bits, paired)
     if similarity is not None:
         edges = stage(edges, "simhash-links")
-        texts = rows.where("n > 0").groupBy(F.col("text_key").alias("node")).agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        texts = stage(texts, "simhash-texts")
-        alike = similar_links(docs, texts, similarity, paired)
-        prints = lambda end: texts.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}"))
-        alike = alike.join(prints("a"), "a").join(prints("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+        alike = similar_links(docs, similarity, **options)
+        prints = stage(rows.groupBy(F.col("text_key").alias("node")).agg(F.first("fp").alias("fp")), "simhash-prints")
+        own = lambda end: prints.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}"))
+        alike = alike.join(own("a"), "a").join(own("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
         edges = edges.unionByName(alike.where("a <> b").distinct())
     labels = connected_components(edges)
     joined = owners.join(labels, owners["fp"] == labels["node"], "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
@@ -301,7 +136,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     roots = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("component_size"))
     classes = joined.select("fp", F.col("root").alias("_root"), "copies").join(roots, F.col("_root") == F.col("root"))
     classes = stage(classes.select("fp", "copies", "component_id", "component_size", "root"), "simhash-roots")
-    out = attach_groups(rows.drop("n", "prefix"), classes, "fp", "copies", total)
+    out = attach_groups(rows, classes, "fp", "copies", total)
     return out.select("doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size", "root")
 
 
