@@ -124,6 +124,52 @@ def test_pages_without_an_article():
     assert html.main_text(page).split("\n") == [f"Sentence number {k}, which is long enough; it has commas, and stops. And so on." for k in range(6)]
 
 
+LONG = "".join(f"<p>Sentence number {k}, which is long enough; it has commas, and stops. And so on.</p>" for k in range(6))
+SAID = "\n".join(f"Sentence number {k}, which is long enough; it has commas, and stops. And so on." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><article><p>teaser</p></article><div class=main-col><h1>Title of it</h1>{LONG}</div></body>", "Title of it\n" + SAID),
+        (f"<article>{LONG}<p class='social-history'>On social policy.</p><label>lab</label><math>x</math><header><h1>Title</h1></header></article>", SAID + "\nOn social policy.\nlabx\nTitle"),
+        (f"<body><div class='layout-sidebar-right'><h2>Head</h2>{LONG}</div><div class=sidebar><p>Some side text, here.</p></div></body>", "Head\n" + SAID),
+        (f"<body><div class='page header-fixed'>{LONG}</div><footer>f</footer></body>", SAID),
+        (f"<body><main><article><h1>A</h1>{LONG}</article><section class='comments'>{LONG * 4}</section></main></body>", "A\n" + SAID),
+        (f"<body><div id=post>{LONG}</div><div id=comments>{LONG * 3}</div></body>", SAID),
+        (f"<body><h1>T</h1>{LONG}<ul><li>one<li>two</ul><p><a href=x>All links</a></p></body>", "T\n" + SAID + "\none\ntwo"),
+        ("<article><p>" + "Long text, it is. " * 3_000 + "</p><ul>" + "<li>ab</li>" * 100 + "</ul></article>", ("Long text, it is. " * 3_000).strip() + "\nab" * 100),
+        ("<nav>only menu</nav>", ""),
+    ],
+)
+def test_ratios_decide(page, want):
+    assert html.main_text(page) == want
+
+
+def plain_ratios(page):
+    """Path by path: the smoothed and fused ratios of the paths in the densest container, and the bar they must reach."""
+    found = html.blocks(page)
+    best, _ = html.densest(found)
+    ratio = lambda some: (sum(len(t) - n for _, t, n in some) / len(some), sum((1 + sum(c in ",.;:!?…" for c in t)) * (1 - n / len(t)) for _, t, n in some) / len(some))
+    whole = ratio([x for x in found if x[0].container.startswith(best) and x[0].weight == 1])
+    out = {}
+    for path in {x[0].path for x in found}:
+        mine = [x for x in found if x[0].path == path]
+        if mine[0][0].container.startswith(best):
+            a, b = (0.5 * x + 0.5 * y for x, y in zip(ratio(mine), whole, strict=True))
+            out[path] = (a * b) ** 0.5 * mine[0][0].weight
+    bar = 0.4 * (whole[0] * whole[1]) ** 0.5
+    return "\n".join(t for p, t, _ in found if out.get(p.path, 0) >= bar - 1e-9)
+
+
+def test_pages_against_plain_ratios(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    article = {r.page_id: "\n".join(t for p, t, _ in html.blocks(r.html) if p.article and p.weight == 1) for r in rows}
+    assert all(html.main_text(r.html) == plain_ratios(r.html) == article[r.page_id] for r in rows)
+    bare = [r.html.replace("article>", "div>") for r in rows]  # nor does the element's name decide
+    assert [html.main_text(h) for h in bare] == [article[r.page_id] for r in rows]
+
+
 @pytest.mark.parametrize("page", ["", None, "   ", "<", "<p", "<p>", "</p></div>", "<script>never closed", "<!-- never closed", "<a href='x>y", "<nav>only menu</nav>", "<p " * 5_000, "<div>" * 3_000])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)

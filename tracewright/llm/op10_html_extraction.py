@@ -1,16 +1,22 @@
 """Main-text extraction by tag-path ratios.
 
-A page is read into text blocks, each with its path of tags from the root. Per path, the mean text length and the mean
-punctuation of its blocks are aggregated; both ratios are smoothed along the page, fused by their geometric mean, and a
-path is content if it gets a good part of the page's spread. Paths through elements that are menus, notices, forms,
-comments and the like by their tag, role or class carry no text weight; paths through the article element are content
-by their place, so that short headings and paragraphs of an article stay.
+A page is read into text blocks, each with its path of tags and classes from the root. Per path, text length and
+punctuation are aggregated to two ratios, the mean of both over the path's blocks; link text counts for neither. The same
+ratios of the page's densest container, the innermost one that holds most of the text, smooth those of each path: in
+full for the paths inside, so that short headings and items of a text stay, and by half for every container that
+a path lies farther out. Both smoothed ratios are fused by their geometric mean, and a path is content if that
+reaches a part of the container's own.
+
+Structure is a prior weight only: text inside an article weighs more, and paths through elements that are called menus,
+notices, adverts or comments weigh less, which leaves dense text in a wrapper of such a name alone. Elements that HTML
+defines as something else than main text (nav, footer, aside, form and their roles) have no weight.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -18,8 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A path counts from this part of the standard deviation of the fused ratios.
-SPREAD = 0.8
+#: Part of the page's text that the densest container holds.
+MOST = 0.5
+#: How much the container's ratios count in a path's, how much of that is left one container farther out, and the part of the container's fused ratio that makes a path content.
+SMOOTH, OUTWARD, CONTENT = 0.5, 0.5, 0.4
+#: Elements below this many others share a path, so that paths stay short; their text is read all the same.
+DEEPEST = 100
+#: Prior weights: of an article's text, of a main heading, of links that stand in the page itself, of elements named as no main text, of text beside an article.
+ARTICLE, HEADING, LINKS, NAMED, BESIDE = 3.0, 1.5, 0.5, 0.05, 0.5
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,19 +39,22 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav noframes ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title xmp noembed".split())
-#: What is never main text, by tag, by role, by words of class and id.
-BARRED_TAGS = frozenset("head nav header footer aside form button select option dialog menu label input datalist map audio video".split())
-BARRED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status tooltip".split())
-BARRED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar sidebars "
-    "footer footers header masthead topbar cookie cookies consent gdpr notice notices notification notifications banner banners alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies discussion responses reactions announcement disclaimer promoted rail pager pagination toolbar search skip widget widgets copyright".split()
+RAW = frozenset("script style noscript template iframe svg object canvas textarea title xmp noembed".split())
+#: Elements and roles that are something else than main text by HTML's and ARIA's definitions; a header only outside an article.
+OTHER_TAGS = frozenset("head nav footer aside form button select dialog menu datalist audio video".split())
+OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
+#: Words by which authors name such elements, and words that may stand beside them in a name.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer header masthead "
+    "cookie cookies consent notice notices banner popup modal newsletter subscribe login signup share sharing social related recommended comment comments disqus discussion replies "
+    "pagination pager search widget toolbar copyright disclaimer".split()
 )
-_KEPT_TAGS = frozenset(("html", "body", "article", "main"))
+BESIDE_NAMES = frozenset("list item items box block bar area section container wrapper wrap inner outer link links button buttons icons text title message body thread post posts left right top bottom site page global fixed sticky layout results row panel module slot".split())
+CONTAINERS = frozenset("html body article main section div td center".split())
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
+_DIGITS = re.compile(r"\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[,.;:!?…،。，、؛؟]")
 _HEADING = re.compile("h[1-6]")
@@ -48,57 +63,78 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _FENCES = frozenset("html body article main section div table td th ul ol dl blockquote aside nav header footer form fieldset figure details dialog".split())
 
 
-def _barred(tag: str, attributes: str) -> bool:
-    """Whether an element is no main text by its own tag and attributes."""
-    if tag in BARRED_TAGS:
-        return True
-    if not attributes or tag in _KEPT_TAGS:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.strip().lower() in BARRED_ROLES:
+def _named(value: str) -> bool:
+    """Whether a class or an id says that its element is no main text: by such words and by-words alone."""
+    for one in value.split():
+        words = set(_WORDS.findall(_CAMEL.sub(" ", one).lower()))
+        if words & NAMES and not words - NAMES - BESIDE_NAMES:
             return True
-        if name in ("class", "id") and not _HEADING.fullmatch(tag):
-            for one in value.split():
-                words = _WORDS.findall(_CAMEL.sub(" ", one).lower())
-                if words and words[0] not in ("no", "has", "with", "without") and not BARRED_WORDS.isdisjoint(words):
-                    return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, str, bool]]:
-    """Text blocks in page order without barred text: (path, text, in the article). Unclosed and stray tags are borne."""
-    found: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, barred, in article
-    pieces: list[str] = []
-    where = stack[0]
+def _read_tag(tag: str, attributes: str, inside: bool) -> tuple[str, float, bool]:
+    """An element's name in paths, its prior weight, and whether it is an article or main part."""
+    name, weight, article = tag, 0.0 if tag in OTHER_TAGS or tag == "header" and not inside else 1.0, tag in ("article", "main")
+    if attributes:
+        for m in _ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" or key == "style" and _HIDDEN.search(value) or key == "role" and value.strip().lower() in OTHER_ROLES:
+                weight = 0.0
+            elif key == "role" and value.strip().lower() == "main":
+                article = True
+            elif key in ("class", "id"):
+                name += "".join(f".{x}" for x in _DIGITS.sub("", value.replace("/", "")).split())
+                if tag not in ("html", "body", "main") and not _HEADING.fullmatch(tag) and _named(value):
+                    weight *= NAMED
+    return name, weight, article
+
+
+@dataclass(frozen=True)
+class Place:
+    """An open element: its tag, its path, the path of its container, its prior weight, the outermost article or main
+    part it is in (empty if none), and whether it is a link."""
+
+    tag: str
+    path: str
+    container: str
+    weight: float
+    article: str
+    link: bool
+
+
+def blocks(html: str) -> list[tuple[Place, str, int]]:
+    """Text blocks in page order: (place, text, characters of it in links). Unclosed and stray tags are borne; what a
+    page doesn't show (scripts, hidden elements, elements without weight) is left out. Text of a named element inside
+    a paragraph is a block of its own."""
+    found: list[tuple[Place, str, int]] = []
+    stack = [Place("", "", "", 1.0, "", False)]
+    running: dict[float, list] = {}  # by weight: place, pieces, link characters
 
     def flush() -> None:
-        nonlocal where
-        if pieces:
+        for place, pieces, linked in running.values():
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                found.append((where[1], text, where[3]))
-            pieces.clear()
+                found.append((place, text, min(linked, len(text))))
+        running.clear()
 
     def add(text: str) -> None:
-        nonlocal where
-        if stack[-1][2]:  # never main text, even amid a paragraph
+        top = stack[-1]
+        if not top.weight:
             return
-        if not pieces:
+        if top.weight not in running:
             if not text.strip():
                 return
-            where = stack[-1]
-        pieces.append(text)
+            running[top.weight] = [top, [], 0]
+        running[top.weight][1].append(text)
+        if top.link:
+            running[top.weight][2] += len(text.strip())
 
     def close(names: tuple[str, ...], fences: frozenset[str] = frozenset()) -> None:
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
+            if stack[k].tag in names:
                 del stack[k:]
                 return
-            if stack[k][0] in fences:
+            if stack[k].tag in fences:
                 return
 
     at, end = 0, len(html)
@@ -132,44 +168,92 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
             close(("p",), _FENCES)
         if tag in _CLOSES:
             close(_CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "select")))
-        _, path, barred, inside = stack[-1]
-        stack.append((tag, f"{path}/{tag}", barred or _barred(tag, attributes), inside or tag in ("article", "main") or 'role="main"' in attributes))
+        top = stack[-1]
+        name, weight, article = _read_tag(tag, attributes, bool(top.article))
+        path = f"{top.path}/{name}" if len(stack) <= DEEPEST else top.path
+        stack.append(Place(tag, path, path if tag in CONTAINERS else top.container, top.weight * weight, top.article or (path if article else ""), top.link or tag == "a"))
     flush()
     return found
 
 
-def _smooth(x: np.ndarray) -> np.ndarray:
-    """Gaussian over the neighbours in page order."""
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    return np.convolve(x, kernel / kernel.sum(), "same") if len(x) > 4 else x
+def _above(path: str) -> list[str]:
+    """A path and all paths above it, outermost first."""
+    steps = path.split("/")
+    return ["/".join(steps[:k]) for k in range(2, len(steps) + 1)]
+
+
+def _within(path: str, container: str) -> bool:
+    return path == container or path.startswith(container + "/")
+
+
+def densest(found: list[tuple[Place, str, int]]) -> tuple[str, float]:
+    """The innermost container with most of the weighted text that is no link, and its prior weight; within an
+    article, that article."""
+    own: dict[str, float] = {}
+    weights, articles = {}, {}
+    for place, text, linked in found:
+        own[place.container] = own.get(place.container, 0.0) + place.weight * (len(text) - linked) * (ARTICLE if place.article else 1.0)
+        weights[place.container] = max(weights.get(place.container, 0.0), place.weight)
+        articles[place.container] = place.article
+    total = sum(own.values())
+    if not total:
+        return "", 1.0
+    mass: dict[str, float] = {}
+    article, weight = {}, {}
+    for container, m in own.items():
+        for path in _above(container):
+            mass[path] = mass.get(path, 0.0) + m
+            weight[path] = max(weight.get(path, 0.0), weights[container])
+            if articles[container] and _within(path, articles[container]):
+                article[path] = articles[container]
+    best = max((p for p, m in mass.items() if m > MOST * total), key=lambda p: (p.count("/"), mass[p]), default="")
+    best = article.get(best, best)
+    return best, weight.get(best, 1.0)
+
+
+def _outward(container: str, best: str) -> int:
+    """Containers to leave from the densest one to reach what holds this one too."""
+    return sum(not _within(container, p) for p in _above(best))
 
 
 def main_text(html: str | None) -> str:
     """Main text of a page, one line per block; empty if there is none."""
-    if not html:
-        return ""
-    found = blocks(html)
+    found = blocks(html) if html else []
     if not found:
         return ""
-    if any(inside for _, _, inside in found):
-        # The article's own paths have all the weight.
-        return "\n".join(text for _, text, inside in found if inside)
-    paths = {p: k for k, p in enumerate(dict.fromkeys(p for p, _, _ in found))}
-    of = np.array([paths[p] for p, _, _ in found])
+    best, its_weight = densest(found)
+    paths: dict[str, int] = {}
+    of = np.array([paths.setdefault(place.path, len(paths)) for place, _, _ in found])
+    own = [(place, len(text), 1 - linked / len(text), len(_PUNCTUATION.findall(text))) for place, text, linked in found]
+    length, marks = (np.array([x * free for _, x, free, _ in own]), np.array([(1 + m) * free for _, _, free, m in own]))
+    inside = np.array([_within(place.container, best) for place, _, _, _ in own])
     counts = np.bincount(of)
-    length = np.bincount(of, [len(t) for _, t, _ in found]) / counts
-    marks = np.bincount(of, [len(_PUNCTUATION.findall(t)) for _, t, _ in found]) / counts
-    fused = np.sqrt(_smooth(length[of]) * _smooth(1 + marks[of]))
-    by_path = np.bincount(of, fused) / counts
-    good = by_path >= min(SPREAD * fused.std() + (fused.min() if fused.std() else 0), by_path.max())
-    return "\n".join(t for (_, t, _), k in zip(found, of, strict=True) if good[k])
+    ratios = np.array([np.bincount(of, length) / counts, np.bincount(of, marks) / counts])
+    among = inside & np.array([place.weight >= its_weight for place, _, _, _ in own])
+    dense = np.array([length[among].mean(), marks[among].mean()]) if among.any() else ratios.mean(axis=1)
+    place_of = {k: own[at] for at, k in reversed(list(enumerate(of.tolist())))}
+    near = np.array([OUTWARD ** _outward(place_of[k][0].container, best) for k in range(len(paths))])
+    smoothed = (1 - SMOOTH) * ratios + SMOOTH * near * dense[:, None]
+    fused = np.sqrt(smoothed.prod(axis=0))
+    beside = BESIDE if any(place.article == best for place, _, _, _ in own) else 1.0
+    alone = best.count("/") < 3  # the page itself
+    links = 1 - np.bincount(of, [free for _, _, free, _ in own]) / counts
+    for k in range(len(paths)):
+        place = place_of[k][0]
+        if near[k] == 1:
+            fused[k] *= min(1.0, place.weight / its_weight) * (1 - LINKS * links[k] if alone else 1.0)
+        else:
+            fused[k] *= place.weight * beside * (HEADING if place.tag == "h1" else 1.0)
+    content = fused >= CONTENT * np.sqrt(dense.prod()) * (1 - 1e-9)
+    return "\n".join(text for (_, text, _), k in zip(found, of.tolist(), strict=True) if content[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null and empty pages have empty text; whole pages are read whatever their size; repeated rows each give a row; an
-    empty table gives no rows.
+    Null and empty pages have empty text; whole pages are read whatever their size; of containers that tie the one with
+    more text counts, then the first; repeated rows each give a row; an empty table gives no rows; other columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
