@@ -10,6 +10,7 @@ same template on all hosts and that towards all labelled urls, reaches a thresho
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,6 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 CHILDREN, SPREAD = 12, 0.2
 #: Segments of this length look generated.
 LONG = 24
-#: Levels that are told apart; what follows is one tail.
-DEPTH = 8
 #: Rows that the wider level counts for, the z score up to which branches are similar, the purity that passes.
 WEIGHT, SIMILAR, PURE = 4.0, 1.96, 0.5
 
@@ -49,32 +48,49 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return rule, verdict
 
 
-def templates(urls: DataFrame, children: int = CHILDREN, spread: float = SPREAD, depth: int = DEPTH) -> DataFrame:
+def _generated(segment: Column) -> Column:
+    return segment.rlike("[0-9]") | (F.length(segment) >= LONG)
+
+
+def _step(at: Column, segment: Column, made: Column) -> Column:
+    """(template, parent, literal) one segment further: the parent takes over the template so far with this literal
+    replaced, or extends itself."""
+    longer = F.concat(at["template"], F.lit("/"), F.when(made, F.lit("*")).otherwise(segment))
+    parent = F.when(made, F.concat(at["parent"], F.lit("/*"))).otherwise(F.concat(at["template"], F.lit("/*")))
+    return F.struct(longer.alias("template"), parent.alias("parent"), (at["literal"] | ~made).alias("literal"))
+
+
+def templates(urls: DataFrame, children: int = CHILDREN, spread: float = SPREAD) -> DataFrame:
     """Distinct (host, path, ...) rows -> the same with ``template`` and ``parent``.
 
-    The parent has a wildcard in place of the last literal segment. Level by level, so that each node is judged by its
-    generalised prefix; a level is one aggregation and one join, and ends up in a staged table.
+    The parent has a wildcard in place of the last literal segment. Level by level down to the last segment, so that
+    each node is judged by its generalised prefix; a level is one aggregation and one join, and ends up in a staged
+    table. A node with fewer urls than ``children`` can have no variable node below it, so its urls are read to their
+    end at once, and only the others go on.
     """
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    current = urls.withColumns({"segments": segments, "template": F.lit(""), "parent": F.lit(""), "literal": F.lit(None).cast("string")})
-    levels = min(depth, current.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(levels):
+    start = F.struct(F.lit("").alias("template"), F.lit("").alias("parent"), F.lit(False).alias("literal"))
+    current = urls.withColumns({"segments": F.split(F.regexp_replace("path", "^/", ""), "/", -1), "at": start})
+    done, level = [], 0
+    while True:
         segment = F.try_element_at("segments", F.lit(level + 1))
-        here = current.withColumn("segment", segment)
-        kids = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.count("*").alias("urls"))
-        nodes = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("urls").alias("urls"))
-        wide = nodes.where((F.col("kids") >= children) & (F.col("kids") >= spread * F.col("urls"))).select(F.col("host").alias("_host"), F.col("template").alias("_template"))
-        here = here.join(wide, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")), "left")
-        made = F.col("segment").rlike("[0-9]") | (F.length("segment") >= LONG) | F.col("_host").isNotNull()
-        step = F.when(made, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("segment")))
-        there = F.col("segment").isNotNull()
-        literal = there & ~made
-        # The parent takes over the template so far with this literal replaced, or extends itself.
-        parent = F.when(literal, F.concat("template", F.lit("/*"))).when(there, F.concat("parent", step)).otherwise(F.col("parent"))
-        here = here.withColumns({"parent": parent, "template": F.when(there, F.concat("template", step)).otherwise(F.col("template")), "literal": F.when(literal, F.lit(str(level))).otherwise(F.col("literal"))})
-        current = stage(here.drop("segment", "_host", "_template"), "url-level")
-    tail = F.when(F.size("segments") > levels, F.lit("/**")).otherwise(F.lit(""))
-    return current.withColumns({"template": F.concat("template", tail), "parent": F.when(F.col("literal").isNull(), F.concat("template", tail)).otherwise(F.concat("parent", tail))}).drop("segments", "literal")
+        here = current.withColumn("segment", segment).withColumn("node", F.col("at.template"))
+        kids = here.where("segment IS NOT NULL").groupBy("host", "node", "segment").agg(F.count("*").alias("urls"))
+        nodes = kids.groupBy("host", "node").agg(F.count("*").alias("kids"), F.sum("urls").alias("urls"))
+        wide = ((F.col("kids") >= children) & (F.col("kids") >= spread * F.col("urls"))).alias("wide")
+        nodes = nodes.where(F.col("urls") >= children).select(F.col("host").alias("_host"), F.col("node").alias("_node"), wide)
+        here = here.join(nodes, (F.col("host") == F.col("_host")) & (F.col("node") == F.col("_node")), "left")
+        rest = F.aggregate(F.slice("segments", level + 1, F.size("segments")), F.col("at"), lambda at, x: _step(at, x, _generated(x)))
+        further = _step(F.col("at"), F.col("segment"), _generated(F.col("segment")) | F.col("wide"))
+        last = F.col("wide").isNull() | (F.size("segments") <= level + 1)
+        here = here.withColumn("at", F.when(F.col("segment").isNull(), F.col("at")).when(F.col("wide").isNull(), rest).otherwise(further)).withColumn("last", last)
+        here = stage(here.drop("segment", "node", "_host", "_node", "wide"), "url-level")
+        done.append(here.where("last"))
+        current = here.where("not last").drop("last")
+        level += 1
+        if current.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, done).withColumns({"template": F.col("at.template"), "parent": F.when(F.col("at.literal"), F.col("at.parent")).otherwise(F.col("at.template"))})
+    return found.drop("segments", "at", "last")
 
 
 def purities(found: DataFrame, weight: float = WEIGHT, similar: float = SIMILAR) -> DataFrame:
@@ -103,8 +119,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, pure: floa
     """One row per page: page_id, host, path, rule, verdict, template, purity.
 
     A rule's verdict stands; else the template's purity decides (allow from ``pure`` on). Null urls and urls without
-    :// have an empty host and path and the template of those. Without labelled urls all purities are 0.5. Repeated
-    rows each give a row; an empty table gives no rows.
+    :// have an empty host and path and the template of those. Of rules of one length the one with the longer host wins;
+    a purity at the bar allows. Without labelled urls all purities are 0.5. Urls of any length and depth are read
+    whole. Repeated rows each give a row; an empty table gives no rows; other columns are ignored.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))

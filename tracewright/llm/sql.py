@@ -88,6 +88,7 @@ FROM digests JOIN last USING (payload_digest)
 
 
 def _url_filter(depth: int = 8) -> str:
+    """The tables' paths have up to 4 segments; so many levels are written out, the operator itself goes to the end."""
     ctes = [
         r"""parsed AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
