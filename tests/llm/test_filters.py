@@ -46,6 +46,39 @@ def test_templates_generalise_and_purity_decides(spark):
     assert {t for h, t, _ in shown if h == "names.net"} == {"/*/*"}  # many children, and no labels to tell it apart
 
 
+def plain_templates(paths):
+    """The template of each path of one host, by a recursive walk of its tree."""
+    out, parts = {}, {p: p.removeprefix("/").split("/") for p in paths}
+
+    def walk(members, level, template):
+        for p in (p for p in members if len(parts[p]) <= level):
+            out[p] = template
+        members = [p for p in members if len(parts[p]) > level]
+        kids = {parts[p][level] for p in members}
+        wide = len(kids) >= urls.CHILDREN and len(kids) >= urls.SPREAD * len(members)
+        below = {}
+        for p in members:
+            x = parts[p][level]
+            below.setdefault("*" if wide or any(c.isdigit() for c in x) or len(x) >= urls.LONG else x, []).append(p)
+        for name, some in below.items():
+            walk(some, level + 1, f"{template}/{name}")
+
+    walk(paths, 0, "")
+    return out
+
+
+def test_deep_templates_against_a_plain_walk(spark):
+    rng = random.Random(6)
+    deep = "/".join("abcdefghijkl")
+    paths = [f"/{deep}/{x}{y}/t{k % 3}/end" for k, (x, y) in enumerate((x, y) for x in "mnopq" for y in "rstuv")]
+    paths += [f"/{deep}/only/" + "/".join(rng.choice("uvw") for _ in range(k % 6)) for k in range(40)]
+    paths += ["/" + "/".join(rng.choice(("a", "b", "7")) for _ in range(rng.randrange(14))) for _ in range(150)] + ["/x" * 200, "", "/"]
+    paths = sorted(set(paths))
+    got = urls.templates(spark.createDataFrame([("h", p) for p in paths], "host string, path string")).collect()
+    assert {r.path: r.template for r in got} == plain_templates(paths)
+    assert any(t.count("/*") and t.count("/") > 12 for t in plain_templates(paths).values())
+
+
 def test_url_filter_on_odd_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty).count() == 0
@@ -54,23 +87,34 @@ def test_url_filter_on_odd_tables(spark):
 
 
 def naive_phrases(text, reference):
-    n = 0
-    for at in range(0, len(text), language.WINDOW):
-        part, k = text[at : at + language.WINDOW], 0
-        while k < len(part):
-            size = 1
-            while k + size < len(part) and part[k : k + size + 1] in reference:
-                size += 1
-            k, n = k + size, n + 1
+    """The cross-parse of the whole text, byte by byte."""
+    n = k = 0
+    while k < len(text):
+        size = 1
+        while k + size < len(text) and text[k : k + size + 1] in reference:
+            size += 1
+        k, n = k + size, n + 1
     return n
 
 
-def test_parser_counts_phrases_as_a_naive_one(spark):
+def test_parser_counts_phrases_as_a_naive_one():
     rng = random.Random(4)
-    refs = {name: bytes(rng.choice(letters) for _ in range(700)) for name, letters in (("x", b"abcd "), ("y", b"bcdef "))}
-    texts = [bytes(rng.choice(b"abcdefz ") for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 1_000)]
+    refs = {name: bytes(rng.choice(letters) for _ in range(1_500)) for name, letters in (("x", b"abcd "), ("y", b"bcdef "))}
+    refs["z"] = b"ab" * 900
+    texts = [bytes(rng.choice(b"abcdefz ") for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 1_000, 200_000)]
+    texts += [refs["x"], refs["x"][3:1_200] * 3, b"ab" * 5_000, b"ba" * 400 + b"zz" + b"ab" * 700, refs["y"][:700] + texts[6] + refs["x"][:900]]  # phrases over several windows
     got = language.Parser(refs).phrases(texts)
-    assert got.tolist() == [[naive_phrases(t, refs[n]) for n in ("x", "y")] for t in texts]
+    assert got.tolist() == [[naive_phrases(t, refs[n]) for n in sorted(refs)] for t in texts]
+
+
+def test_references_are_whole_texts(spark):
+    rows = [(k, f"text number {'abcdefghij'[k % 10]} " + "x" * (k % 7), "en", "s") for k in range(60)] + [(100, "lang " * 2_000, "de", "s"), (101, None, "fr", "s"), (102, "no label", None, "s")]
+    rows += [rows[0]] * 3
+    got = language.references(spark.createDataFrame(rows, DOCS), sampled=5, short=100)
+    assert set(got) == {"en", "de"} and got["de"] == b" ".join([b"lang"] * 2_000)
+    texts = {language.simplified(t) for _, t, lang, _ in rows if lang == "en"}
+    assert got["en"].count(b"number") == 5 and all(b"text number" + p.rstrip() in texts for p in got["en"].split(b" text number"[1:])[1:])
+    assert got == language.references(spark.createDataFrame(rows[::-1], DOCS), sampled=5, short=100)
 
 
 def test_languages_are_told_apart(spark):

@@ -2,8 +2,12 @@
 
 For each language, labelled text is turned into a suffix automaton. A text is cut, from left to right, into the longest
 phrases that occur in the language's reference; phrases * log2(reference length) / text length estimates the cross
-entropy, and the language with the least wins. Texts are parsed in windows of a fixed number of bytes, each from the
-automaton's root, so that thousands of windows advance side by side in one array operation. Whole texts are parsed.
+entropy, and the language with the least wins. Whole texts are parsed.
+
+Thousands of windows of a fixed number of bytes advance side by side in one array operation, each from the automaton's
+root. Two parses that start a phrase at the same place are the same from there on, so the parse of each window is then
+carried on into the next one until they meet, and the counts are mended by the phrases up to there. The few texts with
+phrases so long that two windows never meet are parsed byte by byte. The result is that of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -14,15 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewright.llm.common import crc_mod
 
-#: Reference bytes of a language, and of all languages together.
-REFERENCE, ALL_REFERENCES = 24_000, 600_000
-#: Sampled training documents per language (by a hash of doc_id), and characters taken of each.
-SAMPLED, PIECE = 300, 400
-#: Languages up to which their sampling shares are broadcast (under 1 MB).
-BROADCAST_LANGS = 10_000
+#: Labelled documents per language that make its reference, the first by a hash of doc_id and text, whole; those of up to
+#: so many characters come first. An automaton takes about 400 bytes for each byte of its reference.
+SAMPLED, SHORT = 24, 2_000
 #: Bytes of a window, and of the windows that advance together.
 WINDOW, TOGETHER = 256, 3_000_000
 UNKNOWN = "und"
@@ -110,14 +112,43 @@ class Parser:
             grid[at : at + len(text)] = self.symbols[np.frombuffer(text, np.uint8)]
         columns = np.ascontiguousarray(grid.reshape(-1, WINDOW).T)
         for k, table in enumerate(self.tables):
-            at, n = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-            for column in columns:
+            at = np.zeros(len(owner), np.int32)
+            starts = np.empty(columns.shape, bool)
+            for column, start in zip(columns, starts, strict=True):
                 step = table[at + column]
-                n += step & 1
+                np.bitwise_and(step, 1, out=start, casting="unsafe")
                 at = step >> 1
+            n = starts.sum(axis=0, dtype=np.int64)
+            apart = self._carry(table, columns, starts, owner, at, n)
             out[:, k] = np.bincount(owner, n, len(texts))
+            for text in np.unique(owner[apart]):
+                out[text, k] = self._one_by_one(table, texts[text])
         return out
 
+    @staticmethod
+    def _carry(table: np.ndarray, columns: np.ndarray, starts: np.ndarray, owner: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Carry the parse of each window on into the next one of its text until both start a phrase at one place, and
+        mend the next one's count. Returns the windows that never meet the parse from before."""
+        into = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        at = at[into - 1]
+        for column, start in zip(columns, starts, strict=True):
+            if not len(into):
+                break
+            step = table[at + column[into]]
+            ours, theirs = step & 1 > 0, start[into]
+            n[into] += ours.astype(np.int64) - theirs
+            apart = ~(ours & theirs)
+            into, at = into[apart], step[apart] >> 1
+        return into
+
+    def _one_by_one(self, table: np.ndarray, text: bytes) -> int:
+        entries, n, at = memoryview(table), 0, 0
+        for symbol in self.symbols[np.frombuffer(text, np.uint8)].tolist():
+            step = entries[at + symbol]
+            n += step & 1
+            at = step >> 1
+        return n
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         simple = [simplified(t or "") for t in texts]
         known = np.array([bool(self.names) and has_letter(t or "", s) for t, s in zip(texts, simple, strict=True)], bool)
@@ -131,23 +162,17 @@ class Parser:
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(score, 0, 1), 0.0)
 
 
-def references(docs: DataFrame, size: int = REFERENCE) -> dict[str, bytes]:
-    """Labelled rows (doc_id, text, lang) -> reference text per language, from a bounded sample chosen by a hash."""
-    named = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = named.groupBy("lang").count()
-    n_langs = counts.count()
-    size = max(1_000, min(size, ALL_REFERENCES // max(1, n_langs)))
-    share = counts.select(F.col("lang").alias("_lang"), (F.lit(float(SAMPLED)) / F.col("count")).alias("share"))
-    if n_langs <= BROADCAST_LANGS:  # by its checked size; the texts then stay where they are
-        share = F.broadcast(share)
-    key = F.xxhash64("doc_id", "text")
-    chosen = named.join(share, F.col("lang") == F.col("_lang")).where(F.pmod(key, F.lit(1 << 20)) < F.col("share") * float(1 << 20))
-    start = F.pmod(F.shiftright(key, 20), F.greatest(F.lit(1).cast("long"), F.length("text").cast("long") - PIECE)) + 1
-    rows = chosen.select("lang", key.alias("key"), F.substr("text", start, F.lit(PIECE)).alias("piece")).collect()
+def references(docs: DataFrame, sampled: int = SAMPLED, short: int = SHORT) -> dict[str, bytes]:
+    """Labelled rows (doc_id, text, lang) -> reference text per language: whole texts of so many rows."""
+    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.length("text") > short, "key")
+    keys = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sampled).select(F.col("lang").alias("_lang"), F.col("key").alias("_key"))
+    # A few numbers for each language.
+    chosen = named.join(F.broadcast(keys.distinct()), (F.col("lang") == F.col("_lang")) & (F.col("key") == F.col("_key")))
     pieces: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["key"], r["piece"])):
-        pieces.setdefault(r["lang"], []).append(simplified(r["piece"]))
-    return {lang: text for lang, parts in pieces.items() if (text := b" ".join(parts)[:size])}
+    for r in chosen.select("lang", "key", "text").distinct().orderBy("lang", "key", "text").collect():
+        pieces.setdefault(r["lang"], []).append(simplified(r["text"]))
+    return {lang: text for lang, parts in pieces.items() if (text := b" ".join(parts).strip())}
 
 
 _parsers: dict[int, Parser] = {}
@@ -187,9 +212,10 @@ def predict(docs: DataFrame, refs: dict[str, bytes]) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    Learns from documents with a language whose crc32(doc_id) mod 4 is not 2. A text that ties goes to the language
-    that sorts first. Repeated rows each give a row; with no labelled row everything is ``und``; an empty table gives
-    no rows.
+    Learns from documents with a language whose crc32(doc_id) mod 4 is not 2: from ``SAMPLED`` whole texts of each. A
+    text that ties goes to the language that sorts first. Null texts and texts without a letter are ``und``; texts of
+    any length are parsed whole. Repeated rows each give a row; with no labelled row everything is ``und``; an empty
+    table gives no rows; other columns are ignored.
     """
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     done = predict(docs, references(docs.where(~held_out)))
