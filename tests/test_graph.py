@@ -114,10 +114,28 @@ def test_walks_against_brute_force(spark):
     assert {r.label for r in graph.reachable(edges, start).collect()} == {k for k, v in paths.items() if v}
 
 
+def test_many_paths_are_counted(spark):
+    """Sixteen layers of 17 nodes each, all linked: counts beyond a long, and no listing of them."""
+    layers = [[f"l{k:02d}x{i}" for i in range(17)] for k in range(17)]
+    edges = chain(spark, *((a, b) for one, two in zip(layers, layers[1:]) for a in one for b in two))
+    got = {r.label: r.paths for r in graph.path_counts(edges, spark.createDataFrame([("l00x0",)], "label string")).collect()}
+    assert got == {x: 17**k for k, layer in enumerate(layers[1:]) for x in layer} and max(got.values()) > 2**61
+    with pytest.raises(graph.GraphError, match="too many"):
+        graph.transitive(edges, "l00x0", "rdeps", distinct=False)
+
+
+def test_long_ways_take_few_rounds(spark):
+    steps = spark.createDataFrame([(k, k + 1) for k in range(2_000)], "here long, there long")
+    got = graph.followed(steps, spark.createDataFrame([(0,)], "label long")).collect()
+    assert sorted((r.label, r.place) for r in got) == [(k, k) for k in range(2_001)]
+
+
 def test_cycles(spark):
     edges = chain(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "e"), ("x", "y"))
-    assert graph.find_cycle(edges) == ["b", "c", "d", "b"]
-    assert graph.find_cycle(edges.where("src <> 'd'")) == []
+    assert [(r.place, r.label) for r in graph.find_cycle(edges).collect()] == [(0, "b"), (1, "c"), (2, "d"), (3, "b")]
+    assert graph.find_cycle(edges.where("src <> 'd'")).count() == 0
+    ring = chain(spark, *((f"n{k:03d}", f"n{(k + 1) % 100:03d}") for k in range(100)), ("n005", "n005x"), ("a", "n050"))
+    assert labels(graph.find_cycle(ring)) == [f"n{k % 100:03d}" for k in range(101)]
     assert labels(graph.reachable(edges, spark.createDataFrame([("b",)], "label string")).orderBy("label")) == ["b", "c", "d", "e"]
     with pytest.raises(graph.GraphError):
         graph.levels(spark.createDataFrame([(x,) for x in "abcde"], "label string"), edges)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import posixpath
 import re
+from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000
+#: The types of outputs.
+OUTPUT_TYPES = ("file", "dir", "oci")
 
 
 def short_id(x: Column) -> Column:
@@ -89,18 +91,32 @@ def age_millis(text: str) -> int:
 
 def since_millis(day: str) -> int:
     """UTC midnight of a day."""
-    return int(pd.Timestamp(day, tz="UTC").value // 1_000_000)
+    return round(datetime.fromisoformat(day).replace(tzinfo=UTC).timestamp() * 1_000)
 
 
-# ---- hashes (SHA-256; the columns never leave the JVM)
+# ---- hashes
 
 
 def list_text(values: Column) -> Column:
     return F.array_join(F.array_sort(F.coalesce(values, F.array().cast("array<string>"))), ",")
 
 
-def list_hash(values: Column) -> Column:
-    return F.sha2(list_text(values), 256)
+def text_hash(text: Column, algorithm: str = "sha256") -> Column:
+    """Hex digest of a text or of bytes: SHA-256, or XXH3 of 128 bits (in Arrow batches; Spark has no function for it)."""
+    if algorithm == "sha256":
+        return F.sha2(text, 256)
+    if algorithm != "xxh3":
+        raise ValueError(f"hash algorithm {algorithm!r} is neither sha256 nor xxh3")
+    import xxhash
+
+    def digests(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else xxhash.xxh3_128_hexdigest(v) for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(digests, "string")(text)
+
+
+def list_hash(values: Column, algorithm: str = "sha256") -> Column:
+    return text_hash(list_text(values), algorithm)
 
 
 def map_text(values: Column) -> Column:
@@ -130,10 +146,18 @@ def resource_identity(label: Column, up: Column, down: Column, ready: Column, ti
 
 
 def _folded(text: Column, size: int) -> Column:
-    """Characters folded by XOR into ``size`` bytes: each goes, by its low byte, to its byte offset modulo size."""
+    """Characters folded by XOR into ``size`` bytes: each goes, by its low byte, to its byte offset modulo size. ASCII
+    texts are folded eight bytes at a time."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     place = F.aggregate(chars, F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0), size).alias("b")), lambda acc, c: F.struct((acc["at"] + F.octet_length(c)).alias("at"), F.transform(acc["b"], lambda x, i: F.when(i == F.pmod(acc["at"], F.lit(size)), x.bitwiseXOR(F.pmod(F.ascii(c), F.lit(256)))).otherwise(x)).alias("b")))
-    return F.array_join(F.transform(place["b"], lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
+    any_text = F.array_join(F.transform(place["b"], lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
+
+    def part(first: int) -> Column:
+        number = lambda k: F.conv(F.rpad(F.hex(F.substr(text, k * size + first + 1, F.lit(8))), 16, "0"), 16, -10).cast("long")
+        return F.lpad(F.lower(F.hex(F.aggregate(pieces, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(number(k))))), 16, "0")
+
+    return F.when(F.octet_length(text) == F.length(text), F.concat(*[part(first) for first in range(0, size, 8)])).otherwise(any_text)
 
 
 def trace_hex(trace_id: Column) -> Column:
@@ -153,14 +177,16 @@ def nanos(millis: Column) -> Column:
 # ---- paths and outputs
 
 
-def _normalised(paths: pd.Series) -> pd.Series:
-    return paths.map(lambda p: None if p is None else re.sub("^//", "/", posixpath.normpath(p)) if p else ".")
-
-
 def clean_path(path: Column) -> Column:
-    """Shortest equal path, as by lexical cleaning; '' is '.'. Only paths with something to clean leave the JVM."""
+    """Shortest equal path, as by lexical cleaning; '' is '.'. The parts are folded in the JVM, of paths with something to
+    clean only."""
     dirty = (path == "") | path.rlike(r"//|(^|/)\.\.?(/|$)|.+/$")
-    return F.when(dirty, F.pandas_udf(_normalised, "string")(path)).otherwise(path)
+    rooted = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda kept: F.when((F.size(kept) > 0) & (F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("")) != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1)).when(rooted, kept).otherwise(F.array_append(kept, F.lit("..")))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda kept, x: F.when(x == "..", up(kept)).otherwise(F.array_append(kept, x)))
+    text = F.array_join(kept, "/")
+    return F.when(dirty, F.when(rooted, F.concat(F.lit("/"), text)).otherwise(F.when(text == "", ".").otherwise(text))).otherwise(path)
 
 
 def escapes(path: Column) -> Column:
@@ -174,10 +200,22 @@ def inside(path: Column, folder: Column) -> Column:
 
 
 def parsed_output(text: Column) -> Column:
-    """'type::identifier' as a struct; without a type it is a file."""
+    """'type::identifier' as a struct; without a type it is a file. Another type than ``OUTPUT_TYPES`` is an error."""
     typed = text.contains("::")
     parts = F.split(text, "::", 2)
-    return F.struct(F.when(typed, parts[0]).otherwise("file").alias("type"), F.when(typed, F.get(parts, F.lit(1))).otherwise(text).alias("identifier"))
+    kind = F.when(typed, parts[0]).otherwise("file")
+    known = F.when(kind.isin(*OUTPUT_TYPES), kind).otherwise(F.raise_error(F.concat(F.lit("unknown output type: "), kind)))
+    return F.struct(F.when(text.isNotNull(), known).alias("type"), F.when(typed, F.get(parts, F.lit(1))).otherwise(text).alias("identifier"))
+
+
+def percent_text(rate: Column) -> Column:
+    """A rate in percent with one decimal, such as 66.7%."""
+    return F.concat(F.format_string("%.1f", rate.cast("double")), F.lit("%"))
+
+
+def whole_text(value: Column) -> Column:
+    """A number without decimals."""
+    return F.format_string("%.0f", value.cast("double"))
 
 
 def output_text(output: Column) -> Column:

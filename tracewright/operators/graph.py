@@ -1,18 +1,22 @@
 """Dependency graphs as tables: nodes (label, ...) and edges (src dependency, dst dependant).
 
-Closures, path counts, levels and longest paths go round by round over the edges with staged tables between rounds, so
-that work and lineage of a round follow its frontier, whatever the depth.
+Closures go round by round over the edges with staged tables between rounds. Path counts, levels and longest paths visit
+each node once, in the round after the last of its dependencies, so that the work follows nodes and edges, not paths.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.storage import stage
 
-#: Rounds after which a walk over a graph is taken for endless.
-MAX_ROUNDS = 10_000
+#: Rounds of a walk after which its parts are merged into one table.
+MERGED = 16
+#: Paths that are listed one by one, at most; beyond, they can only be counted.
+MOST_LISTED = 10_000_000
 
 
 class GraphError(ValueError):
@@ -51,22 +55,21 @@ def direct(edges: DataFrame, label, direction: str) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -> DataFrame:
     """Distinct labels that can be reached from ``starts`` (label) in one step or more. Works on cycles."""
+    return explored(edges, starts, direction).select("label")
+
+
+def explored(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -> DataFrame:
+    """(label, previous): what can be reached, each with the smallest label from which the shortest ways come."""
     steps = _stepping(edges, direction)
-    frontier = stage(steps.join(starts.select(F.col("label").alias("here")).distinct(), "here", "left_semi").select(F.col("there").alias("label")).distinct(), "reach")
-    seen = frontier
-    for _ in range(MAX_ROUNDS):
-        if frontier.isEmpty():
-            return seen
-        near = steps.join(frontier.select(F.col("label").alias("here")), "here", "left_semi").select(F.col("there").alias("label")).distinct()
-        frontier = stage(near.join(seen, "label", "left_anti"), "reach")
-        seen = seen.unionByName(frontier)
-    raise GraphError("the closure does not end")
-
-
-def _guard(rounds: int, edges: DataFrame) -> None:
-    """A walk by path length ends only without cycles; looked at when it gets long, ever more rarely."""
-    if rounds >= 64 and rounds & (rounds - 1) == 0 and not _acyclic(edges):
-        raise GraphError("the graph has a cycle")
+    near = lambda here: steps.join(here.select(F.col("label").alias("here")), "here").groupBy(F.col("there").alias("label")).agg(F.min("here").alias("previous"))
+    frontier = stage(near(starts.distinct()), "reach")
+    seen = [frontier]
+    while not frontier.isEmpty():
+        frontier = stage(near(frontier).join(_union(seen).select("label"), "label", "left_anti"), "reach")
+        seen.append(frontier)
+        if len(seen) >= MERGED:
+            seen = [stage(_union(seen), "reach")]
+    return _union(seen)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -76,22 +79,54 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def path_counts(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -> DataFrame:
-    """(label, paths): along how many paths a label is reached. The bag of transitive neighbours, counted rather than
-    listed: it grows exponentially with diamonds, its counts don't. Cycles raise GraphError."""
-    steps = _stepping(edges, direction)
-    frontier = starts.select("label", F.lit(1).cast("long").alias("paths"))
-    parts = []
-    for _ in range(MAX_ROUNDS):
-        frontier = steps.join(frontier.withColumnRenamed("label", "here"), "here").groupBy(F.col("there").alias("label")).agg(F.sum("paths").alias("paths"))
-        frontier = stage(frontier, "paths")
-        if frontier.isEmpty():
+def _in_order(nodes: DataFrame, edges: DataFrame, sent: dict[str, Column], folds: dict[str, Callable[[str], Column]], settle: dict[str, Column]) -> DataFrame:
+    """nodes (label, ...) -> (label, level, *settle), each node visited once, after all its dependencies.
+
+    A settled node sends ``sent`` along its edges; what arrives at a node is folded by ``folds`` (null where nothing
+    does) and gives its own values by ``settle``. A node waits until as many messages have come as it has
+    dependencies, so a round's work follows its edges and the nodes that wait. Cycles raise GraphError.
+    """
+    labels = nodes.select("label")
+    inner = edges.select("src", "dst").distinct().join(labels.withColumnRenamed("label", "src"), "src", "left_semi").join(labels.withColumnRenamed("label", "dst"), "dst", "left_semi")
+    inner = stage(inner, "order-edges")
+    own = stage(nodes.join(inner.groupBy(F.col("dst").alias("label")).agg(F.count("*").alias("needed")), "label", "left"), "order-nodes")
+    free, waiting, parts, level = own.where("needed IS NULL"), None, [], 0
+    for name in folds:
+        free = free.withColumn(name, F.lit(None))
+    while True:
+        settled = stage(free.withColumn("level", F.lit(level)).select("label", "level", *[c.alias(name) for name, c in settle.items()]), "order")
+        if settled.isEmpty():
             break
-        parts.append(frontier)
-        _guard(len(parts), edges)
+        parts.append(settled)
+        if len(parts) >= MERGED:
+            parts = [stage(_union(parts), "order")]
+        news = inner.join(settled.select(F.col("label").alias("src"), *[c.alias(name) for name, c in sent.items()]), "src").select(F.col("dst").alias("label"), *sent, F.lit(1).cast("long").alias("got"))
+        news = news if waiting is None else news.unionByName(waiting)
+        met = news.groupBy("label").agg(*[fold(name).alias(name) for name, fold in folds.items()], F.sum("got").alias("got"))
+        met = stage(met.join(own, "label"), "order-met")
+        free = met.where("got = needed")
+        waiting = met.where("got < needed").select("label", *folds, "got")
+        level += 1
     if not parts:
-        return frontier
-    return _union(parts).groupBy("label").agg(F.sum("paths").alias("paths"))
+        return settled
+    done = _union(parts)
+    if done.count() < own.count():
+        raise GraphError("the graph has a cycle")
+    return done
+
+
+def path_counts(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -> DataFrame:
+    """(label, paths decimal(38,0)): along how many paths a label is reached. The bag of transitive neighbours, counted
+    rather than listed: it grows exponentially with diamonds. Cycles raise GraphError, as do counts beyond 38 digits
+    Spark's error for decimals."""
+    steps = _stepping(edges, direction).select(F.col("here").alias("src"), F.col("there").alias("dst")).distinct()
+    met = reachable(edges, starts, direction)
+    begin = starts.groupBy("label").agg(F.count("*").cast("decimal(38,0)").alias("begin"))
+    nodes = met.unionByName(starts.select("label")).distinct().join(begin, "label", "left")
+    paths = F.coalesce("paths", F.lit(0).cast("decimal(38,0)"))
+    sent = {"paths": (F.col("paths") + F.col("begin")).cast("decimal(38,0)")}
+    found = _in_order(nodes, steps, sent, {"paths": lambda c: F.sum(c).cast("decimal(38,0)")}, {"paths": paths.cast("decimal(38,0)"), "begin": F.coalesce("begin", F.lit(0).cast("decimal(38,0)"))})
+    return found.where("paths > 0").select("label", "paths")
 
 
 def transitive(edges: DataFrame, label, direction: str, distinct: bool = True) -> DataFrame:
@@ -99,14 +134,17 @@ def transitive(edges: DataFrame, label, direction: str, distinct: bool = True) -
     starts = edges.sparkSession.createDataFrame([(label,)], edges.select(F.col("src").alias("label")).schema)
     if distinct:
         return reachable(edges, starts, direction).orderBy("label")
-    counted = path_counts(edges, starts, direction)
+    counted = stage(path_counts(edges, starts, direction), "paths")
+    total = counted.agg(F.sum("paths")).first()[0] or 0
+    if total > MOST_LISTED:
+        raise GraphError(f"{total} paths are too many to list; path_counts counts them")
     return counted.select(F.explode(F.array_repeat("label", F.col("paths").cast("int"))).alias("label")).orderBy("label")
 
 
 def _peel(nodes: DataFrame, edges: DataFrame):
     """Yields the levels (nodes all of whose dependencies are in earlier levels), then the edges that are left."""
     left, remaining = stage(nodes.select("label").distinct(), "peel-nodes"), stage(edges, "peel-edges")
-    for _ in range(MAX_ROUNDS):
+    while True:
         free = stage(left.join(remaining.select(F.col("dst").alias("label")).distinct(), "label", "left_anti"), "peel-level")
         if free.isEmpty():
             break
@@ -120,49 +158,44 @@ def _labels(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("label")).union(edges.select(F.col("dst").alias("label"))).distinct()
 
 
-def _acyclic(edges: DataFrame) -> bool:
-    *_, rest = _peel(_labels(edges), edges)
-    return rest.isEmpty()
-
-
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, level): 0 without dependencies, else one more than the highest of them. A topological order is any
-    order by level. Cycles raise GraphError.
-
-    Round k holds the nodes at the end of a path of k edges, so a node's level is the last round it is in.
-    """
-    known = nodes.select("label").distinct()
-    inner = edges.join(known.withColumnRenamed("label", "src"), "src", "left_semi")
-    frontier, parts = known, []
-    while True:
-        frontier = stage(frontier.select("label", F.lit(len(parts)).alias("level")), "levels")
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        _guard(len(parts), edges)
-        step = inner.join(frontier.select(F.col("label").alias("src")), "src", "left_semi").select(F.col("dst").alias("label")).distinct()
-        frontier = step.join(known, "label", "left_semi")
-    return _union(parts).groupBy("label").agg(F.max("level").alias("level")) if parts else frontier
+    order by level. Cycles raise GraphError."""
+    return _in_order(nodes.select("label").distinct(), edges, {}, {}, {})
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (label, weight) -> (label, total, path): the heaviest path that ends in each node, by weight; of equal
-    ones the first by its labels. Round k extends the best paths of k nodes by one. Cycles raise GraphError."""
+    """nodes (label, weight) -> (label, level, total, previous): the weight of the heaviest path that ends in each node, and
+    the node before it on that path; of equal ones the smallest label. Cycles raise GraphError."""
     own = nodes.select("label", F.col("weight").cast("long").alias("weight"))
-    best = F.min(F.struct((-F.col("total")).alias("minus"), "path")).alias("best")
-    current, parts = own.select("label", F.col("weight").alias("total"), F.array("label").alias("path")), []
-    while True:
-        current = stage(current, "longest")
-        if current.isEmpty():
-            break
-        parts.append(current)
-        _guard(len(parts), edges)
-        into = edges.join(current.withColumnRenamed("label", "src"), "src").groupBy("dst").agg(best)
-        step = into.join(own.withColumnRenamed("label", "dst"), "dst")
-        current = step.select(F.col("dst").alias("label"), (F.col("weight") - F.col("best.minus")).alias("total"), F.concat("best.path", F.array("dst")).alias("path"))
-    if not parts:
-        return current
-    return _union(parts).groupBy("label").agg(best).select("label", (-F.col("best.minus")).alias("total"), F.col("best.path").alias("path"))
+    kind = dict(nodes.dtypes)["label"]
+    best = F.col("best").cast(f"struct<minus: bigint, previous: {kind}>")
+    total = F.col("weight") - F.coalesce(best["minus"], F.lit(0).cast("long"))
+    sent = {"best": F.struct((-F.col("total")).alias("minus"), F.col("label").alias("previous"))}
+    return _in_order(own, edges, sent, {"best": F.min}, {"total": total, "previous": best["previous"]})
+
+
+def _jumps(steps: DataFrame):
+    """(here, there), one step from every node at most -> the same for 1, 2, 4, ... steps, until none is left or the
+    nodes are used up."""
+    steps = stage(steps, "jumps")
+    for _ in range(max(1, steps.count()).bit_length()):
+        yield steps
+        further = steps.select(F.col("here").alias("_here"), F.col("there").alias("here")).join(steps, "here").select(F.col("_here").alias("here"), "there")
+        steps = stage(further, "jumps")
+        if steps.isEmpty():
+            return
+
+
+def followed(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """(label, place): where one leads to that follows ``steps`` (here, there) from ``start`` (label), by pointer
+    doubling: the rounds follow the logarithm of the way. In a ring each label has its first place."""
+    seen, size = stage(start.select("label", F.lit(0).cast("long").alias("place")), "followed"), 1
+    for jump in _jumps(steps):
+        more = jump.join(seen.withColumnRenamed("label", "here"), "here").select(F.col("there").alias("label"), (F.col("place") + size).alias("place"))
+        seen = stage(seen.unionByName(more).groupBy("label").agg(F.min("place").alias("place")), "followed")
+        size *= 2
+    return seen
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -171,27 +204,29 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     target = F.col("node_type") == "target"
     part = lambda c: F.when(target, F.coalesce(F.col(c), F.lit(0))).otherwise(0)
     weighed = nodes.select("label", part("execution_millis").alias("exec"), part("cache_millis").alias("cache")).withColumn("weight", F.col("exec") + F.col("cache"))
-    best = longest_paths(weighed, edges).orderBy(F.col("total").desc(), "label").limit(1)
-    on_path = best.select("path", F.explode("path").alias("label")).join(weighed, "label")
-    return on_path.groupBy("path").agg(F.sum("exec").cast("long").alias("exec_millis"), F.sum("cache").cast("long").alias("cache_millis"))
+    best = stage(longest_paths(weighed, edges), "longest")
+    back = best.where("previous IS NOT NULL").select(F.col("label").alias("here"), F.col("previous").alias("there"))
+    on_path = followed(back, best.orderBy(F.col("total").desc(), "label").limit(1).select("label")).join(weighed, "label")
+    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("place"), "label"))), lambda x: x["label"])
+    row = on_path.agg(path.alias("path"), F.sum("exec").cast("long").alias("exec_millis"), F.sum("cache").cast("long").alias("cache_millis"))
+    return row.where(F.size("path") > 0)
 
 
-def find_cycle(edges: DataFrame) -> list:
-    """One cycle, closed by repeating its first label; empty if there is none. From the smallest label on any cycle's
-    core it follows the smallest dependants."""
+def find_cycle(edges: DataFrame) -> DataFrame:
+    """(place, label): one cycle, closed by repeating its first label; empty if there is none. From the smallest label on
+    any cycle's core it follows the smallest dependants."""
     rest = edges
     for back in (False, True):  # nodes in front of all cycles go, then those behind
         turned = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else rest
         *_, rest = _peel(_labels(turned), turned)
-    if rest.isEmpty():
-        return []
     # Both peelings done: every node left has a next one (edges are turned around now).
     after = stage(rest.groupBy(F.col("dst").alias("here")).agg(F.min("src").alias("there")), "cycle")
-    at, walked = after.agg(F.min("here")).first()[0], []
-    while at not in walked:
-        walked.append(at)
-        at = after.where(F.col("here") == F.lit(at)).first()[1]
-    return [*walked[walked.index(at) :], at]
+    walk = followed(after, after.orderBy("here").limit(1).select(F.col("here").alias("label")))
+    # The way never ends, so its last new label leads back to where the ring begins.
+    last = walk.orderBy(F.desc("place")).limit(1).select(F.col("label").alias("here"), F.col("place").alias("until"))
+    first = last.join(after, "here").select(F.col("there").alias("label"), "until").join(walk, "label").select(F.col("label").alias("again"), F.col("place").alias("since"), "until")
+    ring = walk.join(F.broadcast(first), F.col("place") >= F.col("since"))
+    return ring.select((F.col("place") - F.col("since")).alias("place"), "label").unionByName(first.select((F.col("until") - F.col("since") + 1).alias("place"), F.col("again").alias("label"))).orderBy("place")
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:

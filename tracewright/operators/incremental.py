@@ -1,13 +1,15 @@
 """Incremental computation: definition, change and output hashes, early cutoff, cache hits, failures.
 
-All hashes are SHA-256 in hex. An output's digest is what the caller stores for it; the canonical form of a target's
+Hashes are SHA-256 in hex, or XXH3 of 128 bits where ``algorithm`` says "xxh3". An output's digest is what the caller stores for it; the canonical form of a target's
 outputs is the sorted list of "type::identifier=digest".
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def _listed(name: str) -> Column:
     return F.coalesce(name, F.array().cast(_STRINGS)) if isinstance(name, str) else name
 
 
-def definition_hash(dependency_hashes: Column, platform: str, platform_tags: Sequence[str] = (), extra: Sequence[str] = (), oci_backend: str = "fs") -> Column:
+def definition_hash(dependency_hashes: Column, platform: str, platform_tags: Sequence[str] = (), extra: Sequence[str] = (), oci_backend: str = "fs", algorithm: str = "sha256") -> Column:
     """Over a node's label, command, sorted inputs, outputs, dependency hashes and fingerprint, then extra arguments,
     the platform unless the target is cached for all, and the image backend if it makes images. No separators."""
     outputs = F.transform(F.coalesce("outputs", F.array().cast("array<struct<type: string, identifier: string>>")), X.output_text)
@@ -35,17 +37,40 @@ def definition_hash(dependency_hashes: Column, platform: str, platform_tags: Seq
         F.col("label"), F.coalesce("command", F.lit("")), X.list_text(F.col("inputs")), X.list_text(outputs), X.list_text(dependency_hashes), X.map_text(F.col("fingerprint")), F.lit("\0".join(extra)),
         F.when(F.array_contains(_listed("tags"), ANY_PLATFORM), "").otherwise(here), F.when(images, oci_backend).otherwise(""),
     ]
-    return F.sha2(F.concat(*parts), 256)
+    return X.text_hash(F.concat(*parts), algorithm)
 
 
-def content_hashes(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def content_hashes(nodes: DataFrame, files: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """(label, content_hash) of the targets that have inputs: over the contents of their files in path order. Files
-    that are missing don't count. ``files``: (file, content binary)."""
+    that are missing don't count. ``files``: (file, content binary).
+
+    The files of a target stand together, sorted, and one digest runs over them, so a task holds one file at a time.
+    """
     from tracewright.operators.changes import input_files
 
+    def start():
+        if algorithm == "sha256":
+            return hashlib.sha256()
+        import xxhash
+
+        return xxhash.xxh3_128()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, digest = None, None
+        for b in batches:
+            done: list[tuple[str, str]] = []
+            for who, content in zip(b.column(0), b.column(1), strict=True):
+                if digest is None or who.as_py() != label:
+                    if digest is not None:
+                        done.append((label, digest.hexdigest()))
+                    label, digest = who.as_py(), start()
+                digest.update(content.as_py() or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.string())], names=["label", "content_hash"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([digest.hexdigest()], pa.string())], names=["label", "content_hash"])
+
     rows = input_files(nodes).distinct().join(files.select("file", "content"), "file", "left")
-    lists = rows.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("file", F.hex("content").alias("hex")))).alias("all"))
-    return lists.select("label", F.sha2(F.unhex(F.array_join(F.transform("all", lambda x: F.coalesce(x["hex"], F.lit(""))), "")), 256).alias("content_hash"))
+    return rows.repartition("label").sortWithinPartitions("label", "file").select("label", "content").mapInArrow(run, "label string, content_hash string")
 
 
 def change_hash(definition: Column, content: Column, inputs: Column) -> Column:
@@ -53,9 +78,17 @@ def change_hash(definition: Column, content: Column, inputs: Column) -> Column:
     return F.when(F.coalesce(F.size(inputs), F.lit(0)) > 0, F.concat_ws("_", definition, content)).otherwise(definition)
 
 
-def output_hash(digests: Column, change: Column) -> Column:
+def output_hash(digests: Column, change: Column, algorithm: str = "sha256") -> Column:
     """Over the sorted digests of a target's outputs; a target without outputs has its change hash."""
-    return F.when(F.coalesce(F.size(digests), F.lit(0)) <= 0, change).otherwise(X.list_hash(digests))
+    return F.when(F.coalesce(F.size(digests), F.lit(0)) <= 0, change).otherwise(X.list_hash(digests, algorithm))
+
+
+def dependency_hashes(edges: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(label, hashes): the output hashes of a node's dependencies, of ``hashes`` (label, output_hash). A dependency that
+    is there without one is an error."""
+    met = edges.join(hashes.select(F.col("label").alias("src"), "output_hash"), "src")
+    missing = F.raise_error(F.concat(F.lit("dependency "), "src", F.lit(" of "), "dst", F.lit(" has no output hash")))
+    return met.select(F.col("dst").alias("label"), F.coalesce("output_hash", missing).alias("hash")).groupBy("label").agg(F.collect_list("hash").alias("hashes"))
 
 
 def is_hit(cached: Column, tainted: Column, tags: Column, enabled: bool = True) -> Column:
@@ -81,8 +114,7 @@ def plan_builds(nodes: DataFrame, edges: DataFrame, contents: DataFrame, results
         if done is None:
             here = here.withColumn("hashes", F.array().cast(_STRINGS))
         else:
-            into = edges.join(done.select(F.col("label").alias("src"), "output_hash"), "src").groupBy(F.col("dst").alias("label")).agg(F.collect_list("output_hash").alias("hashes"))
-            here = here.join(into, "label", "left").withColumn("hashes", _listed("hashes"))
+            here = here.join(dependency_hashes(edges, done), "label", "left").withColumn("hashes", _listed("hashes"))
         here = here.withColumn("definition", definition_hash(F.col("hashes"), platform, **options)).join(contents, "label", "left")
         here = here.withColumn("change_hash", change_hash(F.col("definition"), F.col("content_hash"), F.col("inputs")))
         here = here.join(latest, "change_hash", "left").join(marks, "label", "left").join(produced.select("label", F.col("output_hash").alias("made")), "label", "left")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.labels import Pattern, any_pattern, is_test
+from tracewright.operators import graph
 from tracewright.operators.graph import reachable
+from tracewright.storage import stage
 
 TYPES = ("all", "test", "no_test", "bin_output")
 
@@ -72,6 +74,20 @@ def build_selection(nodes: DataFrame, edges: DataFrame, host: str, enabled: Sequ
     return rows.where("chosen OR ancestor")
 
 
+def platform_error(nodes: DataFrame, edges: DataFrame, host: str, enabled: Sequence[str] = (), every: bool = False, **options) -> DataFrame:
+    """(label, chain, message): why a build can't be selected, for the smallest label that doesn't fit the platform although
+    a selected node needs it: the shortest chain from such a node to it. No row if all fit."""
+    fits = fits_platform(host, enabled, every)
+    chosen = stage(nodes.where(selected(**options)).where(fits).select("label"), "selected")
+    ways = stage(graph.explored(edges, chosen, "deps"), "needed")
+    misfit = nodes.where(~fits).select("label").join(ways.select("label"), "label", "left_semi").agg(F.min("label").alias("label")).where("label IS NOT NULL")
+    back = ways.join(chosen, "label", "left_anti").select(F.col("label").alias("here"), F.col("previous").alias("there"))
+    chain = graph.followed(back, misfit).agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"])).alias("chain")).where("size(chain) > 0")
+    tags = f" (active platform tags: [{' '.join(enabled)}])" if enabled else ""
+    text = F.concat(F.lit("could not select node "), F.get("chain", F.lit(0)), F.lit(" because it depends on "), F.array_join(F.slice("chain", 2, F.size("chain")), " -> "), F.lit(f", which does not match the platform {host}{tags}"))
+    return chain.select(F.get("chain", F.lit(0)).alias("label"), "chain", text.alias("message"))
+
+
 def selection_counts(nodes: DataFrame, host: str, **options) -> DataFrame:
     """One row: selected and skipped for their platform."""
     fits = fits_platform(host)

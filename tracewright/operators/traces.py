@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewright.functions import scalars as X
+from tracewright.storage import stage
 
 RECENT = 20
 #: Thresholds of the bottleneck report (all strict), and entries of a category.
@@ -102,6 +103,15 @@ def show_trace(spans: DataFrame, trace_id: str, sort_by: str = "total", top: int
     return rows.select("label", X.status_text(F.col("status")).alias("status"), X.cache_text(F.col("cache_result")).alias("cache"), "total_duration_millis", "command_duration_millis", "queue_wait_millis", "hash_duration_millis", io_ms_show().alias("io_ms_show"))
 
 
+def trace_header(builds: DataFrame, trace_id: str) -> DataFrame:
+    """What stands above a trace's targets: one row of texts; none for an unknown id."""
+    rate = F.coalesce(F.try_divide(F.col("cache_hit_count") * F.lit(100.0), F.col("total_targets")), F.lit(0.0))
+    return builds.where(F.col("trace_id") == trace_id).select(
+        "trace_id", "command", X.date_of(F.col("start_time_unix_millis")).alias("date"), X.duration_text(F.col("total_duration_millis")).alias("duration"), X.short_commit(F.col("git_commit")).alias("commit"), "git_branch", "platform",
+        "total_targets", "success_count", "failure_count", X.percent_text(rate).alias("hit_rate"),
+    )
+
+
 def stats(builds: DataFrame, limit: int = RECENT, **filters) -> DataFrame:
     """One row over the window: build_count, avg_duration, cache_hit_rate (ratio of sums, percent), failure_count. On
     an empty window 0, null, null, 0."""
@@ -155,7 +165,7 @@ def overall_miss_rate(measures: DataFrame) -> DataFrame:
 
 def ranked_categories(measures: DataFrame, per: int = PER_CATEGORY) -> DataFrame:
     """All categories in one table: (category, place, label, value)."""
-    out = None
+    out, measures = None, stage(measures, "measures")
     for name, metric in CATEGORIES.items():
         part = bottleneck_category(measures, name, per).select("label", F.col(metric).cast("double").alias("value"))
         part = part.withColumn("place", F.row_number().over(Window.orderBy(F.col("value").desc(), "label"))).select(F.lit(name).alias("category"), "place", "label", "value")
@@ -223,6 +233,15 @@ def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service:
     return full.select("trace_id", F.to_json(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("value"))
 
 
+def as_otlp_document(builds: DataFrame, spans: DataFrame, **options) -> DataFrame:
+    """(place, value): the lines of one OTLP document over all traces, in order by place."""
+    rows = as_otlp(builds, spans, **options)
+    first = F.col("trace_id") == builds.agg(F.min("trace_id")).scalar()
+    body = rows.select(F.lit(1).alias("place"), "trace_id", F.concat(F.when(first, "").otherwise(","), "value").alias("value"))
+    ends = rows.sparkSession.createDataFrame([(0, None, '{"resourceSpans":['), (2, None, "]}")], "place int, trace_id string, value string")
+    return body.unionByName(ends).orderBy("place", "trace_id").select("place", "value")
+
+
 # ---- assembly
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import date_of, short_commit, short_id
-from tracewright.operators.traces import io_ms_stats, nested
+from tracewright.operators.traces import io_ms_stats
 
 DAY = 86_400_000
 
@@ -79,8 +79,8 @@ def command_averages(spans: DataFrame) -> DataFrame:
 
 
 def slowest_span(builds: DataFrame, spans: DataFrame, n: int = 1) -> DataFrame:
-    rows = nested(builds.select("trace_id"), spans).select("trace_id", F.explode("spans").alias("s"))
-    return rows.select("trace_id", "s.label", "s.total_duration_millis").orderBy(F.col("total_duration_millis").desc(), "trace_id", "label").limit(n)
+    rows = spans.join(builds.select("trace_id"), "trace_id", "left_semi").select("trace_id", "label", "total_duration_millis")
+    return rows.orderBy(F.col("total_duration_millis").desc(), "trace_id", "label").limit(n)
 
 
 def failed_builds(builds: DataFrame) -> DataFrame:

@@ -131,8 +131,110 @@ def k2_json_lines(spark: SparkSession, d: str) -> DataFrame:
 def k3_otlp_export(spark: SparkSession, d: str) -> DataFrame:
     docs = T.as_otlp(star.builds(spark, d), star.spans(spark, d))
     path = lambda p: F.get_json_object("value", p)
-    spans = "$.scopeSpans[0].spans"
-    return docs.select("trace_id", path(f"{spans}[0].name").alias("root_name"), path(f"{spans}[0].startTimeUnixNano").alias("start_nano"), path(f"{spans}[0].status.code").cast("int").alias("status_code"), path(f"{spans}[1].name").alias("first_child"))
+    docs = docs.select("trace_id", F.get_json_object("value", "$.scopeSpans[0].spans[0]").alias("value"), F.get_json_object("value", "$.scopeSpans[0].spans[1]").alias("child"))
+    child = lambda p: F.get_json_object("child", p)
+    return docs.select(
+        "trace_id", path("$.traceId").alias("trace_hex"), path("$.name").alias("root_name"), path("$.startTimeUnixNano").alias("start_nano"), path("$.endTimeUnixNano").alias("end_nano"), path("$.status.code").cast("int").alias("status_code"),
+        path("$.attributes[3].value.intValue").alias("total_targets"), path("$.attributes[6].value.boolValue").cast("boolean").alias("is_ci"), child("$.name").alias("first_child"), (child("$.parentSpanId") == path("$.spanId")).alias("linked"),
+        child("$.attributes[0].value.stringValue").alias("cache_result"), child("$.attributes[1].value.stringValue").alias("change_hash"), child("$.attributes[3].value.intValue").alias("command_ms"),
+    )
+
+
+@query
+def k3_otlp_document(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of one document over all traces, read back as JSON."""
+    from tracewright.storage import new_folder
+
+    path = new_folder(spark, "otlp")
+    T.as_otlp_document(star.builds(spark, d), star.spans(spark, d)).select("value").write.text(path)
+    lines = spark.read.text(path)
+    body = lines.where(F.col("value").contains("scopeSpans")).select(F.from_json(F.ltrim("value", F.lit(",")), "struct<scopeSpans: array<struct<spans: array<struct<name: string, traceId: string>>>>>").alias("r"), (~F.col("value").startswith(",")).cast("int").alias("first"))
+    spans = body.select("first", F.col("r.scopeSpans")[0]["spans"].alias("spans")).select("first", F.col("spans")[0]["traceId"].alias("trace_hex"), F.size("spans").cast("long").alias("n_spans"))
+    return spans.unionByName(lines.where(~F.col("value").contains("scopeSpans")).select(F.lit(-1).alias("first"), F.col("value").alias("trace_hex"), F.lit(0).cast("long").alias("n_spans")))
+
+
+@query
+def x21_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("trace_id")
+    return star.builds(spark, d).select("trace_id", X.trace_hex(t).alias("trace_hex"), X.span_hex(t, F.lit("r")).alias("span_hex"), X.trace_hex(F.concat(F.lpad(t, 16, "0"), F.lpad(t, 16, "0"))).alias("as_uuid"))
+
+
+@query
+def j3_trace_header(spark: SparkSession, d: str) -> DataFrame:
+    return T.trace_header(star.builds(spark, d), "7")
+
+
+@query
+def l4_slowest_targets(spark: SparkSession, d: str) -> DataFrame:
+    return T.show_trace(star.spans(spark, d), "7", top=3).select("label", "total_duration_millis")
+
+
+@query
+def x9_rate_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of builds, whole numbers, megabytes and platforms as text."""
+    b = star.builds(spark, d).where("total_targets > 0")
+    rate = F.col("cache_hit_count") * F.lit(100.0) / F.col("total_targets")
+    return b.select("trace_id", X.percent_text(rate).alias("rate"), X.whole_text(F.col("total_duration_millis")).alias("whole"), X.megabytes(F.col("total_targets") * 262_144).alias("megabytes"), X.platform_text(F.lit("linux"), F.lit("arm64")).alias("platform"))
+
+
+@query
+def k1_stored_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Traces of one month's days written by date and read back: builds and spans of each day, and a store that isn't there."""
+    from tracewright.sources import traces as stored
+    from tracewright.storage import new_folder
+
+    root = new_folder(spark, "store")
+    month = F.col("start_time_unix_millis") % (30 * 24 * X.HOUR)
+    stored.write_traces(star.builds(spark, d).withColumn("start_time_unix_millis", month), star.spans(spark, d), root)
+    builds, spans = stored.read_builds(spark, root), stored.read_spans(spark, root)
+    none = stored.read_builds(spark, f"{root}/none").agg(F.count("*")).scalar()
+    each = builds.select("trace_id", X.date_of(F.col("start_time_unix_millis")).alias("day"), "failure_count").join(spans.groupBy("trace_id").agg(F.count("*").alias("n")), "trace_id", "left")
+    return each.groupBy("day").agg(F.count("*").alias("builds"), F.sum("n").alias("spans"), F.sum("failure_count").alias("failures")).withColumn("elsewhere", none)
+
+
+@query
+def e12_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Exported JSON lines, read back as two tables."""
+    from tracewright.sources import traces as stored
+    from tracewright.storage import new_folder
+
+    path = new_folder(spark, "lines")
+    stored.write_json_lines(star.builds(spark, d), star.spans(spark, d), path)
+    builds, spans = stored.read_json_lines(spark, path)
+    return builds.select("trace_id", "command", "is_ci").join(spans.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.sum("total_duration_millis").alias("millis")), "trace_id", "left")
+
+
+@query
+def s5_json_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """A definition file per package, written and loaded: labels, dependencies and outputs of its targets and aliases."""
+    from tracewright.sources.definitions import load
+    from tracewright.storage import new_folder
+
+    p = F.col("p_partkey")
+    target = F.struct(F.concat(F.lit("n"), p.cast("string")).alias("name"), F.col("p_name").alias("command"), F.array(F.concat(F.lit(":n"), F.expr("p_partkey div 2").cast("string")), F.lit("//top")).alias("dependencies"), F.array(F.concat(F.lit("dir::o"), p.cast("string"))).alias("outputs"))
+    packed = star.table(spark, d, "part").groupBy(F.pmod(p, F.lit(20)).alias("folder")).agg(F.collect_list(target).alias("targets"))
+    alias = F.array(F.struct(F.lit("any").alias("name"), F.concat(F.lit(":n"), F.col("folder").cast("string")).alias("actual")))
+    root = new_folder(spark, "workspace")
+    files = packed.select(F.to_json(F.struct("targets", alias.alias("aliases"))).alias("value"), F.concat(F.lit("p"), F.col("folder").cast("string")).alias("package"))
+    for package in [f"p{k}" for k in range(20)]:  # a fixed number of folders
+        files.where(F.col("package") == package).select("value").coalesce(1).write.text(f"{root}/{package}")
+    loaded = load(spark, root, names={"part-*": "json"})
+    return loaded.select("label", "node_type", F.array_join("dependencies", ",").alias("dependencies"), F.get("outputs", F.lit(0))["type"].alias("output_type"), "actual")
+
+
+@query
+def s13_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Files listed, sized and read: the sums of what was written."""
+    from tracewright.sources import files
+    from tracewright.storage import new_folder
+
+    root = new_folder(spark, "files")
+    star.table(spark, d, "part").select("p_name").repartition(5).write.text(root)
+    listed = files.listing(spark, root, ".txt").agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("listed"))
+    read = files.contents(spark, root, "*.txt").agg(F.sum(F.octet_length("content")).alias("content_bytes"))
+    size = files.folder_size(spark, root).select((F.col("files") > 0).alias("some"))
+    lines = files.log_lines(spark, root).agg(F.count("*").alias("lines"))
+    return spark.range(1).select(listed.select("listed").scalar().alias("listed"), read.scalar().alias("content_bytes"), size.scalar().alias("some"), lines.scalar().alias("lines"))
 
 
 # ---- documented questions
@@ -243,12 +345,12 @@ def _one(spark: SparkSession, p: int) -> DataFrame:
 
 @query
 def g5_deps_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path_counts(_parts(spark, d)[1], _one(spark, 199), "deps")
+    return graph.path_counts(_parts(spark, d)[1], _one(spark, 199), "deps").select("label", F.col("paths").cast("long").alias("paths"))
 
 
 @query
 def g6_rdeps_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path_counts(_parts(spark, d)[1], _one(spark, 7), "rdeps")
+    return graph.path_counts(_parts(spark, d)[1], _one(spark, 7), "rdeps").select("label", F.col("paths").cast("long").alias("paths"))
 
 
 @query
@@ -355,19 +457,78 @@ def g16_consumer_roots(spark: SparkSession, d: str) -> DataFrame:
     return C.consumer_roots(nodes, edges, _changed(spark, d))
 
 
+def _clashing(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's nodes with outputs in shared folders: of each sixty parts some write a folder, a folder in it, files in
+    it, and images."""
+    number = F.regexp_extract("label", ":n([0-9]+)", 1).cast("long")
+    place = lambda by, *after: F.concat(F.lit("../../shared/d"), F.floor(number / 60).cast("string"), F.lit("/f" if by else ""), *([F.floor(number / by).cast("string")] if by else []), *map(F.lit, after))
+    one = lambda kind, name: F.struct(F.lit(kind).alias("type"), name.alias("identifier"))
+    output = F.when(number % 12 == 0, one("dir", place(0, "/./sub/"))).when(number % 12 == 6, one("dir", place(0))).when(number % 6 == 1, one("file", place(30, ".txt"))).when(number % 6 == 2, one("oci", F.concat(F.lit("img"), F.floor(number / 60).cast("string"))))
+    return star.nodes(spark, d).withColumn("outputs", F.array(output.otherwise(one("file", F.concat(F.lit("own"), number.cast("string")))))).withColumn("bin_output", F.lit(None).cast("struct<type: string, identifier: string>"))
+
+
 @query
 def g19_output_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _parts(spark, d)
-    return checks.output_conflicts(nodes, edges)
+    from tracewright.storage import stage
+
+    return checks.output_conflicts(stage(_clashing(spark, d), "nodes"), _parts(spark, d)[1])
 
 
 @query
 def g20_constraints(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = star.nodes(spark, d), star.edges(spark, d)
-    nodes = nodes.withColumns({"dependencies": F.array().cast("array<string>"), "output_checks": F.array().cast("array<string>"), "oci_push": F.create_map().cast("map<string, array<string>>")})
+    """Every check has something to find: paths that are absolute or lead out, idle targets, pushes without an image,
+    tests and test-only targets in the wrong hands."""
+    nodes, edges = _parts(spark, d)
+    p = F.regexp_extract("label", ":n([0-9]+)", 1).cast("long")
+    text, none = p.cast("string"), F.array().cast("array<string>")
+    image = F.struct(F.lit("oci").alias("type"), F.concat(F.lit("img"), text).alias("identifier"))
+    lost = F.when(p % 31 == 0, F.concat(F.lit("/abs"), text)).when(p % 37 == 0, F.concat(F.lit("../../../up"), text))
+    nodes = nodes.withColumns({
+        "inputs": F.when(p % 41 == 0, none).when(p % 113 == 0, F.array(F.concat(F.lit("/etc/x"), text))).otherwise(F.col("inputs")),
+        "dependencies": F.when(p % 41 == 0, none).otherwise(F.array(F.lit("//:any"))),
+        "fingerprint": F.when(p % 41 == 0, F.create_map().cast("map<string, string>")).otherwise(F.col("fingerprint")),
+        "output_checks": none,
+        "outputs": F.concat("outputs", F.when(p % 86 == 0, F.array(image)).otherwise(F.array().cast("array<struct<type: string, identifier: string>>")), F.when(lost.isNotNull(), F.array(F.struct(F.lit("file").alias("type"), lost.alias("identifier")))).otherwise(F.array().cast("array<struct<type: string, identifier: string>>"))),
+        "oci_push": F.when(p % 43 == 0, F.create_map(F.concat(F.lit("img"), text), F.array(F.lit("registry")))).otherwise(F.create_map().cast("map<string, array<string>>")),
+        "tags": F.when(p % 17 == 0, F.array_append("tags", F.lit("testonly"))).otherwise(F.col("tags")),
+    })
     return checks.constraints(nodes, edges)
 
 
+@query
+def a10_duplicate_labels(spark: SparkSession, d: str) -> DataFrame:
+    nodes = star.nodes(spark, d).select("label", "node_type")
+    return checks.duplicate_labels(nodes.unionByName(nodes.where("node_type = 'resource'")))
+
+
+@query
+def j4_missing_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = star.nodes(spark, d), star.edges(spark, d)
+    return checks.dangling(nodes.where("node_type = 'target'"), edges)
+
+
+@query
+def g2_self_loops(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = star.nodes(spark, d), star.edges(spark, d)
+    own = nodes.where("node_type = 'resource'").select(F.col("label").alias("src"), F.col("label").alias("dst"))
+    return graph.self_loops(edges.unionByName(own))
+
+
+@query
+def g1_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of nodes by their dependency lists; resources stand in as aliases of part 1."""
+    nodes, edges = star.nodes(spark, d), star.edges(spark, d)
+    lists = edges.groupBy(F.col("dst").alias("label")).agg(F.collect_list("src").alias("dependencies"))
+    full = nodes.select("label", F.when(F.col("node_type") == "resource", _label(1)).alias("actual")).join(lists, "label", "left")
+    return graph.edges_of(full)
+
+
+@query
+def g12_platform_error(spark: SparkSession, d: str) -> DataFrame:
+    found = selection.platform_error(*_parts(spark, d), "linux/amd64", patterns=[Pattern.parse("//g3/...")])
+    return found.select(F.size("chain").alias("steps"), F.element_at("chain", -1).alias("misfit"), F.col("message").contains("which does not match the platform linux/amd64").alias("said"))
+
+
 @query
 def g21_completions(spark: SparkSession, d: str) -> DataFrame:
     return completions(star.nodes(spark, d).select("package", "name"), "//g3/p1")
@@ -413,6 +574,31 @@ def i4_early_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return incremental.plan_builds(nodes, edges, changed, before.select("change_hash", "output_hash"), again).select("label", "level", "hit")
 
 
+@query
+def i2_change_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Change and output hashes: of targets with and without inputs and outputs (I2, I5, I6)."""
+    nodes = star.nodes(spark, d)
+    number = F.regexp_extract("label", ":n([0-9]+)", 1).cast("long")
+    inputs = F.when(number % 3 != 0, F.col("inputs")).otherwise(F.array().cast("array<string>"))
+    digests = F.when(number % 4 != 0, F.array(F.lit("z"), F.concat(F.lit("d"), number.cast("string"))))
+    rows = nodes.select("label", incremental.change_hash(F.sha2("label", 256), F.sha2("name", 256), inputs).alias("change_hash"), digests.alias("digests"))
+    return rows.select("label", "change_hash", incremental.output_hash(F.col("digests"), F.col("change_hash")).alias("output_hash"))
+
+
+@query
+def i9_taints(spark: SparkSession, d: str) -> DataFrame:
+    nodes = star.nodes(spark, d)
+    store = incremental.taint(nodes.where(F.col("node_type") == "resource").select("label"), nodes.where(F.array_contains("tags", "tag1")).select("label"))
+    return incremental.untaint(store, nodes.where(F.array_contains("tags", "Brand#12")).select("label"))
+
+
+@query
+def a6_errors(spark: SparkSession, d: str) -> DataFrame:
+    s = star.spans(spark, d).where("trace_id IN ('1', '7', '32', '33')")
+    done = s.select(F.concat("trace_id", "label", F.lit("#"), F.col("cache_check_millis").cast("string")).alias("label"), (F.col("status") == "SUCCESS").alias("is_success"), F.when(F.col("status") == "FAILURE", F.concat(F.lit("failed: "), "command")).alias("err"), "cache_result")
+    return incremental.errors(done)
+
+
 @query
 def i10_failure_propagation(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _parts(spark, d)
@@ -515,8 +701,7 @@ def j21_tool_paths(spark: SparkSession, d: str) -> DataFrame:
 def g10_cycle(spark: SparkSession, d: str) -> DataFrame:
     """The graph with one edge back, from part 64 to part 2: a row per label of the cycle."""
     edges = _parts(spark, d)[1].union(spark.createDataFrame([(_label(64), _label(2))], "src string, dst string"))
-    found = graph.find_cycle(edges)
-    return spark.createDataFrame(list(enumerate(found)), "place long, label string")
+    return graph.find_cycle(edges)
 
 
 @query
@@ -526,7 +711,7 @@ def s11_expand_inputs(spark: SparkSession, d: str) -> DataFrame:
     own = star.nodes(spark, d).where("node_type = 'target'")
     listed = C.input_files(own).select(F.col("file").alias("key")).distinct()
     asked = own.select("label", "package", F.array(F.lit("src1*.txt"), F.lit("plain")).alias("inputs"), F.array(F.lit("src1?.txt")).alias("exclude_inputs"))
-    return expand_inputs(asked.where(F.col("name").endswith("1")), listed)
+    return expand_inputs(asked, listed)
 
 
 @query

@@ -66,6 +66,7 @@ def _paths(start: int, here: str, there: str) -> str:
     return _graph(f"SELECT {_LABEL('p')} AS label, count(*) AS paths FROM walk GROUP BY p", walk)
 
 
+_TRACE_HEX = "rpad(lower(hex(encode(trace_id))), 32, '0')"
 _OUT = "'out/' || (p // 2) || '.bin'"
 _DOWN = "down AS (SELECT p AS head, p AS here, w AS total, 0 AS depth FROM weighed UNION ALL SELECT head, s, total + w, depth + 1 FROM down JOIN e ON t = here JOIN weighed ON p = s)"
 _WEIGHED = "weighed AS (SELECT p, CASE WHEN resource THEN 0 ELSE p_size + p % 3 END AS w FROM n)"
@@ -94,8 +95,30 @@ def oracle_sql() -> dict[str, str]:
             FROM builds LEFT JOIN spans s USING (trace_id) GROUP BY trace_id"""),
         "k2_json_lines": _traces("""SELECT trace_id, any_value(command) AS command, arg_min(s.label, (s.start_time_unix_millis, s.label)) AS first_label, any_value(total_targets) AS total_targets
             FROM builds LEFT JOIN spans s USING (trace_id) GROUP BY trace_id"""),
-        "k3_otlp_export": _traces("""SELECT trace_id, 'build ' || any_value(command) AS root_name, any_value(b.start_time_unix_millis) || '000000' AS start_nano, any_value(CASE WHEN failure_count > 0 THEN 2 ELSE 1 END) AS status_code,
-            arg_min(s.label, (s.start_time_unix_millis, s.label)) AS first_child FROM builds b LEFT JOIN spans s USING (trace_id) GROUP BY trace_id"""),
+        "k3_otlp_export": _traces(f"""SELECT trace_id, any_value({_TRACE_HEX}) AS trace_hex, 'build ' || any_value(b.command) AS root_name, any_value(b.start_time_unix_millis) || '000000' AS start_nano,
+            any_value(b.start_time_unix_millis + b.total_duration_millis) || '000000' AS end_nano, any_value(CASE WHEN failure_count > 0 THEN 2 ELSE 1 END) AS status_code, CAST(any_value(total_targets) AS VARCHAR) AS total_targets, any_value(is_ci) AS is_ci,
+            arg_min(s.label, (s.start_time_unix_millis, s.label)) AS first_child, CASE WHEN count(s.label) > 0 THEN true END AS linked, arg_min(s.cache_result, (s.start_time_unix_millis, s.label)) AS cache_result,
+            arg_min(s.change_hash, (s.start_time_unix_millis, s.label)) AS change_hash, CAST(arg_min(s.command_duration_millis, (s.start_time_unix_millis, s.label)) AS VARCHAR) AS command_ms
+            FROM builds b LEFT JOIN spans s USING (trace_id) GROUP BY trace_id"""),
+        "k3_otlp_document": _traces(f"""SELECT CASE WHEN trace_id = (SELECT min(trace_id) FROM builds) THEN 1 ELSE 0 END AS first, {_TRACE_HEX} AS trace_hex, (SELECT count(*) FROM spans s WHERE s.trace_id = builds.trace_id) + 1 AS n_spans FROM builds
+            UNION ALL SELECT -1, '{{"resourceSpans":[', 0 UNION ALL SELECT -1, ']}}', 0"""),
+        "x21_identifiers": _traces(f"SELECT trace_id, {_TRACE_HEX} AS trace_hex, rpad(lower(hex(encode(trace_id || 'r'))), 16, '0') AS span_hex, lpad(trace_id, 16, '0') || lpad(trace_id, 16, '0') AS as_uuid FROM builds"),
+        "j3_trace_header": _traces(f"""SELECT trace_id, command, {_DAYTEXT} AS date, printf('%.1fs', total_duration_millis / CAST(1000 AS DOUBLE)) AS duration, left(git_commit, 7) AS commit, 'main' AS git_branch, 'linux/amd64' AS platform, total_targets,
+            total_targets - failure_count AS success_count, failure_count, printf('%.1f%%', cache_hit_count * CAST(100 AS DOUBLE) / total_targets) AS hit_rate FROM builds WHERE trace_id = '7'"""),
+        "l4_slowest_targets": _traces("SELECT label, total_duration_millis FROM spans WHERE trace_id = '7' ORDER BY total_duration_millis DESC, label LIMIT 3"),
+        "x9_rate_texts": _traces("""SELECT trace_id, printf('%.1f%%', cache_hit_count * CAST(100 AS DOUBLE) / total_targets) AS rate, CAST(total_duration_millis AS VARCHAR) AS whole, printf('%.2f', total_targets / CAST(4 AS DOUBLE)) AS megabytes, 'linux/arm64' AS platform
+            FROM builds WHERE total_targets > 0"""),
+        "k1_stored_traces": _traces(f"""SELECT strftime(make_timestamp(start_time_unix_millis % {30 * _DAY} * 1000), '%Y-%m-%d') AS day, count(*) AS builds, CAST(sum(n) AS BIGINT) AS spans, CAST(sum(failure_count) AS BIGINT) AS failures, 0 AS elsewhere
+            FROM builds LEFT JOIN (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id) USING (trace_id) GROUP BY day"""),
+        "e12_json_lines": _traces("""SELECT trace_id, command, is_ci, n_spans, millis FROM builds LEFT JOIN (SELECT trace_id, count(*) AS n_spans, CAST(sum(total_duration_millis) AS BIGINT) AS millis FROM spans GROUP BY trace_id) USING (trace_id)"""),
+        "s5_json_definitions": """SELECT '//p' || (p % 20) || ':n' || p AS label, 'target' AS node_type, '//p' || (p % 20) || ':n' || (p // 2) || ',//top:top' AS dependencies, 'dir' AS output_type, NULL::VARCHAR AS actual FROM (SELECT p_partkey AS p FROM part)
+            UNION ALL SELECT '//p' || k || ':any', 'alias', '', NULL, '//p' || k || ':n' || k FROM (SELECT DISTINCT p_partkey % 20 AS k FROM part)""",
+        "s13_listing": "SELECT CAST(sum(octet_length(encode(p_name)) + 1) AS BIGINT) AS listed, CAST(sum(octet_length(encode(p_name)) + 1) AS BIGINT) AS content_bytes, true AS some, count(*) AS lines FROM part",
+        "i2_change_hashes": _graph(
+            """SELECT label, change_hash, CASE WHEN p % 4 <> 0 THEN sha256('d' || p || ',z') ELSE change_hash END AS output_hash
+              FROM (SELECT *, CASE WHEN p % 3 <> 0 THEN sha256(label) || '_' || sha256(name) ELSE sha256(label) END AS change_hash FROM n)"""),
+        "i9_taints": _graph("SELECT label FROM n WHERE (resource OR p % 5 = 1) AND p_brand <> 'Brand#12'"),
+        "a6_errors": _traces("SELECT trace_id || label || '#' || cache_check_millis AS label, 'failed: make ' || change_hash AS err FROM spans WHERE status = 'FAILURE' AND trace_id IN ('1', '7', '32', '33')"),
         "e1_recent_builds": _traces("SELECT left(trace_id, 8) AS trace, command, total_duration_millis / CAST(1000 AS DOUBLE) AS seconds, total_targets, cache_hit_count, left(git_commit, 7) AS commit FROM recent", _recent(10)),
         "e2_slowest_misses": _traces("""SELECT label, count(*) AS runs, avg(total_duration_millis) AS avg_millis, avg(command_duration_millis) AS avg_command_millis FROM spans WHERE cache_result = 'CACHE_MISS'
             GROUP BY label HAVING count(*) > 3 ORDER BY avg_millis DESC, label LIMIT 10"""),
@@ -140,13 +163,32 @@ def oracle_sql() -> dict[str, str]:
         "g15_affected_index": _graph("SELECT label, coalesce(string_agg(file, ',' ORDER BY file), '') AS files FROM affected LEFT JOIN touched USING (p) JOIN n USING (p) GROUP BY label", _FILES, _TOUCHED, _AFFECTED),
         "g16_consumer_roots": _graph("SELECT label FROM n WHERE p IN (SELECT p FROM affected) AND p NOT IN (SELECT s FROM e WHERE t IN (SELECT p FROM affected))", _FILES, _TOUCHED, _AFFECTED),
         "g19_output_conflicts": _graph(
-            f"""SELECT 'same_path' AS kind, least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, x.path, x.path AS other FROM o x JOIN o y ON x.path = y.path AND x.p < y.p
-              WHERE NOT EXISTS (SELECT 1 FROM up WHERE (up.p = x.p AND up.a = y.p) OR (up.p = y.p AND up.a = x.p))""",
-            f"o AS (SELECT p, label, package || '/' || {_OUT} AS path FROM n WHERE NOT resource)", "up AS (SELECT t AS p, s AS a FROM e UNION SELECT p, s FROM up JOIN e ON t = a)"),
+            """SELECT CASE WHEN x.type = 'oci' THEN 'image' ELSE 'same_path' END AS kind, least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, x.path, x.path AS other
+              FROM o x JOIN o y ON x.path = y.path AND (x.type = 'oci') = (y.type = 'oci') AND x.p < y.p WHERE (x.p, y.p) NOT IN (SELECT a, p FROM up)
+              UNION ALL SELECT 'inside_folder', least(x.label, y.label), greatest(x.label, y.label), x.path, y.path
+              FROM o x JOIN o y ON x.p // 60 = y.p // 60 AND x.type = 'dir' AND y.type <> 'oci' AND starts_with(y.path, x.path || '/') WHERE (least(x.p, y.p), greatest(x.p, y.p)) NOT IN (SELECT a, p FROM up)""",
+            """o AS (SELECT p, label, CASE WHEN p % 6 = 0 THEN 'dir' WHEN p % 6 = 2 THEN 'oci' ELSE 'file' END AS type,
+              CASE WHEN p % 12 = 0 THEN 'shared/d' || (p // 60) || '/sub' WHEN p % 12 = 6 THEN 'shared/d' || (p // 60) WHEN p % 6 = 1 THEN 'shared/d' || (p // 60) || '/f' || (p // 30) || '.txt'
+                WHEN p % 6 = 2 THEN 'img' || (p // 60) ELSE package || '/own' || p END AS path FROM n WHERE NOT resource)""",
+            "up AS (SELECT t AS p, s AS a FROM e UNION SELECT p, s FROM up JOIN e ON t = a)"),
         "g20_constraints": _graph(
-            f"""SELECT 'escaping_input' AS "check", label, '../up' || (p // 4) || '.txt' AS detail, 'error' AS severity FROM n WHERE NOT resource AND p % 111 = 0
+            f"""SELECT 'escaping_input' AS "check", label, '../up' || (p // 4) || '.txt' AS detail, 'error' AS severity FROM n WHERE NOT resource AND p % 111 = 0 AND p % 41 <> 0 AND p % 113 <> 0
+              UNION ALL SELECT 'absolute_input', label, '/etc/x' || p, 'error' FROM n WHERE NOT resource AND p % 113 = 0 AND p % 41 <> 0
+              UNION ALL SELECT 'absolute_output', label, '/abs' || p, 'error' FROM n WHERE NOT resource AND p % 31 = 0
+              UNION ALL SELECT 'escaping_output', label, '../../../up' || p, 'error' FROM n WHERE NOT resource AND p % 37 = 0 AND p % 31 <> 0
+              UNION ALL SELECT 'runs_once', label, label, 'warning' FROM n WHERE NOT resource AND p % 41 = 0
+              UNION ALL SELECT 'push_without_image', label, 'img' || p, 'error' FROM n WHERE NOT resource AND p % 43 = 0 AND p % 86 <> 0
               UNION ALL SELECT 'test_without_command', label, label, 'error' FROM n WHERE NOT resource AND p % 80 = 0
-              UNION ALL SELECT 'depends_on_test', {_LABEL('t')}, {_LABEL('s')}, 'error' FROM e WHERE s % 97 <> 0 AND s % 40 = 0 AND NOT (t % 97 <> 0 AND t % 40 = 0)"""),
+              UNION ALL SELECT 'depends_on_test', {_LABEL('t')}, {_LABEL('s')}, 'error' FROM e WHERE s % 97 <> 0 AND s % 40 = 0 AND NOT (t % 97 <> 0 AND t % 40 = 0)
+              UNION ALL SELECT 'depends_on_testonly', {_LABEL('t')}, {_LABEL('s')}, 'error' FROM e WHERE s % 97 <> 0 AND s % 40 <> 0 AND s % 17 = 0 AND t % 97 <> 0 AND t % 17 <> 0 AND t % 40 <> 0"""),
+        "a10_duplicate_labels": _graph("""SELECT 'duplicate_label' AS "check", label, '2' AS detail, 'error' AS severity FROM n WHERE resource"""),
+        "j4_missing_dependencies": _graph(f"""SELECT 'missing_dependency' AS "check", {_LABEL('t')} AS label, {_LABEL('s')} AS detail, 'error' AS severity FROM e WHERE s % 97 = 0"""),
+        "g2_self_loops": _graph("SELECT label FROM n WHERE resource"),
+        "g1_edges": _graph(f"SELECT {_LABEL('s')} AS src, {_LABEL('t')} AS dst FROM e WHERE t % 97 <> 0 UNION SELECT {_LABEL('1')}, label FROM n WHERE resource"),
+        "g12_platform_error": _graph(
+            f"""SELECT CAST(min(steps) AS INT) AS steps, label AS misfit, true AS said FROM (SELECT p, steps + 1 AS steps, {_LABEL('p')} AS label FROM need WHERE p % 13 = 0 AND p % 97 <> 0)
+              WHERE label = (SELECT min({_LABEL('p')}) FROM need WHERE p % 13 = 0 AND p % 97 <> 0) GROUP BY label""",
+            "need AS (SELECT s AS p, 1 AS steps FROM e WHERE t % 7 = 3 AND (t % 97 = 0 OR t % 13 <> 0) UNION SELECT s, steps + 1 FROM need JOIN e ON t = p)"),
         "g21_completions": _graph(
             """SELECT DISTINCT '//' || package AS completion FROM n WHERE starts_with(package, 'g3/p1') UNION SELECT label FROM n WHERE package = 'g3/p1'"""),
         "k4_graph_json": _graph(f"SELECT {_LABEL('p')} AS label, (SELECT min({_LABEL('s')}) FROM e WHERE t = p) AS first_dependency FROM n"),
@@ -210,7 +252,7 @@ def _more() -> dict[str, str]:
               FROM n WHERE p IN (SELECT s FROM e WHERE t = 150)"""),
         "s11_expand_inputs": _graph(
             """SELECT DISTINCT a.label, f.input FROM n a JOIN (SELECT package, 'src' || p || '.txt' AS input FROM n WHERE NOT resource) f ON f.package = a.package
-              WHERE NOT a.resource AND ends_with(a.name, '1') AND starts_with(f.input, 'src1') AND length(f.input) <> 9 UNION SELECT label, 'plain' FROM n WHERE NOT resource AND ends_with(name, '1')"""),
+              WHERE NOT a.resource AND starts_with(f.input, 'src1') AND length(f.input) <> 9 UNION SELECT label, 'plain' FROM n WHERE NOT resource"""),
         "i13_assembled_spans": _graph("SELECT label, status, cache_result, total_duration_millis, p + total_duration_millis AS end_time_unix_millis, is_test, tags FROM assembled", _ASSEMBLED),
         "i13_assembled_build": _graph("SELECT count(*) AS total_targets, count(*) FILTER (status = 'SUCCESS') AS success_count, count(*) FILTER (status = 'FAILURE') AS failure_count, count(*) FILTER (status = 'SUCCESS' AND cache_result = 'CACHE_HIT') AS cache_hit_count FROM assembled", _ASSEMBLED),
         "i3_content_hashes": _graph("SELECT label, sha256(array_to_string(list_sort(files), '')) AS content_hash FROM n WHERE NOT resource"),

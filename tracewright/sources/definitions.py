@@ -6,6 +6,7 @@ are taken as pre-rendered JSON.
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import posixpath
 import re
@@ -55,10 +56,10 @@ def _blocks(text: str, marker: str) -> Iterator[tuple[dict, str]]:
                 break
 
 
-def parse(path: str, text: str, marker: str = MARKER, scripts: tuple[str, ...] = SCRIPTS) -> dict:
+def parse(path: str, text: str, marker: str = MARKER, scripts: tuple[str, ...] = SCRIPTS, names: dict[str, str] = NAMES) -> dict:
     """One file -> {"targets": [...], "aliases": [...], "resources": [...], "default_platforms": [...]}."""
     name = posixpath.basename(path)
-    kind = NAMES.get(name) or ("script" if name.endswith(scripts) else None)
+    kind = next((k for pattern, k in names.items() if fnmatch.fnmatchcase(name, pattern)), None) or ("script" if name.endswith(scripts) else None)
     try:
         if kind == "json":
             return json.loads(text)
@@ -121,15 +122,16 @@ def to_nodes(path: str, package: dict) -> list[dict]:
     return out
 
 
-def load(spark: SparkSession, root: str, marker: str = MARKER, scripts: tuple[str, ...] = SCRIPTS) -> DataFrame:
-    """All nodes that are defined below a folder. Labels may repeat; ``checks.duplicate_labels`` finds those."""
-    wanted = "{" + ",".join([*NAMES, *(f"*{s}" for s in scripts)]) + "}"
+def load(spark: SparkSession, root: str, marker: str = MARKER, scripts: tuple[str, ...] = SCRIPTS, names: dict[str, str] = NAMES) -> DataFrame:
+    """All nodes that are defined below a folder, in files of these ``names`` (patterns by kind of definition). Labels may
+    repeat; ``checks.duplicate_labels`` finds those."""
+    wanted = "{" + ",".join([*names, *(f"*{s}" for s in scripts)]) + "}"
     files = contents(spark, root, wanted).select("file", F.decode("content", "UTF-8").alias("text"))
     columns = [f.name for f in NODES.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [n for path, text in zip(pdf["file"], pdf["text"], strict=True) for n in to_nodes(path, parse(path, text, marker, scripts))]
+            rows = [n for path, text in zip(pdf["file"], pdf["text"], strict=True) for n in to_nodes(path, parse(path, text, marker, scripts, names))]
             yield pd.DataFrame({"json": [json.dumps(r) for r in rows]})
 
     return files.mapInPandas(run, "json string").select(F.from_json("json", NODES).alias("n")).select(*[f"n.{c}" for c in columns])

@@ -40,27 +40,30 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def glob_pattern(glob: str) -> str:
-    """A glob as a regular expression over relative paths: ** crosses folders, * and ? don't."""
-    out, at = "", 0
-    while at < len(glob):
-        if glob.startswith("**/", at):
-            out, at = out + "(?:.*/)?", at + 3
-        elif glob.startswith("**", at):
-            out, at = out + ".*", at + 2
-        elif glob[at] == "*":
-            out, at = out + "[^/]*", at + 1
-        elif glob[at] == "?":
-            out, at = out + "[^/]", at + 1
-        elif glob[at] == "[" and "]" in glob[at + 1 :]:
-            end = glob.index("]", at + 1)
-            out, at = out + "[" + glob[at + 1 : end].replace("!", "^", 1) + "]", end + 1
-        elif glob[at] == "{" and "}" in glob[at:]:
-            end = glob.index("}", at)
-            out, at = out + "(?:" + "|".join(glob_pattern(x)[1:-1] for x in glob[at + 1 : end].split(",")) + ")", end + 1
-        else:
-            out, at = out + re.escape(glob[at]), at + 1
-    return f"^{out}$"
+def glob_regex(glob: Column) -> Column:
+    """A glob as a regular expression over relative paths: ** crosses folders, * and ? don't; [..] and {..} choose.
+    Marks below blank stand for what is special until everything else is escaped."""
+    steps = (
+        (r"\{([^{}]*)\}", "\x01$1\x02"),
+        (r",(?=[^\x01\x02]*\x02)", "\x03"),
+        (r"\[([^\]]+)\]", "\x04$1\x05"),
+        (r"[.+^$()|\\{}\[\]]", r"\\$0"),
+        (r"\x04!", "\x04^"),
+        (r"\*\*/(?![^\x04\x05]*\x05)", "\x06"),
+        (r"\*\*(?![^\x04\x05]*\x05)", ".\x07"),
+        (r"\*(?![^\x04\x05]*\x05)", "[^/]*"),
+        (r"\?(?![^\x04\x05]*\x05)", "[^/]"),
+        (r"\x01", "(?:"),
+        (r"\x02", ")"),
+        (r"\x03", "|"),
+        (r"\x04", "["),
+        (r"\x05", "]"),
+        (r"\x06", "(?:.*/)?"),
+        (r"\x07", "*"),
+    )
+    for found, put in steps:
+        glob = F.regexp_replace(glob, found, put)
+    return F.concat(F.lit("^"), glob, F.lit("$"))
 
 
 def expand_inputs(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -70,13 +73,17 @@ def expand_inputs(nodes: DataFrame, files: DataFrame) -> DataFrame:
     def matched(column: str) -> DataFrame:
         asked = nodes.select("label", "package", F.explode(column).alias("glob"))
         plain = asked.where(~F.col("glob").rlike(_WILD.pattern)).select("label", clean_path(F.col("glob")).alias("input"))
-        wild = asked.where(F.col("glob").rlike(_WILD.pattern)).withColumn("regex", F.udf(glob_pattern)("glob"))
-        # Files meet globs by their package folder first: each file under each of its parents, an equi-join.
+        wild = asked.where(F.col("glob").rlike(_WILD.pattern))
+        # Files meet globs by folder first: each file under each of its parents, each glob under its package and the
+        # folders that it names in full, in an equi-join.
+        named = F.regexp_extract("glob", r"^(?:[^*?\[{]*/)?", 0)
+        folder = F.concat_ws("/", F.when(F.col("package") != "", F.col("package")), F.when(F.length("named") > 1, F.regexp_replace("named", "/+$", "")))
+        wild = wild.withColumn("named", named).select("label", "named", folder.alias("folder"), glob_regex(F.expr("substring(glob, length(named) + 1)")).alias("regex"))
         parts = F.split("key", "/")
         parents = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
-        under = files.where("contains(key, '/')").select("key", F.explode(parents).alias("package")).union(files.where("NOT contains(key, '/')").select("key", F.lit("").alias("package")))
-        inside = under.select("package", F.when(F.col("package") == "", F.col("key")).otherwise(F.expr("substring(key, length(package) + 2)")).alias("input"))
-        found = wild.join(inside, "package").where(F.expr("rlike(input, regex)")).select("label", "input")
+        under = files.where("contains(key, '/')").select("key", F.explode(parents).alias("folder")).union(files.where("NOT contains(key, '/')").select("key", F.lit("").alias("folder")))
+        inside = under.select("folder", F.when(F.col("folder") == "", F.col("key")).otherwise(F.expr("substring(key, length(folder) + 2)")).alias("rest"))
+        found = wild.join(inside, "folder").where(F.expr("rlike(rest, regex)")).select("label", F.concat("named", "rest").alias("input"))
         return plain.union(found)
 
     return matched("inputs").join(matched("exclude_inputs"), ["label", "input"], "left_anti").distinct()
