@@ -4,10 +4,13 @@ import base64
 import gzip
 import hashlib
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import storage
 from tracewright.llm import op04_chat_format as chat
 from tracewright.llm import op06_arc_to_warc as arc
 from tracewright.llm import op10_html_extraction as html
@@ -86,6 +89,33 @@ def test_archives_round_trip(spark, tmp_path):
     want = sorted((repr(i), len((h or "").encode()), sha((h or "").encode()), "response" if i == last[h or ""] else "revisit", None if i == last[h or ""] else last[h or ""]) for i, _, h in pages)
     assert sorted((repr(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert arc.archive(df.limit(0), path=str(tmp_path / "none")).count() == 0
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("part-*")]  # any gzip reader takes them
+    assert sum(f.count(b"WARC-Record-ID") for f in files) == len(pages) + len(files)
+
+
+def test_archives_are_rolled_by_bytes(spark, tmp_path):
+    rng = random.Random(1)
+    payloads = [rng.randbytes(20_000).hex() for _ in range(30)] + [rng.randbytes(300_000).hex()]
+    df = spark.createDataFrame([(k, "u", p) for k, p in enumerate(payloads)], "page_id long, url string, html string").coalesce(1)
+    records = arc.convert(arc.legacy_archives(df)).withColumn("refers_to", F.lit(None).cast("long"))
+    arc.write_archives(records, str(tmp_path / "w"), 100_000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) > 6 and all(s < 125_000 for s in sizes[:-1]) and 300_000 < sizes[-1] < 350_000
+    got = arc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.page_id for r in got) == list(range(31)) and all(r.sound for r in got)
+
+
+def test_headers_keep_their_bytes(spark, tmp_path):
+    """HTTP headers beyond ASCII are stored as they came, and a store's files go with the staged tables."""
+    document = b"HTTP/1.0 200 OK\r\nX-Page-Id: 5\r\nServer: caf\xe9\xff\r\n\r\nbody"
+    content = arc.arc_file("x.arc", 1, [("http://a/", "1.2.3.4", "20010203040506", "text/html", document)])
+    records = arc.convert(spark.createDataFrame([(content,)], "content binary")).withColumn("refers_to", F.lit(None).cast("long"))
+    path = storage.new_folder(spark, "warc-test")
+    arc.write_archives(records, path)
+    [raw] = [r.content for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert [block for head, block in arc.warc_records(bytes(raw)) if head["warc-type"] == "response"] == [document]
+    storage.clear_staged(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
 
 
 @pytest.mark.parametrize("version", [1, 2])

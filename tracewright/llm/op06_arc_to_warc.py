@@ -4,7 +4,8 @@ An ARC file starts with a version block that names its version and header fields
 as many bytes as that declares. The converter reads both versions and synthesises what WARC asks for: record
 identifiers, ISO timestamps, record types and payload digests. Equal payloads are written once, as the response with
 the largest page id; the others become revisits. Archives are written and read by Spark, so that they can lie in any
-store; a file holds a bounded number of records.
+store. A file starts with a warcinfo record, is rolled by its bytes, and has one gzip member for each record; it ends
+with a zero byte, the padding that gzip readers skip.
 """
 
 from __future__ import annotations
@@ -14,22 +15,24 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import attach_groups, shared_dir, stage
+from tracewright.llm.common import attach_groups, stage
+from tracewright.storage import new_folder
 
-#: Bytes of a synthetic legacy archive, and records of a written one.
-ARC_BYTES, FILE_RECORDS = 1 << 20, 4_000
+#: Bytes of a synthetic legacy archive, and compressed bytes after which a written one is rolled.
+ARC_BYTES, FILE_BYTES = 1 << 20, 32 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Header fields of the ARC versions.
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
-RECORD = "page_id long, uri string, ip string, warc_date string, mime string, http string, payload binary, payload_bytes long, digest string"
+RECORD = "page_id long, uri string, ip string, warc_date string, mime string, http binary, payload binary, payload_bytes long, digest string"
 
 
 # ------------------------------------------------------------------------------------------------ ARC
@@ -101,15 +104,14 @@ def convert(arcs: DataFrame) -> DataFrame:
     X-Page-Id line of the HTTP header, if there is one. Documents without an HTTP header are all payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string())
         names = [x.split()[0] for x in RECORD.split(", ")]
         for b in batches:
             for content in b.column(0):
                 rows = []
                 for head, document in arc_records(content.as_py() or b""):
                     http, sep, payload = document.partition(b"\r\n\r\n") if document.startswith(b"HTTP/") else (b"", b"", document)
-                    http = http.decode("latin-1")
-                    page = re.search(r"(?im)^x-page-id: *(-?\d+)\r?$", http)
+                    page = re.search(rb"(?im)^x-page-id: *(-?\d+)\r?$", http)
                     rows.append((int(page[1]) if page else None, head.get("URL", "-"), head.get("IP-address", "-"), iso_date(head.get("Archive-date", "")), head.get("Content-type", "-"), http, payload, len(payload), base32_sha1(payload)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -172,33 +174,64 @@ def warc_record(refers_to: Column) -> Column:
     block_size = lambda payload: (F.octet_length("http") + 4 + payload).cast("string")
     head = [("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), record_uuid(F.col("page_id")), F.lit(">"))), ("WARC-Date", F.col("warc_date")), ("WARC-Target-URI", F.col("uri")), ("WARC-IP-Address", F.col("ip"))]
     tail = [("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("Content-Type", F.lit("application/http;msgtype=response"))]
-    block = F.concat(F.lit("\r\n"), "http", F.lit("\r\n\r\n"))
+    block = F.concat(F.lit(b"\r\n"), "http", F.lit(b"\r\n\r\n"))
     revisit = [("WARC-Type", F.lit("revisit")), ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), record_uuid(refers_to), F.lit(">")))]
-    again = F.concat(_lines(*revisit, *head, *tail, ("Content-Length", block_size(F.lit(0)))), block).cast("binary")
-    whole = F.concat(F.concat(_lines(("WARC-Type", F.lit("response")), *head, *tail, ("Content-Length", block_size(F.col("payload_bytes")))), block).cast("binary"), F.col("payload"))
+    again = F.concat(_lines(*revisit, *head, *tail, ("Content-Length", block_size(F.lit(0)))).cast("binary"), block)
+    whole = F.concat(_lines(("WARC-Type", F.lit("response")), *head, *tail, ("Content-Length", block_size(F.col("payload_bytes")))).cast("binary"), block, F.col("payload"))
     return F.when(refers_to.isNotNull(), again).otherwise(whole)
 
 
-def write_archives(records: DataFrame, path: str, per_file: int = FILE_RECORDS) -> None:
-    """Records (of RECORD, with refers_to) as gzipped WARC files: the line separator ends each record."""
-    out = records.select(warc_record(F.col("refers_to")).cast("string").alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(records: DataFrame, path: str, size: int = FILE_BYTES) -> None:
+    """Records (of RECORD, with refers_to) as WARC files of about ``size`` bytes; a longer record has a file of its own."""
+    fields = b"software: converter\r\nformat: WARC File Format 1.1\r\n"
+    info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.UUID(int=0)}>\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n".encode() + fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = lambda record: gzip.compress(record + END.encode(), 6, mtime=0)
+        held, total = [], 0
+        roll = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join([member(info), *held])], pa.binary())], names=["value"])
+        for b in batches:
+            for record in b.column(0):
+                part = member(record.as_py())
+                if held and total + len(part) > size:
+                    yield roll()
+                    held, total = [], 0
+                held.append(part)
+                total += len(part)
+        if held:
+            yield roll()
+
+    files = records.select(warc_record(F.col("refers_to")).alias("value")).mapInArrow(run, "value binary")
+    files.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The members of a gzip file, one after another; a plain file is one. Bytes behind a torn member are left out."""
+    view, at = memoryview(content), 0
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    while view[at : at + 2] == b"\x1f\x8b":
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof and at < len(view):
+            parts.append(one.decompress(view[at : at + step]))
+            at = min(at + step, len(view)) - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header and block of each record, by declared lengths."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while at < len(content):
-        stop = content.find(b"\r\n\r\n", at)
-        if stop < 0:
-            return
-        lines = content[at:stop].decode("utf-8", "replace").split("\r\n")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head["content-length"])
-        yield head, content[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + len(END)
+    for part in members(content):
+        at = 0
+        while at < len(part):
+            stop = part.find(b"\r\n\r\n", at)
+            if stop < 0:
+                break
+            lines = part[at:stop].decode("utf-8", "replace").split("\r\n")
+            head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            size = int(head["content-length"])
+            yield head, part[stop + 4 : stop + 4 + size]
+            at = stop + 4 + size + len(END)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -213,6 +246,8 @@ def read_archives(spark, path: str) -> DataFrame:
             for content in b.column(0):
                 rows = []
                 for head, block in warc_records(content.as_py()):
+                    if head["warc-type"] not in ("response", "revisit"):
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     declared = re.search(rb"(?im)^content-length: *(\d+)", http)
                     size = int(declared[1]) if declared else len(payload)
@@ -243,10 +278,12 @@ def archive(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFr
     """Convert pages (page_id, url, html) by way of legacy archives, write WARC files, and read them back.
 
     One row per page: page_id, uri, payload_bytes, payload_digest, record_type, refers_to, sound. Null pages have an
-    empty payload. Null page ids come before all others, so they revisit any other copy. An empty table gives no rows.
+    empty payload. Null page ids come before all others, so they revisit any other copy; of repeated rows all are the
+    response. A page of any length is one record, held whole by one task. An empty table gives no rows; other columns
+    are ignored. Without ``path`` the archives lie in the shared folder until ``storage.clear_staged``.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     # The digests that decide on revisits need no archive; they are the same bytes.
     digests = pages.select(F.col("page_id").cast("long").alias("page_id"), base32(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
