@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node links to the least of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    return both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import stage, unstage
-from tracewright.llm.components import connected_components
 
 #: Similarity of five-word shingles from which texts are near-duplicates.
 SIMILARITY, WORDS, SEED = 0.8, 5, 42
@@ -215,12 +214,22 @@ def verified(texts: DataFrame, pairs: DataFrame, distinct: bool, similarity: flo
     return out
 
 
+def labelled(edges: DataFrame) -> DataFrame:
+    """(node, root): a label that two nodes share only if they are linked, after two rounds of least neighbours. All nodes
+    of a star share one; far ends of a chain may not, which only leaves more pairs to look at."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("_next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("_next")))
+    first = both.groupBy("node").agg(F.min("_next").alias("least")).select("node", F.least("node", "least").alias("root"))
+    first = stage(first, "similar-labels")
+    again = both.join(bounded(first).withColumnRenamed("node", "_node"), F.col("_next") == F.col("_node"))
+    return again.groupBy("node").agg(F.min("root").alias("root"))
+
+
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, most_common: int = MOST_COMMON) -> DataFrame:
     """Rows with a text -> edges (a, b) between the keys of texts that are similar, up to what is linked anyway.
 
     Under a shingle of up to ``group`` texts all pairs are looked at. In a larger group every text outside the group's
-    largest component is held against one leader at a time; after the last round every pair that is still in two
-    components is. Members stay comparable to the end, so only pairs that are linked anyway are left out. Texts without
+    largest set of linked ones is held against one leader at a time; after the last round every pair that is not known to
+    be linked is. Members stay comparable to the end, so only pairs that are linked anyway are left out. Texts without
     words have no shingle and link to nothing; equal texts count once.
     """
     column = F.col("text").cast("string")
@@ -234,7 +243,7 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, group: int =
     for turn in range(LEADER_ROUNDS + 1):
         if big.isEmpty():
             break
-        labels = stage(connected_components(edges).withColumnRenamed("node", "_node"), "similar-labels")
+        labels = stage(labelled(edges).withColumnRenamed("node", "_node"), "similar-labels")
         rooted = big.join(bounded(labels), F.col("node") == F.col("_node"), "left").select("key", "node", "n", "rank", F.coalesce("root", "node").alias("root"))
         rooted = stage(rooted, "similar-big")
         # A shingle that is left in one component has nothing more to tell.
