@@ -197,8 +197,8 @@ def test_leaks_and_reworded_questions(spark):
     ]
     docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], DOCS)
     bench = spark.createDataFrame([(3, ITEM), (5, ITEM), (8, "too short"), (9, None), (10, noise(40))], "item_id long, text string")
-    for filtered in (2_000_000, 0):
-        got = leak.leaks(docs, bench, filtered=filtered).collect()
+    for most_bits in (leak.MOST_BITS, 1 << 10):
+        got = leak.leaks(docs, bench, most_bits=most_bits).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id) for r in got) == [(False, k, 3) for k in (1, 2, 6, 8, 9, 10, 11, 12)] + [(True, 0, 3)]
         assert {r.doc_id: r.reworded for r in got}[2] and not {r.doc_id: r.reworded for r in got}[1]
     clash = docs.selectExpr("*", "1 AS _id", "2 AS _key", "3 AS window")
@@ -207,7 +207,63 @@ def test_leaks_and_reworded_questions(spark):
     twice = spark.createDataFrame([(1, "we saw Tom near the old market and later Tom left the old market with a basket")], "item_id long, text string")
     told = ["we saw Ann near the old market and later Ann left the old market with a basket", "we saw Ann near the old market and later Bob left the old market with a basket"]
     texts = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(told)], DOCS)
-    assert [(r.doc_id, r.reworded) for r in leak.leaks(texts, twice).collect()] == [(0, True)]  # one name must stay one name
+    got = {r.doc_id: (r.matched, r.n_windows, r.reworded) for r in leak.leaks(texts, twice, coverage=0.9).collect()}
+    assert got == {0: (13, 13, True)}  # one name must stay one name
+    got = {r.doc_id: r.matched for r in leak.leaks(texts, twice).collect()}
+    assert got == {0: 13, 1: 10}  # the windows that contradict the more frequent name don't count
+
+
+def plain_leaks(docs, items, coverage=0.5):
+    """Pairs by trying every item at every offset of every document, on tokens of one reading."""
+
+    def read(text):
+        words, tokens = (text or "").split(), leak.Tokens()
+        return [tokens[w] >> 2 for w in words], [w.strip(leak._EDGE).lower() for w in words]
+
+    out = set()
+    for i, text in docs:
+        ids, values = read(text)
+        for j, item in items:
+            want, given = read(item)
+            windows = [k for k in range(len(want) - 4) if sum(x > 3 for x in want[k : k + 5]) >= 2 and 0 not in want[k : k + 5]]
+            if not windows:
+                hits = [k for k in range(len(values) - len(given) + 1) if values[k : k + len(given)] == given and (len(given) > 2 or len(given) == len(values))]
+                out |= {(i, j)} if hits and given else set()
+                continue
+            matched = set()
+            for offset in range(-len(want), len(ids)):
+                met = [k for k in windows if 0 <= k + offset and want[k : k + 5] == ids[k + offset : k + offset + 5]]
+                pairs = {k: [(given[x], values[x + offset]) for x in range(k, k + 5) if want[x] <= 3] for k in met}
+                fill = {}
+                for v in {a for p in pairs.values() for a, _ in p}:
+                    held = [b for p in pairs.values() for a, b in p if a == v]
+                    fill[v] = min(held, key=lambda b: (-held.count(b), b))
+                matched |= {k for k in met if all(fill[a] == b for a, b in pairs[k])}
+            if len(matched) >= coverage * len(windows):
+                out.add((i, j))
+    return out
+
+
+def test_leaks_against_plain_search(spark):
+    """Numbers and units as slots (small letters only, so that there is one reading), short items, items of numbers."""
+    rng = random.Random(3)
+    words = [f"w{c}" for c in "abcdefghij"]
+    words = [w.replace("w", "wo") for w in words]
+    item = lambda n: " ".join(rng.choice(words) if rng.random() < 0.75 else rng.choice(["3", "5", "7 kg", "12 km"]) for _ in range(n))
+    items = [(k, item(rng.randrange(6, 25))) for k in range(25)] + [(100, "woa 3 wob"), (101, "woc"), (102, "3 + 4 = 7"), (103, "..."), (104, "")]
+    docs = []
+    for k in range(60):
+        text = rng.choice(items)[1] if k % 3 else item(30)
+        if k % 4 == 1:
+            text = " ".join(str(rng.randrange(20)) if w.isdigit() and rng.random() < 0.7 else w for w in text.split())
+        docs.append((k, f"{item(rng.randrange(12))} {text} {item(rng.randrange(12))}"))
+    docs += [(100, "woc"), (101, "before 3 + 4 = 7 after"), (102, "before 3 + 5 = 8 after"), (103, "x woa 3 wob, y"), (104, None)]
+    got = leak.leaks(spark.createDataFrame([(i, t, None, None) for i, t in docs], DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    first = {}
+    for j, t in items:
+        first.setdefault(t, j)
+    want = plain_leaks(docs, [(j, t) for j, t in items if first[t] == j])
+    assert {(r.doc_id, r.item_id) for r in got} == want and {(100, 101), (101, 102), (103, 100)} <= want and not [x for x in want if x[0] == 102 and x[1] == 102]
 
 
 def test_leaks_of_nothing(spark):
