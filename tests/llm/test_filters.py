@@ -168,6 +168,34 @@ def test_quality_without_labels(spark):
     assert quality.classify(df.limit(0), one).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of an ASCII text by their definitions, character by character."""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    size, n = len(text), len(words)
+    among = lambda chars: sum(c in chars for c in text)
+    letters = max(1, sum(c.isalpha() for c in text))
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    stops, shouts = ".,;:'\"-()", "!?"
+    other = sum(not (c.isalnum() or c.isspace() or c in stops + shouts) for c in text)
+    entropy = -sum(text.count(c) / size * np.log2(text.count(c) / size) for c in set(text))
+    ends = text.count(". ") + text.count(".\n") + text.endswith(".")
+    return [
+        np.log1p(n), np.log(mean), np.log1p((sum((x - mean) ** 2 for x in lengths) / n) ** 0.5), (sum(c.isupper() for c in text) / letters) ** 0.5, (sum(c.isdigit() for c in text) / size) ** 0.5, (among(stops) / size) ** 0.5,
+        (other / size) ** 0.5, (among(shouts) / size) ** 0.5, 0.0, np.log(len(set(words)) / n), (sum(a == b for a, b in zip(words, words[1:])) / n) ** 0.5, np.log(len(set(lines)) / len(lines)), np.log1p(n / len(lines)),
+        entropy, (ends / n) ** 0.5, (max(words.count(w) for w in set(words)) / n) ** 0.5,
+    ]
+
+
+def test_statistics_against_plain_ones():
+    rng = random.Random(2)
+    for n in (1, 3, 50, 3_000):
+        text = "".join(rng.choice(["a", "B", "the", "7", ".", ". ", "! ", " ", " ", "\n", "{", "(x)", " of of "]) for _ in range(n)) + "end."
+        assert quality.statistics(text.encode()) == pytest.approx(plain_statistics(text), abs=1e-9)
+    assert quality.statistics(b" \n") == [0.0] * len(quality.FEATURES)
+    assert all(np.isfinite(quality.statistics(b"word. " * 500_000)))  # three million characters
+
+
 def test_discriminant_is_the_gaussian_one():
     rng = np.random.default_rng(7)
     d = len(quality.FEATURES)

@@ -67,7 +67,7 @@ def test_odd_tables(spark):
     assert got(spark.createDataFrame([(1, None, None), (2, "", None)], DOCS)) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     one = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")], DOCS).selectExpr("*", "0 AS mix_size", "1 AS key", "2 AS _key", "3 AS size")
     made = mixing.training_set(one)
-    assert made.columns == [*one.columns, "mix_size_", "mix_position"]
+    assert made.columns == [*one.columns, "mix_size_", "mix_taken", "mix_position"]
     assert made.groupBy().agg(F.count("*")).first()[0] >= 4
 
 
@@ -85,5 +85,26 @@ def test_training_set_is_sorted_and_whole(spark):
     made = mixing.training_set(df)
     places = [r.mix_position for r in made.collect()]
     assert places == sorted(places)
-    copies = mixing.mix(df).select(F.sum(F.size("positions"))).first()[0]
-    assert made.count() == copies
+    sizes = {r.doc_id: (r.source, len(r.text.split()), r.mix_size) for r in made.collect()}
+    assert all(n == size for _, n, size in sizes.values())
+    targets = {r.source: r.target for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    taken = {r.source: r.taken for r in made.groupBy("source").agg(F.sum("mix_taken").alias("taken")).collect()}
+    assert taken == {s: round(t) for s, t in targets.items()}
+    ordered = mixing.in_order(mixing.mix(df))
+    first = [r.position for r in ordered.collect() if r.position is not None]
+    assert first == sorted(first) and ordered.where("again < position").count() == 0
+    assert ordered.where("again IS NOT NULL").count() == mixing.mix(df).where(F.size("copies") == 2).count() > 0
+
+
+def test_rows_keep_their_other_columns(spark):
+    """Rows of one id, text and source that differ elsewhere are rows of their own; rows alike in everything stand together."""
+    rows = [(1, "a b c", "s", 10), (1, "a b c", "s", 20), (1, "a b c", "s", 20), (2, "d e", "s", None)]
+    made = mixing.training_set(spark.createDataFrame(rows, DOCS + ", mark int"))
+    taken = {(r.doc_id, r.mark): r.taken for r in made.groupBy("doc_id", "mark").agg(F.sum("mix_taken").alias("taken")).collect()}
+    assert set(taken) == {(1, 10), (1, 20), (2, None)} and sum(taken.values()) == round(1.5 * 11)
+    assert all(taken[k] <= 2 * n for k, n in {(1, 10): 3, (1, 20): 6, (2, None): 2}.items())
+
+
+def test_a_very_long_text_counts_whole(spark):
+    rows = [(1, "w " * 300_000, "long"), (2, "a b", "long"), (3, "c", "other")]
+    assert got(spark.createDataFrame(rows, DOCS)) == plain(rows)

@@ -71,15 +71,17 @@ def _match(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = MAX_REPEATS, slopes=SLOPES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = MAX_REPEATS, slopes=SLOPES, bucket_rows: int = BUCKET_ROWS, key: Column | None = None) -> DataFrame:
     """Assign every document of (doc_id, text, source) the words that the mix takes and its training positions.
 
-    Returns per input row doc_id, source, key, size, source_size, target, taken and positions: an array with the
-    position of each copy. Within a source documents follow a hash of doc_id and text, the same on every run. Copies are taken
-    round by round, the last one is cut at the target. Null texts have size 0, so they are taken nowhere (taken 0, no
-    positions); a null source is a source of its own; repeated rows count each; an empty table gives no rows.
+    Returns per input row doc_id, source, key, size, source_size, target, taken and copies: an array with position and
+    words taken of each copy. Within a source documents follow ``key``, by default a hash of doc_id and text, the same on
+    every run; equal keys follow the doc_id, and rows that repeat both are alike. Copies are taken round by round, the
+    last one is cut at the target. Null texts have size 0, so they are taken nowhere (taken 0, no copies); texts of any
+    length are counted whole; a null source is a source of its own; repeated rows count each; an empty table gives no
+    rows; other columns are ignored.
     """
-    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("key")), "mix-rows")
+    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (row_key() if key is None else key).alias("key")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = stage(source_targets(sizes, weights, budget, repeats, slopes), "mix-plan")
     named = plan.withColumnRenamed("source", "_source").withColumn("buckets", F.ceil(F.col("n_docs") / bucket_rows).cast("long"))
@@ -97,9 +99,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
     # Copy r of a document covers the words [start, start + size) of the source repeated without end.
     start = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: r * F.col("source_size") + F.col("ahead") + F.col("inner"))
     rows = rows.withColumn("starts", F.filter(start, lambda x: (x < F.round("target")) & (F.col("size") > 0)))
-    taken = F.aggregate("starts", F.lit(0).cast("long"), lambda acc, x: acc + F.least(F.col("size"), (F.round("target") - x).cast("long")))
-    positions = F.transform("starts", lambda x: position(x / F.col("target"), F.col("slope")))
-    return rows.select("doc_id", "source", "key", "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"))
+    part = lambda x: F.least(F.col("size"), (F.round("target") - x).cast("long"))
+    copies = F.transform("starts", lambda x: F.struct(position(x / F.col("target"), F.col("slope")).alias("position"), part(x).alias("taken")))
+    taken = F.aggregate("starts", F.lit(0).cast("long"), lambda acc, x: acc + part(x))
+    return rows.select("doc_id", "source", "key", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` range-sorted by the position of their first copy; what isn't taken comes last. Further columns:
+    position and again, the positions of the first and the second copy."""
+    at = lambda k: F.try_element_at("copies", F.lit(k))["position"]
+    placed = mixed.select("*", at(1).alias("position"), at(2).alias("again"))
+    order = (F.col("position").asc_nulls_last(), F.col("doc_id"))
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def row_key() -> Column:
@@ -108,18 +120,23 @@ def row_key() -> Column:
 
 
 def training_set(docs: DataFrame, **options) -> DataFrame:
-    """The mix in training order: the columns of docs with mix_size and mix_position (with _ behind, if docs has such a
-    name), one row per copy, range-sorted by position.
+    """The mix in training order: the columns of docs with mix_size, mix_taken and mix_position (with _ behind, if docs has
+    such a name), one row per copy, range-sorted by position.
 
-    A copy that the target cuts stays whole here; documents that the mix doesn't take are left out.
+    mix_taken is how many words of the copy belong to the mix: all but for the last copy of a source, which its target
+    cuts; the text stays whole. Documents that the mix doesn't take are left out. Rows that are alike in all columns stand
+    for one another; all others keep their own.
     """
-    mixed = mix(docs, **options).where(F.size("positions") > 0).select("key", "source", "size", "positions")
-    mixed = stage(mixed.groupBy("source", "key", "size").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count("*").alias("n")), "mix-taken")
-    key, other, source, size, place = (free(docs, c) for c in ("_key", "_key2", "_source", "mix_size", "mix_position"))
-    rows = docs.withColumn(key, row_key())
-    if not mixed.where("n > 1").isEmpty():  # repeated rows: their copies stand together in positions
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    whole = F.md5(F.concat_ws(":", row_key(), F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])) if others else F.lit("")))
+    mixed = mix(docs, key=whole, **options).where(F.size("copies") > 0).select("key", "source", "size", "copies")
+    mixed = stage(mixed.groupBy("source", "key", "size").agg(F.flatten(F.collect_list("copies")).alias("copies"), F.count("*").alias("n")), "mix-taken")
+    key, other, source, size, given, place = (free(docs, c) for c in ("_key", "_key2", "_source", "mix_size", "mix_taken", "mix_position"))
+    rows = docs.withColumn(key, whole)
+    if not mixed.where("n > 1").isEmpty():  # rows that are alike: their copies stand together
         rows = rows.dropDuplicates([key, "source"])
     spots = free(docs, "_spots")
-    taken = mixed.select(F.col("source").alias(source), F.col("key").alias(other), F.col("size").alias(size), F.col("positions").alias(spots))
-    rows = rows.join(taken.hint("shuffle_hash"), (F.col(key) == F.col(other)) & _match("source", source)).select(*docs.columns, size, F.explode(spots).alias(place))
+    taken = mixed.select(F.col("source").alias(source), F.col("key").alias(other), F.col("size").alias(size), F.col("copies").alias(spots))
+    rows = rows.join(taken.hint("shuffle_hash"), (F.col(key) == F.col(other)) & _match("source", source)).select(*docs.columns, size, F.explode(spots).alias(spots))
+    rows = rows.select(*docs.columns, size, F.col(spots)["taken"].alias(given), F.col(spots)["position"].alias(place))
     return rows.repartitionByRange(place, "doc_id").sortWithinPartitions(place, "doc_id")

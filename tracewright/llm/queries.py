@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracewright.llm import op01_url_filter, op02_language_id, op03_exact_dedup, op04_chat_format, op05_quality, op06_arc_to_warc, op07_mixing, op08_decontamination, op09_simhash, op10_html_extraction
 from tracewright.llm.common import table
@@ -41,8 +40,8 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = op07_mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
+    mixed = op07_mixing.in_order(op07_mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "again")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

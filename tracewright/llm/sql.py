@@ -47,12 +47,13 @@ rows AS (
   FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source
 ), mixed AS (
   SELECT *, CAST(greatest(0, least(size, round(target) - first)) + greatest(0, least(size, round(target) - source_size - first)) AS BIGINT) AS taken,
-         CASE WHEN size > 0 AND first < round(target) THEN first / target END AS share
+         CASE WHEN size > 0 AND first < round(target) THEN first / target END AS share,
+         CASE WHEN size > 0 AND source_size + first < round(target) THEN (source_size + first) / target END AS share_again
   FROM placed
 )"""
-_POSITION = "CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END"
+_POSITION = lambda share: f"CASE WHEN slope = 0 THEN {share} ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * {share}) - (1 - slope)) / (2 * slope) END"
 
-MIXING = f"WITH {_MIX.format(documents='documents')} SELECT doc_id, size, source_size, target, taken, {_POSITION} AS position FROM mixed"
+MIXING = f"WITH {_MIX.format(documents='documents')} SELECT doc_id, size, source_size, target, taken, {_POSITION('share')} AS position, {_POSITION('share_again')} AS again FROM mixed"
 
 
 #: Each of these strings gets one more character when it is escaped, as does a backslash.
