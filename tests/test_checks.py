@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.workspaces import node, table
@@ -73,6 +74,30 @@ def test_early_cutoff(spark):
     assert hits(contents("1"), cache, outs("o1"), enabled=False) == {"lib": False, "mid": False, "app": False}
 
 
+def test_hashes_of_both_kinds(spark):
+    """XXH3 of 128 bits beside SHA-256; a dependency without a hash and an unknown output type are errors."""
+    nodes = table(spark, [node("//p:t", inputs=["b", "a"])])
+    files = spark.createDataFrame([("p/a", b"1"), ("p/b", b"23")], "file string, content binary")
+    assert incremental.content_hashes(nodes, files, "xxh3").first().content_hash == xxhash.xxh3_128_hexdigest(b"123")
+    assert value(spark, X.list_hash(F.array(F.lit("b"), F.lit("a")), "xxh3")) == xxhash.xxh3_128_hexdigest("a,b")
+    got = nodes.select(incremental.definition_hash(F.array().cast("array<string>"), "linux/amd64", algorithm="xxh3")).first()[0]
+    assert got == xxhash.xxh3_128_hexdigest("//p:ta,blinux/amd64")
+    with pytest.raises(ValueError, match="md5"):
+        X.text_hash(F.lit("x"), "md5")
+    edges = spark.createDataFrame([("//p:a", "//p:t")], "src string, dst string")
+    with pytest.raises(Exception, match="has no output hash"):
+        incremental.dependency_hashes(edges, spark.createDataFrame([("//p:a", None)], "label string, output_hash string")).collect()
+    with pytest.raises(Exception, match="unknown output type: tar"):
+        value(spark, X.parsed_output(F.lit("tar::x")))
+
+
+def test_many_contents_run_through_one_digest(spark):
+    nodes = table(spark, [node(f"//p:t{k}", inputs=[f"f{i:03d}" for i in range(200)]) for k in range(3)])
+    files = spark.createDataFrame([(f"p/f{i:03d}", bytes([i]) * 1_000) for i in range(200)], "file string, content binary")
+    want = hashlib.sha256(b"".join(bytes([i]) * 1_000 for i in range(200))).hexdigest()
+    assert [(r.label, r.content_hash) for r in incremental.content_hashes(nodes, files).orderBy("label").collect()] == [(f"//p:t{k}", want) for k in range(3)]
+
+
 def test_failures_cancel_dependants(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "label string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
@@ -112,6 +137,7 @@ def test_scalars(spark):
     assert v(X.listed(F.lit(""))) == [] and v(X.listed(F.lit("a,b"))) == ["a", "b"] and v(X.joined(F.array(F.lit("a"), F.lit("b")))) == "a,b"
     assert tuple(v(X.parsed_output(F.lit("oci::x:1")))) == ("oci", "x:1") and tuple(v(X.parsed_output(F.lit("f")))) == ("file", "f")
     assert v(X.megabytes(F.lit(1_572_864))) == "1.50"
+    assert v(X.percent_text(F.lit(200 / 3))) == "66.7%" and v(X.whole_text(F.lit(2.0))) == "2"
     assert v(X.trace_hex(F.lit("123e4567-E89b-12d3-a456-426614174000"))) == "123e4567e89b12d3a456426614174000"
 
 

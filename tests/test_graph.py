@@ -82,6 +82,12 @@ def test_dependency_trees(spark):
     assert render.mermaid(nodes, graph.edges_of(nodes)).startswith("flowchart TD\n")
 
 
+def test_trees_of_any_depth():
+    assert render.draw("0", lambda n: [str(int(n) + 1)] if int(n) < 5_000 else []).count("\n") == 5_000
+    with pytest.raises(render.TooLarge):  # thirty diamonds: a billion lines
+        render.draw("0", lambda n: [str(int(n) + 1)] * 2 if int(n) < 30 else [])
+
+
 def chain(spark, *pairs):
     return spark.createDataFrame(list(pairs), "src string, dst string")
 
@@ -157,6 +163,15 @@ def test_build_selection(spark):
     assert labels(selection.list_nodes(nodes, host="linux/amd64")) == ["//:b", "//:c"]
 
 
+def test_platform_errors_name_the_chain(spark):
+    nodes = table(spark, [node("//:mac", platforms=["darwin/arm64"]), node("//:lib", dependencies=["//:mac"]), node("//:app", dependencies=["//:lib"]), node("//:other", dependencies=["//:ok"]), node("//:ok")])
+    edges = graph.edges_of(nodes)
+    row = selection.platform_error(nodes, edges, "linux/amd64", patterns=[Pattern.parse("//:app")]).first()
+    assert list(row.chain) == ["//:app", "//:lib", "//:mac"]
+    assert row.message == "could not select node //:app because it depends on //:lib -> //:mac, which does not match the platform linux/amd64"
+    assert selection.platform_error(nodes, edges, "linux/amd64", patterns=[Pattern.parse("//:other")]).count() == 0
+
+
 @pytest.mark.parametrize(
     ("pattern", "label", "fits"),
     [
