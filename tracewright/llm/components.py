@@ -26,9 +26,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, link to the least neighbour."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
-    joined = down.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
-    out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(joined.select(F.col("m").alias("a"), F.col("u").alias("b")))
-    return out.where("a <> b").distinct()
+    joined = down.join(least, F.col("u") == F.col("_u"))
+    ends = F.inline(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b"))))
+    return joined.select(ends).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

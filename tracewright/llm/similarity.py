@@ -31,7 +31,7 @@ GROUP = 16
 MOST_COMMON = 1_000_000
 #: Times that common shingles are looked for, as others take their places.
 TURNS = 2
-#: Rounds in which large groups are held against leaders before all their pairs still in two components are.
+#: Rounds in which large groups are held against leaders before all their pairs that are not known to be linked are.
 LEADER_ROUNDS = 2
 #: Rows of a few numbers that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -189,8 +189,12 @@ def plausible(pairs: DataFrame, files: DataFrame, similarity: float) -> DataFram
 def verified(texts: DataFrame, pairs: DataFrame, distinct: bool, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of texts that are similar, from whole texts."""
     pairs = stage(pairs, "similar-pairs")
-    ends = stage(pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct(), "similar-ends")
-    wanted = texts.join(bounded(ends), F.col("node") == F.col("_node"), "left_semi")
+    n = pairs.count()
+    if not n:
+        return pairs
+    ends = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
+    ends = F.broadcast(ends) if 2 * n <= BROADCAST_ROWS else ends
+    wanted = texts.join(ends, F.col("node") == F.col("_node"), "left_semi")
     wanted = stage(wanted if distinct else wanted.dropDuplicates(["node"]), "similar-texts")
     both = pairs.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -210,7 +214,7 @@ def verified(texts: DataFrame, pairs: DataFrame, distinct: bool, similarity: flo
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     out = stage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "similar-verified")
-    unstage(wanted, pairs, ends)
+    unstage(wanted, pairs)
     return out
 
 
@@ -219,17 +223,16 @@ def labelled(edges: DataFrame) -> DataFrame:
     of a star share one; far ends of a chain may not, which only leaves more pairs to look at."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("_next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("_next")))
     first = both.groupBy("node").agg(F.min("_next").alias("least")).select("node", F.least("node", "least").alias("root"))
-    first = stage(first, "similar-labels")
-    again = both.join(bounded(first).withColumnRenamed("node", "_node"), F.col("_next") == F.col("_node"))
+    again = both.join(first.withColumnRenamed("node", "_node"), F.col("_next") == F.col("_node"))
     return again.groupBy("node").agg(F.min("root").alias("root"))
 
 
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, most_common: int = MOST_COMMON) -> DataFrame:
     """Rows with a text -> edges (a, b) between the keys of texts that are similar, up to what is linked anyway.
 
-    Under a shingle of up to ``group`` texts all pairs are looked at. In a larger group every text outside the group's
-    largest set of linked ones is held against one leader at a time; after the last round every pair that is not known to
-    be linked is. Members stay comparable to the end, so only pairs that are linked anyway are left out. Texts without
+    Under a shingle of up to ``group`` texts all pairs are looked at. In a larger group every text is held against one
+    leader a round: first the most central text, then that of those outside the group's largest set of linked ones; after
+    the last round every pair that is not known to be linked is looked at. Members stay comparable to the end, so only pairs that are linked anyway are left out. Texts without
     words have no shingle and link to nothing; equal texts count once.
     """
     column = F.col("text").cast("string")
@@ -249,14 +252,15 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, group: int =
         # A shingle that is left in one component has nothing more to tell.
         parts = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
         heads = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.max("size").alias("most")).where("most < size")
-        left = stage(rooted.join(bounded(stage(heads, "similar-heads")), "key"), "similar-left")
+        left = rooted.join(bounded(stage(heads, "similar-heads")), "key")
         small = F.lit(turn == LEADER_ROUNDS) | (F.col("size") * (F.col("size") - F.col("most")) <= group * group)
         some, large = left.where(small), left.where(~small)
-        leaders = large.where("root <> main").groupBy("key").agg(F.min_by(F.struct("node", "n", "rank", "root"), F.xxhash64("node", F.lit(turn))).alias("y"))
+        # The text with the fewest rarer shingles is the one that all others are edits of, if there is one.
+        leaders = (large.where("root <> main") if turn else large).groupBy("key").agg(F.min_by(F.struct("node", "n", "rank", "root"), F.struct("rank", F.xxhash64("node"))).alias("y"))
         x = large.drop("main").alias("x")
         stars = x.join(leaders.alias("l"), (F.col("x.key") == F.col("l.key")) & (F.col("x.root") != F.col("l.y.root")) & _reachable("x", "l.y", similarity))
         stars = stars.select(F.least("x.node", "l.y.node").alias("a"), F.greatest("x.node", "l.y.node").alias("b"))
         more = check(_across(some, similarity).unionByName(stars))
-        edges = stage(edges.unionByName(more).distinct(), "similar-links")
+        edges = edges.unionByName(more)
         big = large.select("key", "node", "n", "rank")
     return edges
