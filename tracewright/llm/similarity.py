@@ -2,8 +2,8 @@
 
 Prefix filter: the distinct shingles of every text are put in one order. Two texts of n shingles can only be similar if
 they share one of their first n - ceil(similarity * n) + 1, so a text is filed under those alone. Any order will do; here
-shingles that many texts share come last and all others go by their hashes. So a passage that thousands of unlike texts
-quote files none of them, unless a text is made of such passages.
+shingles that many texts share come last, the rarer ones of them first, and all others go by their hashes. So a passage
+that thousands of unlike texts quote files none of them, unless a text is made of such passages.
 
 What meets under a shingle is sifted by exact bounds before any text is read: by size, by the places of the shingle in
 both orders, and by parity bitmaps (texts whose bitmaps differ in d bits differ in at least d shingles). What is left
@@ -27,7 +27,7 @@ from tracewright.llm.common import stage, unstage
 SIMILARITY, WORDS, SEED = 0.8, 5, 42
 #: Texts of one shingle that are paired directly; larger groups go by leaders.
 GROUP = 16
-#: Shingles that come last in the order, at most: the most frequent ones (8 MB).
+#: Shingles that come last in the order, at most: the most frequent ones (16 MB).
 MOST_COMMON = 1_000_000
 #: Times that common shingles are looked for, as others take their places.
 TURNS = 2
@@ -70,13 +70,16 @@ def shingles(text: bytes, size: int = WORDS, memo: dict[bytes, int] | None = Non
     return np.unique(grams * _ODD[1])
 
 
-def prefix(found: np.ndarray, similarity: float = SIMILARITY, common: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """The shingles under which a text is filed, in order, and whether ``common`` (ascending) changed them."""
+def prefix(found: np.ndarray, similarity: float = SIMILARITY, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, bool]:
+    """The shingles under which a text is filed, in order, and whether ``common`` (shingles, ascending, and how many texts
+    have each) changed them. Common shingles come last, the rarer ones of them first."""
     size = len(found) - max(1, math.ceil(similarity * len(found) - 1e-9)) + 1
-    if common is None or not len(common):
+    if common is None or not len(common[0]):
         return found[:size], False
-    late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
-    return np.concatenate([found[~late], found[late]])[:size], bool(late[:size].any())
+    at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
+    late = common[0][at] == found
+    last = np.argsort(common[1][at[late]], kind="stable")
+    return np.concatenate([found[~late], found[late][last]])[:size], bool(late[:size].any())
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -88,7 +91,7 @@ def parity(found: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------------------------------------ tables
 
 
-def filed(texts: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+def filed(texts: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, text) -> (node, n, keys, changed, bits); texts without words are left out."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
@@ -121,10 +124,15 @@ def counted(files: DataFrame, least: int) -> DataFrame:
     return stage(files.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= least), "similar-counts")
 
 
-def _frequent(counts: DataFrame, group: int, room: int) -> np.ndarray:
-    """Most frequent keys above ``group``, at most ``room``."""
-    top = counts.where(F.col("df") > group).orderBy(F.desc("df"), "key").limit(max(0, room)).select("key")
-    return top.toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64)
+def _with_frequent(common: tuple[np.ndarray, np.ndarray], counts: DataFrame, group: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``common`` and the most frequent further keys above ``group``, ``most`` in all."""
+    top = counts.where(F.col("df") > group).orderBy(F.desc("df"), "key").limit(most).toArrow()
+    keys, df = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["df"].to_numpy().astype(np.int64)
+    fresh = ~np.isin(keys, common[0])
+    room = most - len(common[0])
+    keys, df = np.r_[common[0], keys[fresh][:room]], np.r_[common[1], df[fresh][:room]]
+    order = np.argsort(keys)
+    return keys[order], df[order]
 
 
 def prefix_files(texts: DataFrame, distinct: bool, similarity: float, group: int, most_common: int = MOST_COMMON) -> tuple[DataFrame, DataFrame]:
@@ -133,24 +141,19 @@ def prefix_files(texts: DataFrame, distinct: bool, similarity: float, group: int
     Which shingles count as common changes the order, and so the time, but no result: common ones are those that more
     than ``group`` texts are filed under in one of the turns.
     """
-    common = np.zeros(0, np.uint64)
+    common = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     once = lambda files: files if distinct else files.dropDuplicates(["node"])
     files = stage(once(filed(texts, similarity, common)), "similar-files")
-    counts = counted(files, 2)
-    more = _frequent(counts, group, most_common)
-    if not len(more):
-        return files, counts
-    unstage(counts)
+    found = counts = counted(files, 2)
     for _ in range(TURNS):
-        if not len(more):
+        more = _with_frequent(common, found, group, most_common)
+        if len(more[0]) == len(common[0]):
             break
-        common = np.union1d(common, more)
+        common = more
         before, files = files, stage(once(filed(texts, similarity, common)), "similar-files")
-        unstage(before)
-        again = counted(files.where("changed"), group + 1)
-        more = np.setdiff1d(_frequent(again, group, most_common), common)[: most_common - len(common)]
-        unstage(again)
-    return files, counted(files, 2)
+        unstage(before, found)
+        found, counts = counted(files.where("changed"), group + 1), None
+    return files, counted(files, 2) if counts is None else counts
 
 
 def _needed(a: Column, b: Column, similarity: float) -> Column:
@@ -169,11 +172,18 @@ def _pairs(met: DataFrame, similarity: float) -> DataFrame:
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+def _alike(a: Column, b: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
+    """Whether parity bitmaps leave room for enough common shingles."""
+    differing = [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(PARTS)]
+    return sum(differing[1:], differing[0]) <= n_a + n_b - 2 * _needed(n_a, n_b, similarity)
+
+
 def _across(left: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, n, rank, root, main) -> every pair of a key whose ends are in two components."""
+    """(key, node, n, rank, bits, root, main) -> every pair of a key whose ends are in two components; pairs that the
+    bounds rule out don't leave the join."""
     x, y = left.where("root <> main").alias("x"), left.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _reachable("x", "y", similarity))
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _reachable("x", "y", similarity) & _alike(F.col("x.bits"), F.col("y.bits"), F.col("x.n"), F.col("y.n"), similarity))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
@@ -181,9 +191,7 @@ def plausible(pairs: DataFrame, files: DataFrame, similarity: float) -> DataFram
     """The distinct pairs (a, b) whose parity bitmaps leave room for enough common shingles."""
     own = lambda end: files.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
     met = pairs.distinct().join(own("a"), "a").join(own("b"), "b")
-    differing = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, PARTS)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
-    sizes = F.col("n_a") + F.col("n_b")
-    return met.where(differing <= sizes - 2 * _needed(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
+    return met.where(_alike(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, distinct: bool, similarity: float = SIMILARITY) -> DataFrame:
@@ -260,6 +268,7 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, group: int =
         x = large.drop("main").alias("x")
         stars = x.join(leaders.alias("l"), (F.col("x.key") == F.col("l.key")) & (F.col("x.root") != F.col("l.y.root")) & _reachable("x", "l.y", similarity))
         stars = stars.select(F.least("x.node", "l.y.node").alias("a"), F.greatest("x.node", "l.y.node").alias("b"))
+        some = some.join(files.select(F.col("node").alias("_node"), "bits"), F.col("node") == F.col("_node")).drop("_node")
         more = check(_across(some, similarity).unionByName(stars))
         edges = edges.unionByName(more)
         big = large.select("key", "node", "n", "rank")
