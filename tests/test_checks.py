@@ -76,12 +76,12 @@ def test_early_cutoff(spark):
 
 def test_hashes_of_both_kinds(spark):
     """XXH3 of 128 bits beside SHA-256; a dependency without a hash and an unknown output type are errors."""
-    nodes = table(spark, [node("//p:t", inputs=["b", "a"])])
+    nodes = table(spark, [node("//p:t", command="c", inputs=["b", "a"])])
     files = spark.createDataFrame([("p/a", b"1"), ("p/b", b"23")], "file string, content binary")
     assert incremental.content_hashes(nodes, files, "xxh3").first().content_hash == xxhash.xxh3_128_hexdigest(b"123")
     assert value(spark, X.list_hash(F.array(F.lit("b"), F.lit("a")), "xxh3")) == xxhash.xxh3_128_hexdigest("a,b")
     got = nodes.select(incremental.definition_hash(F.array().cast("array<string>"), "linux/amd64", algorithm="xxh3")).first()[0]
-    assert got == xxhash.xxh3_128_hexdigest("//p:ta,blinux/amd64")
+    assert got == xxhash.xxh3_128_hexdigest("//p:tca,blinux/amd64")
     with pytest.raises(ValueError, match="md5"):
         X.text_hash(F.lit("x"), "md5")
     edges = spark.createDataFrame([("//p:a", "//p:t")], "src string, dst string")
