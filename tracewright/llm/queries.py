@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import op01_url_filter, op02_language_id, op03_exact_dedup, op04_chat_format, op05_quality, op06_arc_to_warc, op07_mixing, op08_decontamination, op09_simhash, op10_html_extraction
+from tracewright.llm import op01_url_filter, op02_language_id, op03_exact_dedup, op04_chat_format, op05_quality, op06_arc_to_warc, op07_mixing, op08_decontamination, op09_simhash, op10_html_extraction, op11_audit
 from tracewright.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,5 +71,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by name."""
-    own = (op1_url_filter, op2_language_id, op3_exact_dedup, op4_chat_format, op5_quality, op6_arc_to_warc, op7_mix_curriculum, op8_decontaminate, op9_simhash, op10_html_extract, pipeline)
+    own = (op1_url_filter, op2_language_id, op3_exact_dedup, op4_chat_format, op5_quality, op6_arc_to_warc, op7_mix_curriculum, op8_decontaminate, op9_simhash, op10_html_extract, op11_filter_audit, pipeline)
     return {f.__name__: f for f in own}

@@ -153,5 +153,46 @@ FROM ruled r JOIN found f ON r.host = f.host AND r.path = f.path JOIN scored s O
     )
 
 
+_BIT = "(1 << (strpos('ABCDE', f) - 1))"
+
+FILTER_AUDIT = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM texts GROUP BY text
+), marked AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), masked AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 2 * length(t.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN t.doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM texts t JOIN firsts USING (text) LEFT JOIN marked USING (doc_id)
+), cells AS (
+  SELECT part, mask, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f,
+         list_sum([0] || list_transform(range(1, step), lambda k: 1 << (strpos('ABCDE', substr(filter_order, k, 1)) - 1))) AS before
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)
+), found AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN mask & (CAST(before AS INT) | {_BIT}) = 0 THEN docs ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & CAST(before AS INT) = 0 AND mask & {_BIT} <> 0 THEN docs ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & CAST(before AS INT) <> 0 AND mask & {_BIT} <> 0 THEN docs ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = {_BIT} THEN docs ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & CAST(before AS INT) = 0 AND mask & {_BIT} <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & CAST(before AS INT) = 0 AND mask & {_BIT} <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_filter(), "op3_exact_dedup": EXACT_DEDUP, "op4_chat_format": CHAT, "op6_arc_to_warc": WARC, "op7_mix_curriculum": MIXING}
+    return {"op1_url_filter": _url_filter(), "op3_exact_dedup": EXACT_DEDUP, "op4_chat_format": CHAT, "op6_arc_to_warc": WARC, "op7_mix_curriculum": MIXING, "op11_filter_audit": FILTER_AUDIT}
