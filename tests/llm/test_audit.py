@@ -21,19 +21,18 @@ def plain(docs, labels):
         return {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * sum("A" <= c <= "Z" for c in t) > 2 * len(t), "D": any(c in "#$%&*|" for c in t), "E": i is not None and i > first[t]}[f]
 
     flag = lambda i, k: i is not None and any(x[0] == i and x[k] == 1 for x in labels)
+    rows = [(p, "".join(f for f in "ABCDE" if fails(f, i, t)), flag(i, 1), flag(i, 2)) for i, p, t in texts]
     out = {}
     for part in {p for _, p, _ in texts}:
-        mine = [(i, t) for i, p, t in texts if p == part]
+        mine = [r[1:] for r in rows if r[0] == part]
         total = dict.fromkeys("ABCDE", 0)
         for order in map("".join, permutations("ABCDE")):
             left = mine
             for k, f in enumerate(order):
-                removed = [(i, t) for i, t in left if fails(f, i, t)]
-                here = len([1 for i, t in mine if fails(f, i, t)])
-                alone = len([1 for i, t in mine if [g for g in "ABCDE" if fails(g, i, t)] == [f]])
-                left = [(i, t) for i, t in left if not fails(f, i, t)]
+                removed = [r for r in left if f in r[0]]
+                left = [r for r in left if f not in r[0]]
                 total[f] += len(removed)
-                out[part, order, k + 1] = [len(left), len(removed), here - len(removed), alone, sum(flag(i, 1) for i, _ in removed), sum(flag(i, 2) for i, _ in removed)]
+                out[part, order, k + 1] = [len(left), len(removed), sum(f in r[0] for r in mine) - len(removed), sum(f == r[0] for r in mine), sum(r[1] for r in removed), sum(r[2] for r in removed)]
         for (p, order, k), row in out.items():
             if p == part:
                 row.append(total[order[k - 1]])
