@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import op01_url_filter, op02_language_id, op03_exact_dedup, op04_chat_format, op05_quality, op06_arc_to_warc, op07_mixing, op08_decontamination, op09_simhash, op10_html_extraction, op11_audit, op13_runs
+from tracewright.llm import op01_url_filter, op02_language_id, op03_exact_dedup, op04_chat_format, op05_quality, op06_arc_to_warc, op07_mixing, op08_decontamination, op09_simhash, op10_html_extraction, op11_audit, op12_toxicity, op13_runs
 from tracewright.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = op13_runs.with_repeats(table(spark, sf_dir, "documents"))
     return op13_runs.digests(op13_runs.find_runs(docs))
@@ -76,5 +80,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by name."""
-    own = (op1_url_filter, op2_language_id, op3_exact_dedup, op4_chat_format, op5_quality, op6_arc_to_warc, op7_mix_curriculum, op8_decontaminate, op9_simhash, op10_html_extract, op11_filter_audit, op13_periodic_runs, pipeline)
+    own = (op1_url_filter, op2_language_id, op3_exact_dedup, op4_chat_format, op5_quality, op6_arc_to_warc, op7_mix_curriculum, op8_decontaminate, op9_simhash, op10_html_extract, op11_filter_audit, op12_toxicity_score, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in own}
