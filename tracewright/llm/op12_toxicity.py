@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tracewright.llm.common import crc_mod
 
 #: Labelled documents that the model is fitted on, at most about; more labels are thinned by a hash of doc_id.
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
 #: Slots of the language model's and of the evidence's hash tables: what is sent to all tasks is no larger.
 MODEL_SLOTS, EVIDENCE_SLOTS = 1 << 20, 1 << 21
 #: Characters of the language model's sequences; of the evidence's sequences, borders included; of those at a word's start.
@@ -217,20 +217,22 @@ def restore_texts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("restored", T.StringType())]))
 
 
-def _restored(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Distinct (text number, word number) of restored words, and the words."""
+def _restored(texts: pa.Array, restorer: Restorer, plain: set[str] | None = None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, list[tuple[str, list[int]]]]:
+    """Distinct (text number, word number) of restored words, the words, how many distinct tokens each text has, and the
+    words that each token became. Tokens in ``plain`` are counted and passed over."""
     owner, codes, kinds = _words(texts)
+    pairs = np.unique(owner.astype(np.int64) * (len(kinds) + 1) + codes)
+    owner, codes = pairs // (len(kinds) + 1), pairs % (len(kinds) + 1)
+    sizes = np.bincount(owner, minlength=len(texts))
     words: dict[str, int] = {}
-    parts = [[words.setdefault(w, len(words)) for w in restorer.restore(t).split(" ") if w] for t in kinds]
+    parts = [[] if plain and t in plain else [words.setdefault(w, len(words)) for w in restorer.restore(t).split(" ") if w] for t in kinds]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = np.fromiter((w for p in parts for w in p), np.int64, int(counts.sum()))
     first = np.cumsum(counts) - counts
-    pairs = np.unique(owner.astype(np.int64) * (len(kinds) + 1) + codes)
-    owner, codes = pairs // (len(kinds) + 1), pairs % (len(kinds) + 1)
     n = counts[codes]
     word = flat[np.arange(n.sum()) + np.repeat(first[codes] - (np.cumsum(n) - n), n)]
     pairs = np.unique(np.repeat(owner, n) * (len(words) + 1) + word)
-    return pairs // (len(words) + 1), pairs % (len(words) + 1), list(words)
+    return pairs // (len(words) + 1), pairs % (len(words) + 1), list(words), sizes, list(zip(kinds, parts, strict=True))
 
 
 def _by_word(words: list[str], tell: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -250,16 +252,32 @@ def _spread(word: np.ndarray, first: np.ndarray, slots: np.ndarray) -> tuple[np.
     return slots[np.arange(n.sum()) + np.repeat(first[word] - (np.cumsum(n) - n), n)], n
 
 
-def _strength(owner: np.ndarray, word: np.ndarray, words: list[str], once: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    """The evidence of each (text, word): that of the word's most telling sequence, given whether another word has it."""
-    first, slots = _by_word(words, (once >= LEAST) | (twice >= LEAST))
-    slot, n = _spread(word, first, slots)
-    keys, back, count = np.unique(np.repeat(owner, n) * EVIDENCE_SLOTS + slot, return_inverse=True, return_counts=True)
-    z = np.maximum(once[keys % EVIDENCE_SLOTS], np.where(count > 1, twice[keys % EVIDENCE_SLOTS], 0)).astype(np.float64)
-    out, some = np.zeros(len(word)), n > 0
-    if some.any():
-        out[some] = np.maximum.reduceat(z[back], (np.cumsum(n) - n)[some])
-    return out
+class Reader:
+    """Looks up the evidence of restored words in pairs of tables (sequences held once, held by two words of a text)."""
+
+    def __init__(self, counts: np.ndarray, *tables: list[np.ndarray]):
+        self.restorer, self.tables = Restorer(counts), tables
+        self.tell = np.any([t >= LEAST for pair in tables for t in pair], axis=0)
+        self.plain: set[str] = set()  # tokens without any telling sequence
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Distinct (text, word) of restored words, the words, the evidence of each pair by each pair of tables, and the
+        texts' distinct tokens. A word's evidence is that of its most telling sequence."""
+        owner, word, words, sizes, tokens = _restored(texts, self.restorer, self.plain)
+        first, slots = _by_word(words, self.tell)
+        told = np.diff(first) > 0
+        if len(self.plain) > 1 << 19:
+            self.plain.clear()
+        kinds = told.tolist()
+        self.plain.update(t for t, parts in tokens if len(t) < 64 and not any(kinds[w] for w in parts))
+        owner, word = owner[told[word]], word[told[word]]
+        slot, n = _spread(word, first, slots)
+        keys, back, count = np.unique(np.repeat(owner, n) * EVIDENCE_SLOTS + slot, return_inverse=True, return_counts=True)
+        keys, z = keys % EVIDENCE_SLOTS, []
+        for once, twice in self.tables:
+            most = np.maximum(once[keys], np.where(count > 1, twice[keys], 0)).astype(np.float64)
+            z.append(np.maximum.reduceat(most[back], np.cumsum(n) - n) if len(n) else np.zeros(0))
+        return owner, word, words, np.stack(z), sizes
 
 
 def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -278,8 +296,9 @@ class Model:
     weights: np.ndarray
 
 
-def _statistics(owner: np.ndarray, z: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics of n texts from the evidence of their distinct words, and the places of each text's top words."""
+def _statistics(owner: np.ndarray, z: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of texts from the evidence of their telling words and their tokens, and the places of the top words."""
+    n = len(tokens)
     sort = np.lexsort((-z, owner))
     first = np.searchsorted(owner[sort], np.arange(n))
     sizes = np.bincount(owner, minlength=n)
@@ -288,7 +307,7 @@ def _statistics(owner: np.ndarray, z: np.ndarray, n: int) -> tuple[np.ndarray, n
     top = sort[np.minimum(rank, max(0, len(sort) - 1))] if len(sort) else np.zeros((n, TOP), np.int64)
     highest = np.where(there, z[top] if len(z) else 0, 0)
     telling = np.bincount(owner, weights=z >= TELLING, minlength=n)
-    return np.column_stack([highest, np.log1p(telling), np.sqrt(telling / np.maximum(1, sizes)), np.log1p(sizes)]), np.where(there, top, -1)
+    return np.column_stack([highest, np.log1p(telling), np.sqrt(telling / np.maximum(1, tokens)), np.log1p(tokens)]), np.where(there, top, -1)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -331,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_r
         for b in batches:
             for part, texts in _pieces(b, 1):
                 kind = part.column(0).to_numpy()
-                owner, word, words = _restored(texts, restorer)
+                owner, word, words, *_ = _restored(texts, restorer)
                 first, slots = _by_word(words)
                 at = 0
                 while at < len(owner):  # some documents at a time
@@ -363,13 +382,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_r
     without = docs.sparkSession.sparkContext.broadcast(by_kind)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        reader = Reader(shared.value, *without.value)
         for b in batches:
             for part, texts in _pieces(b, 1):
                 kind = part.column(0).to_numpy()
-                owner, word, words = _restored(texts, restorer)
-                z = np.stack([_strength(owner, word, words, *tables) for tables in without.value])
-                x, _ = _statistics(owner, z[kind[owner], np.arange(len(owner))], len(texts))
+                owner, _, _, z, tokens = reader.read(texts)
+                x, _ = _statistics(owner, z[kind[owner], np.arange(len(owner))], tokens)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     known = rows.mapInArrow(describe, "toxic int, x array<double>").toArrow()
@@ -383,12 +401,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        restorer = Restorer(m.counts)
+        reader = Reader(m.counts, [m.once, m.twice])
         for b in batches:
             for part, texts in _pieces(b, 1):
-                owner, word, words = _restored(texts, restorer)
-                z = _strength(owner, word, words, m.once, m.twice)
-                x, top = _statistics(owner, z, len(texts))
+                owner, word, words, (z,), tokens = reader.read(texts)
+                x, top = _statistics(owner, z, tokens)
                 p = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -700, 700)))
                 told = [[words[word[k]] for k in row if k >= 0 and z[k] >= TELLING] for row in top.tolist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array(told, pa.list_(pa.string()))], names=["doc_id", "score", "words"])
