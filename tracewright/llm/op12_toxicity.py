@@ -48,7 +48,7 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: any other character that stands for itself.
 LIKE, WILD, KEPT, DROPPED, INSIDE, BORDER, ITSELF = 1.0, 3.0, 1.0, 0.5, 0.7, 0.4, 7.0
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_END = "\n"
+_END, _MARKS = "\n", ".,;:?'\""
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _SPACED_RE2 = r"(?:^|\s)\S(?:[ \t]\S){2,}(?:\s|$)"
@@ -164,7 +164,9 @@ class Restorer:
         return [*out, ("", INSIDE), (_END, BORDER)]
 
     def restore(self, token: str) -> str:
-        """The most likely original of a lower-case token, words separated by one space."""
+        """The most likely original of a lower-case token, words separated by one space. Sentence marks at its ends stand
+        for nothing on every path."""
+        token = token.strip(_MARKS)
         if token.isalpha() and not _THRICE.search(token):
             return token
         if token not in self._done:
