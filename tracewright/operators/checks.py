@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.labels import is_test
 from tracewright.functions.scalars import clean_path, escapes
-from tracewright.operators.graph import resolve_aliases, self_loops, unresolved
+from tracewright.operators.graph import GraphError, _jumps, accumulate, induced, resolve_aliases, self_loops, unresolved
 from tracewright.storage import stage
 
 _NONE = "array<string>"
@@ -73,16 +73,62 @@ def _dependency_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _found(on_test, "depends_on_test", F.col("target")).unionByName(_found(on_only, "depends_on_testonly", F.col("target")))
 
 
+#: Longs of a label's filter of all that it depends on.
+FILTER_WORDS = 4
+
+
 def ancestors(nodes: DataFrame, edges: DataFrame, among: DataFrame) -> DataFrame:
-    """(a, b): b depends on a, directly or not, for the pairs ``among`` (a, b). Walks from both sides at once would
-    need the whole closure; this one walks from the few labels of the pairs only."""
+    """(a, b): b depends on a, directly or not, for the pairs ``among`` (a, b) in either order.
+
+    Reachability labels answer most pairs: every node gets its level, a Bloom filter of all that it depends on, and a
+    place in a spanning forest (the deepest dependency is the parent, so a node's level is its depth). A pair whose levels
+    or filters contradict it is dropped; one whose lower node has the upper one as forest ancestor, found by jumps of
+    1, 2, 4, ... levels, holds. The rest walks down from b, where the labels still allow a, a level at a step. No table
+    has more rows than nodes, edges and undecided pairs on their ways. Labels need an order, so graphs with cycles are
+    walked from every label of the pairs.
+    """
+    try:
+        labels = stage(accumulate(nodes.select("label", F.lit(1).cast("long").alias("w")).distinct(), edges, words=FILTER_WORDS).select("label", "level", "previous", "bits"), "order-labels")
+    except GraphError:
+        return _ancestors_by_walk(edges, among)
+    of = lambda name: labels.select(F.col("label").alias(name), F.col("level").alias(f"{name}_level"), F.col("bits").alias(f"{name}_bits"))
+    both = among.select("a", "b").union(among.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    may = lambda bits, level: (F.col("a_level") <= F.col(level)) & F.forall(F.zip_with("a_bits", bits, lambda x, y: x.bitwiseAND(F.bitwise_not(y)) == 0), lambda x: x)
+    pairs = both.join(of("a"), "a").join(of("b"), "b").where(may("b_bits", "b_level") & (F.col("a") != F.col("b"))).select("a", "b", "a_level", "a_bits", "b_level")
+    pairs = stage(pairs.select("*", F.col("b").alias("at"), (F.col("b_level") - F.col("a_level")).alias("left")), "ordered")
+    known, size = pairs, 0
+    highest = pairs.agg(F.max("left")).first()[0] or 0
+    for jump in _jumps(labels.where("previous IS NOT NULL").select(F.col("label").alias("here"), F.col("previous").alias("there"))):
+        if highest < 1 << size:
+            break
+        due = F.expr(f"(left >> {size}) % 2 = 1")
+        went = known.where(due).join(jump.withColumnRenamed("here", "at"), "at").withColumn("at", F.col("there")).select(*known.columns)
+        known, size = stage(known.where(~due).unionByName(went), "ordered"), size + 1
+    found = [stage(known.where("a = at").select("a", "b"), "ordered-found")]
+    # What neither labels nor forest decide.
+    steps = stage(induced(nodes, edges).join(of("src").select("src", F.col("src_level").alias("level"), F.col("src_bits").alias("bits")), "src").select(F.col("dst").alias("at"), F.col("src").alias("next"), "level", "bits"), "ordered-steps")
+    frontier, seen = stage(known.where("a <> at").select("a", "b", "a_level", "a_bits", F.col("b").alias("at")), "ordered"), None
+    while not frontier.isEmpty():
+        seen = frontier.select("a", "b", "at") if seen is None else stage(seen.unionByName(frontier.select("a", "b", "at")), "ordered-seen")
+        step = frontier.join(steps, "at").where(may("bits", "level")).select("a", "b", "a_level", "a_bits", F.col("next").alias("at")).distinct()
+        met = stage(step.join(seen, ["a", "b", "at"], "left_anti"), "ordered")
+        found.append(met.where("a = at").select("a", "b"))
+        frontier = stage(met.where("a <> at").join(found[-1], ["a", "b"], "left_anti"), "ordered")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def _ancestors_by_walk(edges: DataFrame, among: DataFrame) -> DataFrame:
+    """``ancestors`` in a graph with cycles: what each label of the pairs reaches."""
     wanted = stage(among.select("a", "b").union(among.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ordered-wanted")
     frontier = stage(wanted.select(F.col("a").alias("start"), F.col("a").alias("label")).distinct(), "ordered")
     seen = frontier
     while not frontier.isEmpty():
         step = frontier.join(edges.select(F.col("src").alias("label"), "dst"), "label").select("start", F.col("dst").alias("label")).distinct()
         frontier = stage(step.join(seen, ["start", "label"], "left_anti"), "ordered")
-        seen = seen.unionByName(frontier)
+        seen = stage(seen.unionByName(frontier), "ordered-seen")
     return wanted.join(seen.select(F.col("start").alias("a"), F.col("label").alias("b")), ["a", "b"], "left_semi")
 
 

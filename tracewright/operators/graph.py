@@ -1,17 +1,16 @@
 """Dependency graphs as tables: nodes (label, ...) and edges (src dependency, dst dependant).
 
-Closures go round by round over the edges with staged tables between rounds. Path counts, levels and longest paths visit
-each node once, in the round after the last of its dependencies, so that the work follows nodes and edges, not paths.
+Closures go round by round over the edges with staged tables between rounds. Path counts, levels and longest paths contract
+chains by pointer doubling and visit each other node once, in the round after the last of its dependencies, so that the
+work follows nodes and edges, not paths, and the rounds follow branchings, not depth.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.storage import stage
+from tracewright.storage import stage, unstage
 
 #: Rounds of a walk after which its parts are merged into one table.
 MERGED = 16
@@ -79,40 +78,78 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _in_order(nodes: DataFrame, edges: DataFrame, sent: dict[str, Column], folds: dict[str, Callable[[str], Column]], settle: dict[str, Column]) -> DataFrame:
-    """nodes (label, ...) -> (label, level, *settle), each node visited once, after all its dependencies.
+def _shortcuts(single: DataFrame) -> DataFrame:
+    """(label, near, w, bits): nodes with one dependency -> (label, near, at, hops, gain, bits): the first node behind that
+    has none or several, how far it is, and the sum of w and the union of bits on the way, the label's own included.
 
-    A settled node sends ``sent`` along its edges; what arrives at a node is folded by ``folds`` (null where nothing
-    does) and gives its own values by ``settle``. A node waits until as many messages have come as it has
-    dependencies, so a round's work follows its edges and the nodes that wait. Cycles raise GraphError.
+    Pointer doubling: the rounds follow the logarithm of the longest chain. Rings raise GraphError.
+    """
+    table = stage(single.select("label", "near", F.col("near").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("w").alias("gain"), "bits"), "shortcuts")
+    for _ in range(max(1, table.count()).bit_length() + 1):
+        onward = table.select(F.col("label").alias("at"), F.col("at").alias("beyond"), F.col("hops").alias("more"), F.col("gain").alias("further"), F.col("bits").alias("others"))
+        went = F.col("beyond").isNotNull()
+        joined = table.join(onward, "at", "left").select(
+            "label", "near", F.coalesce("beyond", "at").alias("at"), F.when(went, F.col("hops") + F.col("more")).otherwise(F.col("hops")).alias("hops"),
+            F.when(went, F.col("gain") + F.col("further")).otherwise(F.col("gain")).cast(table.schema["gain"].dataType).alias("gain"), _either("bits", "others").alias("bits"), went.alias("went"),
+        )
+        new = stage(joined, "shortcuts")
+        unstage(table)
+        table = new
+        if table.where("went").isEmpty():
+            return table.drop("went")
+    raise GraphError("the graph has a cycle")
+
+
+def _either(a: str, b: str) -> Column:
+    """Bit-or of two arrays of longs; null arrays are empty."""
+    return F.when(F.col(b).isNull(), F.col(a)).when(F.col(a).isNull(), F.col(b)).otherwise(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+
+
+def accumulate(nodes: DataFrame, edges: DataFrame, fold: str = "max", words: int = 0) -> DataFrame:
+    """nodes (label, w) -> (label, level, value, previous, bits): value is w plus the fold (max or sum) of the values of the
+    dependencies, level one more than their highest, previous the dependency with the highest value (of equal ones the
+    smallest label), bits a filter of ``words`` longs that has one bit for the label and all that it depends on.
+
+    Chains are contracted first: a node with one dependency gets its values from the first node behind it that has none
+    or several, so the rounds follow the branchings on a way, not its length. Each of those other nodes is visited once,
+    when as many messages have come as it has dependencies. Cycles raise GraphError.
     """
     labels = nodes.select("label")
     inner = edges.select("src", "dst").distinct().join(labels.withColumnRenamed("label", "src"), "src", "left_semi").join(labels.withColumnRenamed("label", "dst"), "dst", "left_semi")
     inner = stage(inner, "order-edges")
-    own = stage(nodes.join(inner.groupBy(F.col("dst").alias("label")).agg(F.count("*").alias("needed")), "label", "left"), "order-nodes")
-    free, waiting, parts, level = own.where("needed IS NULL"), None, [], 0
-    for name in folds:
-        free = free.withColumn(name, F.lit(None))
-    while True:
-        settled = stage(free.withColumn("level", F.lit(level)).select("label", "level", *[c.alias(name) for name, c in settle.items()]), "order")
-        if settled.isEmpty():
-            break
+    at = F.pmod(F.xxhash64("label"), F.lit(64 * max(1, words)))
+    own_bits = F.array(*[F.when(F.floor(at / 64) == k, F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(label), {64 * words}) % 64 AS INT))")).otherwise(0).cast("long") for k in range(words)]).cast("array<bigint>")
+    own = stage(nodes.select("label", "w", own_bits.alias("bits")).join(inner.groupBy(F.col("dst").alias("label")).agg(F.count("*").alias("needed"), F.min("src").alias("near")), "label", "left"), "order-nodes")
+    heads = own.where("needed IS NULL OR needed > 1").drop("near")
+    short = _shortcuts(own.where("needed = 1").select("label", "near", "w", "bits"))
+    into = inner.join(heads.where("needed > 1").select(F.col("label").alias("dst")), "dst", "left_semi")
+    cut = short.select(F.col("label").alias("src"), "at", "hops", "gain", F.col("bits").alias("on_way"))
+    kind = nodes.schema["w"].dataType
+    into = stage(into.join(cut, "src", "left").select(F.coalesce("at", "src").alias("at"), "src", "dst", F.coalesce("hops", F.lit(0)).alias("hops"), F.coalesce(F.col("gain"), F.lit(0).cast(kind)).alias("gain"), "on_way"), "order-into")
+    folded = {"max": F.max("value"), "sum": F.sum("value").cast(kind)}[fold]
+    unite = F.array(*[F.bit_or(F.col("bits")[k]) for k in range(words)]).cast("array<bigint>")
+    nothing = F.lit(None).cast(inner.schema["src"].dataType)
+    free = heads.where("needed IS NULL").select("label", F.lit(0).alias("level"), F.col("w").alias("value"), nothing.alias("previous"), "bits")
+    settled, met, parts = stage(free, "order"), None, []
+    while not settled.isEmpty():
         parts.append(settled)
         if len(parts) >= MERGED:
             parts = [stage(_union(parts), "order")]
-        news = inner.join(settled.select(F.col("label").alias("src"), *[c.alias(name) for name, c in sent.items()]), "src").select(F.col("dst").alias("label"), *sent, F.lit(1).cast("long").alias("got"))
-        news = news if waiting is None else news.unionByName(waiting)
-        met = news.groupBy("label").agg(*[fold(name).alias(name) for name, fold in folds.items()], F.sum("got").alias("got"))
-        met = stage(met.join(own, "label"), "order-met")
-        free = met.where("got = needed")
-        waiting = met.where("got < needed").select("label", *folds, "got")
-        level += 1
-    if not parts:
-        return settled
-    done = _union(parts)
-    if done.count() < own.count():
+        came = into.join(settled.select(F.col("label").alias("at"), "level", "value", "bits"), "at")
+        total = (F.col("value") + F.col("gain")).cast(kind)
+        # Of equal values the smallest label: the least of (-value, label).
+        news = came.select(F.col("dst").alias("label"), (F.col("level") + F.col("hops") + 1).alias("level"), total.alias("value"), F.struct((-total).alias("minus"), F.col("src").alias("label")).alias("ahead"), _either("bits", "on_way").alias("bits"), F.lit(1).cast("long").alias("got"))
+        if met is not None:
+            news = news.unionByName(met.where("got < needed").select(*news.columns))
+        joined = news.groupBy("label").agg(F.max("level").alias("level"), folded.alias("value"), F.min("ahead").alias("ahead"), unite.alias("bits"), F.sum("got").alias("got"))
+        met = stage(joined.join(heads.select("label", "needed", "w", F.col("bits").alias("own_bits")), "label"), "order-met")
+        settled = met.where("got = needed").select("label", F.col("level").cast("int").alias("level"), (F.col("value") + F.col("w")).cast(kind).alias("value"), F.col("ahead.label").alias("previous"), _either("own_bits", "bits").alias("bits"))
+    done = _union(parts) if parts else settled
+    if done.count() < heads.count():
         raise GraphError("the graph has a cycle")
-    return done
+    behind = done.select(F.col("label").alias("at"), "level", "value", F.col("bits").alias("behind"))
+    chains = short.join(behind, "at").select("label", (F.col("level") + F.col("hops")).cast("int").alias("level"), (F.col("value") + F.col("gain")).cast(kind).alias("value"), F.col("near").alias("previous"), _either("behind", "bits").alias("bits"))
+    return done.unionByName(chains)
 
 
 def path_counts(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -> DataFrame:
@@ -123,10 +160,9 @@ def path_counts(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -
     met = reachable(edges, starts, direction)
     begin = starts.groupBy("label").agg(F.count("*").cast("decimal(38,0)").alias("begin"))
     nodes = met.unionByName(starts.select("label")).distinct().join(begin, "label", "left")
-    paths = F.coalesce("paths", F.lit(0).cast("decimal(38,0)"))
-    sent = {"paths": (F.col("paths") + F.col("begin")).cast("decimal(38,0)")}
-    found = _in_order(nodes, steps, sent, {"paths": lambda c: F.sum(c).cast("decimal(38,0)")}, {"paths": paths.cast("decimal(38,0)"), "begin": F.coalesce("begin", F.lit(0).cast("decimal(38,0)"))})
-    return found.where("paths > 0").select("label", "paths")
+    ways = F.coalesce("begin", F.lit(0)).cast("decimal(38,0)")
+    found = accumulate(nodes.select("label", ways.alias("w")), steps, "sum").select("label", "value")
+    return found.join(nodes.select("label", ways.alias("own")), "label").select("label", (F.col("value") - F.col("own")).cast("decimal(38,0)").alias("paths")).where("paths > 0")
 
 
 def transitive(edges: DataFrame, label, direction: str, distinct: bool = True) -> DataFrame:
@@ -161,18 +197,13 @@ def _labels(edges: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, level): 0 without dependencies, else one more than the highest of them. A topological order is any
     order by level. Cycles raise GraphError."""
-    return _in_order(nodes.select("label").distinct(), edges, {}, {}, {})
+    return accumulate(nodes.select("label", F.lit(0).cast("long").alias("w")).distinct(), edges).select("label", "level")
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (label, weight) -> (label, level, total, previous): the weight of the heaviest path that ends in each node, and
     the node before it on that path; of equal ones the smallest label. Cycles raise GraphError."""
-    own = nodes.select("label", F.col("weight").cast("long").alias("weight"))
-    kind = dict(nodes.dtypes)["label"]
-    best = F.col("best").cast(f"struct<minus: bigint, previous: {kind}>")
-    total = F.col("weight") - F.coalesce(best["minus"], F.lit(0).cast("long"))
-    sent = {"best": F.struct((-F.col("total")).alias("minus"), F.col("label").alias("previous"))}
-    return _in_order(own, edges, sent, {"best": F.min}, {"total": total, "previous": best["previous"]})
+    return accumulate(nodes.select("label", F.col("weight").cast("long").alias("w")), edges).select("label", "level", F.col("value").alias("total"), "previous")
 
 
 def _jumps(steps: DataFrame):
