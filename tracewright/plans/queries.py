@@ -372,7 +372,7 @@ def g9_longest_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g9_critical_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.critical_path(*_parts(spark, d)).select((F.col("exec_millis") + F.col("cache_millis")).alias("total"))
+    return graph.critical_path(*_parts(spark, d)).select(F.concat_ws(" ", "path").alias("path"), "exec_millis", "cache_millis")
 
 
 @query
@@ -536,8 +536,7 @@ def g21_completions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def k4_graph_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = graph.graph_json(star.nodes(spark, d), star.edges(spark, d))
-    return rows.select("label", F.get_json_object("json", "$.dependencies[0]").alias("first_dependency"))
+    return graph.graph_json(star.nodes(spark, d), star.edges(spark, d))
 
 
 @query
@@ -594,7 +593,7 @@ def i9_taints(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a6_errors(spark: SparkSession, d: str) -> DataFrame:
-    s = star.spans(spark, d).where("trace_id IN ('1', '7', '32', '33')")
+    s = star.spans(spark, d)
     done = s.select(F.concat("trace_id", "label", F.lit("#"), F.col("cache_check_millis").cast("string")).alias("label"), (F.col("status") == "SUCCESS").alias("is_success"), F.when(F.col("status") == "FAILURE", F.concat(F.lit("failed: "), "command")).alias("err"), "cache_result")
     return incremental.errors(done)
 

@@ -118,7 +118,7 @@ def oracle_sql() -> dict[str, str]:
             """SELECT label, change_hash, CASE WHEN p % 4 <> 0 THEN sha256('d' || p || ',z') ELSE change_hash END AS output_hash
               FROM (SELECT *, CASE WHEN p % 3 <> 0 THEN sha256(label) || '_' || sha256(name) ELSE sha256(label) END AS change_hash FROM n)"""),
         "i9_taints": _graph("SELECT label FROM n WHERE (resource OR p % 5 = 1) AND p_brand <> 'Brand#12'"),
-        "a6_errors": _traces("SELECT trace_id || label || '#' || cache_check_millis AS label, 'failed: make ' || change_hash AS err FROM spans WHERE status = 'FAILURE' AND trace_id IN ('1', '7', '32', '33')"),
+        "a6_errors": _traces("SELECT trace_id || label || '#' || cache_check_millis AS label, 'failed: make ' || change_hash AS err FROM spans WHERE status = 'FAILURE'"),
         "e1_recent_builds": _traces("SELECT left(trace_id, 8) AS trace, command, total_duration_millis / CAST(1000 AS DOUBLE) AS seconds, total_targets, cache_hit_count, left(git_commit, 7) AS commit FROM recent", _recent(10)),
         "e2_slowest_misses": _traces("""SELECT label, count(*) AS runs, avg(total_duration_millis) AS avg_millis, avg(command_duration_millis) AS avg_command_millis FROM spans WHERE cache_result = 'CACHE_MISS'
             GROUP BY label HAVING count(*) > 3 ORDER BY avg_millis DESC, label LIMIT 10"""),
@@ -144,7 +144,11 @@ def oracle_sql() -> dict[str, str]:
         "g7_rdeps_set": _graph(f"SELECT {_LABEL('p')} AS label FROM walk", "walk AS (SELECT t AS p FROM e WHERE s = 7 UNION SELECT t FROM walk JOIN e ON s = p)"),
         "g8_topo_levels": _graph(f"SELECT {_LABEL('head')} AS label, CAST(max(depth) AS INT) AS level FROM down GROUP BY head", _WEIGHED, _DOWN),
         "g9_longest_paths": _graph(f"SELECT {_LABEL('head')} AS label, CAST(max(total) AS BIGINT) AS total FROM down GROUP BY head", _WEIGHED, _DOWN),
-        "g9_critical_path": _graph("SELECT CAST(max(total) AS BIGINT) AS total FROM down", _WEIGHED, _DOWN),
+        "g9_critical_path": _graph(
+            "SELECT string_agg(label, ' ' ORDER BY k DESC) AS path, CAST(sum(CASE WHEN resource THEN 0 ELSE p_size END) AS BIGINT) AS exec_millis, CAST(sum(CASE WHEN resource THEN 0 ELSE p % 3 END) AS BIGINT) AS cache_millis FROM way JOIN n USING (p)",
+            _WEIGHED, _DOWN, "best AS (SELECT head AS p, max(total) AS total, any_value(n.label) AS label FROM down JOIN n ON n.p = head GROUP BY head)",
+            "before AS (SELECT t AS p, arg_min(s, (-best.total, best.label)) AS s FROM e JOIN best ON best.p = s GROUP BY t)",
+            "way AS (SELECT arg_min(p, (-total, label)) AS p, 0 AS k FROM best UNION ALL SELECT before.s, k + 1 FROM way JOIN before ON before.p = way.p)"),
         "g11_induced_subgraph": _graph(f"SELECT {_LABEL('s')} AS src, {_LABEL('t')} AS dst FROM e WHERE s % 7 IN (0, 1) AND t % 7 IN (0, 1)"),
         "g12_build_selection": _graph(
             """SELECT label, p IN (SELECT p FROM chosen) AS chosen, p IN (SELECT p FROM need) AS ancestor, p IN (SELECT p FROM need) AND NOT fits AS platform_error
@@ -191,7 +195,8 @@ def oracle_sql() -> dict[str, str]:
             "need AS (SELECT s AS p, 1 AS steps FROM e WHERE t % 7 = 3 AND (t % 97 = 0 OR t % 13 <> 0) UNION SELECT s, steps + 1 FROM need JOIN e ON t = p)"),
         "g21_completions": _graph(
             """SELECT DISTINCT '//' || package AS completion FROM n WHERE starts_with(package, 'g3/p1') UNION SELECT label FROM n WHERE package = 'g3/p1'"""),
-        "k4_graph_json": _graph(f"SELECT {_LABEL('p')} AS label, (SELECT min({_LABEL('s')}) FROM e WHERE t = p) AS first_dependency FROM n"),
+        "k4_graph_json": _graph(
+            f"""SELECT {_LABEL('p')} AS label, '{{"label":"' || {_LABEL('p')} || '","dependencies":[' || coalesce((SELECT string_agg('"' || {_LABEL('s')} || '"', ',' ORDER BY {_LABEL('s')}) FROM e WHERE t = p), '') || ']}}' AS json FROM n"""),
         "x11_label_parts": _graph("SELECT label, package, name, p % 40 = 0 AS is_test, label AS short FROM n"),
         "x18_hashes": _graph(
             """SELECT label, sha256(array_to_string(list_sort(['src' || p || '.txt', CASE WHEN p % 111 = 0 THEN '../up' ELSE 'lib' END || (p // 4) || '.txt']), ',')) AS inputs_hash, 'size=' || p_size || ',type=' || p_type AS fingerprint_text FROM n"""),
