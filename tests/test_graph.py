@@ -1,5 +1,6 @@
 """Selection, graph walks, changes and views on small workspaces."""
 
+import json
 import random
 
 import pytest
@@ -62,30 +63,49 @@ def test_explanations(spark, workspace):
     nodes, edges = workspace
     changed = files(spark, "BUILD.json", "bin.sh", "package_1/source_2.txt")
     index = changes.affected_index(nodes, edges, changed)
-    assert render.explain_consumers(index, changes.affected_edges(nodes, edges, changed)).splitlines() == [
+    assert shown(render.explain_consumers(index, changes.affected_edges(nodes, edges, changed))) == [
         "//:bin", "├─↑ BUILD.json", "╰─↑ bin.sh", "//package_1:foo_test", "╰─↑ //package_1:foo", "    ╰─↑ //package_1:bar", "        ╰─↑ package_1/source_2.txt",
         "//package_2:package_2", "╰─↑ //package_1:foo", "    ╰─↑ //package_1:bar", "        ╰─↑ package_1/source_2.txt",
     ]
-    assert render.explain_files(changes.touched(nodes, changed), edges).splitlines()[-5:] == [
+    assert shown(render.explain_files(changes.touched(nodes, changed), edges))[-5:] == [
         "package_1/source_2.txt", "╰─↓ //package_1:bar", "    ╰─↓ //package_1:foo", "        ├─↓ //package_1:foo_test", "        ╰─↓ //package_2:package_2",
     ]
-    assert render.explain_files(changes.touched(nodes, changed), edges, show_files=False).splitlines()[0] == "//:bin"
+    assert shown(render.explain_files(changes.touched(nodes, changed), edges, show_files=False))[0] == "//:bin"
 
 
 def test_dependency_trees(spark):
     nodes = table(spark, [n for n in diamond() if not n["name"].startswith("bin")])
-    assert render.dependency_trees(nodes, graph.edges_of(nodes)).splitlines() == [
+    assert shown(render.dependency_trees(nodes, graph.edges_of(nodes))) == [
         "//package_1:foo_test", "╰── //package_1:foo", "    ╰── //package_1:bar", "//package_2:package_3", "├── //package_1:foo", "│   ╰── //package_1:bar",
         "╰── //package_2:package_2", "    ╰── //package_1:foo", "        ╰── //package_1:bar", "//package_2:package_4",
     ]
-    assert '"//package_2:package_2": [\n      "//package_1:foo"' in render.graph_document(nodes, graph.edges_of(nodes))
-    assert render.mermaid(nodes, graph.edges_of(nodes)).startswith("flowchart TD\n")
-
-
-def test_trees_of_any_depth():
-    assert render.draw("0", lambda n: [str(int(n) + 1)] if int(n) < 5_000 else []).count("\n") == 5_000
-    with pytest.raises(render.TooLarge):  # thirty diamonds: a billion lines
-        render.draw("0", lambda n: [str(int(n) + 1)] * 2 if int(n) < 30 else [])
+    deps = {}
+    for src, dst in sorted(tuple(r) for r in graph.edges_of(nodes).collect()):
+        deps.setdefault(dst, []).append(src)
+    document = "\n".join(shown(render.graph_document(nodes, graph.edges_of(nodes))))
+    assert document == json.dumps({"nodes": sorted(r.label for r in nodes.collect()), "edges": dict(sorted(deps.items()))}, indent=2)
+    chart = shown(render.mermaid(nodes, graph.edges_of(nodes)))
+    assert chart[:2] == ["flowchart TD", '    n0["//package_1:bar"]'] and "    n1 --> n0" in chart and len(chart) == 1 + nodes.count() + graph.edges_of(nodes).count()
+
+
+def shown(lines):
+    rows = sorted(lines.collect())
+    assert [r.place for r in rows] == list(range(len(rows)))
+    return [r.line for r in rows]
+
+
+def test_trees_too_large_to_show_and_rings(spark, tmp_path):
+    diamonds = [(f"n{k:02d}", f"{side}{k:02d}") for k in range(14) for side in "ab"] + [(f"{side}{k:02d}", f"n{k + 1:02d}") for k in range(14) for side in "ab"]
+    for edges in (diamonds, [("x", "y"), ("y", "x")]):
+        table = spark.createDataFrame(edges, "src string, dst string")
+        nodes = spark.createDataFrame([(x,) for x in sorted({x for e in edges for x in e} | {"alone"})], "label string")
+        with pytest.raises(render.TooLarge):
+            render.dependency_trees(nodes, table, most=2_000)
+    few = spark.createDataFrame(diamonds[:8] + diamonds[28:32], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for e in diamonds[:8] for x in e})], "label string")
+    lines = render.dependency_trees(nodes, few)
+    render.write_lines(lines, f"{tmp_path}/tree")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/tree").collect()] == shown(lines)
 
 
 def chain(spark, *pairs):

@@ -539,6 +539,20 @@ def k4_graph_json(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_json(star.nodes(spark, d), star.edges(spark, d))
 
 
+@query
+def k5_mermaid(spark: SparkSession, d: str) -> DataFrame:
+    from tracewright.operators import render
+
+    return render.mermaid(*_parts(spark, d))
+
+
+@query
+def k6_dependency_trees(spark: SparkSession, d: str) -> DataFrame:
+    from tracewright.operators import render
+
+    return render.dependency_trees(*_parts(spark, d))
+
+
 @query
 def x11_label_parts(spark: SparkSession, d: str) -> DataFrame:
     label = F.col("label")

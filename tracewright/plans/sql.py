@@ -195,6 +195,15 @@ def oracle_sql() -> dict[str, str]:
             "need AS (SELECT s AS p, 1 AS steps FROM e WHERE t % 7 = 3 AND (t % 97 = 0 OR t % 13 <> 0) UNION SELECT s, steps + 1 FROM need JOIN e ON t = p)"),
         "g21_completions": _graph(
             """SELECT DISTINCT '//' || package AS completion FROM n WHERE starts_with(package, 'g3/p1') UNION SELECT label FROM n WHERE package = 'g3/p1'"""),
+        "k5_mermaid": _graph(
+            """SELECT 0::BIGINT AS place, 'flowchart TD' AS line UNION ALL SELECT k + 1, '    n' || k || '["' || label || '"]' FROM m
+            UNION ALL SELECT (SELECT count(*) FROM m) + row_number() OVER (ORDER BY a.k, b.k), '    n' || a.k || ' --> n' || b.k FROM e JOIN m a ON a.p = t JOIN m b ON b.p = s""",
+            "m AS (SELECT p, label, row_number() OVER (ORDER BY label) - 1 AS k FROM n)"),
+        "k6_dependency_trees": _graph(
+            "SELECT row_number() OVER (ORDER BY way) - 1 AS place, line FROM tree",
+            "kids AS (SELECT t, s, n.label, n.label = max(n.label) OVER (PARTITION BY t) AS last FROM e JOIN n ON n.p = s)",
+            "tree AS (SELECT p, [label] AS way, '' AS pad, label AS line FROM n WHERE p NOT IN (SELECT s FROM e) UNION ALL "
+            "SELECT k.s, list_append(way, k.label), pad || CASE WHEN last THEN '    ' ELSE '│   ' END, pad || CASE WHEN last THEN '╰' ELSE '├' END || '── ' || k.label FROM tree JOIN kids k ON k.t = tree.p)"),
         "k4_graph_json": _graph(
             f"""SELECT {_LABEL('p')} AS label, '{{"label":"' || {_LABEL('p')} || '","dependencies":[' || coalesce((SELECT string_agg('"' || {_LABEL('s')} || '"', ',' ORDER BY {_LABEL('s')}) FROM e WHERE t = p), '') || ']}}' AS json FROM n"""),
         "x11_label_parts": _graph("SELECT label, package, name, p % 40 = 0 AS is_test, label AS short FROM n"),
