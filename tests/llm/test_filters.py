@@ -117,6 +117,19 @@ def test_references_are_whole_texts(spark):
     assert got == language.references(spark.createDataFrame(rows[::-1], DOCS), sampled=5, short=100)
 
 
+def test_references_are_bounded_in_bytes_and_whole(spark):
+    rows = [(k, f"{chr(97 + k) * 50} word", "en", "s") for k in range(20)] + [(90, "nur ein kurzer Satz", "de", "s")]
+    long = spark.range(3).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("lang und breit "), 3_400_000).alias("text"), F.lit("de").alias("lang"), F.lit("s").alias("source"))
+    docs = spark.createDataFrame(rows, DOCS).unionByName(long)
+    got = language.references(docs, most_bytes=300)
+    assert got["de"] == b"nur ein kurzer satz" or got["de"] == b"nur ein kurzer Satz"
+    assert len(got["en"]) <= 300 and all(len(w) in (4, 50) for w in got["en"].split())
+    assert set(language.references(long)) == set()  # 51 MB each: beyond the bound, so not learned
+    found = language.predict(long.limit(1), language.references(docs)).collect()
+    assert [r.lang_pred for r in found] == ["de"]  # but read whole
+
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(5)
     parts = {"aa": ["ka", "ri", "no", "ta"], "bb": ["sch", "ung", "eit", "ver"], "cc": ["ção", "lh", "os", "ão"]}

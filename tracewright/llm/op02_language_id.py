@@ -22,9 +22,11 @@ from pyspark.sql.window import Window
 
 from tracewright.llm.common import crc_mod
 
-#: Labelled documents per language that make its reference, the first by a hash of doc_id and text, whole; those of up to
-#: so many characters come first. An automaton takes about 400 bytes for each byte of its reference.
-SAMPLED, SHORT = 24, 2_000
+#: Labelled documents per language that make its reference, the first by a hash of doc_id and text, whole, as long as they
+#: have so many bytes together at most. Those of up to so many characters come first: within the bound, many short texts
+#: show more of a language than one long one. An automaton takes about 400 bytes for each byte of its reference, so the
+#: bound is about 100 MB for each language.
+SAMPLED, SHORT, MOST_BYTES = 24, 2_000, 1 << 18
 #: Bytes of a window, and of the windows that advance together.
 WINDOW, TOGETHER = 256, 3_000_000
 UNKNOWN = "und"
@@ -86,6 +88,8 @@ class Parser:
 
     def _table(self, text: bytes, width: int) -> np.ndarray:
         moves = suffix_automaton(text)
+        if 2 * len(moves) * width > np.iinfo(np.int32).max:
+            raise ValueError(f"a reference of {len(text)} bytes is too long for a table of 32-bit offsets")
         first = np.ones(width, np.int32)  # an unknown symbol is a phrase and leads back to the root
         for c, to in moves[0].items():
             first[self.symbols[c]] = 2 * to * width + 1
@@ -162,11 +166,14 @@ class Parser:
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(score, 0, 1), 0.0)
 
 
-def references(docs: DataFrame, sampled: int = SAMPLED, short: int = SHORT) -> dict[str, bytes]:
-    """Labelled rows (doc_id, text, lang) -> reference text per language: whole texts of so many rows."""
+def references(docs: DataFrame, sampled: int = SAMPLED, short: int = SHORT, most_bytes: int = MOST_BYTES) -> dict[str, bytes]:
+    """Labelled rows (doc_id, text, lang) -> reference text per language: whole texts of so many rows, up to the text that
+    would pass the bound in bytes. Texts beyond it are left out, as is a language that has no others."""
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.length("text") > short, "key")
-    keys = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sampled).select(F.col("lang").alias("_lang"), F.col("key").alias("_key"))
+    first = named.where(F.octet_length("text") <= most_bytes).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sampled).select("lang", "key", "place", F.octet_length("text").alias("size"))
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("place"))
+    keys = first.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select(F.col("lang").alias("_lang"), F.col("key").alias("_key"))
     # A few numbers for each language.
     chosen = named.join(F.broadcast(keys.distinct()), (F.col("lang") == F.col("_lang")) & (F.col("key") == F.col("_key")))
     pieces: dict[str, list[bytes]] = {}
@@ -212,8 +219,8 @@ def predict(docs: DataFrame, refs: dict[str, bytes]) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    Learns from documents with a language whose crc32(doc_id) mod 4 is not 2: from ``SAMPLED`` whole texts of each. A
-    text that ties goes to the language that sorts first. Null texts and texts without a letter are ``und``; texts of
+    Learns from documents with a language whose crc32(doc_id) mod 4 is not 2: from ``SAMPLED`` whole texts of each, of
+    ``MOST_BYTES`` bytes together at most. A text that ties goes to the language that sorts first. Null texts and texts without a letter are ``und``; texts of
     any length are parsed whole. Repeated rows each give a row; with no labelled row everything is ``und``; an empty
     table gives no rows; other columns are ignored.
     """
