@@ -10,14 +10,16 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as X
 from tracewright.operators.graph import levels, reachable
-from tracewright.storage import stage
+from tracewright.storage import new_folder, stage, unstage
 
 _STRINGS = "array<string>"
+_PLAN = "label string, level int, change_hash string, hit boolean, output_hash string"
+_PLAN_COLUMNS = ("label", "level", "change_hash", "hit", "output_hash")
 NO_CACHE, ANY_PLATFORM = "no-cache", "multiplatform-cache"
 
 
@@ -83,12 +85,15 @@ def output_hash(digests: Column, change: Column, algorithm: str = "sha256") -> C
     return F.when(F.coalesce(F.size(digests), F.lit(0)) <= 0, change).otherwise(X.list_hash(digests, algorithm))
 
 
+def _needed(column: str) -> Column:
+    """The output hash of a dependency; one that is there without a hash is an error."""
+    return F.coalesce(column, F.raise_error(F.concat(F.lit("dependency "), "src", F.lit(" of "), "dst", F.lit(" has no output hash"))))
+
+
 def dependency_hashes(edges: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(label, hashes): the output hashes of a node's dependencies, of ``hashes`` (label, output_hash). A dependency that
-    is there without one is an error."""
+    """(label, hashes): the output hashes of a node's dependencies, of ``hashes`` (label, output_hash)."""
     met = edges.join(hashes.select(F.col("label").alias("src"), "output_hash"), "src")
-    missing = F.raise_error(F.concat(F.lit("dependency "), "src", F.lit(" of "), "dst", F.lit(" has no output hash")))
-    return met.select(F.col("dst").alias("label"), F.coalesce("output_hash", missing).alias("hash")).groupBy("label").agg(F.collect_list("hash").alias("hashes"))
+    return met.select(F.col("dst").alias("label"), _needed("output_hash").alias("hash")).groupBy("label").agg(F.collect_list("hash").alias("hashes"))
 
 
 def is_hit(cached: Column, tainted: Column, tags: Column, enabled: bool = True) -> Column:
@@ -96,33 +101,120 @@ def is_hit(cached: Column, tainted: Column, tags: Column, enabled: bool = True)
     return cached.isNotNull() & ~F.coalesce(tainted, F.lit(False)) & ~F.array_contains(F.coalesce(tags, F.array().cast(_STRINGS)), NO_CACHE) & F.lit(enabled)
 
 
+class _Mail:
+    """Rows filed by the level that reads them, in one staged folder: a level reads its own rows and no others."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.schema, self.path = spark, schema + ", at int", new_folder(spark, "plan-mail")
+        spark.createDataFrame([], self.schema).write.partitionBy("at").parquet(self.path)
+
+    def send(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("at").parquet(self.path)
+
+    def of(self, level: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).where(F.col("at") == level).drop("at")
+
+
+def _cached(results: DataFrame) -> DataFrame:
+    return stage(results.groupBy("change_hash").agg(F.max("output_hash").alias("cached")), "plan-results")
+
+
+def _marks(targets: DataFrame, tainted: DataFrame | None) -> DataFrame:
+    return tainted.select("label").distinct().withColumn("tainted", F.lit(True)) if tainted is not None else targets.select("label", F.lit(False).alias("tainted")).limit(0)
+
+
+def _planned(here: DataFrame, contents: DataFrame, cached: DataFrame, marks: DataFrame, produced: DataFrame, platform: str, enabled: bool, options: dict) -> DataFrame:
+    """The plan of targets whose dependencies are known: node columns, level and ``hashes``."""
+    here = here.withColumn("definition", definition_hash(F.col("hashes"), platform, **options)).join(contents, "label", "left")
+    here = here.withColumn("change_hash", change_hash(F.col("definition"), F.col("content_hash"), F.col("inputs")))
+    here = here.join(cached, "change_hash", "left").join(marks, "label", "left").join(produced.select("label", F.col("output_hash").alias("made")), "label", "left")
+    here = here.withColumn("hit", is_hit(F.col("cached"), F.col("tainted"), F.col("tags"), enabled))
+    return here.select("label", "level", "change_hash", "hit", F.when(F.col("hit"), F.col("cached")).otherwise(F.coalesce("made", "change_hash")).alias("output_hash"))
+
+
 def plan_builds(nodes: DataFrame, edges: DataFrame, contents: DataFrame, results: DataFrame, produced: DataFrame, tainted: DataFrame | None = None, platform: str = "linux/amd64", enabled: bool = True, **options) -> DataFrame:
     """(label, level, change_hash, hit, output_hash) of every target, level by level.
 
     Dependants hash the *output* hashes of their dependencies, so an unchanged output stops a change from spreading
     (early cutoff). ``results`` (change_hash, output_hash) is the cache; ``produced`` (label, output_hash) is what an
     execution would make, null or missing for targets without outputs. Resources have no part in the hashes.
+
+    A level sends its output hashes along its edges to the levels that need them, so each hash is read once per edge,
+    however deep the graph is.
     """
     targets = nodes.where("node_type = 'target'")
     ranked = stage(levels(nodes, edges), "plan-levels")
     top = ranked.agg(F.max("level")).first()[0]
-    marks = tainted.select("label").distinct().withColumn("tainted", F.lit(True)) if tainted is not None else targets.select("label", F.lit(False).alias("tainted")).limit(0)
-    latest = results.groupBy("change_hash").agg(F.max("output_hash").alias("cached"))
-    done = None
-    for level in range((top if top is not None else -1) + 1):
-        here = targets.join(ranked.where(F.col("level") == level), "label")
-        if done is None:
+    if top is None:
+        return nodes.sparkSession.createDataFrame([], _PLAN)
+    own = stage(targets.join(ranked, "label").select(*targets.columns, F.col("level").cast("int").alias("level")), "plan-nodes", by="level")
+    ways = stage(edges.join(ranked.select(F.col("label").alias("src"), F.col("level").cast("int").alias("level")), "src").join(ranked.select(F.col("label").alias("dst"), F.col("level").cast("int").alias("at")), "dst"), "plan-edges", by="level")
+    cached, marks, mail = _cached(results), _marks(targets, tainted), _Mail(nodes.sparkSession, "label string, hash string")
+    done = new_folder(nodes.sparkSession, "plan")
+    for level in range(top + 1):
+        here = own.where(F.col("level") == level)
+        if level == 0:
             here = here.withColumn("hashes", F.array().cast(_STRINGS))
         else:
-            here = here.join(dependency_hashes(edges, done), "label", "left").withColumn("hashes", _listed("hashes"))
-        here = here.withColumn("definition", definition_hash(F.col("hashes"), platform, **options)).join(contents, "label", "left")
-        here = here.withColumn("change_hash", change_hash(F.col("definition"), F.col("content_hash"), F.col("inputs")))
-        here = here.join(latest, "change_hash", "left").join(marks, "label", "left").join(produced.select("label", F.col("output_hash").alias("made")), "label", "left")
-        here = here.withColumn("hit", is_hit(F.col("cached"), F.col("tainted"), F.col("tags"), enabled))
-        part = here.select("label", "level", "change_hash", "hit", F.when(F.col("hit"), F.col("cached")).otherwise(F.coalesce("made", "change_hash")).alias("output_hash"))
-        part = stage(part, "plan-level")
-        done = part if done is None else done.unionByName(part)
-    return done
+            here = here.join(mail.of(level).groupBy("label").agg(F.collect_list("hash").alias("hashes")), "label", "left").withColumn("hashes", _listed("hashes"))
+        _planned(here, contents, cached, marks, produced, platform, enabled, options).select(*_PLAN_COLUMNS).write.parquet(f"{done}/turn={level}")
+        if level < top:
+            made = nodes.sparkSession.read.schema(_PLAN).parquet(f"{done}/turn={level}")
+            met = ways.where(F.col("level") == level).drop("level").join(made.select(F.col("label").alias("src"), "output_hash"), "src")
+            mail.send(met.select(F.col("dst").alias("label"), _needed("output_hash").alias("hash"), "at"))
+    return nodes.sparkSession.read.schema(_PLAN + ", turn int").parquet(done).drop("turn")
+
+
+def plan_delta(nodes: DataFrame, edges: DataFrame, previous: DataFrame, changed: DataFrame, contents: DataFrame, results: DataFrame, produced: DataFrame, tainted: DataFrame | None = None, ranks: DataFrame | None = None, platform: str = "linux/amd64", enabled: bool = True, **options) -> DataFrame:
+    """The part of a plan that has to be made anew: (label, level, change_hash, hit, output_hash, was) of the targets
+    visited, ``was`` being the output hash of the previous plan.
+
+    ``changed`` (label) names the targets that may differ from the previous plan by themselves: by definition, contents,
+    dependencies, taint or by what they would produce. From there only targets with a dependency whose output hash has
+    really changed are visited, once each, in order of level; ``results`` must hold what the previous plan made. The
+    levels are those of ``previous``; if edges or targets changed, give ``ranks`` (label, level) of the new graph.
+    ``merged_plan`` gives the whole plan. No changed label gives no rows.
+
+    A round joins the labels of one level with the other tables; only its own rows are shuffled where they are few, since
+    Spark broadcasts small staged tables by their size. Rounds number the levels visited, not those of the graph.
+    """
+    spark = nodes.sparkSession
+    targets = nodes.where("node_type = 'target'")
+    order = (ranks if ranks is not None else previous).select("label", F.col("level").cast("int").alias("level"))
+    before = previous.select("label", F.col("output_hash").alias("was"))
+    cached, marks = _cached(results), _marks(targets, tainted)
+    mail, done = _Mail(spark, "label string, src string, hash string"), new_folder(spark, "plan-delta")
+    start = stage(changed.select("label").distinct().join(order, "label").select("label", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("hash"), F.col("level").alias("at")), "plan-changed")
+    mail.send(start)
+    waiting = {r[0] for r in start.select("at").distinct().collect()}  # levels only
+    schema = _PLAN + ", was string"
+    if not waiting:
+        return spark.createDataFrame([], schema)
+    while waiting:
+        level = min(waiting)
+        waiting.remove(level)
+        sent = mail.of(level)
+        at = sent.select("label").distinct()
+        needs = edges.join(at.withColumnRenamed("label", "dst"), "dst")
+        needs = needs.join(before.select(F.col("label").alias("src"), "was", F.lit(True).alias("known")), "src", "left")
+        needs = needs.join(sent.where("src IS NOT NULL").select(F.col("label").alias("dst"), "src", "hash"), ["src", "dst"], "left").where("known OR hash IS NOT NULL")
+        hashes = needs.select(F.col("dst").alias("label"), F.coalesce("hash", _needed("was")).alias("hash")).groupBy("label").agg(F.collect_list("hash").alias("hashes"))
+        here = targets.join(at, "label").join(hashes, "label", "left").withColumn("hashes", _listed("hashes")).withColumn("level", F.lit(level))
+        _planned(here, contents, cached, marks, produced, platform, enabled, options).join(before, "label", "left").select(*_PLAN_COLUMNS, "was").write.parquet(f"{done}/turn={level}")
+        moved = spark.read.schema(schema).parquet(f"{done}/turn={level}").where(~F.col("output_hash").eqNullSafe(F.col("was")))
+        onward = edges.join(moved.select(F.col("label").alias("src"), F.col("output_hash").alias("hash")), "src").join(order.withColumnRenamed("label", "dst"), "dst")
+        onward = stage(onward.select(F.col("dst").alias("label"), "src", "hash", F.col("level").alias("at")), "plan-onward")
+        mail.send(onward)
+        waiting |= {r[0] for r in onward.select("at").distinct().collect()}
+        unstage(onward)
+    return spark.read.schema(schema + ", turn int").parquet(done).drop("turn")
+
+
+def merged_plan(previous: DataFrame, delta: DataFrame) -> DataFrame:
+    """(label, level, change_hash, output_hash): the previous plan with the targets that ``plan_delta`` visited put in
+    place of theirs."""
+    kept = previous.join(delta.select("label"), "label", "left_anti")
+    return kept.select("label", "level", "change_hash", "output_hash").unionByName(delta.select("label", "level", "change_hash", "output_hash"))
 
 
 def taint(store: DataFrame, labels: DataFrame) -> DataFrame:

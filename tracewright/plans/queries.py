@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import scalars as X
 from tracewright.functions.labels import Pattern, completions, is_test, name_of, package_of, shortened
 from tracewright.operators import changes as C
-from tracewright.operators import checks, graph, incremental, selection
+from tracewright.operators import checks, folders, graph, incremental, selection
 from tracewright.operators import traces as T
 from tracewright.plans import documented as D
 from tracewright.plans import star
@@ -587,6 +587,53 @@ def i4_early_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return incremental.plan_builds(nodes, edges, changed, before.select("change_hash", "output_hash"), again).select("label", "level", "hit")
 
 
+@query
+def i4_delta(spark: SparkSession, d: str) -> DataFrame:
+    """The second build of ``i4_early_cutoff``, planned from the first one and what changed: all targets visited, and
+    whether their output changed."""
+    nodes, edges = _parts(spark, d)
+    number = F.regexp_extract("label", ":n([0-9]+)", 1).cast("long")
+    first = nodes.select("label", F.sha2("label", 256).alias("content_hash"))
+    made = nodes.where("node_type = 'target'").select("label", F.sha2(F.concat(F.lit("out"), "label"), 256).alias("output_hash"))
+    before = incremental.plan_builds(nodes, edges, first, spark.createDataFrame([], "change_hash string, output_hash string"), made)
+    changed = nodes.where(F.pmod(number, F.lit(5)) == 0).select("label")
+    contents = first.withColumn("content_hash", F.when(F.pmod(number, F.lit(5)) == 0, F.sha2(F.concat("label", F.lit("2")), 256)).otherwise(F.col("content_hash")))
+    again = made.withColumn("output_hash", F.when(F.pmod(number, F.lit(10)) == 0, F.sha2(F.concat(F.lit("new"), "label"), 256)).otherwise(F.col("output_hash")))
+    delta = incremental.plan_delta(nodes, edges, before, changed, contents, before.select("change_hash", "output_hash"), again)
+    return delta.select("label", "level", "hit", "output_hash", (F.col("output_hash") != F.col("was")).alias("moved"))
+
+
+def _part_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files of a tree per brand: in folders named by the words of their types, some in upper folders; every
+    50th is a link."""
+    p = F.col("p_partkey")
+    folder = F.when(p % 11 == 0, "").when(p % 7 == 0, F.split("p_type", " ")[0]).otherwise(F.replace("p_type", F.lit(" "), F.lit("/")))
+    link = p % 50 == 0
+    return star.table(spark, d, "part").select(
+        F.replace("p_brand", F.lit("#"), F.lit("")).alias("root"), F.concat_ws("/", F.when(folder != "", folder), F.concat(F.lit("n"), p.cast("string"), F.lit(".txt"))).alias("path"), F.when(link, "link").otherwise("file").alias("kind"),
+        F.sha2("p_name", 256).alias("digest"), F.octet_length("p_name").cast("long").alias("size"), (p % 3 == 0).alias("executable"), F.when(link, F.lit("n1.txt")).alias("target"),
+    )
+
+
+@query
+def i5_folder_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digest, files and bytes of every folder of all trees (S14, S16, I5)."""
+    return folders.folder_digests(_part_files(spark, d))
+
+
+@query
+def i7_no_cache_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Output hashes of targets that are never cached: each makes a brand's whole tree and one of its files (I7)."""
+    files = _part_files(spark, d).withColumn("path", F.concat_ws("/", "root", "path"))
+    outputs = files.groupBy("root").agg(F.min(F.when(F.col("kind") == "file", F.col("path"))).alias("first"))
+    out = lambda kind, name: F.struct(F.lit(kind).alias("type"), F.col(name).alias("identifier"))
+    nodes = outputs.select(
+        F.concat(F.lit("//:"), "root").alias("label"), F.lit("").alias("package"), F.lit("target").alias("node_type"), F.array(F.lit("no-cache")).alias("tags"), F.array(out("dir", "root"), out("file", "first")).alias("outputs"),
+        F.lit(None).cast("struct<type: string, identifier: string>").alias("bin_output"),
+    )
+    return folders.no_cache_hashes(nodes, files)
+
+
 @query
 def i2_change_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Change and output hashes: of targets with and without inputs and outputs (I2, I5, I6)."""

@@ -57,6 +57,27 @@ _TOUCHED = f"touched AS (SELECT DISTINCT file, p FROM (SELECT p, unnest(files) A
 _AFFECTED = "affected AS (SELECT p FROM touched UNION SELECT t FROM affected JOIN e ON s = p)"
 
 
+def _fold(rows: str) -> str:
+    """Folders out of entries (root, folder, name, entry, files, bytes): texts dealt by the digest of their name."""
+    return f"""SELECT root, folder, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes
+      FROM (SELECT root, folder, left(sha256(name), 2) AS part, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS digest, sum(files) AS files, sum(bytes) AS bytes FROM ({rows}) GROUP BY ALL) GROUP BY root, folder"""
+
+
+def _level(depth: int) -> str:
+    own = f"SELECT root, folder, name, entry, files, bytes FROM entries WHERE depth = {depth}"
+    last, above = "regexp_extract(folder, '[^/]*$')", "regexp_replace(folder, '/?[^/]*$', '')"
+    below = f" UNION ALL SELECT root, {above}, {last}, 'dir ' || digest || ' ' || {last}, files, bytes FROM d{depth + 1}" if depth < 3 else ""
+    return f"d{depth} AS ({_fold(own + below)})"
+
+
+_FOLDERS = f"""WITH entries AS (
+  SELECT replace(p_brand, '#', '') AS root, folder, name, CASE WHEN link THEN 'link ' || sha256('n1.txt') ELSE 'file ' || sha256(p_name) || ' ' || octet_length(encode(p_name)) || CASE WHEN p % 3 = 0 THEN ' x' ELSE ' -' END END || ' ' || name AS entry,
+    CASE WHEN link THEN 0 ELSE 1 END AS files, CASE WHEN link THEN 0 ELSE octet_length(encode(p_name)) END AS bytes, CASE WHEN folder = '' THEN 0 ELSE len(string_split(folder, '/')) END AS depth, p_name, link
+  FROM (SELECT *, p_partkey AS p, p_partkey % 50 = 0 AS link, 'n' || p_partkey || '.txt' AS name,
+      CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN split_part(p_type, ' ', 1) ELSE replace(p_type, ' ', '/') END AS folder FROM part)),
+{', '.join(_level(k) for k in (3, 2, 1, 0))}"""
+
+
 def _graph(body: str, *ctes: str) -> str:
     return f"WITH RECURSIVE {', '.join([_EDGE, _PART, *ctes])} {body}"
 
@@ -280,6 +301,13 @@ def _more() -> dict[str, str]:
         "i4_early_cutoff": _graph(
             f"""SELECT {_LABEL('head')} AS label, CAST(max(depth) AS INT) AS level, head % 5 <> 0 AND head NOT IN (SELECT t FROM e WHERE s % 10 = 0 AND s % 97 <> 0) AS hit
               FROM down WHERE head % 97 <> 0 GROUP BY head""", _WEIGHED, _DOWN),
+        "i4_delta": _graph(
+            f"""SELECT {_LABEL('head')} AS label, CAST(max(depth) AS INT) AS level, head % 5 <> 0 AND head NOT IN (SELECT t FROM e WHERE s % 10 = 0 AND s % 97 <> 0) AS hit,
+              sha256(CASE WHEN head % 10 = 0 THEN 'new' ELSE 'out' END || {_LABEL('head')}) AS output_hash, head % 10 = 0 AS moved
+              FROM down WHERE head % 97 <> 0 AND (head % 5 = 0 OR head IN (SELECT t FROM e WHERE s % 10 = 0 AND s % 97 <> 0)) GROUP BY head""", _WEIGHED, _DOWN),
+        "i5_folder_digests": _FOLDERS + " SELECT * FROM d3 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d0",
+        "i7_no_cache_hashes": _FOLDERS + """ SELECT '//:' || root AS label, sha256(array_to_string(list_sort([digest, first]), ',')) AS output_hash
+            FROM d0 JOIN (SELECT root, arg_min(sha256(p_name), CASE WHEN folder = '' THEN name ELSE folder || '/' || name END) AS first FROM entries WHERE NOT link GROUP BY root) USING (root)""",
         "i8_hits": """SELECT CAST(l_orderkey AS VARCHAR) AS trace_id, '//s' || (l_suppkey % 10) || ':t' || l_suppkey AS label, epoch_ms(l_shipdate) + l_linenumber * 1000 AS start_time_unix_millis,
             l_linestatus <> 'O' AND l_linenumber <> 1 AND l_returnflag <> 'R' AS hit FROM lineitem""",
     }
