@@ -1,37 +1,41 @@
 """Main-text extraction by tag-path ratios.
 
 A page is read into text blocks, each with its path of tags and classes from the root. Per path, text length and
-punctuation are aggregated to two ratios, the mean of both over the path's blocks; link text counts for neither. The same
-ratios of the page's densest container, the innermost one that holds most of the text, smooth those of each path: in
-full for the paths inside, so that short headings and items of a text stay, and by half for every container that
-a path lies farther out. Both smoothed ratios are fused by their geometric mean, and a path is content if that
-reaches a part of the container's own.
-
-Structure is a prior weight only: text inside an article weighs more, and paths through elements that are called menus,
-notices, adverts or comments weigh less, which leaves dense text in a wrapper of such a name alone. Elements that HTML
-defines as something else than main text (nav, footer, aside, form and their roles) have no weight.
+punctuation are aggregated to two ratios, the mean of both over the path's blocks (a block counts as full from 100
+characters and five marks on); link text counts for neither. Their geometric mean, times the path's prior weight, is its
+raw score. Scores are smoothed over neighbouring paths: half of a path's score is its own, half that of its container,
+the mean over the paths in it weighted by their text, or part of what the containers around it and in it have. A path is
+content if its smoothed score reaches a part of the page's mean score, again weighted by text. So every decision follows
+from ratios: without them no path is content.
+
+Structure is a prior weight only: elements that are called menus, notices, adverts or comments, and forms, weigh less,
+which leaves a page whose whole text lies in such an element alone; text beside an article that holds most of the page
+weighs less, main headings weigh more. Elements that HTML defines as something else than main text (nav, footer, aside
+and their roles) have no weight.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Part of the page's text that the densest container holds.
+#: Part of the page's text that an article has to hold for text beside it to weigh less.
 MOST = 0.5
-#: How much the container's ratios count in a path's, how much of that is left one container farther out, and the part of the container's fused ratio that makes a path content.
+#: How much the container's score counts in a path's, how much of a container's score its neighbours get, and the part of the page's mean score that makes a path content.
 SMOOTH, OUTWARD, CONTENT = 0.5, 0.5, 0.4
+#: Characters and marks (and one) from which on a block is full text: more says no more about its density.
+FULL = (100, 6)
 #: Elements below this many others share a path, so that paths stay short; their text is read all the same.
 DEEPEST = 100
-#: Prior weights: of an article's text, of a main heading, of links that stand in the page itself, of elements named as no main text, of text beside an article.
-ARTICLE, HEADING, LINKS, NAMED, BESIDE = 3.0, 1.5, 0.5, 0.05, 0.5
+#: Prior weights: of a main heading, of links that stand in the page's body itself, of forms and of elements named as no main text, of text beside an article.
+HEADING, LINKS, NAMED, BESIDE = 1.5, 0.5, 0.05, 0.5
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +45,7 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style noscript template iframe svg object canvas textarea title xmp noembed".split())
 #: Elements and roles that are something else than main text by HTML's and ARIA's definitions; a header only outside an article.
-OTHER_TAGS = frozenset("head nav footer aside form button select dialog menu datalist audio video".split())
+OTHER_TAGS = frozenset("head nav footer aside button select dialog menu datalist audio video".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
 #: Words by which authors name such elements, and words that may stand beside them in a name.
 NAMES = frozenset(
@@ -74,7 +78,7 @@ def _named(value: str) -> bool:
 
 def _read_tag(tag: str, attributes: str, inside: bool) -> tuple[str, float, bool]:
     """An element's name in paths, its prior weight, and whether it is an article or main part."""
-    name, weight, article = tag, 0.0 if tag in OTHER_TAGS or tag == "header" and not inside else 1.0, tag in ("article", "main")
+    name, weight, article = tag, 0.0 if tag in OTHER_TAGS or tag == "header" and not inside else NAMED if tag == "form" else 1.0, tag in ("article", "main")
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -182,38 +186,46 @@ def _above(path: str) -> list[str]:
     return ["/".join(steps[:k]) for k in range(2, len(steps) + 1)]
 
 
-def _within(path: str, container: str) -> bool:
-    return path == container or path.startswith(container + "/")
-
-
-def densest(found: list[tuple[Place, str, int]]) -> tuple[str, float]:
-    """The innermost container with most of the weighted text that is no link, and its prior weight; within an
-    article, that article."""
-    own: dict[str, float] = {}
-    weights, articles = {}, {}
+def ratios(found: list[tuple[Place, str, int]]) -> dict[str, tuple[Place, float, float]]:
+    """Per path: one place on it, its raw score (both ratios fused, times its prior weight), and its mass, the weighted
+    characters that are no link."""
+    sums: dict[str, list] = {}
     for place, text, linked in found:
-        own[place.container] = own.get(place.container, 0.0) + place.weight * (len(text) - linked) * (ARTICLE if place.article else 1.0)
-        weights[place.container] = max(weights.get(place.container, 0.0), place.weight)
-        articles[place.container] = place.article
-    total = sum(own.values())
-    if not total:
-        return "", 1.0
-    mass: dict[str, float] = {}
-    article, weight = {}, {}
-    for container, m in own.items():
-        for path in _above(container):
-            mass[path] = mass.get(path, 0.0) + m
-            weight[path] = max(weight.get(path, 0.0), weights[container])
-            if articles[container] and _within(path, articles[container]):
-                article[path] = articles[container]
-    best = max((p for p, m in mass.items() if m > MOST * total), key=lambda p: (p.count("/"), mass[p]), default="")
-    best = article.get(best, best)
-    return best, weight.get(best, 1.0)
-
-
-def _outward(container: str, best: str) -> int:
-    """Containers to leave from the densest one to reach what holds this one too."""
-    return sum(not _within(container, p) for p in _above(best))
+        free = 1 - linked / len(text)
+        at = sums.setdefault(place.path, [place, 0, 0.0, 0.0, 0.0])
+        at[1] += 1
+        at[2] += min(len(text), FULL[0]) * free
+        at[3] += min(1 + len(_PUNCTUATION.findall(text)), FULL[1]) * free
+        at[4] += len(text) * free * place.weight
+    return {path: (place, math.sqrt(length / n * marks / n) * place.weight, mass) for path, (place, n, length, marks, mass) in sums.items()}
+
+
+def smoothed(scores: dict[str, tuple[Place, float, float]]) -> dict[str, float]:
+    """Scores of paths with those of their neighbours: each container has the mean of the paths that stand in it by mass;
+    from it, OUTWARD goes to the container around it, then to those in it, in the measure of their prior weights."""
+    total, mass, weight = {"": 0.0}, {"": 0.0}, {"": 0.0}
+    for place, score, m in scores.values():
+        for c in ["", *_above(place.container)] if place.container else [""]:
+            weight[c] = max(weight.get(c, 0.0), place.weight)
+        total[place.container] = total.get(place.container, 0.0) + m * score
+        mass[place.container] = mass.get(place.container, 0.0) + m
+    own = {c: total[c] / mass[c] if mass.get(c) else 0.0 for c in weight}
+    for c in sorted(own, key=lambda c: -c.count("/")):
+        if c:
+            around = _around(c, own)
+            own[around] = max(own[around], OUTWARD * own[c])
+    for c in sorted(own, key=lambda c: c.count("/")):
+        if c:
+            around = _around(c, own)
+            own[c] = max(own[c], OUTWARD * own[around] * weight[c] / weight[around])
+    return {path: (1 - SMOOTH) * score + SMOOTH * own[place.container] * place.weight / weight[place.container] for path, (place, score, _) in scores.items()}
+
+
+def _around(container: str, among: dict[str, float]) -> str:
+    above = container.rpartition("/")[0]
+    while above not in among:
+        above = above.rpartition("/")[0]
+    return above
 
 
 def main_text(html: str | None) -> str:
@@ -221,38 +233,39 @@ def main_text(html: str | None) -> str:
     found = blocks(html) if html else []
     if not found:
         return ""
-    best, its_weight = densest(found)
-    paths: dict[str, int] = {}
-    of = np.array([paths.setdefault(place.path, len(paths)) for place, _, _ in found])
-    own = [(place, len(text), 1 - linked / len(text), len(_PUNCTUATION.findall(text))) for place, text, linked in found]
-    length, marks = (np.array([x * free for _, x, free, _ in own]), np.array([(1 + m) * free for _, _, free, m in own]))
-    inside = np.array([_within(place.container, best) for place, _, _, _ in own])
-    counts = np.bincount(of)
-    ratios = np.array([np.bincount(of, length) / counts, np.bincount(of, marks) / counts])
-    among = inside & np.array([place.weight >= its_weight for place, _, _, _ in own])
-    dense = np.array([length[among].mean(), marks[among].mean()]) if among.any() else ratios.mean(axis=1)
-    place_of = {k: own[at] for at, k in reversed(list(enumerate(of.tolist())))}
-    near = np.array([OUTWARD ** _outward(place_of[k][0].container, best) for k in range(len(paths))])
-    smoothed = (1 - SMOOTH) * ratios + SMOOTH * near * dense[:, None]
-    fused = np.sqrt(smoothed.prod(axis=0))
-    beside = BESIDE if any(place.article == best for place, _, _, _ in own) else 1.0
-    alone = best.count("/") < 3  # the page itself
-    links = 1 - np.bincount(of, [free for _, _, free, _ in own]) / counts
-    for k in range(len(paths)):
-        place = place_of[k][0]
-        if near[k] == 1:
-            fused[k] *= min(1.0, place.weight / its_weight) * (1 - LINKS * links[k] if alone else 1.0)
-        else:
-            fused[k] *= place.weight * beside * (HEADING if place.tag == "h1" else 1.0)
-    content = fused >= CONTENT * np.sqrt(dense.prod()) * (1 - 1e-9)
-    return "\n".join(text for (_, text, _), k in zip(found, of.tolist(), strict=True) if content[k])
+    scores = ratios(found)
+    page = sum(m for _, _, m in scores.values())
+    if not page:
+        return ""
+    articles: dict[str, float] = {}
+    links: dict[str, list[int]] = {}
+    for place, text, linked in found:
+        free = len(text) - linked
+        if place.article:
+            articles[place.article] = articles.get(place.article, 0.0) + free * place.weight
+        at = links.setdefault(place.path, [0, 0])
+        at[0] += linked
+        at[1] += len(text)
+    article = max((a for a, m in articles.items() if m > MOST * page), default=None)
+    bar = CONTENT * sum(m * score for _, score, m in scores.values()) / page
+    content = {}
+    for path, score in smoothed(scores).items():
+        place = scores[path][0]
+        if place.container.rpartition("/")[2].split(".")[0] in ("", "html", "body"):
+            score *= 1 - LINKS * links[path][0] / links[path][1]
+        if place.article != article and article is not None:
+            score *= BESIDE
+        if place.tag == "h1" and place.article != article:
+            score *= HEADING
+        content[path] = score > 0 and score >= bar * (1 - 1e-9)
+    return "\n".join(text for place, text, _ in found if content[place.path])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null and empty pages have empty text; whole pages are read whatever their size; of containers that tie the one with
-    more text counts, then the first; repeated rows each give a row; an empty table gives no rows; other columns are
+    Null and empty pages have empty text; whole pages are read whatever their size; a page of links alone has
+    no main text; paths that tie at the bar are content; repeated rows each give a row; an empty table gives no rows; other columns are
     ignored.
     """
 
