@@ -7,7 +7,7 @@ leaves out the loading of dependencies, ``io_ms_show`` counts it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,13 +189,8 @@ def as_json_lines(builds: DataFrame, spans: DataFrame) -> DataFrame:
     return full.select(F.to_json(F.struct(*full.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service: str = "tracewright") -> DataFrame:
-    """(trace_id, value): one OTLP resource-spans object per trace, a root span and a child for each target.
-
-    ``prefix`` starts the attribute keys and the root's name. A single document is {"resourceSpans": [values]}; one
-    object per line keeps the export distributed.
-    """
-    full = nested(builds, spans)
+def _otlp(b: Callable[[str], Column], prefix: str, service: str) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """(document of child spans, child of a span and its place) of a build whose columns ``b`` gives."""
     value = "struct<stringValue: string, intValue: string, boolValue: boolean>"
 
     def attribute(key: str, kind: str, x: Column) -> Column:
@@ -203,7 +198,6 @@ def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service:
         return F.struct(F.lit(key if "." in key else f"{prefix}.{key}").alias("key"), F.struct(*[v.alias(k) for k, v in kinds.items()]).cast(value).alias("value"))
 
     text, number, flag = (lambda k, x: attribute(k, "stringValue", F.coalesce(x, F.lit("")))), (lambda k, x: attribute(k, "intValue", x.cast("string"))), (lambda k, x: attribute(k, "boolValue", x))
-    b = F.col
     trace, root = X.trace_hex(b("trace_id")), X.span_hex(b("trace_id"), F.lit("root"))
     status = lambda bad, message: F.struct(F.when(bad, 2).otherwise(1).alias("code"), message.alias("message"))
 
@@ -227,10 +221,82 @@ def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service:
             status(s["status"] == "FAILURE", F.lit(None).cast("string")),
         )
 
-    children = F.transform(F.coalesce("spans", F.array().cast(full.schema["spans"].dataType)), child)
     resource = F.struct(F.array(text("service.name", F.lit(service)), text("service.version", b("tool_version")), text("host.arch", b("platform"))).alias("attributes"))
-    scope = F.struct(F.struct(F.lit(service).alias("name"), b("tool_version").alias("version")).alias("scope"), F.concat(F.array(top), children).alias("spans"))
-    return full.select("trace_id", F.to_json(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("value"))
+    scope = F.struct(F.lit(service).alias("name"), b("tool_version").alias("version")).alias("scope")
+
+    def document(children: Column) -> Column:
+        return F.struct(resource.alias("resource"), F.array(F.struct(scope, F.concat(F.array(top), children).alias("spans"))).alias("scopeSpans"))
+
+    return document, child
+
+
+def in_export_order(builds: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of an export in its order: per trace the build (kind 0), its spans (1) and an end (2).
+
+    b and s hold the rows, ``place`` counts spans from 0, ``before`` is the kind of the row before and ``b_before`` its
+    build. Spans are ordered as in ``nested``, but never gathered: a task reads its sorted traces row by row, however long one
+    is. Spans without a build are left out; of builds that share a trace_id one is taken.
+    """
+    one = F.struct("start_time_unix_millis", "label", *[c for c in spans.columns if c not in ("start_time_unix_millis", "label")])
+    rows = builds.select("trace_id", F.lit(0).alias("kind"), F.struct(*builds.columns).alias("b"))
+    rows = rows.unionByName(spans.select("trace_id", F.lit(1).alias("kind"), one.alias("s")), allowMissingColumns=True)
+    rows = rows.unionByName(builds.select("trace_id", F.lit(2).alias("kind")), allowMissingColumns=True)
+    trace = Window.partitionBy("trace_id").orderBy("kind", "s")
+    so_far = trace.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({
+        "before": F.lag("kind").over(trace), "b_before": F.lag("b").over(trace), "place": F.count_if(F.col("kind") == 1).over(so_far) - 1, "owner": F.min("kind").over(so_far),
+    })
+    return rows.where("owner = 0 AND NOT (kind <> 1 AND before <=> kind)").drop("owner")
+
+
+#: What a text sink sets after each piece of an export: every object ends with it, so pieces leave it out.
+PIECE_END = "}"
+
+
+def _pieces(rows: DataFrame, starts: Column, value: Column) -> DataFrame:
+    """Pieces of lines in the order of ``rows``; the first piece of a line breaks the line before, if its task has one."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its task
+    rows = rows.select(starts.alias("starts"), value.alias("value")).withColumn("first", first)
+    return rows.select(F.concat(F.when(F.col("starts") & ~F.col("first"), "\n").otherwise(""), "value").alias("value"))
+
+
+def _open(text: Column, ends: int = 1) -> Column:
+    """A JSON text without its last characters."""
+    return F.substring(text, F.lit(1), F.char_length(text) - ends)
+
+
+def json_line_pieces(builds: DataFrame, spans: DataFrame) -> DataFrame:
+    """The lines of ``as_json_lines`` as pieces (value) of one span each, for a text sink with the line separator
+    PIECE_END. A trace of any size is written row by row."""
+    rows = in_export_order(builds, spans).where("kind > 0")
+    head = F.concat(_open(F.to_json("b_before", {"ignoreNullFields": "false"})), F.lit(',"spans":'))
+    starts = F.col("before") == 0
+    body = _open(F.to_json("s", {"ignoreNullFields": "false"}))
+    span = F.when(starts, F.concat(head, F.lit("["), body)).otherwise(F.concat(F.lit(","), body))
+    end = F.when(starts, F.concat(head, F.lit("null"))).otherwise("]")
+    return _pieces(rows, starts, F.when(F.col("kind") == 1, span).otherwise(end))
+
+
+def otlp_pieces(builds: DataFrame, spans: DataFrame, prefix: str = "build", service: str = "tracewright") -> DataFrame:
+    """The lines of ``as_otlp`` as pieces (value) of one span each, as ``json_line_pieces``."""
+    rows = in_export_order(builds, spans)
+    document, child = _otlp(lambda c: F.col("trace_id" if c == "trace_id" else f"b.{c}"), prefix, service)
+    head = _open(F.to_json(document(F.array())), len("}]}]}"))  # ends within the root span
+    span = F.concat(F.lit(","), _open(F.to_json(child(F.col("s"), F.col("place")))))
+    kind = F.col("kind")
+    return _pieces(rows, kind == 0, F.when(kind == 0, head).when(kind == 1, span).otherwise("]}]"))
+
+
+def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service: str = "tracewright") -> DataFrame:
+    """(trace_id, value): one OTLP resource-spans object per trace, a root span and a child for each target.
+
+    ``prefix`` starts the attribute keys and the root's name. A single document is {"resourceSpans": [values]}; one
+    object per line keeps the export distributed. A row holds a whole trace; ``otlp_pieces`` doesn't.
+    """
+    full = nested(builds, spans)
+    document, child = _otlp(F.col, prefix, service)
+    children = F.transform(F.coalesce("spans", F.array().cast(full.schema["spans"].dataType)), child)
+    return full.select("trace_id", F.to_json(document(children)).alias("value"))
 
 
 def as_otlp_document(builds: DataFrame, spans: DataFrame, **options) -> DataFrame:

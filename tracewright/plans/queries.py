@@ -192,6 +192,84 @@ def k1_stored_traces(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("day").agg(F.count("*").alias("builds"), F.sum("n").alias("spans"), F.sum("failure_count").alias("failures")).withColumn("elsewhere", none)
 
 
+def _monthly(spark: SparkSession, d: str) -> DataFrame:
+    """Builds with their starts moved into one month, so that a store has 30 days."""
+    return star.builds(spark, d).withColumn("start_time_unix_millis", F.col("start_time_unix_millis") % (30 * 24 * X.HOUR))
+
+
+def _stored_traces(spark: SparkSession, root: str) -> DataFrame:
+    from tracewright.sources import traces as stored
+
+    n = stored.read_spans(spark, root).groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.sum("total_duration_millis").alias("millis"))
+    return stored.read_builds(spark, root).select("trace_id", "command", "start_time_unix_millis").join(n, "trace_id", "left")
+
+
+@query
+def k12_replaced_traces(spark: SparkSession, d: str) -> DataFrame:
+    """A store in which the failed builds are written again, twice, with their failed spans: all traces it holds."""
+    from tracewright.sources import traces as stored
+    from tracewright.storage import new_folder
+
+    root = new_folder(spark, "replaced")
+    builds, spans = _monthly(spark, d), star.spans(spark, d)
+    stored.write_traces(builds, spans, root)
+    for _ in range(2):
+        stored.write_traces(builds.where("failure_count > 0").withColumn("command", F.lit("again")), spans.where("status = 'FAILURE'"), root)
+    return _stored_traces(spark, root)
+
+
+@query
+def k13_pruned_store(spark: SparkSession, d: str) -> DataFrame:
+    """A store pruned within a day: all traces that stay, and how many went."""
+    from tracewright.sources import traces as stored
+    from tracewright.storage import new_folder
+
+    root = new_folder(spark, "pruned-store")
+    stored.write_traces(_monthly(spark, d).withColumn("start_time_unix_millis", F.col("start_time_unix_millis") + F.col("total_targets") * X.HOUR), star.spans(spark, d), root)
+    gone = stored.prune(spark, root, 15 * 24 * X.HOUR + 2 * X.HOUR)
+    return _stored_traces(spark, root).withColumn("pruned", F.lit(gone).cast("long"))
+
+
+@query
+def j10_pulled_store(spark: SparkSession, d: str) -> DataFrame:
+    """A store of failed builds that pulls from one of all, twice: what it holds, and how many each pull copied."""
+    from tracewright.sources import traces as stored
+    from tracewright.storage import new_folder
+
+    remote, local = new_folder(spark, "remote"), new_folder(spark, "local")
+    builds, spans = _monthly(spark, d), star.spans(spark, d)
+    stored.write_traces(builds, spans, remote)
+    stored.write_traces(builds.where("failure_count > 0"), spans, local)
+    first, again = stored.pull(spark, remote, local), stored.pull(spark, remote, local)
+    return _stored_traces(spark, local).withColumns({"first": F.lit(first).cast("long"), "again": F.lit(again).cast("long")})
+
+
+@query
+def k3_written_otlp(spark: SparkSession, d: str) -> DataFrame:
+    """OTLP lines written span by span and read back: every span of every trace."""
+    from tracewright.sources import traces as stored
+    from tracewright.storage import new_folder
+
+    path = new_folder(spark, "otlp-lines")
+    stored.write_otlp(star.builds(spark, d), star.spans(spark, d), path)
+    span = "struct<traceId: string, parentSpanId: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: int>>"
+    lines = spark.read.schema(f"scopeSpans array<struct<spans: array<{span}>>>").json(path)
+    each = lines.select(F.inline(F.col("scopeSpans")[0]["spans"]))
+    return each.select(F.col("traceId").alias("trace_hex"), F.col("parentSpanId").isNull().alias("root"), "name", F.col("startTimeUnixNano").alias("start_nano"), F.col("endTimeUnixNano").alias("end_nano"), F.col("status.code").alias("code"))
+
+
+@query
+def k2_written_lines(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines written span by span and read back: every span of every trace."""
+    from tracewright.sources import traces as stored
+    from tracewright.storage import new_folder
+
+    path = new_folder(spark, "json-lines")
+    stored.write_json_lines(star.builds(spark, d), star.spans(spark, d), path)
+    _, spans = stored.read_json_lines(spark, path)
+    return spans.select("trace_id", "label", "status", "cache_result", "change_hash", "start_time_unix_millis", "total_duration_millis", "queue_wait_millis")
+
+
 @query
 def e12_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Exported JSON lines, read back as two tables."""

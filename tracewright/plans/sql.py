@@ -131,6 +131,17 @@ def oracle_sql() -> dict[str, str]:
             FROM builds WHERE total_targets > 0"""),
         "k1_stored_traces": _traces(f"""SELECT strftime(make_timestamp(start_time_unix_millis % {30 * _DAY} * 1000), '%Y-%m-%d') AS day, count(*) AS builds, CAST(sum(n) AS BIGINT) AS spans, CAST(sum(failure_count) AS BIGINT) AS failures, 0 AS elsewhere
             FROM builds LEFT JOIN (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id) USING (trace_id) GROUP BY day"""),
+        "k12_replaced_traces": _traces(f"""SELECT b.trace_id, any_value(CASE WHEN failure_count > 0 THEN 'again' ELSE b.command END) AS command, any_value(b.start_time_unix_millis % {30 * _DAY}) AS start_time_unix_millis,
+            nullif(count(s.label), 0) AS n_spans, CAST(sum(s.total_duration_millis) AS BIGINT) AS millis
+            FROM builds b LEFT JOIN spans s ON s.trace_id = b.trace_id AND (failure_count = 0 OR status = 'FAILURE') GROUP BY b.trace_id"""),
+        "k13_pruned_store": _traces(f"""SELECT *, (SELECT count(*) FROM builds) - count(*) OVER () AS pruned FROM (SELECT b.trace_id, any_value(b.command) AS command, any_value(b.start_time_unix_millis % {30 * _DAY} + total_targets * {_DAY // 24}) AS start_time_unix_millis,
+            nullif(count(s.label), 0) AS n_spans, CAST(sum(s.total_duration_millis) AS BIGINT) AS millis
+            FROM builds b LEFT JOIN spans s ON s.trace_id = b.trace_id WHERE b.start_time_unix_millis % {30 * _DAY} + total_targets * {_DAY // 24} >= {15 * _DAY + _DAY // 12} GROUP BY b.trace_id)"""),
+        "j10_pulled_store": _traces(f"""SELECT b.trace_id, any_value(b.command) AS command, any_value(b.start_time_unix_millis % {30 * _DAY}) AS start_time_unix_millis, nullif(count(s.label), 0) AS n_spans, CAST(sum(s.total_duration_millis) AS BIGINT) AS millis,
+            (SELECT count(*) FROM builds WHERE failure_count = 0) AS first, 0::BIGINT AS again FROM builds b LEFT JOIN spans s ON s.trace_id = b.trace_id GROUP BY b.trace_id"""),
+        "k3_written_otlp": _traces(f"""SELECT {_TRACE_HEX} AS trace_hex, true AS root, 'build ' || command AS name, start_time_unix_millis || '000000' AS start_nano, (start_time_unix_millis + total_duration_millis) || '000000' AS end_nano, CASE WHEN failure_count > 0 THEN 2 ELSE 1 END AS code FROM builds
+            UNION ALL SELECT {_TRACE_HEX}, false, label, start_time_unix_millis || '000000', end_time_unix_millis || '000000', CASE WHEN status = 'FAILURE' THEN 2 ELSE 1 END FROM spans WHERE trace_id IN (SELECT trace_id FROM builds)"""),
+        "k2_written_lines": _traces("SELECT trace_id, label, status, cache_result, change_hash, start_time_unix_millis, total_duration_millis, queue_wait_millis FROM spans WHERE trace_id IN (SELECT trace_id FROM builds)"),
         "e12_json_lines": _traces("""SELECT trace_id, command, is_ci, n_spans, millis FROM builds LEFT JOIN (SELECT trace_id, count(*) AS n_spans, CAST(sum(total_duration_millis) AS BIGINT) AS millis FROM spans GROUP BY trace_id) USING (trace_id)"""),
         "s5_json_definitions": """SELECT '//p' || (p % 20) || ':n' || p AS label, 'target' AS node_type, '//p' || (p % 20) || ':n' || (p // 2) || ',//top:top' AS dependencies, 'dir' AS output_type, NULL::VARCHAR AS actual FROM (SELECT p_partkey AS p FROM part)
             UNION ALL SELECT '//p' || k || ':any', 'alias', '', NULL, '//p' || k || ':n' || k FROM (SELECT DISTINCT p_partkey % 20 AS k FROM part)""",

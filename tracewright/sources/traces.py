@@ -1,8 +1,7 @@
-"""Traces in files: Parquet by date and trace, JSON lines, OTLP documents, pruning."""
+"""Traces in files: a store of Parquet files with versions, JSON lines, OTLP documents, pruning."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,46 +9,83 @@ from pyspark.sql import types as T
 from tracewright.functions.scalars import date_of
 from tracewright.operators import traces as ops
 from tracewright.schemas import BUILDS, NESTED, SPANS
-from tracewright.storage import stage
+from tracewright.sources.snapshots import File, Store
+from tracewright.storage import stage, unstage
 
+#: Files of a day, at most, for each write.
+BUILD_PARTS, SPAN_PARTS = 8, 32
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, version_column: str) -> DataFrame:
-    """All Parquet files below a path by column name; columns that a file lacks are null. A missing path is empty.
+
+def _read(spark: SparkSession, files: list[str], schema: T.StructType, version_column: str) -> DataFrame:
+    """These Parquet files by column name; columns that a file lacks are null.
 
     ``version_column`` is what the recording tool calls the column ``tool_version``.
     """
     stored = T.StructType([T.StructField(version_column if f.name == "tool_version" else f.name, f.dataType) for f in schema])
-    try:
-        df = spark.read.schema(stored).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not files:
         return spark.createDataFrame([], schema)
+    df = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*files)
     return df.withColumnRenamed(version_column, "tool_version") if version_column in df.columns else df
 
 
-def read_builds(spark: SparkSession, root: str, version_column: str = "tool_version") -> DataFrame:
-    return _read(spark, f"{root}/builds", BUILDS, version_column)
+def _table(store: Store, files: list[File], table: str, version_column: str = "tool_version") -> DataFrame:
+    return _read(store.spark, [f"{store.root}/{f.path}" for f in files if f.table == table], {"builds": BUILDS, "spans": SPANS}[table], version_column)
+
+
+def _within(files: list[File], since: str | None, until: str | None) -> list[File]:
+    return [f for f in files if f.date is None or (since is None or f.date >= since) and (until is None or f.date <= until)]
+
+
+def read_builds(spark: SparkSession, root: str, version_column: str = "tool_version", *, version: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Builds of the newest version, or of ``version``. A missing path is empty.
+
+    ``since`` and ``until`` (dates, both included) leave out files of other days before anything is read; files without
+    a day are read.
+    """
+    store = Store(spark, root)
+    return _table(store, _within(store.files(version)[1], since, until), "builds", version_column)
 
 
-def read_spans(spark: SparkSession, root: str, version_column: str = "tool_version") -> DataFrame:
-    return _read(spark, f"{root}/spans", SPANS, version_column)
+def read_spans(spark: SparkSession, root: str, version_column: str = "tool_version", *, version: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Spans, as ``read_builds``; their day is that of their build."""
+    store = Store(spark, root)
+    return _table(store, _within(store.files(version)[1], since, until), "spans", version_column)
 
 
-def write_traces(builds: DataFrame, spans: DataFrame, root: str) -> None:
-    """Append under builds/date=... and spans/date=..., the UTC date of the build's start.
+def write_traces(builds: DataFrame, spans: DataFrame, root: str) -> int:
+    """Store traces under the UTC date of their start; the number of the new version.
 
-    Both tables are dealt by date, so a day's rows make few files however many traces it has. Readers prune by date.
+    A trace that is there already is replaced, so writing again changes nothing. Files that hold a replaced trace are
+    written anew without it; no file is changed, and readers see all of the write or nothing. Spans without a build in
+    ``builds`` are left out. A day's rows make few files however many traces it has.
     """
-    dated = builds.withColumn("date", date_of(F.col("start_time_unix_millis")))
-    days = dated.select("trace_id", "date")
-    dated.repartition("date", F.pmod(F.xxhash64("trace_id"), F.lit(8))).write.mode("append").partitionBy("date").parquet(f"{root}/builds")
-    with_date = spans.join(days, "trace_id")
-    with_date.repartition("date", F.pmod(F.xxhash64("trace_id"), F.lit(32))).write.mode("append").partitionBy("date").parquet(f"{root}/spans")
+    store = Store(builds.sparkSession, root)
+    base, files = store.files()
+    dated = stage(builds.withColumn("date", date_of(F.col("start_time_unix_millis"))), "written")
+    kept = _without(store, files, dated.select("trace_id"))
+    made = store.write(dated, "builds", BUILD_PARTS) + store.write(spans.join(dated.groupBy("trace_id").agg(F.min("date").alias("date")), "trace_id"), "spans", SPAN_PARTS)
+    number = store.commit(base, kept + made)
+    unstage(dated)
+    return number
+
+
+def _without(store: Store, files: list[File], ids: DataFrame) -> list[File]:
+    """Files of the same rows but for those of the traces of ``ids``: only files that hold one are written anew."""
+    out = []
+    for table, parts in (("builds", BUILD_PARTS), ("spans", SPAN_PARTS)):
+        here = [f for f in files if f.table == table]
+        hit = store.holding(_table(store, here, table), ids) if here else set()
+        out += [f for f in here if f.path not in hit]
+        for day in sorted({f.date for f in here if f.path in hit}, key=str):
+            some = [f for f in here if f.path in hit and f.date == day]
+            rest = _table(store, some, table).join(ids.select("trace_id"), "trace_id", "left_anti")
+            out += store.write(rest.withColumn("date", F.lit(day).cast("string")), table, parts)
+    return [*out, *(f for f in files if f.table not in ("builds", "spans"))]
 
 
 def write_json_lines(builds: DataFrame, spans: DataFrame, path: str) -> None:
-    ops.as_json_lines(builds, spans).write.text(path)
+    """A line per build with its spans; lines are written span by span, so that a trace may have any size."""
+    ops.json_line_pieces(builds, spans).write.option("lineSep", ops.PIECE_END).text(path)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -59,48 +95,35 @@ def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def write_otlp(builds: DataFrame, spans: DataFrame, path: str, **options) -> None:
-    """One resource-spans object per line."""
-    ops.as_otlp(builds, spans, **options).select("value").write.text(path)
+    """One resource-spans object per line, written span by span."""
+    ops.otlp_pieces(builds, spans, **options).write.option("lineSep", ops.PIECE_END).text(path)
 
 
 def prune(spark: SparkSession, root: str, cutoff_millis: int) -> int:
     """Drop traces that started before the cutoff; the number of builds dropped.
 
-    Whole date partitions before the cutoff's day are deleted; the one day in which it falls is rewritten.
+    Files of days before the cutoff's day leave the version unread; of the rest, those that hold an old trace are
+    written anew. Readers see the store before or after it. ``Store.expire`` frees the space.
     """
-    builds, spans = read_builds(spark, root), read_spans(spark, root)
-    old = builds.where(F.col("start_time_unix_millis") < cutoff_millis)
-    old = stage(old.select("trace_id", date_of(F.col("start_time_unix_millis")).alias("day")), "pruned")  # outlives its files
+    store = Store(spark, root)
+    base, files = store.files()
+    edge = spark.range(1).select(date_of(F.lit(cutoff_millis)).cast("string")).first()[0]
+    old = _table(store, files, "builds").where(F.col("start_time_unix_millis") < cutoff_millis).select("trace_id")
     dropped = old.count()
-    if not dropped:
-        return 0
-    days = [r[0] for r in old.select("day").distinct().collect()]  # dates only
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    edge = spark.range(1).select(date_of(F.lit(cutoff_millis))).first()[0]
-    for table, df in (("builds", builds), ("spans", spans)):
-        for day in days:
-            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/date={day}")
-            fs = path.getFileSystem(conf)
-            if day == edge and fs.exists(path):
-                keep = spark.read.schema(df.schema).parquet(f"{root}/{table}/date={day}").join(old.select("trace_id"), "trace_id", "left_anti")
-                beside = f"{root}/_kept-{table}-{day}"
-                keep.select(*df.columns).write.mode("overwrite").parquet(beside)
-                fs.delete(path, True)
-                fs.rename(jvm.org.apache.hadoop.fs.Path(beside), path)
-    for table in ("spans", "builds"):  # builds last: they tell what is old
-        for day in days:
-            if day != edge:
-                path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/date={day}")
-                path.getFileSystem(conf).delete(path, True)
+    if dropped:
+        rest = [f for f in files if f.date is None or f.date >= edge]
+        ids = stage(old, "pruned")
+        store.commit(base, _without(store, rest, ids))
+        unstage(ids)
     return dropped
 
 
 def pull(spark: SparkSession, remote: str, local: str) -> int:
-    """Copy the traces that the local store lacks; the number of builds copied."""
+    """Copy the traces that the local store lacks, as one version; the number of builds copied."""
     theirs, ours = read_builds(spark, remote), read_builds(spark, local)
-    fresh = theirs.join(ours.select("trace_id"), "trace_id", "left_anti")
+    fresh = stage(theirs.join(ours.select("trace_id"), "trace_id", "left_anti"), "pulled")
     n = fresh.count()
     if n:
         write_traces(fresh, read_spans(spark, remote).join(fresh.select("trace_id"), "trace_id", "left_semi"), local)
+    unstage(fresh)
     return n

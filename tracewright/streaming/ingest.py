@@ -1,4 +1,8 @@
-"""Traces as a stream: new trace files are read as they come, statistics follow in event-time windows."""
+"""Traces as a stream: new trace files are read as they come, statistics follow in event-time windows.
+
+A file that the store writes anew, since another trace in it was replaced or pruned, brings its traces again; where that
+happens, drop repeated trace ids within the watermark.
+"""
 
 from __future__ import annotations
 
