@@ -138,6 +138,12 @@ def test_scalars(spark):
     assert tuple(v(X.parsed_output(F.lit("oci::x:1")))) == ("oci", "x:1") and tuple(v(X.parsed_output(F.lit("f")))) == ("file", "f")
     assert v(X.megabytes(F.lit(1_572_864))) == "1.50"
     assert v(X.percent_text(F.lit(200 / 3))) == "66.7%" and v(X.whole_text(F.lit(2.0))) == "2"
+    # ties, numbers beside a tie, and what Java's formatter rounds otherwise
+    numbers = [0.0, 0.05, 0.25, 0.35, 0.5, 1.5, 2.5, 0.125, 0.375, 1.005, 2.675, 6.25, 18.75, 99.95, 99.96, -6.25, -0.04, 1e-300, 1e15 + 0.5, 1e22, *(100.0 * k / n for n in (3, 7, 16, 17, 80) for k in range(n + 1))]
+    for places in (0, 1, 2):
+        rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", X.fixed_text(F.col("x"), places).alias("t")).collect()
+        assert [(r.x, r.t) for r in rows] == [(x, f"%.{places}f" % x) for x in numbers]
+    assert v(X.percent_text(F.lit(6.25))) == "6.2%" and v(X.duration_text(F.lit(1_250))) == "1.2s"
     assert v(X.trace_hex(F.lit("123e4567-E89b-12d3-a456-426614174000"))) == "123e4567e89b12d3a456426614174000"
 
 

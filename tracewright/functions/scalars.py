@@ -27,9 +27,15 @@ def date_of(millis: Column) -> Column:
     return F.date_from_unix_date(F.floor(millis / F.lit(24 * HOUR)).cast("int")).cast("string")
 
 
+def fixed_text(value: Column, places: int) -> Column:
+    """A number with this many decimals, rounded as C's printf and Go do: by its exact binary value, ties to even.
+    ``format_string`` rounds the shortest decimal text, ties up."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places if places else "0"))
+
+
 def duration_text(millis: Column) -> Column:
     """Below a second in ms, else seconds with one decimal."""
-    return F.when(millis < 1000, F.format_string("%dms", millis)).otherwise(F.format_string("%.1fs", millis / 1000.0))
+    return F.when(millis < 1000, F.format_string("%dms", millis)).otherwise(F.concat(fixed_text(millis / 1000.0, 1), F.lit("s")))
 
 
 def status_text(status: Column) -> Column:
@@ -53,7 +59,7 @@ def platform_text(system: Column, arch: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.2f", size / 1048576.0)
+    return fixed_text(size / 1048576.0, 2)
 
 
 def joined(values: Column) -> Column:
@@ -210,12 +216,12 @@ def parsed_output(text: Column) -> Column:
 
 def percent_text(rate: Column) -> Column:
     """A rate in percent with one decimal, such as 66.7%."""
-    return F.concat(F.format_string("%.1f", rate.cast("double")), F.lit("%"))
+    return F.concat(fixed_text(rate, 1), F.lit("%"))
 
 
 def whole_text(value: Column) -> Column:
     """A number without decimals."""
-    return F.format_string("%.0f", value.cast("double"))
+    return fixed_text(value, 0)
 
 
 def output_text(output: Column) -> Column:
