@@ -1,5 +1,6 @@
 """Selection, graph walks, changes and views on small workspaces."""
 
+import inspect
 import json
 import random
 
@@ -108,6 +109,28 @@ def test_trees_too_large_to_show_and_rings(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/tree").collect()] == shown(lines)
 
 
+def test_trees_of_any_size(spark, monkeypatch):
+    diamonds = [(f"n{k:02d}", f"{side}{k:02d}") for k in range(8) for side in "ab"] + [(f"{side}{k:02d}", f"n{k + 1:02d}") for k in range(8) for side in "ab"]
+    nodes, edges = spark.createDataFrame([(x,) for x in sorted({x for e in diamonds for x in e})], "label string"), spark.createDataFrame(diamonds, "src string, dst string")
+    needs = {}
+    for src, dst in sorted(diamonds):
+        needs.setdefault(dst, []).append(src)
+
+    def walk(label, indent):
+        kids = needs.get(label, [])
+        for k, kid in enumerate(kids):
+            last = k == len(kids) - 1
+            yield f"{indent}{'╰' if last else '├'}── {kid}"
+            yield from walk(kid, indent + ("    " if last else "│   "))
+
+    want = ["n08", *walk("n08", "")]
+    assert len(want) == 1 + 4 * (2**8 - 1)
+    for held in (render.HELD, 0):  # trees that are repeated whole, held by every task or shuffled
+        monkeypatch.setattr(render, "HELD", held)
+        assert shown(render.dependency_trees(nodes, edges)) == want
+    assert inspect.signature(render.dependency_trees).parameters["most"].default is None  # nothing is refused unless asked for
+
+
 def chain(spark, *pairs):
     return spark.createDataFrame(list(pairs), "src string, dst string")
 
