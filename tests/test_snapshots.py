@@ -114,6 +114,20 @@ def test_lines_in_pieces_are_the_nested_ones(spark, tmp_path):
     assert twice.count() == T.json_line_pieces(b, s).count()
 
 
+def test_exports_are_compressed(spark, tmp_path):
+    b = frame(spark, [build(f"t{k}") for k in range(50)], BUILDS)
+    s = frame(spark, [span(f"t{k % 50}", f"//p:{k}") for k in range(500)], SPANS)
+    for name, write, whole in (("lines", store.write_json_lines, T.as_json_lines(b, s)), ("otlp", store.write_otlp, T.as_otlp(b, s)), ("document", store.write_otlp_document, T.as_otlp_document(b, s))):
+        write(b, s, f"{tmp_path}/{name}")
+        files = [f for f in (tmp_path / name).iterdir() if f.name.startswith("part-")]
+        plain = whole.agg(F.sum(F.octet_length("value"))).first()[0]
+        assert files and all(f.name.endswith(".gz") for f in files) and sum(f.stat().st_size for f in files) * 4 < plain
+        want = [r.value for r in whole.collect()]
+        assert sorted(r.value for r in spark.read.text(f"{tmp_path}/{name}").collect()) == sorted(want)
+    gathered = T.nested(b, s, ["status"]).schema["spans"].dataType.elementType.fieldNames()
+    assert gathered == ["start_time_unix_millis", "label", "trace_id", "status"]
+
+
 def test_a_long_trace_in_pieces(spark, tmp_path):
     b = frame(spark, [build("t"), build("u")], BUILDS)
     many = frame(spark, [span("t")], SPANS).withColumn("label", F.explode(F.expr("transform(sequence(0, 49999), k -> '//p:' || k)")))

@@ -176,9 +176,13 @@ def ranked_categories(measures: DataFrame, per: int = PER_CATEGORY) -> DataFrame
 # ---- exports
 
 
-def nested(builds: DataFrame, spans: DataFrame) -> DataFrame:
-    """Builds with their spans as an array in a stable order; null without spans."""
+def nested(builds: DataFrame, spans: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Builds with their spans as an array in a stable order; null without spans. ``columns`` names those of a span that
+    are needed beside start and label: others aren't gathered."""
+    if columns is not None:
+        spans = spans.select(*dict.fromkeys(("trace_id", "start_time_unix_millis", "label", *columns)))
     one = F.struct("start_time_unix_millis", "label", *[c for c in spans.columns if c not in ("start_time_unix_millis", "label")])
+    spans = spans.repartition("trace_id")  # rows go as they are: gathering them before saves nothing, and its sort spills
     lists = spans.groupBy(F.col("trace_id").alias("_trace")).agg(F.array_sort(F.collect_list(one)).alias("spans"))
     return builds.join(lists, F.col("trace_id") == F.col("_trace"), "left").drop("_trace")
 
@@ -293,19 +297,26 @@ def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service:
     ``prefix`` starts the attribute keys and the root's name. A single document is {"resourceSpans": [values]}; one
     object per line keeps the export distributed. A row holds a whole trace; ``otlp_pieces`` doesn't.
     """
+    full, value = _otlp_rows(builds, spans, prefix, service)
+    return full.select("trace_id", value.alias("value"))
+
+
+def _otlp_rows(builds: DataFrame, spans: DataFrame, prefix: str = "build", service: str = "tracewright") -> tuple[DataFrame, Column]:
+    """(a row per trace, its text)."""
     full = nested(builds, spans)
     document, child = _otlp(F.col, prefix, service)
     children = F.transform(F.coalesce("spans", F.array().cast(full.schema["spans"].dataType)), child)
-    return full.select("trace_id", F.to_json(document(children)).alias("value"))
+    return full, F.to_json(document(children))
 
 
 def as_otlp_document(builds: DataFrame, spans: DataFrame, **options) -> DataFrame:
     """(place, value): the lines of one OTLP document over all traces, in order by place."""
-    rows = as_otlp(builds, spans, **options)
+    full, value = _otlp_rows(builds, spans, **options)
     first = F.col("trace_id") == builds.agg(F.min("trace_id")).scalar()
-    body = rows.select(F.lit(1).alias("place"), "trace_id", F.concat(F.when(first, "").otherwise(","), "value").alias("value"))
-    ends = rows.sparkSession.createDataFrame([(0, None, '{"resourceSpans":['), (2, None, "]}")], "place int, trace_id string, value string")
-    return body.unionByName(ends).orderBy("place", "trace_id").select("place", "value")
+    ends = full.sparkSession.createDataFrame([(0, '{"resourceSpans":['), (2, "]}")], "place int, end string")
+    rows = full.withColumn("place", F.lit(1)).unionByName(ends, allowMissingColumns=True).orderBy("place", "trace_id")
+    # Texts are made of sorted rows: they are several times as long.
+    return rows.select("place", F.when(F.col("place") == 1, F.concat(F.when(first, "").otherwise(","), value)).otherwise(F.col("end")).alias("value"))
 
 
 # ---- assembly

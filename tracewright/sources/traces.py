@@ -83,9 +83,10 @@ def _without(store: Store, files: list[File], ids: DataFrame) -> list[File]:
     return [*out, *(f for f in files if f.table not in ("builds", "spans"))]
 
 
-def write_json_lines(builds: DataFrame, spans: DataFrame, path: str) -> None:
-    """A line per build with its spans; lines are written span by span, so that a trace may have any size."""
-    ops.json_line_pieces(builds, spans).write.option("lineSep", ops.PIECE_END).text(path)
+def write_json_lines(builds: DataFrame, spans: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A line per build with its spans; lines are written span by span, so that a trace may have any size. The files are
+    compressed, since every span repeats all names; Spark's readers know it by the files' endings. "none" leaves it out."""
+    ops.json_line_pieces(builds, spans).write.option("lineSep", ops.PIECE_END).text(path, compression=compression)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -94,9 +95,14 @@ def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return full.drop("spans"), full.select(F.inline("spans"))
 
 
-def write_otlp(builds: DataFrame, spans: DataFrame, path: str, **options) -> None:
-    """One resource-spans object per line, written span by span."""
-    ops.otlp_pieces(builds, spans, **options).write.option("lineSep", ops.PIECE_END).text(path)
+def write_otlp(builds: DataFrame, spans: DataFrame, path: str, compression: str = "gzip", **options) -> None:
+    """One resource-spans object per line, written span by span and compressed, as ``write_json_lines``."""
+    ops.otlp_pieces(builds, spans, **options).write.option("lineSep", ops.PIECE_END).text(path, compression=compression)
+
+
+def write_otlp_document(builds: DataFrame, spans: DataFrame, path: str, compression: str = "gzip", **options) -> None:
+    """One document over all traces; its files, joined in the order of their names, are its text."""
+    ops.as_otlp_document(builds, spans, **options).select("value").write.text(path, compression=compression)
 
 
 def prune(spark: SparkSession, root: str, cutoff_millis: int) -> int:
