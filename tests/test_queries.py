@@ -7,6 +7,7 @@ import sys
 import pytest
 
 from tests import parity
+from tracewright.operators import incremental
 from tracewright.plans import queries as Q
 from tracewright.plans import sql
 
@@ -33,6 +34,18 @@ def test_early_cutoff_on_tables(spark):
     assert not hits["//g1/p15:n15"] and hits["//g5/p47:n47"]  # changed with the same output; 47 needs 15 and 23, whose outputs stayed
 
 
+@needs_tables
+@pytest.mark.parametrize("few", [0, incremental.FEW])
+def test_plans_join_full_tables_once(spark, monkeypatch, few):
+    """Levels of many targets are shuffled, levels of few are broadcast: the same plan; contents and products are joined
+    before the levels."""
+    seen, prepared = [], incremental._prepared
+    monkeypatch.setattr(incremental, "FEW", few)
+    monkeypatch.setattr(incremental, "_prepared", lambda *tables: seen.append(1) or prepared(*tables))
+    got = {r.label: r.hit for r in Q.i4_early_cutoff(spark, parity.SMALL).collect()}
+    assert len(seen) == 2 and len(got) == 197 and got["//g5/p47:n47"] and not got["//g3/p10:n10"]
+
+
 @needs_tables
 def test_entry(spark):
     import __spark_entry__

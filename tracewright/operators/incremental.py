@@ -20,6 +20,8 @@ from tracewright.storage import new_folder, stage, unstage
 _STRINGS = "array<string>"
 _PLAN = "label string, level int, change_hash string, hit boolean, output_hash string"
 _PLAN_COLUMNS = ("label", "level", "change_hash", "hit", "output_hash")
+#: Rows of a level, at most, that are broadcast.
+FEW = 5_000
 NO_CACHE, ANY_PLATFORM = "no-cache", "multiplatform-cache"
 
 
@@ -123,11 +125,21 @@ def _marks(targets: DataFrame, tainted: DataFrame | None) -> DataFrame:
     return tainted.select("label").distinct().withColumn("tainted", F.lit(True)) if tainted is not None else targets.select("label", F.lit(False).alias("tainted")).limit(0)
 
 
-def _planned(here: DataFrame, contents: DataFrame, cached: DataFrame, marks: DataFrame, produced: DataFrame, platform: str, enabled: bool, options: dict) -> DataFrame:
-    """The plan of targets whose dependencies are known: node columns, level and ``hashes``."""
-    here = here.withColumn("definition", definition_hash(F.col("hashes"), platform, **options)).join(contents, "label", "left")
-    here = here.withColumn("change_hash", change_hash(F.col("definition"), F.col("content_hash"), F.col("inputs")))
-    here = here.join(cached, "change_hash", "left").join(marks, "label", "left").join(produced.select("label", F.col("output_hash").alias("made")), "label", "left")
+def _prepared(targets: DataFrame, contents: DataFrame, marks: DataFrame, produced: DataFrame) -> DataFrame:
+    """Targets with all that doesn't depend on other targets: content_hash, tainted and made. Joined once, not per level."""
+    out = targets.join(contents.select("label", "content_hash").hint("merge"), "label", "left").join(marks.hint("merge"), "label", "left")
+    return out.join(produced.select("label", F.col("output_hash").alias("made")).hint("merge"), "label", "left")
+
+
+def _planned(here: DataFrame, few: bool, cached: DataFrame, platform: str, enabled: bool, options: dict) -> DataFrame:
+    """The plan of prepared targets whose dependencies are known: level and ``hashes``. ``few`` of them are broadcast to the
+    cached results, more are shuffled; the results never go through the driver."""
+    here = here.withColumn("definition", definition_hash(F.col("hashes"), platform, **options))
+    here = here.withColumn("change_hash", change_hash(F.col("definition"), F.col("content_hash"), F.col("inputs"))).select("label", "level", "change_hash", "tainted", "tags", "made")
+    here = stage(here, "plan-here")
+    keys = here.select("change_hash").distinct()
+    known = cached.join(F.broadcast(keys) if few else keys.hint("merge"), "change_hash", "left_semi")
+    here = here.join(known if few else known.hint("merge"), "change_hash", "left")
     here = here.withColumn("hit", is_hit(F.col("cached"), F.col("tainted"), F.col("tags"), enabled))
     return here.select("label", "level", "change_hash", "hit", F.when(F.col("hit"), F.col("cached")).otherwise(F.coalesce("made", "change_hash")).alias("output_hash"))
 
@@ -140,27 +152,30 @@ def plan_builds(nodes: DataFrame, edges: DataFrame, contents: DataFrame, results
     execution would make, null or missing for targets without outputs. Resources have no part in the hashes.
 
     A level sends its output hashes along its edges to the levels that need them, so each hash is read once per edge,
-    however deep the graph is.
+    however deep the graph is. What belongs to a target alone is joined to it before the levels begin; a level looks up its
+    own change hashes in the cache.
     """
     targets = nodes.where("node_type = 'target'")
     ranked = stage(levels(nodes, edges), "plan-levels")
-    top = ranked.agg(F.max("level")).first()[0]
-    if top is None:
+    sizes = {r[0]: r[1] for r in ranked.groupBy("level").count().collect()}  # levels only
+    if not sizes:
         return nodes.sparkSession.createDataFrame([], _PLAN)
-    own = stage(targets.join(ranked, "label").select(*targets.columns, F.col("level").cast("int").alias("level")), "plan-nodes", by="level")
-    ways = stage(edges.join(ranked.select(F.col("label").alias("src"), F.col("level").cast("int").alias("level")), "src").join(ranked.select(F.col("label").alias("dst"), F.col("level").cast("int").alias("at")), "dst"), "plan-edges", by="level")
-    cached, marks, mail = _cached(results), _marks(targets, tainted), _Mail(nodes.sparkSession, "label string, hash string")
+    top = max(sizes)
+    prepared = _prepared(targets, contents, _marks(targets, tainted), produced)
+    own = stage(prepared.join(ranked.select("label", F.col("level").cast("int").alias("level")).hint("merge"), "label"), "plan-nodes", by="level")
+    ways = stage(edges.join(ranked.select(F.col("label").alias("src"), F.col("level").cast("int").alias("level")).hint("merge"), "src").join(ranked.select(F.col("label").alias("dst"), F.col("level").cast("int").alias("at")).hint("merge"), "dst"), "plan-edges", by="level")
+    cached, mail = _cached(results), _Mail(nodes.sparkSession, "label string, hash string")
     done = new_folder(nodes.sparkSession, "plan")
     for level in range(top + 1):
         here = own.where(F.col("level") == level)
         if level == 0:
             here = here.withColumn("hashes", F.array().cast(_STRINGS))
         else:
-            here = here.join(mail.of(level).groupBy("label").agg(F.collect_list("hash").alias("hashes")), "label", "left").withColumn("hashes", _listed("hashes"))
-        _planned(here, contents, cached, marks, produced, platform, enabled, options).select(*_PLAN_COLUMNS).write.parquet(f"{done}/turn={level}")
+            here = here.join(mail.of(level).groupBy("label").agg(F.collect_list("hash").alias("hashes")).hint("merge"), "label", "left").withColumn("hashes", _listed("hashes"))
+        _planned(here, sizes.get(level, 0) <= FEW, cached, platform, enabled, options).select(*_PLAN_COLUMNS).write.parquet(f"{done}/turn={level}")
         if level < top:
             made = nodes.sparkSession.read.schema(_PLAN).parquet(f"{done}/turn={level}")
-            met = ways.where(F.col("level") == level).drop("level").join(made.select(F.col("label").alias("src"), "output_hash"), "src")
+            met = ways.where(F.col("level") == level).drop("level").join(made.select(F.col("label").alias("src"), "output_hash").hint("merge"), "src")
             mail.send(met.select(F.col("dst").alias("label"), _needed("output_hash").alias("hash"), "at"))
     return nodes.sparkSession.read.schema(_PLAN + ", turn int").parquet(done).drop("turn")
 
@@ -175,14 +190,14 @@ def plan_delta(nodes: DataFrame, edges: DataFrame, previous: DataFrame, changed:
     levels are those of ``previous``; if edges or targets changed, give ``ranks`` (label, level) of the new graph.
     ``merged_plan`` gives the whole plan. No changed label gives no rows.
 
-    A round joins the labels of one level with the other tables; only its own rows are shuffled where they are few, since
-    Spark broadcasts small staged tables by their size. Rounds number the levels visited, not those of the graph.
+    A round joins the labels of one level with the other tables: up to FEW labels are broadcast to them, more are shuffled
+    with them; no other table is broadcast. Rounds number the levels visited, not those of the graph.
     """
     spark = nodes.sparkSession
     targets = nodes.where("node_type = 'target'")
     order = (ranks if ranks is not None else previous).select("label", F.col("level").cast("int").alias("level"))
     before = previous.select("label", F.col("output_hash").alias("was"))
-    cached, marks = _cached(results), _marks(targets, tainted)
+    cached, prepared = _cached(results), stage(_prepared(targets, contents, _marks(targets, tainted), produced).join(before.hint("merge"), "label", "left"), "plan-nodes")
     mail, done = _Mail(spark, "label string, src string, hash string"), new_folder(spark, "plan-delta")
     start = stage(changed.select("label").distinct().join(order, "label").select("label", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("hash"), F.col("level").alias("at")), "plan-changed")
     mail.send(start)
@@ -194,15 +209,24 @@ def plan_delta(nodes: DataFrame, edges: DataFrame, previous: DataFrame, changed:
         level = min(waiting)
         waiting.remove(level)
         sent = mail.of(level)
-        at = sent.select("label").distinct()
-        needs = edges.join(at.withColumnRenamed("label", "dst"), "dst")
-        needs = needs.join(before.select(F.col("label").alias("src"), "was", F.lit(True).alias("known")), "src", "left")
-        needs = needs.join(sent.where("src IS NOT NULL").select(F.col("label").alias("dst"), "src", "hash"), ["src", "dst"], "left").where("known OR hash IS NOT NULL")
+        at = stage(sent.select("label").distinct(), "plan-at")
+        few = at.count() <= FEW
+        own = (lambda rows: F.broadcast(rows)) if few else (lambda rows: rows.hint("merge"))
+        needs = stage(edges.join(own(at.withColumnRenamed("label", "dst")), "dst").select("src", "dst"), "plan-needs")
+        few_needs = needs.count() <= FEW
+        of = needs.select("src").distinct()
+        was = before.select(F.col("label").alias("src"), "was").join(F.broadcast(of) if few_needs else of.hint("merge"), "src", "left_semi").withColumn("known", F.lit(True))
+        needs = needs.join(was if few_needs else was.hint("merge"), "src", "left")
+        needs = needs.join(sent.where("src IS NOT NULL").select(F.col("label").alias("dst"), "src", "hash").hint("merge"), ["src", "dst"], "left").where("known OR hash IS NOT NULL")
         hashes = needs.select(F.col("dst").alias("label"), F.coalesce("hash", _needed("was")).alias("hash")).groupBy("label").agg(F.collect_list("hash").alias("hashes"))
-        here = targets.join(at, "label").join(hashes, "label", "left").withColumn("hashes", _listed("hashes")).withColumn("level", F.lit(level))
-        _planned(here, contents, cached, marks, produced, platform, enabled, options).join(before, "label", "left").select(*_PLAN_COLUMNS, "was").write.parquet(f"{done}/turn={level}")
-        moved = spark.read.schema(schema).parquet(f"{done}/turn={level}").where(~F.col("output_hash").eqNullSafe(F.col("was")))
-        onward = edges.join(moved.select(F.col("label").alias("src"), F.col("output_hash").alias("hash")), "src").join(order.withColumnRenamed("label", "dst"), "dst")
+        here = stage(prepared.join(own(at), "label"), "plan-own")
+        plan = _planned(here.join(hashes.hint("merge"), "label", "left").withColumn("hashes", _listed("hashes")).withColumn("level", F.lit(level)), few, cached, platform, enabled, options)
+        plan.join(here.select("label", "was").hint("merge"), "label", "left").select(*_PLAN_COLUMNS, "was").write.parquet(f"{done}/turn={level}")
+        moved = stage(spark.read.schema(schema).parquet(f"{done}/turn={level}").where(~F.col("output_hash").eqNullSafe(F.col("was"))).select(F.col("label").alias("src"), F.col("output_hash").alias("hash")), "plan-moved")
+        onward = stage(edges.join(F.broadcast(moved) if few else moved.hint("merge"), "src"), "plan-moved")
+        users = onward.select("dst").distinct()
+        place = order.withColumnRenamed("label", "dst").join(F.broadcast(users) if onward.count() <= FEW else users.hint("merge"), "dst", "left_semi")
+        onward = onward.join(place.hint("merge"), "dst")
         onward = stage(onward.select(F.col("dst").alias("label"), "src", "hash", F.col("level").alias("at")), "plan-onward")
         mail.send(onward)
         waiting |= {r[0] for r in onward.select("at").distinct().collect()}
