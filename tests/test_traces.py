@@ -11,6 +11,7 @@ from tracewright.operators import checks, incremental  # noqa: F401
 from tracewright.operators import traces as T
 from tracewright.plans import documented as D
 from tracewright.schemas import BUILDS, SPANS
+from tracewright.storage import stage
 from tracewright.sources import definitions, files
 from tracewright.sources import traces as store
 from tracewright.streaming import ingest
@@ -172,6 +173,20 @@ def test_files_and_globs(spark, tmp_path):
     assert {r.file for r in definitions.diff_files(spark, ["a", "b", ""], ["?? c", " M b", "R  x -> y"]).collect()} == {"a", "b", "c", "y"}
 
 
+def test_globs_are_matched_once_for_all_that_ask_the_same(spark, monkeypatch):
+    keys = spark.createDataFrame([(f"p/f{k}.txt",) for k in range(20)], "key string")
+    same = [node(f"//p:t{k}", inputs=["f*.txt", "./plain"], exclude_inputs=["f1?.txt"]) for k in range(30)]
+    nodes = table(spark, [*same, node("//p:two", inputs=["f1.txt"]), node("//p:two", inputs=["f?.txt"], exclude_inputs=["f1.txt"])])
+    want = {(f"//p:t{k}", x) for k in range(30) for x in (*(f"f{n}.txt" for n in range(10)), "plain")} | {("//p:two", f"f{n}.txt") for n in range(10) if n != 1}
+    for shared in (files.SHARED, 4):
+        monkeypatch.setattr(files, "SHARED", shared)
+        matched = []
+        monkeypatch.setattr(files, "stage", lambda df, label: matched.append((label, out := stage(df, label))) or out)
+        got = [tuple(r) for r in files.expand_inputs(nodes, keys).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert {label: t.count() for label, t in matched} == {"asks": 31, "ask-kinds": 2}
+
+
 def test_documented(spark):
     b = frame(spark, [build(str(k), NOW + k * DAY, is_ci=True, total_targets=10 * (k + 1), cache_hit_count=5) for k in range(3)], BUILDS)
     s = frame(spark, [span(str(k)) for k in range(3)] * 2, SPANS)
