@@ -131,6 +131,16 @@ def test_trees_of_any_size(spark, monkeypatch):
     assert inspect.signature(render.dependency_trees).parameters["most"].default is None  # nothing is refused unless asked for
 
 
+def test_alias_rounds_follow_the_chains(spark, monkeypatch):
+    rows = [("t", "target", None), *((f"a{k}", "alias", "t" if k < 100 else f"a{k - 100}") for k in range(300)), ("x", "alias", "y"), ("y", "alias", "x")]
+    staged, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, label: staged.append(label) or stage(df, label))
+    straight = spark.createDataFrame(rows[:-2], "label string, node_type string, actual string")
+    assert {r.target for r in graph.resolve_aliases(straight).collect()} == {"t"} and len(staged) == 4  # chains of three, not 300 aliases
+    ring = {r.label: r.target for r in graph.resolve_aliases(spark.createDataFrame(rows, straight.schema)).collect()}
+    assert ring["x"] is None and ring["y"] is None and ring["a299"] == "t"
+
+
 def chain(spark, *pairs):
     return spark.createDataFrame(list(pairs), "src string, dst string")
 

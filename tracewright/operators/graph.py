@@ -275,15 +275,22 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_aliases(nodes: DataFrame) -> DataFrame:
     """(label, target): the target behind a chain of aliases; null if it ends in a resource, in nothing or in a ring.
 
-    Chains are halved each round, so the rounds follow the logarithm of the number of aliases.
+    Chains are halved each round, so the rounds follow the logarithm of the longest chain, or with rings that of the number
+    of aliases. Aliases are shuffled, never broadcast.
     """
     kinds = nodes.select(F.col("label").alias("at"), "node_type")
     hops = stage(nodes.where("node_type = 'alias'").select("label", F.col("actual").alias("at")), "alias")
     for _ in range(max(1, hops.count()).bit_length()):
         onward = hops.select(F.col("label").alias("at"), F.col("at").alias("beyond"))
-        hops = stage(hops.join(onward, "at", "left").select("label", F.coalesce("beyond", "at").alias("at")), "alias")
+        joined = hops.join(onward.hint("merge"), "at", "left").select("label", F.coalesce("beyond", "at").alias("at"), F.col("beyond").isNotNull().alias("went"))
+        new = stage(joined, "alias")
+        unstage(hops)
+        hops = new.drop("went")
+        hops.staged_at = new.staged_at
+        if new.where("went").isEmpty():
+            break
     ends = nodes.where("node_type <> 'alias'").select("label", F.col("label").alias("at")).unionByName(hops)
-    return ends.join(kinds, "at", "left").select("label", F.when(F.col("node_type") == "target", F.col("at")).alias("target"))
+    return ends.join(kinds.hint("merge"), "at", "left").select("label", F.when(F.col("node_type") == "target", F.col("at")).alias("target"))
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
