@@ -36,6 +36,29 @@ def test_writing_again_replaces(spark, tmp_path):
     assert held(spark, root)[0] == [("t1", "build"), ("t2", "test"), ("t3", "build")]
 
 
+def test_replacing_part_of_a_file_writes_no_other_row(spark, tmp_path):
+    root, days = str(tmp_path), 12
+    rows = [build(f"t{k}", NOW - k % days * DAY) for k in range(60)]
+    store.write_traces(*tables(spark, rows, [span(r["trace_id"]) for r in rows]), root)
+    first = snapshots.Store(spark, root).files()[1]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("again", "again")
+    for k in range(3):  # the second and third leave nothing of the one before
+        store.write_traces(*tables(spark, [build(f"t{t}", NOW - t % days * DAY, command=f"again{k}") for t in range(30)], [span(f"t{t}", "//p:b") for t in range(30)]), root)
+    jobs = len(tracker.getJobIdsForGroup("again"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 120  # none for each day
+    files = snapshots.Store(spark, root).files()[1]
+    assert set(first) <= set(files) and {f.since for f in files} == {1, 2, 4} and {f.since for f in files if f.table == snapshots.REMOVED} <= {2, 3, 4}
+    want = sorted((f"t{t}", "again2" if t < 30 else "build") for t in range(60))
+    assert held(spark, root) == (want, sorted((f"t{t}", "//p:b" if t < 30 else "//pkg:target") for t in range(60)))
+    assert store.compact(spark, root) == 5 and store.compact(spark, root) == 5
+    assert snapshots.Store(spark, root).expire() > 0 and not any(f.table == snapshots.REMOVED for f in snapshots.Store(spark, root).listed())
+    assert held(spark, root)[0] == want and held(spark, root, since="2024-10-04")[0] == [w for w in want if int(w[0][1:]) % days == 0]
+    store.write_traces(*tables(spark, [build("t1")], []), root)
+    assert held(spark, root)[0] == sorted([w for w in want if w[0] != "t1"] + [("t1", "build")])
+
+
 @pytest.mark.parametrize("step", ["write", "commit", "_rename"])
 def test_writers_that_die(spark, tmp_path, monkeypatch, step):
     root = str(tmp_path)

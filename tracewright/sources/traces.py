@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.scalars import date_of
 from tracewright.operators import traces as ops
 from tracewright.schemas import BUILDS, NESTED, SPANS
-from tracewright.sources.snapshots import File, Store
+from tracewright.sources.snapshots import _SINCE, REMOVED, File, Store
 from tracewright.storage import stage, unstage
 
-#: Files of a day, at most, for each write.
-BUILD_PARTS, SPAN_PARTS = 8, 32
+#: Files of a day, at most, for each write; files of a write's spans up to which its days may each have more.
+BUILD_PARTS, SPAN_PARTS, MOST_FILES = 8, 32, 10_000
 
 
-def _read(spark: SparkSession, files: list[str], schema: T.StructType, version_column: str) -> DataFrame:
-    """These Parquet files by column name; columns that a file lacks are null.
+def _read(spark: SparkSession, files: list[str], schema: T.StructType, version_column: str, *more: Column) -> DataFrame:
+    """These Parquet files by column name, with ``more`` columns; columns that a file lacks are null.
 
     ``version_column`` is what the recording tool calls the column ``tool_version``.
     """
@@ -25,11 +27,29 @@ def _read(spark: SparkSession, files: list[str], schema: T.StructType, version_c
     if not files:
         return spark.createDataFrame([], schema)
     df = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*files)
+    df = df.select(*df.columns, *more) if more else df
     return df.withColumnRenamed(version_column, "tool_version") if version_column in df.columns else df
 
 
-def _table(store: Store, files: list[File], table: str, version_column: str = "tool_version") -> DataFrame:
-    return _read(store.spark, [f"{store.root}/{f.path}" for f in files if f.table == table], {"builds": BUILDS, "spans": SPANS}[table], version_column)
+def _since() -> Column:
+    """The version that a row's file came with."""
+    found = F.regexp_extract("_metadata.file_path", _SINCE, 1)
+    return F.coalesce(F.when(found != "", found).cast("long"), F.lit(0).cast("long"))
+
+
+def _table(store: Store, files: list[File], table: str, version_column: str = "tool_version", *more: Column) -> DataFrame:
+    """Rows of a table but for those of traces that a later version has removed."""
+    schema, path = {"builds": BUILDS, "spans": SPANS}[table], lambda f: f"{store.root}/{f.path}"
+    here, lists = [f for f in files if f.table == table], [f for f in files if f.table == REMOVED]
+    last = max((f.since for f in lists), default=0)
+    new, old = [path(f) for f in here if f.since >= last], [path(f) for f in here if f.since < last]
+    if not old:
+        return _read(store.spark, new, schema, version_column, *more)
+    gone = store.spark.read.schema("trace_id string").option("recursiveFileLookup", "true").parquet(*map(path, lists)).select(F.col("trace_id").alias("_gone"), _since().alias("_until"))
+    gone = gone.groupBy("_gone").agg(F.max("_until").alias("_until"))
+    rows = _read(store.spark, old, schema, version_column, *more, _since().alias("_since"))
+    rows = rows.join(gone, (F.col("trace_id") == F.col("_gone")) & (F.col("_since") < F.col("_until")), "left_anti").drop("_since")
+    return rows.unionByName(_read(store.spark, new, schema, version_column, *more)) if new else rows
 
 
 def _within(files: list[File], since: str | None, until: str | None) -> list[File]:
@@ -55,32 +75,58 @@ def read_spans(spark: SparkSession, root: str, version_column: str = "tool_versi
 def write_traces(builds: DataFrame, spans: DataFrame, root: str) -> int:
     """Store traces under the UTC date of their start; the number of the new version.
 
-    A trace that is there already is replaced, so writing again changes nothing. Files that hold a replaced trace are
-    written anew without it; no file is changed, and readers see all of the write or nothing. Spans without a build in
-    ``builds`` are left out. A day's rows make few files however many traces it has.
+    A trace that is there already is replaced, so writing again changes nothing. Its old rows are listed as removed; no
+    file is changed, and readers see all of the write or nothing. Spans without a build in ``builds`` are left out. A
+    day's rows make few files however many traces it has: spans are shuffled once, to their builds, and again by day only
+    where a write has so many days that its files would be small.
     """
     store = Store(builds.sparkSession, root)
     base, files = store.files()
-    dated = stage(builds.withColumn("date", date_of(F.col("start_time_unix_millis"))), "written")
-    kept = _without(store, files, dated.select("trace_id"))
-    made = store.write(dated, "builds", BUILD_PARTS) + store.write(spans.join(dated.groupBy("trace_id").agg(F.min("date").alias("date")), "trace_id"), "spans", SPAN_PARTS)
-    number = store.commit(base, kept + made)
-    unstage(dated)
-    return number
-
-
-def _without(store: Store, files: list[File], ids: DataFrame) -> list[File]:
-    """Files of the same rows but for those of the traces of ``ids``: only files that hold one are written anew."""
-    out = []
+    day = date_of(F.col("start_time_unix_millis"))
+    made = store.write(builds.withColumn("date", day), "builds", base + 1, BUILD_PARTS)
+    ids = _table(store, made, "builds").groupBy("trace_id").agg(F.min(day).alias("date"))
+    kept = _without(store, files, ids, base + 1)
+    tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = SPAN_PARTS if len({f.date for f in made}) * tasks > MOST_FILES else None
+    made += store.write(spans.join(ids.hint("merge"), "trace_id"), "spans", base + 1, parts)
+    return store.commit(base, kept + made)
+
+
+def _without(store: Store, files: list[File], ids: DataFrame, version: int) -> list[File]:
+    """Files of the same rows but for those of the traces of ``ids``: files without another trace go, and what others hold
+    of ``ids`` is listed as removed. Only trace ids are read, all days at once."""
+    data, kept, mixed = [f for f in files if f.table in ("builds", "spans")], [], []
+    mark = lambda f: zlib.crc32(f.path.rsplit("/", 1)[-1].encode())
+    for table in ("builds", "spans"):
+        here = [f for f in data if f.table == table]
+        if not here:
+            continue
+        # A file is known by the checksum of its name; files that share one go together or stay.
+        rows = _table(store, files, table, "tool_version", F.crc32(F.col("_metadata.file_name").cast("binary")).alias("_file")).select("trace_id", "_file").distinct()
+        each = rows.join(ids.select("trace_id", F.lit(True).alias("_hit")), "trace_id", "left").groupBy("_file").agg(F.count("_hit").alias("hits"), F.count("*").alias("traces"))
+        found = {r["_file"]: (r["hits"], r["traces"]) for r in each.collect()}
+        stay = [f for f in here if not f.since or (n := found.get(mark(f), (0, 0)))[0] < n[1]]
+        kept += stay
+        mixed += [f for f in stay if found.get(mark(f), (1, 1))[0]]
+    lists = [f for f in files if f.table == REMOVED]
+    if mixed:
+        there = [_table(store, mixed + lists, table).select("trace_id") for table in ("builds", "spans")]
+        lists = lists + store.write(ids.select("trace_id").join(there[0].union(there[1]), "trace_id", "left_semi"), REMOVED, version)
+    oldest = min((f.since for f in kept), default=version)
+    return [*kept, *(f for f in lists if f.since > oldest), *(f for f in files if f.table not in ("builds", "spans", REMOVED))]
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Write the rows that are left of a store with removed traces anew, as one version; the number of the newest version.
+    ``Store.expire`` then frees the space of the removed ones."""
+    store = Store(spark, root)
+    base, files = store.files()
+    if not any(f.table == REMOVED for f in files):
+        return base
+    made, found = [], F.regexp_extract("_metadata.file_path", "/date=([^/]*)/[^/]*$", 1)
     for table, parts in (("builds", BUILD_PARTS), ("spans", SPAN_PARTS)):
-        here = [f for f in files if f.table == table]
-        hit = store.holding(_table(store, here, table), ids) if here else set()
-        out += [f for f in here if f.path not in hit]
-        for day in sorted({f.date for f in here if f.path in hit}, key=str):
-            some = [f for f in here if f.path in hit and f.date == day]
-            rest = _table(store, some, table).join(ids.select("trace_id"), "trace_id", "left_anti")
-            out += store.write(rest.withColumn("date", F.lit(day).cast("string")), table, parts)
-    return [*out, *(f for f in files if f.table not in ("builds", "spans"))]
+        made += store.write(_table(store, files, table, "tool_version", F.when(found.rlike(r"^\d"), found).alias("date")), table, base + 1, parts)
+    return store.commit(base, made + [f for f in files if f.table not in ("builds", "spans", REMOVED)])
 
 
 def write_json_lines(builds: DataFrame, spans: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -108,19 +154,18 @@ def write_otlp_document(builds: DataFrame, spans: DataFrame, path: str, compress
 def prune(spark: SparkSession, root: str, cutoff_millis: int) -> int:
     """Drop traces that started before the cutoff; the number of builds dropped.
 
-    Files of days before the cutoff's day leave the version unread; of the rest, those that hold an old trace are
-    written anew. Readers see the store before or after it. ``Store.expire`` frees the space.
+    Files of days before the cutoff's day leave the version unread; of the rest, old traces are listed as removed.
+    Readers see the store before or after it. ``compact`` and ``Store.expire`` free the space.
     """
     store = Store(spark, root)
     base, files = store.files()
     edge = spark.range(1).select(date_of(F.lit(cutoff_millis)).cast("string")).first()[0]
-    old = _table(store, files, "builds").where(F.col("start_time_unix_millis") < cutoff_millis).select("trace_id")
-    dropped = old.count()
+    ids = stage(_table(store, files, "builds").where(F.col("start_time_unix_millis") < cutoff_millis).groupBy("trace_id").agg(F.count("*").alias("n")), "pruned")
+    dropped = ids.agg(F.sum("n")).first()[0] or 0
     if dropped:
         rest = [f for f in files if f.date is None or f.date >= edge]
-        ids = stage(old, "pruned")
-        store.commit(base, _without(store, rest, ids))
-        unstage(ids)
+        store.commit(base, _without(store, rest, ids, base + 1))
+    unstage(ids)
     return dropped
 
 
@@ -130,6 +175,6 @@ def pull(spark: SparkSession, remote: str, local: str) -> int:
     fresh = stage(theirs.join(ours.select("trace_id"), "trace_id", "left_anti"), "pulled")
     n = fresh.count()
     if n:
-        write_traces(fresh, read_spans(spark, remote).join(fresh.select("trace_id"), "trace_id", "left_semi"), local)
+        write_traces(fresh, read_spans(spark, remote), local)
     unstage(fresh)
     return n
