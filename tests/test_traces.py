@@ -1,6 +1,7 @@
 """The trace store, statistics, exports, definitions and streams."""
 
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,28 @@ def test_assemble(spark):
     assert got["//p:a"].total_duration_millis == 2_150 and got["//p:a"].tags == "x,y" and got["//p:c"].cache_result == "CACHE_MISS" and got["//p:c"].status == "FAILURE"
 
 
+def test_json_definitions_are_read_an_entry_at_a_time():
+    """The slices of a file give what the whole file does, and don't hold its objects at once."""
+    odd = ''' { "aliases" : [ {"name": "x", "actual": ":a" } ] , "targets": [1], "default_platforms": ["l"], "resources": null, "targets":[\n], "more": {"a": [1, 2]}, "targets" : [{"name": "a"},{"name": "b", "inputs": [",]}\\""]} ] }\n '''
+    whole, parts = definitions.parse("p/BUILD.json", odd), list(definitions.slices("p/BUILD.json", odd))
+    assert [n for part in parts for n in definitions.to_nodes("p/BUILD.json", part)] == definitions.to_nodes("p/BUILD.json", whole)
+    assert list(definitions.slices("p/BUILD.json", "{}")) == []
+    for wrong in ("", "{", "{]", '{"targets": [{}', '{"targets": [{},]}', '{"targets": [{} {}]}', '{"a": 1,}', '{"a" 1}', "{} x", "{1: 2}", '{"targets": [,]}', '{"a": 1 "b": 2}'):
+        with pytest.raises(definitions.DefinitionError):
+            definitions.parse("p/BUILD.json", wrong)
+        with pytest.raises(definitions.DefinitionError):
+            list(definitions.slices("p/BUILD.json", wrong))
+    large = json.dumps({"targets": [{"name": f"n{k}", "command": "c", "inputs": ["a"]} for k in range(20_000)], "default_platforms": ["l"]})
+    tracemalloc.start()
+    n = 0
+    for part in definitions.slices("p/BUILD.json", large):
+        nodes = definitions.to_nodes("p/BUILD.json", part)
+        assert len(nodes) <= definitions.SLICE and nodes[0]["platforms"] == ["l"]
+        n += len(nodes)
+    assert n == 20_000 and tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+
+
 def test_definitions(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/BUILD.json").write_text(json.dumps({"targets": [{"name": "x", "command": "c", "dependencies": [":y", "//b"], "outputs": ["o", "oci::i"], "bin_output": "bin", "oci_push": {"i": "r:1"}}], "aliases": [{"name": "y", "actual": ":x"}], "default_platforms": ["linux/amd64"]}))
