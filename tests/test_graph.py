@@ -257,3 +257,15 @@ def test_completions(spark):
     assert shown("//pa") == ["//pack", "//pack/", "//pack/..."] or shown("//pa") == ["//pack/", "//pack/..."]
     assert shown("//pack:") == ["//pack:x"] and shown(":r") == [":root"]
     assert "//pack/sub/" in shown("//pack/") and "//pack:x" in shown("//pack/")
+
+
+def test_walks_work_out_their_tables_once(spark, workspace):
+    """What is read several times is staged: no plan of a result holds the search for touched targets, or the union of a
+    walk's rounds, again."""
+    nodes, edges = workspace
+    roots = changes.consumer_roots(nodes, edges, files(spark, "package_1/source_2.txt"))
+    assert labels(roots) == ["//package_1:foo_test", "//package_2:package_2"]
+    plan = roots._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan  # of definitions and inputs, of rounds
+    counted = graph.path_counts(edges, spark.createDataFrame([("//package_1:bar",)], "label string"))
+    assert "reach-" not in " ".join(counted.inputFiles()) and {r.label: int(r.paths) for r in counted.collect()} == {"//package_1:foo": 1, "//package_1:foo_test": 1, "//package_2:package_2": 1}

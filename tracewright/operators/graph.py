@@ -159,7 +159,7 @@ def path_counts(edges: DataFrame, starts: DataFrame, direction: str = "rdeps") -
     steps = _stepping(edges, direction).select(F.col("here").alias("src"), F.col("there").alias("dst")).distinct()
     met = reachable(edges, starts, direction)
     begin = starts.groupBy("label").agg(F.count("*").cast("decimal(38,0)").alias("begin"))
-    nodes = met.unionByName(starts.select("label")).distinct().join(begin, "label", "left")
+    nodes = stage(met.unionByName(starts.select("label")).distinct().join(begin, "label", "left"), "path-nodes")
     ways = F.coalesce("begin", F.lit(0)).cast("decimal(38,0)")
     found = accumulate(nodes.select("label", ways.alias("w")), steps, "sum").select("label", "value")
     return found.join(nodes.select("label", ways.alias("own")), "label").select("label", (F.col("value") - F.col("own")).cast("decimal(38,0)").alias("paths")).where("paths > 0")

@@ -401,7 +401,14 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The graph, its two tables staged: walks read them in every round."""
     from tracewright.storage import stage
 
-    return stage(star.nodes(spark, d), "nodes"), stage(star.edges(spark, d), "edges")
+    return stage(star.nodes(spark, d, spread=True), "nodes"), _edges(spark, d)
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's edges alone, staged."""
+    from tracewright.storage import stage
+
+    return stage(star.edges(spark, d, spread=True), "edges")
 
 
 def _label(p: int) -> str:
@@ -424,17 +431,17 @@ def _one(spark: SparkSession, p: int) -> DataFrame:
 
 @query
 def g5_deps_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path_counts(_parts(spark, d)[1], _one(spark, 199), "deps").select("label", F.col("paths").cast("long").alias("paths"))
+    return graph.path_counts(_edges(spark, d), _one(spark, 199), "deps").select("label", F.col("paths").cast("long").alias("paths"))
 
 
 @query
 def g6_rdeps_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path_counts(_parts(spark, d)[1], _one(spark, 7), "rdeps").select("label", F.col("paths").cast("long").alias("paths"))
+    return graph.path_counts(_edges(spark, d), _one(spark, 7), "rdeps").select("label", F.col("paths").cast("long").alias("paths"))
 
 
 @query
 def g7_rdeps_set(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reachable(_parts(spark, d)[1], _one(spark, 7), "rdeps")
+    return graph.reachable(_edges(spark, d), _one(spark, 7), "rdeps")
 
 
 @query
@@ -543,14 +550,15 @@ def _clashing(spark: SparkSession, d: str) -> DataFrame:
     place = lambda by, *after: F.concat(F.lit("../../shared/d"), F.floor(number / 60).cast("string"), F.lit("/f" if by else ""), *([F.floor(number / by).cast("string")] if by else []), *map(F.lit, after))
     one = lambda kind, name: F.struct(F.lit(kind).alias("type"), name.alias("identifier"))
     output = F.when(number % 12 == 0, one("dir", place(0, "/./sub/"))).when(number % 12 == 6, one("dir", place(0))).when(number % 6 == 1, one("file", place(30, ".txt"))).when(number % 6 == 2, one("oci", F.concat(F.lit("img"), F.floor(number / 60).cast("string"))))
-    return star.nodes(spark, d).withColumn("outputs", F.array(output.otherwise(one("file", F.concat(F.lit("own"), number.cast("string")))))).withColumn("bin_output", F.lit(None).cast("struct<type: string, identifier: string>"))
+    return star.nodes(spark, d, spread=True).withColumn("outputs", F.array(output.otherwise(one("file", F.concat(F.lit("own"), number.cast("string")))))).withColumn("bin_output", F.lit(None).cast("struct<type: string, identifier: string>"))
 
 
 @query
 def g19_output_conflicts(spark: SparkSession, d: str) -> DataFrame:
     from tracewright.storage import stage
 
-    return checks.output_conflicts(stage(_clashing(spark, d), "nodes"), _parts(spark, d)[1])
+    nodes = _clashing(spark, d).select("label", "package", "node_type", "outputs", "bin_output")
+    return checks.output_conflicts(stage(nodes, "nodes"), _edges(spark, d))
 
 
 @query

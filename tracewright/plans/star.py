@@ -86,21 +86,27 @@ def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _parts(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
+    """With ``spread``, parts are dealt to as many tasks as run at once: their file is small, and makes a few tasks only."""
+    p = table(spark, sf_dir, "part")
+    return p.repartition(spark.sparkContext.defaultParallelism, "p_partkey") if spread else p
+
+
 def part_label(key: Column) -> Column:
     """Packages of two levels: //g<key mod 7>/p<key mod 50>:n<key>; every 40th part is a test."""
     return F.concat(F.lit("//g"), F.pmod(key, F.lit(7)).cast("string"), F.lit("/p"), F.pmod(key, F.lit(50)).cast("string"), F.lit(":n"), key.cast("string"), F.when(F.pmod(key, F.lit(40)) == 0, "_test").otherwise(""))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """(src, dst) by label."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    p = _parts(spark, sf_dir, spread).select(F.col("p_partkey").alias("p"))
     needs = p.select("p", F.explode(F.array_distinct(F.array(F.expr("p div 2"), F.expr("p div 3")))).alias("d")).where("d >= 1")
     return needs.select(part_label(F.col("d")).alias("src"), part_label(F.col("p")).alias("dst"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     p = F.col("p_partkey")
-    t = table(spark, sf_dir, "part")
+    t = _parts(spark, sf_dir, spread)
     kind = F.when(F.pmod(p, F.lit(97)) == 0, "resource").otherwise("target")
     text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
     p_text = p.cast("string")
