@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.scalars import clean_path
 from tracewright.operators.graph import induced, reachable, roots
 from tracewright.operators.selection import selected
+from tracewright.storage import stage
 
 
 def input_files(nodes: DataFrame) -> DataFrame:
@@ -41,9 +42,10 @@ def touched(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def affected(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Labels of what the files touch and of all that depends on it."""
-    direct = touched(nodes, files).select("label").distinct()
-    return direct.union(reachable(edges, direct, "rdeps")).distinct()
+    """Labels of what the files touch and of all that depends on it, staged: they are worked out once however often they
+    are read."""
+    direct = stage(touched(nodes, files).select("label").distinct(), "touched")
+    return stage(direct.union(reachable(edges, direct, "rdeps")).distinct(), "affected")
 
 
 def changes(nodes: DataFrame, edges: DataFrame, files: DataFrame, dependents: str = "none", **selection) -> DataFrame:
