@@ -74,3 +74,55 @@ def test_pairs_in_a_graph_with_a_cycle(spark):
     assert {tuple(r) for r in got} == {("a", "c"), ("a", "b"), ("b", "a")}
     with pytest.raises(graph.GraphError):
         graph.levels(nodes, edges)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_loose_ends_get_no_labels(spark, monkeypatch, turned):
+    """Node k needs k div 2 and k div 3, or the other way round; only pairs of small numbers depend on each other."""
+    labelled, real = [], checks.stage
+
+    def watched(df, label):
+        out = real(df, label)
+        if label == "order-labels":
+            labelled.append(out.count())
+        return out
+
+    monkeypatch.setattr(checks, "stage", watched)
+    monkeypatch.setattr(checks, "FEW_BETWEEN", 0, raising=False)
+    n = 600
+    names = [f"n{k:04d}" for k in range(n)]
+    edges = sorted({(names[d], names[k]) for k in range(2, n) for d in (k // 2, k // 3)})
+    asked = [(names[k], names[k + d]) for k in range(n - 30) for d in (1, 7, 30)]
+    reach = {}
+    for k, name in enumerate(names):
+        reach[name] = set().union(*({names[d]} | reach[names[d]] for d in ({k // 2, k // 3} if k > 1 else ())))
+    ordered = {(a, b) for a, b in asked if a in reach[b]}
+    assert len(ordered) > 10
+    if turned:
+        edges, ordered = [(b, a) for a, b in edges], {(b, a) for a, b in ordered}
+    nodes, table = tables(spark, names, edges)
+    got = checks.ancestors(nodes, table, spark.createDataFrame(asked, "a string, b string")).collect()
+    assert {tuple(r) for r in got} == ordered
+    assert len(got) == len(ordered)
+    assert labelled[0] < 200
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_pairs_after_many_cuts_on_random_graphs(spark, monkeypatch, seed):
+    monkeypatch.setattr(checks, "FEW_BETWEEN", 0)
+    rng = random.Random(seed)
+    names, edges = chains_and_branches(rng, 100)
+    reach = above(names, edges)
+    asked = [tuple(rng.sample(names, 2)) for _ in range(8)] + [(names[3], "lost")]
+    nodes, table = tables(spark, names, edges)
+    pairs = spark.createDataFrame(asked, "a string, b string")
+    expected = {(a, b) for x, y in asked for a, b in ((x, y), (y, x)) if a in reach.get(b, ())}
+    assert {tuple(r) for r in checks.ancestors(nodes, table, pairs).collect()} == expected
+    # A ring off all ways between the pairs goes with the loose ends or is walked; the answer is the same.
+    nodes, table = tables(spark, [*names, "r1", "r2"], [*edges, ("r1", "r2"), ("r2", "r1"), (names[-1], "r1")])
+    assert {tuple(r) for r in checks.ancestors(nodes, table, pairs).collect()} == expected
+
+
+def test_pairs_of_which_none_can_be_ordered(spark):
+    nodes, edges = tables(spark, "abcd", [("a", "b"), ("a", "c")])
+    assert checks.ancestors(nodes, edges, spark.createDataFrame([("b", "c"), ("c", "d")], "a string, b string")).collect() == []

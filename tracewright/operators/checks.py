@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.labels import is_test
 from tracewright.functions.scalars import clean_path, escapes
 from tracewright.operators.graph import GraphError, _jumps, accumulate, induced, resolve_aliases, self_loops, unresolved
-from tracewright.storage import stage
+from tracewright.storage import stage, unstage
 
 _NONE = "array<string>"
 
@@ -75,26 +75,62 @@ def _dependency_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Longs of a label's filter of all that it depends on.
 FILTER_WORDS = 4
+#: Edges and pairs up to which cutting loose ends off costs more than it saves.
+FEW_BETWEEN = 20_000
+
+
+def _between(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (src, dst) and pairs (a, b) without loose ends, which lie on no way from an a to its b: pairs whose a has no
+    dependants or whose b no dependencies, then edges into a label without dependants that is no pair's b, and edges out
+    of one without dependencies that is no pair's a.
+
+    One side is cut while a round takes off a quarter of what is left, then the other; so all rounds together read a
+    few times the edges and pairs. Works on cycles, whose labels stay.
+    """
+    ends = [("src", "a", "dst", "b"), ("dst", "b", "src", "a")]
+    size, idle, old = None, 0, []
+    while idle < 2 and (size is None or size > FEW_BETWEEN):
+        near, first, far, last = ends[0]
+        alive = stage(edges.select(F.col(near).alias("label")).distinct(), "between-ends")
+        pairs = stage(pairs.join(alive.withColumnRenamed("label", first), first, "left_semi").select("a", "b"), "between-pairs")
+        wanted = alive.union(pairs.select(last)).distinct()
+        edges = stage(edges.join(wanted.withColumnRenamed("label", far), far, "left_semi").select("src", "dst"), "between-edges")
+        unstage(*old, alive)
+        old, left = [pairs, edges], pairs.count()
+        if left == 0:
+            break
+        left += edges.count()
+        if size is not None and left > 0.75 * size:
+            ends, idle = ends[::-1], idle + 1
+        else:
+            idle = 0
+        size = left
+    return edges, pairs
 
 
 def ancestors(nodes: DataFrame, edges: DataFrame, among: DataFrame) -> DataFrame:
     """(a, b): b depends on a, directly or not, for the pairs ``among`` (a, b) in either order.
 
-    Reachability labels answer most pairs: every node gets its level, a Bloom filter of all that it depends on, and a
-    place in a spanning forest (the deepest dependency is the parent, so a node's level is its depth). A pair whose levels
-    or filters contradict it is dropped; one whose lower node has the upper one as forest ancestor, found by jumps of
-    1, 2, 4, ... levels, holds. The rest walks down from b, where the labels still allow a, a level at a step. No table
-    has more rows than nodes, edges and undecided pairs on their ways. Labels need an order, so graphs with cycles are
-    walked from every label of the pairs.
+    Loose ends are cut off first, with the pairs that they settle. Reachability labels answer most other pairs: every node
+    that is left gets its level, a Bloom filter of all that it depends on, and a place in a spanning forest (the deepest
+    dependency is the parent, so a node's level is its depth). A pair whose levels or filters contradict it is dropped;
+    one whose lower node has the upper one as forest ancestor, found by jumps of 1, 2, 4, ... levels, holds. The rest walks
+    down from b, where the labels still allow a, a level at a step. No table has more rows than nodes, edges and undecided
+    pairs on their ways. Labels need an order, so if a cycle is left, walks start from every label of the pairs.
     """
+    both = among.select("a", "b").union(among.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges, both = _between(edges.select("src", "dst"), both)
+    if both.isEmpty():
+        return both
+    ends = edges.select(F.col("src").alias("label")).union(edges.select("dst")).distinct()
+    nodes = stage(nodes.select("label").join(ends, "label", "left_semi").distinct(), "order-ends")
     try:
-        labels = stage(accumulate(nodes.select("label", F.lit(1).cast("long").alias("w")).distinct(), edges, words=FILTER_WORDS).select("label", "level", "previous", "bits"), "order-labels")
+        labels = stage(accumulate(nodes.select("label", F.lit(1).cast("long").alias("w")), edges, words=FILTER_WORDS).select("label", "level", "previous", "bits"), "order-labels")
     except GraphError:
-        return _ancestors_by_walk(edges, among)
+        return _ancestors_by_walk(edges, both)
     of = lambda name: labels.select(F.col("label").alias(name), F.col("level").alias(f"{name}_level"), F.col("bits").alias(f"{name}_bits"))
-    both = among.select("a", "b").union(among.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     may = lambda bits, level: (F.col("a_level") <= F.col(level)) & F.forall(F.zip_with("a_bits", bits, lambda x, y: x.bitwiseAND(F.bitwise_not(y)) == 0), lambda x: x)
-    pairs = both.join(of("a"), "a").join(of("b"), "b").where(may("b_bits", "b_level") & (F.col("a") != F.col("b"))).select("a", "b", "a_level", "a_bits", "b_level")
+    pairs = both.distinct().join(of("a"), "a").join(of("b"), "b").where(may("b_bits", "b_level") & (F.col("a") != F.col("b"))).select("a", "b", "a_level", "a_bits", "b_level")
     pairs = stage(pairs.select("*", F.col("b").alias("at"), (F.col("b_level") - F.col("a_level")).alias("left")), "ordered")
     known, size = pairs, 0
     highest = pairs.agg(F.max("left")).first()[0] or 0
@@ -120,9 +156,9 @@ def ancestors(nodes: DataFrame, edges: DataFrame, among: DataFrame) -> DataFrame
     return out.distinct()
 
 
-def _ancestors_by_walk(edges: DataFrame, among: DataFrame) -> DataFrame:
-    """``ancestors`` in a graph with cycles: what each label of the pairs reaches."""
-    wanted = stage(among.select("a", "b").union(among.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ordered-wanted")
+def _ancestors_by_walk(edges: DataFrame, both: DataFrame) -> DataFrame:
+    """``ancestors`` in a graph with cycles: what each first label of the pairs reaches."""
+    wanted = stage(both.distinct(), "ordered-wanted")
     frontier = stage(wanted.select(F.col("a").alias("start"), F.col("a").alias("label")).distinct(), "ordered")
     seen = frontier
     while not frontier.isEmpty():
@@ -149,7 +185,7 @@ def output_conflicts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     over = left.where("t1 = 'dir'").join(below, "p1").where("l1 <> l2")
     over = over.select(F.lit("inside_folder").alias("kind"), F.least("l1", "l2").alias("a"), F.greatest("l1", "l2").alias("b"), F.col("p1").alias("path"), F.col("p2").alias("other"))
     pairs = stage(same.unionByName(over).distinct(), "conflicts")
-    ordered = ancestors(nodes, edges, pairs.select("a", "b").distinct())
+    ordered = ancestors(nodes, edges, pairs.select("a", "b"))
     ordered = ordered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(ordered, ["a", "b"], "left_anti").select("kind", "a", "b", "path", "other").orderBy("a", "b", "path", "other")
 
