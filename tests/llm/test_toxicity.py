@@ -4,6 +4,8 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from tracewright.llm import op12_toxicity as tox
@@ -103,3 +105,61 @@ def test_odd_rows(spark):
         assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
     assert tox.classify(docs.limit(0), none).collect() == []
     assert {r.doc_id: r.restored for r in tox.restore_texts(docs, np.zeros(tox.MODEL_SLOTS, np.int64)).where("doc_id in (1, 2)").collect()} == {1: "", 2: ""}
+
+
+ODD = ["river", "River,", "lettter", "letter", "x²", "½", "ª", "ñandú", "漢字", "ﬀ", "é", "ꙊꙊ", "\U00010400\U00010400\U00010400", "a_b", "...", "'tis'", "1d10t", "st*pid", "***", "\x1c", "ééé", "zz", "ⅠⅠⅠ", "ퟻ", "moooron", "s-t-u-p-i-d", "7"]
+
+
+def test_plain_tokens_by_pythons_own_rule():
+    tokens = ["", *(t.lower() for t in ODD), "", *(chr(c) for c in range(33, 0x3100)), *(chr(c) * 3 for c in range(33, 0x3100)), ""]
+    assert tox._plain(tokens).tolist() == [t.isalpha() and not tox._THRICE.search(t) for t in tokens]
+
+
+def test_words_of_texts_are_those_of_their_tokens_one_by_one(counts):
+    rng = random.Random(3)
+    texts = ["", "...", "i d i o t", None, *(" ".join(rng.choice(ODD) for _ in range(rng.randrange(30))) for _ in range(60)), "the m o r o n and the idiot"]
+    owner, word, words, sizes, first, slots = tox._restored(pa.array([t or "" for t in texts], pa.large_string()), tox.Restorer(counts))
+    r, found = tox.Restorer(counts), [set() for _ in texts]
+    for k, w in zip(owner.tolist(), word.tolist(), strict=True):
+        assert words[w] not in found[k]
+        found[k].add(words[w])
+    for k, text in enumerate(texts):
+        tokens = set(pa.compute.ascii_split_whitespace(pa.array([(text or "").lower()]))[0].as_py()) | set(tox._SPACED.findall((text or "").lower()))
+        assert found[k] == {w for t in tokens for w in r.restore(t).split(" ") if w} and sizes[k] == len(tokens)
+    tell = np.zeros(tox.EVIDENCE_SLOTS, bool)
+    tell[[tox._slot(g, tox.EVIDENCE_SLOTS) for g in ("\nidi", "oron", "zz\n")]] = True
+    some = tox._restored(pa.array([t or "" for t in texts], pa.large_string()), tox.Restorer(counts), tell)
+    telling = {w for k, w in enumerate(words) if tell[slots[first[k] : first[k + 1]]].any()}
+    assert {"idiot", "moron", "zz"} <= telling
+    assert {(k, some[2][w]) for k, w in zip(some[0].tolist(), some[1].tolist(), strict=True)} == {(k, w) for k, f in enumerate(found) for w in f & telling}
+
+
+def test_sequences_against_python():
+    words = ["a", "bc", "river", "garden", "wanderer", "é漢字\U0001f600"]
+    want = [(k, g) for k, w in enumerate(words) for b in ["\n" + w + "\n"] for i in range(len(b)) for j in range(i + 1, len(b) + 1) for g in [b[i:j]] if 3 <= len(g) <= 6 or 6 < len(g) <= 10 and i == 0]
+    got = [(int(k), int(s)) for word, slot in tox._grams(words, 3, 6, 1 << 21, 10) for k, s in zip(word, slot, strict=True)]
+    assert sorted(got) == sorted((k, tox._slot(g, 1 << 21)) for k, g in want)
+
+
+def test_plain_tokens_and_known_endings_cost_no_search(counts, monkeypatch):
+    """The work that a corpus of ever new words makes: none one by one for plain tokens, one search for equal endings."""
+    rng = random.Random(5)
+    new = sorted({"".join(rng.choice("bdfgklmnprt") + rng.choice("aeiou") for _ in range(6)) for _ in range(500)})
+    done = {"restore": 0, "arcs": 0}
+    for name in done:
+        held = getattr(tox.Restorer, name)
+        monkeypatch.setattr(tox.Restorer, name, lambda self, *x, held=held, name=name: (done.__setitem__(name, done[name] + 1), held(self, *x))[1])
+    r = tox.Restorer(counts)
+    tox._restored(pa.array([" ".join(new) + " river, stone"], pa.large_string()), r)
+    assert done["restore"] == 0
+    _, _, words, *_ = tox._restored(pa.array([" ".join(w + "tion###" for w in new)], pa.large_string()), r)
+    assert done["restore"] == len(new) and done["arcs"] < 20
+    assert set(words) == {w + "tion" for w in new}
+
+
+def test_rests_searched_alone_are_those_of_whole_tokens(counts):
+    rng = random.Random(6)
+    r = tox.Restorer(counts)
+    tokens = ["é é é é é é é é é é é", "password=56619ab9561a44203b", "word" * 30 + "2869c6d3ff6f9738ae", *("".join(rng.choice(a) for _ in range(rng.randrange(1, 40))) for a in ["ab cde", "0123456789abcdef", "idotm01.33ss", "river*$!"] for _ in range(150))]
+    for token in tokens + tokens:
+        assert r._search(token) == " ".join(r._cheapest("\n", token).split())

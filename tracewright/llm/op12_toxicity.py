@@ -35,6 +35,8 @@ ORDER, SHORTEST, LONGEST, AT_START = 4, 3, 6, 10
 TOXIC = 0.5
 #: Hypotheses that the search keeps for a character.
 BEAM = 24
+#: Characters of a token's rest that is searched once for all tokens with the same last characters before it.
+SHORT = 16
 #: Bytes of text that a task works on at once (a longer text is worked on alone).
 PIECE = 4 << 20
 #: Words of a document that the score looks at; the evidence from which a word counts as telling, and counts at all.
@@ -53,24 +55,39 @@ _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _SPACED_RE2 = r"(?:^|\s)\S(?:[ \t]\S){2,}(?:\s|$)"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
 
 
-def _grams(words: list[str], least: int, most: int, slots: int, at_start: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grams(words: list[str], least: int, most: int, slots: int, at_start: int = 0, tell: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word number, slot) of every sequence of ``least`` to ``most`` characters, borders included, one array per length;
-    then of the words' first characters up to ``at_start``."""
+    then of the words' first characters up to ``at_start``. With ``tell``, of the slots alone that it marks."""
     codes = np.frombuffer((_END + _END.join(words) + _END).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    border = codes == ord(_END)
-    word = np.cumsum(border) - 1
-    hashed = np.zeros(len(codes), np.uint64)
+    borders = np.flatnonzero(codes == ord(_END))
+    word = np.repeat(np.arange(len(borders)), np.diff(borders, append=len(codes)))
+    # Characters up to the next border: a border may stand first or last in a sequence, not inside.
+    left = np.append(borders[1:], len(codes))[word] - np.arange(len(codes))
+    codes += np.uint64(1)
+    hashed, starts = np.zeros(len(codes), np.uint64), np.zeros(0, np.int64)
     for k in range(1, max(most, at_start) + 1):
-        at = np.arange(len(codes) - k + 1)
-        hashed = (hashed[: len(at)] * _MIX) ^ (codes[k - 1 :] + np.uint64(1))
-        if k >= least:
-            # A border may stand first or last, not inside.
-            inside = word[at + k - 2] == word[at] if k > 2 else np.ones(len(at), bool)
-            at = at[inside if k <= most else inside & border[at]]
-            mixed = (hashed[at] ^ np.uint64(k)) * _MIX
-            yield np.minimum(word[at], len(words) - 1), ((mixed ^ (mixed >> np.uint64(29))) & np.uint64(slots - 1)).astype(np.int64)
+        if k <= most:
+            n = max(0, len(codes) - k + 1)
+            hashed = (hashed[:n] * _MIX) ^ codes[k - 1 :]
+            if k < least:
+                continue
+            at = np.flatnonzero(left[:n] >= k - 1)
+            some = hashed[at]
+        else:
+            if k == most + 1:
+                starts, some = borders[borders < len(hashed)], hashed[borders[borders < len(hashed)]]
+            longer = (left[starts] >= k - 1) & (starts <= len(codes) - k)
+            starts = at = starts[longer]
+            some = (some[longer] * _MIX) ^ codes[at + (k - 1)]
+        mixed = (some ^ np.uint64(k)) * _MIX
+        slot = ((mixed ^ (mixed >> np.uint64(29))) & np.uint64(slots - 1)).astype(np.int64)
+        if tell is not None:
+            kept = np.flatnonzero(tell[slot])
+            at, slot = at[kept], slot[kept]
+        yield np.minimum(word[at], len(words) - 1), slot
 
 
 def _slot(gram: str, slots: int) -> int:
@@ -82,17 +99,44 @@ def _slot(gram: str, slots: int) -> int:
     return (h ^ h >> 29) & slots - 1
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(text number, token number) of all tokens and the distinct tokens in lower case; spaced-out runs are one token."""
     lower = pc.utf8_lower(texts)
     split = pc.ascii_split_whitespace(lower)
     owner, flat = pc.list_parent_indices(split).to_numpy(), pc.dictionary_encode(pc.list_flatten(split))
-    codes, kinds = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    codes, kinds = flat.indices.to_numpy(), flat.dictionary
     spaced: dict[str, int] = {}
     more = [(k, spaced.setdefault(m, len(kinds) + len(spaced))) for k in np.flatnonzero(pc.match_substring_regex(lower, _SPACED_RE2).to_numpy(zero_copy_only=False)).tolist() for m in set(_SPACED.findall(lower[k].as_py()))]
     if more:
         owner, codes = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((owner, codes), zip(*more, strict=True), strict=True))
-    return owner, codes, kinds + list(spaced)
+    return owner, codes, pa.concat_arrays([kinds, pa.array(list(spaced), kinds.type)])
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """The words as Python strings, without a scalar object for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order: sorting is several times faster here than the hash table of numpy's unique."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _plain(tokens: list[str]) -> np.ndarray:
+    """Which tokens consist of letters alone, none three times in a row: they stand for themselves."""
+    codes = np.frombuffer((_END.join(tokens) + _END).encode("utf-32-le"), np.uint32)
+    border = codes == ord(_END)
+    odd = ~(_LETTER[np.minimum(codes, len(_LETTER) - 1)] | border)
+    odd[2:] |= (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2])
+    odd[1:] |= border[1:] & border[:-1]  # an empty token
+    odd[:1] |= border[:1]
+    plain = np.ones(len(tokens), bool)
+    plain[np.searchsorted(np.flatnonzero(border), np.flatnonzero(odd))] = False
+    # Characters beyond the table are left to Python's own rule.
+    for k in np.unique(np.searchsorted(np.flatnonzero(border), np.flatnonzero(codes >= len(_LETTER) - 1))).tolist():
+        plain[k] = tokens[k].isalpha() and not _THRICE.search(tokens[k])
+    return plain
 
 
 def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -113,10 +157,12 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(MODEL_SLOTS, np.int64)
         for b in batches:
             for _, texts in _pieces(b, 0):
-                flat = pc.utf8_trim(pc.list_flatten(pc.ascii_split_whitespace(pc.utf8_lower(texts))), ".,;:!?\"'()[]-")
-                seen = pc.value_counts(flat)
-                alpha = pc.utf8_is_alpha(seen.field("values"))
-                words, n = seen.field("values").filter(alpha).to_pylist(), seen.field("counts").filter(alpha).to_numpy()
+                seen = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(pc.utf8_lower(texts))))
+                trimmed = pc.utf8_trim(seen.field("values"), ".,;:!?\"'()[]-")
+                alpha = pc.utf8_is_alpha(trimmed)
+                kinds = pc.dictionary_encode(trimmed.filter(alpha))
+                words = _strings(kinds.dictionary)
+                n = np.bincount(kinds.indices.to_numpy(), weights=seen.field("counts").filter(alpha).to_numpy(), minlength=len(words)).astype(np.int64)
                 if words:
                     for word, slot in _grams(words, 1, ORDER, MODEL_SLOTS):
                         np.add.at(total, slot, n[word])
@@ -131,25 +177,27 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
 
 class Restorer:
-    """Restores tokens by a Viterbi search under the channel and the language model that the counts make."""
+    """Restores tokens by a Viterbi search under the channel and the language model that the counts make.
+
+    What it remembers is bounded and changes no result, so a broadcast one serves all tasks of a worker."""
 
     def __init__(self, counts: np.ndarray):
         self.counts, self.letters = counts, int(counts[[_slot(c, len(counts)) for c in _LETTERS]].sum())
-        self._costs: dict[tuple[str, str], float] = {}
+        self._costs: dict[str, float] = {}  # by context and character, which is the last one
         self._done: dict[str, str] = {}
 
     def cost(self, context: str, c: str) -> float:
         """-log P(c | context): sequences of each length, interpolated with the next shorter one."""
-        if (context, c) not in self._costs:
+        if context + c not in self._costs:
             n = lambda gram: int(self.counts[_slot(gram, len(self.counts))])
             p = (n(c) + 0.1) / (self.letters + 10)
             for k in range(1, len(context) + 1):
                 tail = context[-k:]
                 p = (n(tail + c) + 5 * p) / (n(tail) + 5)
-            if len(self._costs) > 1 << 20:
+            if len(self._costs) > 1 << 18:
                 self._costs.clear()
-            self._costs[context, c] = -math.log(min(max(p, 1e-12), 1.0))
-        return self._costs[context, c]
+            self._costs[context + c] = -math.log(min(max(p, 1e-12), 1.0))
+        return self._costs[context + c]
 
     def arcs(self, token: str, i: int) -> list[tuple[str, float]]:
         """What character i may stand for: letters, nothing ("") or a border, with the channel's cost."""
@@ -169,27 +217,51 @@ class Restorer:
         token = token.strip(_MARKS)
         if token.isalpha() and not _THRICE.search(token):
             return token
-        if token not in self._done:
-            if len(self._done) > 1 << 17:
-                self._done.clear()
-            self._done[token] = self._search(token)
-        return self._done[token]
+        return self._search(token)
 
     def _search(self, token: str) -> str:
+        """Up to the first character that may stand for more than itself there is one path, and of it the rest depends
+        on the last characters alone: so a short rest is remembered by them, whatever the token. What a long one stands
+        for is rarely met again; it is searched with the cost of all before it, which rounding may need between equals."""
+        i = 0
+        while i < len(token) and (c := token[i]).isalpha() and not (i and token[i - 1] == c):
+            i += 1
+        before = _END + token[:i]
+        if len(token) - i <= SHORT:
+            before = before[1 - ORDER :]
+        key = before + _END + token[i:]
+        rest = self._done.get(key)
+        if rest is None:
+            rest = self._cheapest(before, token[i:])
+            if len(self._done) > 1 << 17:
+                self._done.clear()
+            if len(key) < 64:
+                self._done[key] = rest
+        return " ".join((token[:i] + rest).split())
+
+    def _cheapest(self, before: str, rest: str) -> str:
+        """What the rest of a token stands for after the characters before it, borders as spaces."""
+        known, cost_of, context, start = self._costs, self.cost, before[1 - ORDER :], 0.0
+        if before[0] == _END:  # else what comes before isn't known; it adds the same to all paths
+            for k in range(1, len(before)):
+                start += cost_of(before[max(0, k + 1 - ORDER) : k], before[k])
+        token = context + rest
         # A hypothesis: the last characters, its cost and a chain of what was written.
-        best: dict[str, tuple[float, tuple]] = {_END: (0.0, ())}
-        for i in range(len(token)):
+        best: dict[str, tuple[float, tuple]] = {context: (start, ())}
+        for i in range(len(context), len(token)):
             arcs, new = self.arcs(token, i), {}
             for context, (cost, written) in best.items():
                 for c, price in arcs:
                     if c == "":
                         then, total, chain = context, cost + price, written
-                    elif c == _END:
-                        then, total, chain = _END, cost + (price + self.cost(context, c) if context != _END else 0), (written, " ")
                     elif price == ITSELF:
                         then, total, chain = _END, cost + price, (written, c)
                     else:
-                        then, total, chain = (context + c)[1 - ORDER :], cost + price + self.cost(context, c), (written, c)
+                        key = context + c
+                        if c == _END:
+                            then, total, chain = _END, cost + (price + (known[key] if key in known else cost_of(context, c)) if context != _END else 0), (written, " ")
+                        else:
+                            then, total, chain = key[1 - ORDER :], cost + price + (known[key] if key in known else cost_of(context, c)), (written, c)
                     if then not in new or total < new[then][0]:
                         new[then] = (total, chain)
             best = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: (x[1][0], x[0]))[:BEAM])
@@ -198,16 +270,16 @@ class Restorer:
         while chain:
             chain, c = chain
             out.append(c)
-        return " ".join("".join(reversed(out)).split())
+        return "".join(reversed(out))
 
 
 def restore_texts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(doc_id, restored): each text in lower case with its tokens restored, joined by one space; spaced-out runs are
     one token."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(Restorer(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer = shared.value
         for b in batches:
             for rows, texts in _pieces(b, 1):
                 out = []
@@ -219,32 +291,47 @@ def restore_texts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("restored", T.StringType())]))
 
 
-def _restored(texts: pa.Array, restorer: Restorer, plain: set[str] | None = None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, list[tuple[str, list[int]]]]:
+def _restored(texts: pa.Array, restorer: Restorer, tell: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text number, word number) of restored words, the words, how many distinct tokens each text has, and the
-    words that each token became. Tokens in ``plain`` are counted and passed over."""
+    words' slots as ``_by_word`` has them. With ``tell``, words without a slot that it marks are left out of the pairs.
+
+    Only tokens that are not plain are restored one by one; all else is done for all tokens at once."""
     owner, codes, kinds = _words(texts)
-    pairs = np.unique(owner.astype(np.int64) * (len(kinds) + 1) + codes)
-    owner, codes = pairs // (len(kinds) + 1), pairs % (len(kinds) + 1)
+    pairs = _distinct(owner.astype(np.int64) * (len(kinds) + 1) + codes)
+    owner, codes = np.divmod(pairs, len(kinds) + 1)
     sizes = np.bincount(owner, minlength=len(texts))
-    words: dict[str, int] = {}
-    parts = [[] if plain and t in plain else [words.setdefault(w, len(words)) for w in restorer.restore(t).split(" ") if w] for t in kinds]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((w for p in parts for w in p), np.int64, int(counts.sum()))
-    first = np.cumsum(counts) - counts
-    n = counts[codes]
-    word = flat[np.arange(n.sum()) + np.repeat(first[codes] - (np.cumsum(n) - n), n)]
-    pairs = np.unique(np.repeat(owner, n) * (len(words) + 1) + word)
-    return pairs // (len(words) + 1), pairs % (len(words) + 1), list(words), sizes, list(zip(kinds, parts, strict=True))
+    stripped = pc.dictionary_encode(pc.utf8_trim(kinds, _MARKS))
+    tokens = _strings(stripped.dictionary)
+    plain = _plain(tokens)
+    parts = [[w for w in restorer.restore(tokens[k]).split(" ") if w] for k in np.flatnonzero(~plain).tolist()]
+    n = np.ones(len(tokens), np.int64)
+    n[~plain] = np.fromiter(map(len, parts), np.int64, len(parts))
+    # The words of all tokens, token by token: first the plain ones, then the restored ones, put in order.
+    at = np.empty(len(tokens), np.int64)
+    at[plain], at[~plain] = np.arange(plain.sum()), plain.sum() + np.cumsum(n[~plain]) - n[~plain]
+    first = np.cumsum(n) - n
+    each = pa.concat_arrays([stripped.dictionary.filter(pa.array(plain)), pa.array([w for p in parts for w in p], kinds.type)])
+    flat = pc.dictionary_encode(each.take(pa.array(np.arange(n.sum()) + np.repeat(at - first, n))))
+    words, flat = _strings(flat.dictionary), flat.indices.to_numpy().astype(np.int64)
+    by_word, slots = _by_word(words, tell)
+    told = np.diff(by_word) > 0
+    telling = np.bincount(np.repeat(np.arange(len(tokens)), n), weights=told[flat], minlength=len(tokens)) > 0
+    token = stripped.indices.to_numpy()[codes]
+    kept = telling[token]
+    owner, token = owner[kept], token[kept]
+    m = n[token]
+    word = flat[np.arange(m.sum()) + np.repeat(first[token] - (np.cumsum(m) - m), m)]
+    owner = np.repeat(owner, m)
+    pairs = _distinct(owner[told[word]] * (len(words) + 1) + word[told[word]])
+    return pairs // (len(words) + 1), pairs % (len(words) + 1), words, sizes, by_word, slots
 
 
 def _by_word(words: list[str], tell: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(first, slots): the distinct slots of word k are slots[first[k] : first[k + 1]], those alone that ``tell`` marks."""
     keys = [np.zeros(0, np.int64)]
-    for at in range(0, len(words), 1 << 15):
-        for word, slot in _grams(words[at : at + (1 << 15)], SHORTEST, LONGEST, EVIDENCE_SLOTS, AT_START):
-            keep = slice(None) if tell is None else tell[slot]
-            keys.append((word[keep] + at) * EVIDENCE_SLOTS + slot[keep])
-    found = np.unique(np.concatenate(keys))
+    for at in range(0, len(words), 1 << 12):  # so many that their arrays stay in a core's cache
+        keys += [(word + at) * EVIDENCE_SLOTS + slot for word, slot in _grams(words[at : at + (1 << 12)], SHORTEST, LONGEST, EVIDENCE_SLOTS, AT_START, tell)]
+    found = _distinct(np.concatenate(keys))
     return np.searchsorted(found, np.arange(len(words) + 1) * EVIDENCE_SLOTS), found % EVIDENCE_SLOTS
 
 
@@ -257,22 +344,14 @@ def _spread(word: np.ndarray, first: np.ndarray, slots: np.ndarray) -> tuple[np.
 class Reader:
     """Looks up the evidence of restored words in pairs of tables (sequences held once, held by two words of a text)."""
 
-    def __init__(self, counts: np.ndarray, *tables: list[np.ndarray]):
-        self.restorer, self.tables = Restorer(counts), tables
+    def __init__(self, restorer: Restorer, *tables: list[np.ndarray]):
+        self.restorer, self.tables = restorer, tables
         self.tell = np.any([t >= LEAST for pair in tables for t in pair], axis=0)
-        self.plain: set[str] = set()  # tokens without any telling sequence
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Distinct (text, word) of restored words, the words, the evidence of each pair by each pair of tables, and the
         texts' distinct tokens. A word's evidence is that of its most telling sequence."""
-        owner, word, words, sizes, tokens = _restored(texts, self.restorer, self.plain)
-        first, slots = _by_word(words, self.tell)
-        told = np.diff(first) > 0
-        if len(self.plain) > 1 << 19:
-            self.plain.clear()
-        kinds = told.tolist()
-        self.plain.update(t for t, parts in tokens if len(t) < 64 and not any(kinds[w] for w in parts))
-        owner, word = owner[told[word]], word[told[word]]
+        owner, word, words, sizes, first, slots = _restored(texts, self.restorer, self.tell)
         slot, n = _spread(word, first, slots)
         keys, back, count = np.unique(np.repeat(owner, n) * EVIDENCE_SLOTS + slot, return_inverse=True, return_counts=True)
         keys, z = keys % EVIDENCE_SLOTS, []
@@ -345,30 +424,32 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_r
     rows = rows.join(one_each, F.col("doc_id") == F.col("_id")).select("toxic", "text")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(Restorer(counts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen = Restorer(shared.value), np.zeros((2, 2, EVIDENCE_SLOTS), np.int32)
+        seen = np.zeros((2, 2 * EVIDENCE_SLOTS), np.int32)  # held once, held by two words: clean, then toxic documents
         for b in batches:
             for part, texts in _pieces(b, 1):
-                kind = part.column(0).to_numpy()
-                owner, word, words, *_ = _restored(texts, restorer)
-                first, slots = _by_word(words)
+                kind = part.column(0).to_numpy().astype(np.int64)
+                owner, word, _, _, first, slots = _restored(texts, shared.value)
                 at = 0
                 while at < len(owner):  # some documents at a time
-                    to = int(np.searchsorted(owner, owner[min(at + (1 << 15), len(owner) - 1)], side="right"))
+                    to = int(np.searchsorted(owner, owner[min(at + (1 << 14), len(owner) - 1)], side="right"))
                     slot, n = _spread(word[at:to], first, slots)
-                    pairs, times = np.unique(np.repeat(owner[at:to], n) * EVIDENCE_SLOTS + slot, return_counts=True)
-                    for k, some in enumerate((pairs, pairs[times > 1])):
-                        np.add.at(seen[k], (kind[some // EVIDENCE_SLOTS], some % EVIDENCE_SLOTS), 1)
+                    keys = np.sort(np.repeat(owner[at:to], n) * EVIDENCE_SLOTS + slot)
+                    same = keys[1:] == keys[:-1]
+                    new = np.append(True, ~same)
+                    for k, some in enumerate((keys[new], keys[new & np.append(same, False)])):
+                        np.add.at(seen[k], kind[some // EVIDENCE_SLOTS] * EVIDENCE_SLOTS + some % EVIDENCE_SLOTS, np.int32(1))
                     at = to
-        at = np.flatnonzero(seen.any(axis=(0, 1)))
+        seen = seen.reshape(2, 2, EVIDENCE_SLOTS)
+        at = np.flatnonzero(seen.any(axis=(0, 1))).astype(np.int32)
         for k in range(0, len(at), 1 << 16):
             some = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(seen[i, j, some].astype(np.int64)) for i in (0, 1) for j in (1, 0)]], names=["slot", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(seen[i, j, some]) for i in (0, 1) for j in (1, 0)]], names=["slot", *columns])
 
     columns = ["toxic", "clean", "toxic2", "clean2"]
-    sums = rows.mapInArrow(count, "slot long, " + ", ".join(f"{c} long" for c in columns)).groupBy("slot").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = rows.mapInArrow(count, "slot int, " + ", ".join(f"{c} int" for c in columns)).groupBy("slot").agg(*[F.sum(c).alias(c) for c in columns])
     found = sums.where("toxic > 0").toArrow()
     slot, toxic, clean, toxic2, clean2 = (found[c].to_numpy() for c in ["slot", *columns])
 
@@ -399,16 +480,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_r
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, words) for every row: words are the restored words that speak most for toxicity."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Reader(Restorer(model.counts), [model.once, model.twice]))
+    weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        reader = Reader(m.counts, [m.once, m.twice])
+        reader = shared.value
         for b in batches:
             for part, texts in _pieces(b, 1):
                 owner, word, words, (z,), tokens = reader.read(texts)
                 x, top = _statistics(owner, z, tokens)
-                p = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -700, 700)))
+                p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -700, 700)))
                 told = [[words[word[k]] for k in row if k >= 0 and z[k] >= TELLING] for row in top.tolist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array(told, pa.list_(pa.string()))], names=["doc_id", "score", "words"])
 
