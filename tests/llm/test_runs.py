@@ -72,6 +72,24 @@ def test_odd_rows(spark):
     assert periodic.digests(periodic.find_runs(spark.createDataFrame([], DOCS))).collect() == []
 
 
+@pytest.mark.parametrize("whole_stage", ["true", "false"])
+def test_repeats_of_texts_without_words(spark, whole_stage):
+    rows = [(k, text) for k, text in enumerate([None, "", " \r\n", "a b c", None, "", "\t"] * 20)]  # every tenth crc32 ends in 0
+    assert any(zlib.crc32(str(k).encode()) % 10 == 0 and not (text or "").split() for k, text in rows)
+    before = spark.conf.get("spark.sql.codegen.wholeStage")
+    spark.conf.set("spark.sql.codegen.wholeStage", whole_stage)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)  # else the optimiser works the rows out itself
+        got = {r.doc_id: r for r in periodic.find_runs(periodic.with_repeats(docs)).collect()}
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", before)
+    assert len(got) == len(rows)
+    for k, text in rows:
+        words = planted(k, text)
+        found = plain_runs(words)
+        assert (got[k].n_words, [tuple(r) for r in got[k].runs], got[k].collapsed) == (len(words), found, collapse(words, found))
+
+
 def planted(doc_id, text):
     words, h = (text or "").split(), zlib.crc32(str(doc_id).encode())
     n, g = len(words), h // 10

@@ -245,7 +245,8 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     words = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h"), F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE), "").alias("w"))
     placed = words.select("doc_id", "text", "h", "w", F.size("w").alias("n"), F.floor(F.col("h") / 10).alias("g"))
-    placed = placed.withColumn("a", F.expr("CAST(g % n AS INT)")).withColumn("p", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS INT)"))
+    # The remainder is worked out for texts without words too.
+    placed = placed.withColumn("a", F.expr("CAST(g % greatest(n, 1) AS INT)")).withColumn("p", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS INT)"))
     return placed.select("doc_id", F.expr("CASE WHEN h % 10 = 0 AND n > 0 THEN concat_ws(' ', transform(sequence(0, n - 1), i -> w[IF(i < a, i, a + (i - a) % p)])) ELSE text END").alias("text"))
 
 
