@@ -124,6 +124,51 @@ def test_otlp(spark):
     assert len(docs["no-spans"]["scopeSpans"][0]["spans"]) == 1
 
 
+def test_otlp_of_odd_values(spark, tmp_path):
+    odd = ['a "b"', "back\\slash", "\n\t\x01\x1f\x7f", "é}\u2028\U0001f600", "", None, "plain"]
+    builds = [build(f"t{k}", command=x, tool_version=x, requested_patterns=x, failure_count=k % 3 - 1, is_ci=None if k % 2 else True) for k, x in enumerate(odd)] + [build("x" * n, failure_count=None, start_time_unix_millis=None) for n in (9, 15, 33)]
+    spans = [span(f"t{k}", x, change_hash=x, cache_result=x, is_test=None if k % 2 else False, status=x, queue_wait_millis=None if k % 2 else 7, end_time_unix_millis=None if k % 3 else NOW) for k, x in enumerate(odd)]
+    b, s = frame(spark, builds, BUILDS), frame(spark, spans, SPANS)
+    docs = {r.trace_id: json.loads(r.value) for r in T.as_otlp(b, s).collect()}
+    store.write_otlp(b, s, f"{tmp_path}/lines")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/lines").collect()]
+    store.write_otlp_document(b, s, f"{tmp_path}/document")
+    document = json.loads("".join(r.value for r in T.as_otlp_document(b, s).orderBy("place").collect()))["resourceSpans"]
+    assert sorted(map(json.dumps, lines)) == sorted(map(json.dumps, docs.values())) and document == [docs[t] for t in sorted(docs)]
+    drop = lambda **x: {k: v for k, v in x.items() if v is not None}
+    for k, x in enumerate(odd):
+        scope = docs[f"t{k}"]["scopeSpans"][0]
+        assert scope["scope"] == drop(name="tracewright", version=x) and docs[f"t{k}"]["resource"]["attributes"][1] == {"key": "service.version", "value": {"stringValue": x or ""}}
+        top, child = scope["spans"]
+        assert top.get("name") == (None if x is None else f"build {x}") and top["attributes"][6:] == [{"key": "build.is_ci", "value": {} if k % 2 else {"boolValue": True}}, {"key": "build.requested_patterns", "value": {"stringValue": x or ""}}]
+        assert top["status"] == ({"code": 2, "message": "1 targets failed"} if k % 3 == 2 else {"code": 1})
+        assert child == drop(
+            traceId=top["traceId"], spanId=child["spanId"], parentSpanId=top["spanId"], name=x, kind=1, startTimeUnixNano=f"{NOW + 100}000000", endTimeUnixNano=None if k % 3 else f"{NOW}000000", attributes=child["attributes"], status={"code": 1},
+        )
+        assert child["attributes"][:3] == [{"key": "build.cache_result", "value": {"stringValue": x or ""}}, {"key": "build.change_hash", "value": {"stringValue": x or ""}}, {"key": "build.is_test", "value": {} if k % 2 else {"boolValue": False}}]
+        assert child["attributes"][4] == {"key": "build.queue_wait_ms", "value": {} if k % 2 else {"intValue": "7"}}
+    assert all("startTimeUnixNano" not in docs["x" * n]["scopeSpans"][0]["spans"][0] for n in (9, 15, 33))
+
+
+@pytest.mark.parametrize("size", [8, 16])
+def test_identifiers_of_any_length(spark, size):
+    texts = ["".join(chr(33 + (7 * k + n) % 90) for k in range(n)) for n in range(6 * size)] + ["é" * n for n in (1, size, 3 * size)]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", X._folded(F.col("x"), size).alias("y")).collect()
+    for x, y in got:
+        folded, at = [0] * size, 0
+        for c in x:
+            folded[at % size] ^= ord(c) % 256
+            at += len(c.encode())
+        assert y == bytes(folded).hex()
+
+
+def test_otlp_exports_move_what_they_need(spark):
+    b, s = frame(spark, [build("t")], BUILDS), frame(spark, [span("t")], SPANS)
+    for df in (T.otlp_pieces(b, s),):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("output_hash" in line for line in plan.splitlines() if "RDD" not in line)
+
+
 def test_assemble(spark):
     nodes = table(spark, [node("//p:a", tags=["x", "y"]), node("//p:b"), node("//p:c"), node("//p:r", "resource")])
     phases = "queue_wait_millis long, hash_duration_millis long, cache_check_millis long, command_duration_millis long, output_write_millis long, output_load_millis long, cache_write_millis long, dep_load_millis long"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -159,11 +160,18 @@ def _folded(text: Column, size: int) -> Column:
     any_text = F.array_join(F.transform(place["b"], lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
 
-    def part(first: int) -> Column:
-        number = lambda k: F.conv(F.rpad(F.hex(F.substr(text, k * size + first + 1, F.lit(8))), 16, "0"), 16, -10).cast("long")
-        return F.lpad(F.lower(F.hex(F.aggregate(pieces, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(number(k))))), 16, "0")
+    def number(k: Column, first: int) -> Column:
+        return F.conv(F.rpad(F.hex(F.substr(text, k * size + first + 1, F.lit(8))), 16, "0"), 16, -10).cast("long")
 
-    return F.when(F.octet_length(text) == F.length(text), F.concat(*[part(first) for first in range(0, size, 8)])).otherwise(any_text)
+    def parts(number_of: Callable[[int], Column]) -> Column:
+        return F.concat(*[F.lpad(F.lower(F.hex(number_of(first))), 16, "0") for first in range(0, size, 8)])
+
+    # Short texts need no fold, or one step of it: lambdas cost far more.
+    short = F.rpad(F.lower(F.hex(text)), 2 * size, "0")
+    twice = parts(lambda first: number(F.lit(0), first).bitwiseXOR(number(F.lit(1), first)))
+    longer = parts(lambda first: F.aggregate(pieces, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(number(k, first))))
+    ascii_text = F.when(F.length(text) <= size, short).when(F.length(text) <= 2 * size, twice).otherwise(longer)
+    return F.when(F.octet_length(text) == F.length(text), ascii_text).otherwise(any_text)
 
 
 def trace_hex(trace_id: Column) -> Column:
@@ -180,6 +188,13 @@ def nanos(millis: Column) -> Column:
     return (millis * F.lit(1_000_000).cast("long")).cast("string")
 
 
+def json_text(x: Column) -> Column:
+    """A text as ``to_json`` writes it, which is asked only where something must be escaped; null stays null."""
+    asked = F.to_json(F.struct(x.alias("x")))
+    inner = F.substring(asked, F.lit(len('{"x":') + 1), F.char_length(asked) - len('{"x":}'))
+    return F.when(x.rlike(r'[\x00-\x1F"\\]') | ~F.is_valid_utf8(x), inner).otherwise(F.concat(F.lit('"'), x, F.lit('"')))
+
+
 # ---- paths and outputs
 
 

@@ -7,6 +7,7 @@ leaves out the loading of dependencies, ``io_ms_show`` counts it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -193,55 +194,64 @@ def as_json_lines(builds: DataFrame, spans: DataFrame) -> DataFrame:
     return full.select(F.to_json(F.struct(*full.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def _otlp(b: Callable[[str], Column], prefix: str, service: str) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]:
-    """(document of child spans, child of a span and its place) of a build whose columns ``b`` gives."""
-    value = "struct<stringValue: string, intValue: string, boolValue: boolean>"
+#: Columns that an OTLP export needs, of a build and of a span beside its start and label.
+_OTLP_BUILD = ("trace_id", "workspace", "git_commit", "git_branch", "tool_version", "platform", "command", "start_time_unix_millis", "total_duration_millis", "total_targets", "failure_count", "cache_hit_count", "is_ci", "requested_patterns")
+_OTLP_SPAN = (
+    "change_hash", "status", "cache_result", "is_test", "end_time_unix_millis", "queue_wait_millis", "hash_duration_millis", "command_duration_millis", "output_write_millis", "output_load_millis", "cache_write_millis",
+)
+
+
+def _otlp(b: Callable[[str], Column], prefix: str, service: str) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """(text up to the root span, text of a child from a span and its place) of a build whose columns ``b`` gives. Both are
+    JSON but for a last brace. They are put together from texts, since ``to_json`` of such a structure takes several times
+    as long."""
+    given = lambda *xs: F.coalesce(F.concat(*xs), F.lit(""))  # noqa: E731  nothing if any is null, as to_json does
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    literal = lambda x: F.lit(json.dumps(x, ensure_ascii=False))
 
     def attribute(key: str, kind: str, x: Column) -> Column:
-        kinds = {k: (x if k == kind else F.lit(None)) for k in ("stringValue", "intValue", "boolValue")}
-        return F.struct(F.lit(key if "." in key else f"{prefix}.{key}").alias("key"), F.struct(*[v.alias(k) for k, v in kinds.items()]).cast(value).alias("value"))
+        return F.concat(F.lit('{"key":'), literal(key if "." in key else f"{prefix}.{key}"), F.lit(',"value":{'), given(F.lit(f'"{kind}":'), x), F.lit("}}"))
 
-    text, number, flag = (lambda k, x: attribute(k, "stringValue", F.coalesce(x, F.lit("")))), (lambda k, x: attribute(k, "intValue", x.cast("string"))), (lambda k, x: attribute(k, "boolValue", x))
+    text, number, flag = (lambda k, x: attribute(k, "stringValue", X.json_text(F.coalesce(x, F.lit(""))))), (lambda k, x: attribute(k, "intValue", quoted(x.cast("string")))), (lambda k, x: attribute(k, "boolValue", x.cast("string")))
+    listed = lambda xs: F.concat(F.lit('"attributes":['), *[y for k, x in enumerate(xs) for y in ([F.lit(","), x] if k else [x])], F.lit("]"))
     trace, root = X.trace_hex(b("trace_id")), X.span_hex(b("trace_id"), F.lit("root"))
-    status = lambda bad, message: F.struct(F.when(bad, 2).otherwise(1).alias("code"), message.alias("message"))
 
-    def span(ident: Column, parent: Column, name: Column, start: Column, end: Column, attributes: list[Column], state: Column) -> Column:
-        return F.struct(
-            trace.alias("traceId"), ident.alias("spanId"), parent.alias("parentSpanId"), name.alias("name"), F.lit(1).alias("kind"), X.nanos(start).alias("startTimeUnixNano"), X.nanos(end).alias("endTimeUnixNano"),
-            F.array(*attributes).alias("attributes"), state.alias("status"),
+    def span(ident: Column, parent: list[Column], name: Column, start: Column, end: Column, attributes: list[Column], bad: Column, *message: Column) -> Column:
+        comma = F.lit(",")
+        return F.concat(
+            F.lit("{"), given(F.lit('"traceId":'), quoted(trace), comma), given(F.lit('"spanId":'), quoted(ident), comma), *parent, given(F.lit('"name":'), X.json_text(name), comma), F.lit('"kind":1,'),
+            given(F.lit('"startTimeUnixNano":'), quoted(X.nanos(start)), comma), given(F.lit('"endTimeUnixNano":'), quoted(X.nanos(end)), comma), listed(attributes),
+            F.lit(',"status":{"code":'), F.when(bad, "2").otherwise("1"), *message, F.lit("}"),
         )
 
     failed = b("failure_count") > 0
     top = span(
-        root, F.lit(None).cast("string"), F.concat(F.lit(f"{prefix} "), b("command")), b("start_time_unix_millis"), b("start_time_unix_millis") + b("total_duration_millis"),
+        root, [], F.concat(F.lit(f"{prefix} "), b("command")), b("start_time_unix_millis"), b("start_time_unix_millis") + b("total_duration_millis"),
         [*[text(c, b(c)) for c in ("workspace", "git_commit", "git_branch")], *[number(c, b(c)) for c in ("total_targets", "cache_hit_count", "failure_count")], flag("is_ci", b("is_ci")), text("requested_patterns", b("requested_patterns"))],
-        status(failed, F.when(failed, F.concat(b("failure_count").cast("string"), F.lit(" targets failed")))),
+        failed, F.when(failed, F.concat(F.lit(',"message":"'), b("failure_count").cast("string"), F.lit(' targets failed"'))).otherwise(""),
     )
 
     def child(s: Column, i: Column) -> Column:
         return span(
-            X.span_hex(b("trace_id"), F.concat(F.lit("span-"), i.cast("string"))), root, s["label"], s["start_time_unix_millis"], s["end_time_unix_millis"],
+            X.span_hex(b("trace_id"), F.concat(F.lit("span-"), i.cast("string"))), [given(F.lit('"parentSpanId":'), quoted(root), F.lit(","))], s["label"], s["start_time_unix_millis"], s["end_time_unix_millis"],
             [text("cache_result", s["cache_result"]), text("change_hash", s["change_hash"]), flag("is_test", s["is_test"]), *[number(k, s[c]) for k, c in (("command_duration_ms", "command_duration_millis"), ("queue_wait_ms", "queue_wait_millis"), ("hash_duration_ms", "hash_duration_millis"), ("output_write_ms", "output_write_millis"), ("output_load_ms", "output_load_millis"), ("cache_write_ms", "cache_write_millis"))]],
-            status(s["status"] == "FAILURE", F.lit(None).cast("string")),
+            s["status"] == "FAILURE",
         )
 
-    resource = F.struct(F.array(text("service.name", F.lit(service)), text("service.version", b("tool_version")), text("host.arch", b("platform"))).alias("attributes"))
-    scope = F.struct(F.lit(service).alias("name"), b("tool_version").alias("version")).alias("scope")
-
-    def document(children: Column) -> Column:
-        return F.struct(resource.alias("resource"), F.array(F.struct(scope, F.concat(F.array(top), children).alias("spans"))).alias("scopeSpans"))
+    resource = listed([text("service.name", F.lit(service)), text("service.version", b("tool_version")), text("host.arch", b("platform"))])
+    scope = F.concat(F.lit('{"name":'), literal(service), given(F.lit(',"version":'), X.json_text(b("tool_version"))), F.lit("}"))
+    return F.concat(F.lit('{"resource":{'), resource, F.lit('},"scopeSpans":[{"scope":'), scope, F.lit(',"spans":['), top), child
 
-    return document, child
 
-
-def in_export_order(builds: DataFrame, spans: DataFrame) -> DataFrame:
+def in_export_order(builds: DataFrame, spans: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of an export in its order: per trace the build (kind 0), its spans (1) and an end (2).
 
     b and s hold the rows, ``place`` counts spans from 0, ``before`` is the kind of the row before and ``b_before`` its
     build. Spans are ordered as in ``nested``, but never gathered: a task reads its sorted traces row by row, however long one
-    is. Spans without a build are left out; of builds that share a trace_id one is taken.
+    is. Spans without a build are left out; of builds that share a trace_id one is taken. ``columns`` names those of a
+    span that are needed beside start and label: others aren't shuffled.
     """
-    one = F.struct("start_time_unix_millis", "label", *[c for c in spans.columns if c not in ("start_time_unix_millis", "label")])
+    one = F.struct("start_time_unix_millis", "label", *[c for c in (spans.columns if columns is None else columns) if c not in ("start_time_unix_millis", "label")])
     rows = builds.select("trace_id", F.lit(0).alias("kind"), F.struct(*builds.columns).alias("b"))
     rows = rows.unionByName(spans.select("trace_id", F.lit(1).alias("kind"), one.alias("s")), allowMissingColumns=True)
     rows = rows.unionByName(builds.select("trace_id", F.lit(2).alias("kind")), allowMissingColumns=True)
@@ -283,12 +293,10 @@ def json_line_pieces(builds: DataFrame, spans: DataFrame) -> DataFrame:
 
 def otlp_pieces(builds: DataFrame, spans: DataFrame, prefix: str = "build", service: str = "tracewright") -> DataFrame:
     """The lines of ``as_otlp`` as pieces (value) of one span each, as ``json_line_pieces``."""
-    rows = in_export_order(builds, spans)
-    document, child = _otlp(lambda c: F.col("trace_id" if c == "trace_id" else f"b.{c}"), prefix, service)
-    head = _open(F.to_json(document(F.array())), len("}]}]}"))  # ends within the root span
-    span = F.concat(F.lit(","), _open(F.to_json(child(F.col("s"), F.col("place")))))
+    rows = in_export_order(builds.select(*_OTLP_BUILD), spans, _OTLP_SPAN)
+    head, child = _otlp(lambda c: F.col("trace_id" if c == "trace_id" else f"b.{c}"), prefix, service)
     kind = F.col("kind")
-    return _pieces(rows, kind == 0, F.when(kind == 0, head).when(kind == 1, span).otherwise("]}]"))
+    return _pieces(rows, kind == 0, F.when(kind == 0, head).when(kind == 1, F.concat(F.lit(","), child(F.col("s"), F.col("place")))).otherwise("]}]"))
 
 
 def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service: str = "tracewright") -> DataFrame:
@@ -297,21 +305,20 @@ def as_otlp(builds: DataFrame, spans: DataFrame, prefix: str = "build", service:
     ``prefix`` starts the attribute keys and the root's name. A single document is {"resourceSpans": [values]}; one
     object per line keeps the export distributed. A row holds a whole trace; ``otlp_pieces`` doesn't.
     """
-    full, value = _otlp_rows(builds, spans, prefix, service)
-    return full.select("trace_id", value.alias("value"))
+    full = nested(builds.select(*_OTLP_BUILD), spans, _OTLP_SPAN)
+    return full.select("trace_id", _otlp_line(prefix, service).alias("value"))
 
 
-def _otlp_rows(builds: DataFrame, spans: DataFrame, prefix: str = "build", service: str = "tracewright") -> tuple[DataFrame, Column]:
-    """(a row per trace, its text)."""
-    full = nested(builds, spans)
-    document, child = _otlp(F.col, prefix, service)
-    children = F.transform(F.coalesce("spans", F.array().cast(full.schema["spans"].dataType)), child)
-    return full, F.to_json(document(children))
+def _otlp_line(prefix: str = "build", service: str = "tracewright") -> Column:
+    """The text of a trace, from its build's columns and its ``spans``."""
+    head, child = _otlp(F.col, prefix, service)
+    children = F.transform("spans", lambda s, i: F.concat(F.lit(","), child(s, i), F.lit("}")))
+    return F.concat(head, F.lit("}"), F.coalesce(F.array_join(children, ""), F.lit("")), F.lit("]}]}"))
 
 
 def as_otlp_document(builds: DataFrame, spans: DataFrame, **options) -> DataFrame:
     """(place, value): the lines of one OTLP document over all traces, in order by place."""
-    full, value = _otlp_rows(builds, spans, **options)
+    full, value = nested(builds.select(*_OTLP_BUILD), spans, _OTLP_SPAN), _otlp_line(**options)
     first = F.col("trace_id") == builds.agg(F.min("trace_id")).scalar()
     ends = full.sparkSession.createDataFrame([(0, '{"resourceSpans":['), (2, "]}")], "place int, end string")
     rows = full.withColumn("place", F.lit(1)).unionByName(ends, allowMissingColumns=True).orderBy("place", "trace_id")
