@@ -317,13 +317,19 @@ def _otlp_line(prefix: str = "build", service: str = "tracewright") -> Column:
 
 
 def as_otlp_document(builds: DataFrame, spans: DataFrame, **options) -> DataFrame:
-    """(place, value): the lines of one OTLP document over all traces, in order by place."""
-    full, value = nested(builds.select(*_OTLP_BUILD), spans, _OTLP_SPAN), _otlp_line(**options)
+    """(place, value): the lines of one OTLP document over all traces, in order by place. Builds and spans are shuffled once,
+    into the order of the document."""
+    builds = builds.select(*_OTLP_BUILD)
     first = F.col("trace_id") == builds.agg(F.min("trace_id")).scalar()
-    ends = full.sparkSession.createDataFrame([(0, '{"resourceSpans":['), (2, "]}")], "place int, end string")
-    rows = full.withColumn("place", F.lit(1)).unionByName(ends, allowMissingColumns=True).orderBy("place", "trace_id")
+    ends = builds.sparkSession.createDataFrame([(0, '{"resourceSpans":['), (2, "]}")], "place int, end string")
+    one = F.struct("start_time_unix_millis", "label", *_OTLP_SPAN)
+    rows = builds.select(F.lit(1).alias("place"), "trace_id", F.struct(*builds.columns).alias("b")).unionByName(spans.select(F.lit(1).alias("place"), "trace_id", one.alias("s")), allowMissingColumns=True)
+    rows = rows.unionByName(ends, allowMissingColumns=True).repartitionByRange("place", "trace_id")
+    lists = rows.groupBy("place", "trace_id").agg(F.collect_list("b").alias("builds"), F.array_sort(F.collect_list("s")).alias("spans"), F.first("end", ignorenulls=True).alias("end"))
+    lists = lists.where((F.col("place") != 1) | (F.size("builds") > 0)).sortWithinPartitions("place", "trace_id")
+    full = lists.select("place", "end", F.explode_outer("builds").alias("b"), F.when(F.col("trace_id").isNotNull(), F.col("spans")).alias("spans")).select("place", "end", "b.*", "spans")
     # Texts are made of sorted rows: they are several times as long.
-    return rows.select("place", F.when(F.col("place") == 1, F.concat(F.when(first, "").otherwise(","), value)).otherwise(F.col("end")).alias("value"))
+    return full.select("place", F.when(F.col("place") == 1, F.concat(F.when(first, "").otherwise(","), _otlp_line(**options))).otherwise(F.col("end")).alias("value"))
 
 
 # ---- assembly
