@@ -158,3 +158,26 @@ def test_a_long_trace_in_pieces(spark, tmp_path):
     assert T.json_line_pieces(b, many).agg(F.max(F.length("value"))).first()[0] < 5_000  # no row holds a trace
     lines = {x["trace_id"]: x["spans"] for x in (json.loads(r.value) for r in spark.read.text(f"{tmp_path}/lines").collect())}
     assert lines["u"] is None and len(lines["t"]) == len({x["label"] for x in lines["t"]}) == 50_000
+
+
+def test_spans_of_other_traces_stay_where_they_are(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.concat(F.lit("t"), F.col("id") % 10_000).alias("trace_id"), "id")
+    ids = spark.range(0, 10_000, 10).select(F.concat(F.lit("t"), "id").alias("trace_id"))
+    wanted = {r.id for r in rows.join(ids, "trace_id").collect()}
+    for bits, most in ((1 << 27, 2_010), (1 << 16, 2_600), (8, 20_000)):  # a filter that is full lets all through
+        monkeypatch.setattr(store, "FILTER_BITS", bits)
+        got = [r.id for r in store._likely(rows, ids).collect()]
+        assert wanted <= set(got) and len(got) == len(set(got)) and len(got) <= most
+    assert store._likely(rows, ids.limit(0)).count() == 0
+    assert store._likely(rows, ids).columns == rows.columns
+
+
+def test_a_pull_shuffles_what_it_copies(spark, tmp_path, monkeypatch):
+    seen, write = [], store.write_traces
+    monkeypatch.setattr(store, "write_traces", lambda b, s, root: seen.append((b.count(), s.count())) or write(b, s, root))
+    builds, spans = [build(f"t{k}") for k in range(200)], [span(f"t{k}", f"//p:{n}") for k in range(200) for n in range(3)]
+    remote, local = f"{tmp_path}/remote", f"{tmp_path}/local"
+    write(*tables(spark, builds, spans), remote)
+    write(*tables(spark, builds[:190], spans), local)
+    assert store.pull(spark, remote, local) == 10 and seen == [(10, 30)] and store.pull(spark, remote, local) == 0
+    assert store.read_spans(spark, local).count() == 600 and store.read_builds(spark, local).count() == 200

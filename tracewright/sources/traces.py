@@ -16,6 +16,9 @@ from tracewright.storage import stage, unstage
 
 #: Files of a day, at most, for each write; files of a write's spans up to which its days may each have more.
 BUILD_PARTS, SPAN_PARTS, MOST_FILES = 8, 32, 10_000
+#: Bits of the filter by which a pull leaves out other traces' spans before it shuffles them (16 MB at most). A fuller one
+#: lets more through to the join, which decides.
+FILTER_BITS = 1 << 27
 
 
 def _read(spark: SparkSession, files: list[str], schema: T.StructType, version_column: str, *more: Column) -> DataFrame:
@@ -169,12 +172,23 @@ def prune(spark: SparkSession, root: str, cutoff_millis: int) -> int:
     return dropped
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the traces of ``ids``, and a few others: a broadcast bitmap of hashes tells without a shuffle of the rows."""
+    at = F.pmod(F.xxhash64("trace_id"), F.lit(FILTER_BITS))
+    bits = ids.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).repartition("_bucket")
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("_bucket")) & there, "left_semi")
+
+
 def pull(spark: SparkSession, remote: str, local: str) -> int:
-    """Copy the traces that the local store lacks, as one version; the number of builds copied."""
+    """Copy the traces that the local store lacks, as one version; the number of builds copied. Spans of other traces are
+    left out where they are read, but for a few, and not shuffled."""
     theirs, ours = read_builds(spark, remote), read_builds(spark, local)
     fresh = stage(theirs.join(ours.select("trace_id"), "trace_id", "left_anti"), "pulled")
     n = fresh.count()
     if n:
-        write_traces(fresh, read_spans(spark, remote), local)
+        write_traces(fresh, _likely(read_spans(spark, remote), fresh), local)
     unstage(fresh)
     return n
